@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from trailmark.llm import mixing
+from trailmark.llm import mixing, telephony
 
 QUERIES = {
+    "op3_telephony_media": telephony.op3_telephony_media,
     "op10_pareto_mix": mixing.op10_pareto_mix,
 }
 ORACLES = {
