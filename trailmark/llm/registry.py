@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from trailmark.llm import mixing, telephony
+from trailmark.llm import mixing, telephony, warc
 
 QUERIES = {
+    "op2_warc_capture_index": warc.op2_warc_capture_index,
     "op3_telephony_media": telephony.op3_telephony_media,
     "op10_pareto_mix": mixing.op10_pareto_mix,
 }
 ORACLES = {
+    "op2_warc_capture_index": warc.ORACLE,
     "op10_pareto_mix": mixing.ORACLE,
 }
