@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from trailmark.llm import mixing, telephony, warc
+from trailmark.llm import mixing, telephony, topk, warc
 
 QUERIES = {
+    "op5_pivot_topk": topk.op5_pivot_topk,
     "op2_warc_capture_index": warc.op2_warc_capture_index,
     "op3_telephony_media": telephony.op3_telephony_media,
     "op10_pareto_mix": mixing.op10_pareto_mix,
 }
 ORACLES = {
+    "op5_pivot_topk": topk.ORACLE,
     "op2_warc_capture_index": warc.ORACLE,
     "op10_pareto_mix": mixing.ORACLE,
 }
