@@ -107,21 +107,22 @@ def read_record(member: bytes) -> dict:
 
 
 def revisits(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """page_id -> refers_to for pages whose payload an earlier page has."""
-    long = pages.where(F.octet_length("html") >= least_bytes).select("page_id", F.unhex(F.sha2(F.encode("html", "UTF-8"), 256)).alias("digest"))
+    """key, digest -> refers_to for captures whose payload a smaller page id has."""
+    long = pages.where(F.octet_length("html") >= least_bytes).select("page_id", key_column().alias("key"), F.unhex(F.sha2(F.encode("html", "UTF-8"), 256)).alias("digest"))
     long = stage(long, "warc-digests")
     first = long.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 AND refers_to IS NOT NULL")
     # Both sides of this join are small rows; Spark splits the partitions of hot digests.
-    return long.join(first.select("digest", "refers_to"), "digest").where("page_id > refers_to").select("page_id", "refers_to").distinct()
+    return long.join(first.select("digest", "refers_to"), "digest").where("page_id > refers_to").select("key", "digest", "refers_to")
 
 
 def write_archives(pages: DataFrame, *, least_bytes: int = LEAST_BYTES, block_records: int = BLOCK_RECORDS, block_bytes: int = BLOCK_BYTES, partitions: int | None = None) -> DataFrame:
     """The ``blocks`` table of page_id, url, html, written to the shared folder and read back."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    known = revisits(pages, least_bytes)
-    rows = pages.join(known.hint("shuffle_hash"), "page_id", "left")
     n = partitions or max(1, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = rows.withColumn("key", key_column()).repartitionByRange(n, "key").sortWithinPartitions("key")
+    # The decisions travel in the same range shuffle as the pages and sort before them: html moves once.
+    known = revisits(pages, least_bytes).select("key", F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "refers_to")
+    captures = pages.select(key_column().alias("key"), "page_id", "url", "html", F.lit(None).cast("binary").alias("digest"), F.lit(None).cast("long").alias("refers_to"))
+    rows = captures.unionByName(known).repartitionByRange(n, "key").sortWithinPartitions("key", F.col("refers_to").asc_nulls_last())
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         archive, block, base, lines, members = uuid.uuid4().hex, 0, 0, [], []
@@ -135,12 +136,18 @@ def write_archives(pages: DataFrame, *, least_bytes: int = LEAST_BYTES, block_re
             block, base, lines, members = block + 1, base + len(warc), [], []
             return pa.RecordBatch.from_arrays([*out.values()], [*out])
 
-        size = 0
+        size, at, decided = 0, None, {}
         for b in batches:
             for i in range(b.num_rows):
-                key, page, url, html, refers = (b.column(c)[i].as_py() for c in range(5))
+                key, page, url, html, of, refers = (b.column(c)[i].as_py() for c in range(6))
+                if key != at:
+                    at, decided = key, {}
+                if refers is not None:
+                    decided[of.hex()] = refers
+                    continue
                 payload = (html or "").encode()
                 digest = hashlib.sha256(payload).hexdigest()
+                refers = decided.get(digest)
                 member = record(page, url, payload, digest, refers)
                 if lines and (len(lines) >= block_records or size + len(member) > block_bytes):
                     yield close()
@@ -151,7 +158,7 @@ def write_archives(pages: DataFrame, *, least_bytes: int = LEAST_BYTES, block_re
         if lines:
             yield close()
 
-    return stage(rows.select("key", "page_id", "url", "html", "refers_to").mapInArrow(build, BLOCKS), "warc")
+    return stage(rows.select("key", "page_id", "url", "html", "digest", "refers_to").mapInArrow(build, BLOCKS), "warc")
 
 
 def directory(blocks: DataFrame) -> DataFrame:
