@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from trailmark.llm import mixing, telephony, topk, warc
+from trailmark.llm import mixing, quality, telephony, topk, warc
 
 QUERIES = {
+    "op8_quality_ftrl": quality.op8_quality_ftrl,
     "op5_pivot_topk": topk.op5_pivot_topk,
     "op2_warc_capture_index": warc.op2_warc_capture_index,
     "op3_telephony_media": telephony.op3_telephony_media,
