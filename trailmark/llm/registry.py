@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from trailmark.llm import mixing, quality, telephony, topk, warc
+from trailmark.llm import mixing, quality, telephony, topk, toxicity, warc
 
 QUERIES = {
+    "op9_toxicity_crf": toxicity.op9_toxicity_crf,
     "op8_quality_ftrl": quality.op8_quality_ftrl,
     "op5_pivot_topk": topk.op5_pivot_topk,
     "op2_warc_capture_index": warc.op2_warc_capture_index,
