@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from trailmark.llm import mixing, quality, telephony, topk, toxicity, warc
+from trailmark.llm import mixing, packing, quality, telephony, topk, toxicity, warc
 
 QUERIES = {
+    "op6_ffd_packing": packing.op6_ffd_packing,
     "op9_toxicity_crf": toxicity.op9_toxicity_crf,
     "op8_quality_ftrl": quality.op8_quality_ftrl,
     "op5_pivot_topk": topk.op5_pivot_topk,
