@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from trailmark.llm import mixing, packing, quality, telephony, topk, toxicity, warc
+from trailmark.llm import mixing, ngram_join, packing, quality, telephony, topk, toxicity, warc
 
 QUERIES = {
+    "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
     "op6_ffd_packing": packing.op6_ffd_packing,
     "op9_toxicity_crf": toxicity.op9_toxicity_crf,
     "op8_quality_ftrl": quality.op8_quality_ftrl,
@@ -14,6 +15,7 @@ QUERIES = {
     "op10_pareto_mix": mixing.op10_pareto_mix,
 }
 ORACLES = {
+    "op1_ngram_jaccard_join": ngram_join.ORACLE,
     "op5_pivot_topk": topk.ORACLE,
     "op2_warc_capture_index": warc.ORACLE,
     "op10_pareto_mix": mixing.ORACLE,

@@ -176,14 +176,14 @@ def describe(kind: int, pcm: np.ndarray, out: np.ndarray, to: int) -> str:
     return f"kind={kind};samples={len(x)};peak={np.abs(x).max(initial=0)};sum={x.sum()};energy={(x * x).sum()};crossings={np.count_nonzero((x[1:] < 0) != (x[:-1] < 0))};rate={to};resampled={len(out)};pcm_crc32={zlib.crc32(out.astype('<i2').tobytes())}"
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
-    """The rows of Arrow batches in pieces of about BATCH_BYTES of one column."""
+def slices(batches: Iterable[pa.RecordBatch], column: int, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches in pieces of about ``most`` bytes of one column."""
     for batch in batches:
         sizes = np.diff(np.frombuffer(batch.column(column).cast(pa.large_binary()).buffers()[1], np.int64, batch.num_rows + 1, 8 * batch.column(column).offset) if batch.num_rows else np.zeros(1, np.int64))
         start, total = 0, 0
         for i, size in enumerate(sizes):
             total += int(size)
-            if total >= BATCH_BYTES:
+            if total >= most:
                 yield batch.slice(start, i + 1 - start)
                 start, total = i + 1, 0
         if start < batch.num_rows:
