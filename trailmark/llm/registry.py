@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from trailmark.llm import mixing, ngram_join, packing, quality, suffix_dedup, telephony, topk, toxicity, warc
+from trailmark.llm import mixing, ngram_join, packing, quality, suffix_dedup, telephony, topk, toxicity, warc, wrapper
 
 QUERIES = {
+    "op7_wrapper_induction": wrapper.op7_wrapper_induction,
     "op4_suffix_array_dedup": suffix_dedup.op4_suffix_array_dedup,
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
     "op6_ffd_packing": packing.op6_ffd_packing,
