@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -36,47 +36,74 @@ from trailmark.llm.labelled import fit, held_out, sample
 from trailmark.llm.shared import table
 from trailmark.llm.telephony import slices
 
-BITS, BOUND = 18, 6000
+BITS, BOUND = 20, 6000
 SIZE = 1 << BITS
-WINDOW = 64
+WINDOW, CELLS = 64, 1 << 20
 HEAD = 4 + 6  # transitions 00 01 10 11, then bias and weights of the document's score
+WORD = re.compile(r"[^\W\d_]+")
 
 
-def traits(word: str) -> list[str]:
-    """The letters of a word, its beginnings and its ending."""
-    core = re.sub(r"[\W\d_]+", "", word.lower())
-    if not core:
-        return ["-"]
-    return ["=" + core, *(core[:n] for n in range(3, min(7, len(core)) + 1)), "$" + core[-3:]]
+def traits(word: str) -> list[int]:
+    """Fingerprints of the letters of a word, its beginnings and its ending."""
+    core = word.lower()
+    parts = ["=" + core, "$" + core[-3:], *(core[:n] for n in range(3, min(7, len(core)) + 1))]
+    return [zlib.crc32(t.encode()) for t in parts]
 
 
 class WordScores(dict):
     """word -> its emission score, kept for words seen often."""
 
-    MOST = 300_000
+    MOST = 900_000
 
     def __init__(self, weights: np.ndarray):
-        self.weights = weights
+        self.weights = weights.tolist()
 
     def __missing__(self, word: str) -> float:
         if len(self) >= self.MOST:
             self.clear()
-        score = self[word] = float(sum(self.weights[zlib.crc32(t.encode()) % SIZE] for t in traits(word)))
+        w = self.weights
+        score = self[word] = sum([w[t & SIZE - 1] for t in traits(word)])
         return score
 
 
+_OPEN: dict[int, tuple] = {}
+
+
+def opened(model: bytes) -> tuple:
+    """Transitions, document weights and word scores of a model, kept for the life of the worker."""
+    key = hash(model)
+    if key not in _OPEN:
+        _OPEN.clear()
+        values = np.frombuffer(model, np.float32).astype(np.float64)
+        _OPEN[key] = values[:4].reshape(2, 2), values[4:9], WordScores(values[HEAD:])
+    return _OPEN[key]
+
+
 def marginals(emission: list[np.ndarray], moves: np.ndarray) -> list[np.ndarray]:
-    """P(offending) of every position of every sequence, all sequences side by side.
+    """P(offending) of every position of every sequence, sequences of like length side by side."""
+    out: list[np.ndarray] = [np.zeros(0)] * len(emission)
+    order = sorted(range(len(emission)), key=lambda i: -len(emission[i]))
+    while order and len(emission[order[-1]]) == 0:
+        order.pop()
+    at = 0
+    while at < len(order):
+        n = max(1, min(len(order) - at, CELLS // len(emission[order[at]])))
+        some = order[at : at + n]
+        for i, p in zip(some, side_by_side([emission[i] for i in some], moves)):
+            out[i] = p
+        at += n
+    return out
 
-    Forward and backward messages are kept as log odds, one number a position.
-    """
+
+def side_by_side(emission: list[np.ndarray], moves: np.ndarray) -> list[np.ndarray]:
+    """Marginals of sequences in decreasing length, by messages kept as log odds."""
     lengths = np.array([len(e) for e in emission])
-    order = np.argsort(-lengths, kind="stable")
-    n, most = len(order), int(lengths.max(initial=0))
-    alive = np.searchsorted(-lengths[order], -np.arange(most), "left")  # sequences longer than t
+    n, most = len(lengths), int(lengths[0])
+    alive = np.searchsorted(-lengths, -np.arange(most), "left")  # sequences longer than t
     e = np.zeros((most, n))
-    for column, i in enumerate(order):
-        e[: lengths[i], column] = emission[i]
+    for i, x in enumerate(emission):
+        e[: len(x), i] = x
+
     # log odds after a move: log(e^(m01) + e^(o + m11)) - log(e^(m00) + e^(o + m10))
     def step(odds, to):
         return np.logaddexp(to[0, 1], odds + to[1, 1]) - np.logaddexp(to[0, 0], odds + to[1, 0])
@@ -89,19 +116,49 @@ def marginals(emission: list[np.ndarray], moves: np.ndarray) -> list[np.ndarray]
         k = alive[t + 1]
         back[t, :k] = step(e[t + 1, :k] + back[t + 1, :k], moves.T)
     p = 1 / (1 + np.exp(-np.clip(ahead + back, -35, 35)))
-    out = [np.zeros(0)] * n
-    for column, i in enumerate(order):
-        out[i] = p[: lengths[i], column]
-    return out
-
-
-def cues(words: list[list[list[str]]], labels: list[int], least: int = 4, purity: float = 0.9) -> set[str]:
-    """Traits that occur almost only in toxic documents, in ``least`` of them or more."""
-    toxic, clean = Counter(), Counter()
-    for doc, y in zip(words, labels):
-        (toxic if y else clean).update({t for w in doc for t in w if t != "-"})
+    return [p[:m, i] for i, m in enumerate(lengths)]
+
+
+class Vocabulary:
+    """Words as numbers, with their traits in one flat array."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.flat, self.ends = array("I"), array("q", [0])
+
+    def read(self, text: str) -> np.ndarray:
+        out = array("i")
+        for w in WORD.findall(text):
+            i = self.number.get(w)
+            if i is None:
+                i = self.number[w] = len(self.number)
+                self.flat.extend(traits(w))
+                self.ends.append(len(self.flat))
+            out.append(i)
+        return np.array(out, np.int32)
+
+    def close(self) -> None:
+        self.codes, self.at = np.array(self.flat, np.uint32), np.array(self.ends)
+        self.number, self.flat, self.ends = {}, array("I"), array("q")
+
+    def traits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Traits of the words in turn, and the position of the word each belongs to."""
+        n = self.at[words + 1] - self.at[words]
+        owner = np.repeat(np.arange(len(words)), n)
+        return self.codes[np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + self.at[words][owner]], owner
+
+
+def cues(known: Vocabulary, docs: list[np.ndarray], labels: list[int], least: int = 4, purity: float = 0.9) -> np.ndarray:
+    """Traits, sorted, that occur almost only in toxic documents, in ``least`` of them or more."""
+    counts = []
+    for y in (1, 0):
+        seen = [np.unique(known.traits(np.unique(d))[0]) for d, label in zip(docs, labels) if label == y]
+        counts.append(np.unique(np.concatenate([np.zeros(0, np.uint32), *seen]), return_counts=True))
+    (toxic, n), (clean, m) = counts
     share = max(1, sum(1 - y for y in labels)) / max(1, sum(labels))  # so that both classes weigh the same
-    return {t for t, n in toxic.items() if n >= least and n * share / (n * share + clean[t]) >= purity and clean[t] <= max(1, n // 8)}
+    at = np.minimum(np.searchsorted(clean, toxic), max(0, len(clean) - 1))
+    other = np.where(clean[at] == toxic, m[at], 0) if len(clean) else np.zeros(len(toxic))
+    return toxic[(n >= least) & (n * share >= purity * (n * share + other)) & (other <= np.maximum(1, n // 8))]
 
 
 def summary(p: np.ndarray) -> np.ndarray:
@@ -113,48 +170,51 @@ def summary(p: np.ndarray) -> np.ndarray:
 
 
 def train(texts: list[str], labels: list[int], rounds: int = 8, rate: float = 0.3) -> bytes:
-    """float64: 4 transitions, 6 numbers of the document's score, SIZE emissions."""
-    model = np.zeros(HEAD + SIZE)
+    """float32: 4 transitions, 6 numbers of the document's score, SIZE emissions."""
+    model = np.zeros(HEAD + SIZE, np.float32)
     if not texts:
         return model.tobytes()
-    kept: dict[str, list[str]] = {}
-    docs = [[kept.setdefault(w, traits(w)) for w in t.split()] for t in texts]
-    found = cues(docs, labels)
+    known = Vocabulary()
+    docs = [known.read(t) for t in texts]
+    known.close()
+    found = cues(known, docs, labels)
+    hit = np.add.reduceat(np.append(np.isin(known.codes, found), False).astype(np.int64), known.at[:-1]) > 0 if len(known.codes) else np.zeros(0, bool)
     rng = np.random.default_rng(11)
     windows = []
     for doc, y in zip(docs, labels):
-        tags = np.array([int(y and any(t in found for t in w)) for w in doc])
+        tags = hit[doc].astype(np.int64) * y
         for a in range(0, len(doc), WINDOW):
             # of windows without an offending word a fixed share is enough to learn from
             if tags[a : a + WINDOW].any() or rng.random() < 0.1:
-                windows.append(([np.array([zlib.crc32(t.encode()) % SIZE for t in w]) for w in doc[a : a + WINDOW]], tags[a : a + WINDOW]))
+                windows.append((doc[a : a + WINDOW], tags[a : a + WINDOW]))
     weights, squares = np.zeros(SIZE), np.full(SIZE, 1e-8)
     moves, moves_sq = np.zeros((2, 2)), np.full((2, 2), 1e-8)
     for _ in range(rounds):
         order = rng.permutation(len(windows))
         for start in range(0, len(order), 256):
             batch = [windows[i] for i in order[start : start + 256]]
-            flat = np.concatenate([np.concatenate(w) for w, _ in batch])
-            counts = [np.array([len(f) for f in w]) for w, _ in batch]
-            owner = np.repeat(np.arange(sum(len(c) for c in counts)), np.concatenate(counts))
+            flat, owner = known.traits(np.concatenate([w for w, _ in batch]))
+            flat = (flat & np.uint32(SIZE - 1)).astype(np.int64)
             e = np.bincount(owner, weights[flat], owner[-1] + 1)
-            cut = np.cumsum([len(c) for c in counts])[:-1]
-            emission = np.split(e, cut)
+            emission = np.split(e, np.cumsum([len(w) for w, _ in batch])[:-1])
             p = marginals(emission, moves)
-            y = np.concatenate([t for _, t in batch])
-            gap = (y - np.concatenate(p))[owner] / len(batch)
-            g = np.bincount(flat, gap, SIZE) - 1e-5 * weights
-            squares += g * g
-            weights += rate * g / np.sqrt(squares)
+            gap = np.concatenate([t for _, t in batch]) - np.concatenate(p)
+            at, where = np.unique(flat, return_inverse=True)
+            g = np.bincount(where, gap[owner] / len(batch), len(at)) - 1e-5 * weights[at]
+            squares[at] += g * g
+            weights[at] += rate * g / np.sqrt(squares[at])
             want, have = np.zeros((2, 2)), np.zeros((2, 2))
-            for (_, t), q, em in zip(batch, p, emission):
+            for (_, t), em in zip(batch, emission):
                 if len(t) > 1:
                     np.add.at(want, (t[:-1], t[1:]), 1)
-                    have += expected(q, em, moves)
+                    have += expected(em, moves)
             g = (want - have) / len(batch) - 1e-3 * moves
             moves_sq += g * g
             moves += 0.3 * rate * g / np.sqrt(moves_sq)
-    x = np.array([summary(q) for q in marginals([np.array([sum(weights[zlib.crc32(t.encode()) % SIZE] for t in w) for w in d]) for d in docs], moves)])
+    slots = (known.codes & np.uint32(SIZE - 1)).astype(np.int64)
+    sums = np.concatenate([[0.0], np.cumsum(weights[slots])])
+    score = sums[known.at[1:]] - sums[known.at[:-1]]
+    x = np.array([summary(q) for a in range(0, len(docs), 500) for q in marginals([score[d] for d in docs[a : a + 500]], moves)])
     y = np.array(labels, float)
     head = np.zeros(5)
     x = np.hstack([np.ones((len(x), 1)), x])
@@ -167,9 +227,9 @@ def train(texts: list[str], labels: list[int], rounds: int = 8, rate: float = 0.
     return model.tobytes()
 
 
-def expected(p: np.ndarray, emission: np.ndarray, moves: np.ndarray) -> np.ndarray:
+def expected(emission: np.ndarray, moves: np.ndarray) -> np.ndarray:
     """Expected transitions of one sequence, from messages of a single pass."""
-    n = len(p)
+    n = len(emission)
     ahead, back = np.zeros(n), np.zeros(n)
     m = np.exp(moves)
     e = np.exp(np.clip(emission, -30, 30))
@@ -197,38 +257,31 @@ def score_toxicity(docs: DataFrame, model: bytes, *, threshold: float = 0.5, spa
     """doc_id, held_out, score, predicted and the offending spans in code points."""
 
     def run(batches):
-        values = np.frombuffer(model, np.float64)
-        moves, head, words = values[:4].reshape(2, 2), values[4:9], WordScores(values[HEAD:])
+        moves, head, words = opened(model)
         for b in slices(batches, 2):
             texts = [x or "" for x in b.column(2).to_pylist()]
-            split = [x.split() for x in texts]
-            p = marginals([np.array([words[w] for w in s]) for s in split], moves)
+            p = marginals([np.array(list(map(words.__getitem__, WORD.findall(x)))) for x in texts], moves)
             score = [float(1 / (1 + np.exp(-np.clip(head[0] + head[1:] @ summary(q), -35, 35)))) for q in p]
-            spans = []
-            for text, found, q in zip(texts, split, p):
-                at, row, last = 0, [], -2
-                for i in np.flatnonzero(q > span_threshold):
-                    at = offset(text, found, last + 1 if last >= 0 else 0, int(i), at)
-                    end = at + len(found[i])
-                    if row and last == i - 1:
-                        row[-1] = {"start": row[-1]["start"], "end": end, "probability": max(row[-1]["probability"], float(q[i]))}
-                    else:
-                        row.append({"start": at, "end": end, "probability": float(q[i])})
-                    at, last = end, int(i)
-                spans.append(row)
+            spans = [spans_of(x, q, span_threshold) for x, q in zip(texts, p)]
             columns = [b.column(0), b.column(1), pa.array(score, pa.float64()), pa.array([int(s >= threshold) for s in score], pa.int32()), pa.array(spans, SPANS)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted", "spans"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(5, 0).alias("held_out"), "text").mapInArrow(run, SCHEMA)
 
 
-def offset(text: str, words: list[str], first: int, goal: int, at: int) -> int:
-    """Where word ``goal`` starts, given that word ``first`` is looked for from ``at``."""
-    for i in range(first, goal + 1):
-        at = text.index(words[i], at)
-        if i < goal:
-            at += len(words[i])
-    return at
+def spans_of(text: str, p: np.ndarray, threshold: float) -> list[dict]:
+    """Runs of neighbouring offending words."""
+    hits = np.flatnonzero(p > threshold)
+    if not len(hits):
+        return []
+    bounds = [m.span() for m in WORD.finditer(text)]
+    row: list[dict] = []
+    for i, before in zip(hits.tolist(), [-2, *hits.tolist()]):
+        if row and before == i - 1:
+            row[-1] = {"start": row[-1]["start"], "end": bounds[i][1], "probability": max(row[-1]["probability"], float(p[i]))}
+        else:
+            row.append({"start": bounds[i][0], "end": bounds[i][1], "probability": float(p[i])})
+    return row
 
 
 def op9_toxicity_crf(spark, sf_dir):
