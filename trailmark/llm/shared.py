@@ -9,9 +9,12 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+BLOOM_BITS = 24
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,9 +49,22 @@ def drop_stage(*tables: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files of frames that went out of scope."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # Python's references go first, then the JVM's
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is in ``ids`` (unique), with the columns of both.
+
+    A bit table of fixed size, 2**24 bits, keeps most other texts out of the shuffle.
+    """
+    bit = F.pmod(F.xxhash64(F.lit("bit"), "doc_id"), F.lit(1 << BLOOM_BITS))
+    words = ids.select(F.shiftright(bit, 6).alias("word"), (bit % 64).cast("int").alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    near = docs.withColumn("word", F.shiftright(bit, 6)).join(F.broadcast(words), "word").where(F.expr(f"shiftrightunsigned(bits, cast(pmod(xxhash64('bit', doc_id), {1 << BLOOM_BITS}L) % 64 as int)) & 1L = 1L")).drop("word", "bits")
+    return near.join(ids.hint("shuffle_hash"), "doc_id")

@@ -18,7 +18,8 @@ pair up locally only ranks that other documents may share are moved and sorted.
   and i + h is sent, once per distinct block, sorted and reranked; windows whose
   pair occurs in a smaller document are repeated.
 
-Equal texts are found first, and only the one with the smallest id takes part.
+Equal texts are found first. Of the largest groups of them (a bounded table)
+only the text with the smallest id takes part.
 A packed bucket holds a bounded number of distinct (rank, block) entries per
 document; there are as many buckets as the bytes of the table ask for.
 
@@ -38,14 +39,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from trailmark.llm.hashing import U, mix, powers, prefix_sums, salt, text_bytes
 from trailmark.llm.ngram_join import by_bucket, pack
-from trailmark.llm.shared import drop_stage, release, stage, table
+from trailmark.llm.shared import release, stage, table, texts_of
 from trailmark.llm.telephony import slices
 
 LEAST = 50
-TEXT_BYTES, EMIT_BYTES, BUCKET_BYTES = 700_000, 8 << 20, 48 << 20
+TEXT_BYTES, EMIT_BYTES, BUCKET_BYTES = 700_000, 16 << 20, 48 << 20
+GROUPS = 1 << 15
 ENTRY = np.dtype([("key", "<u8"), ("doc", "<i8"), ("fp", "<u4")])
 REPLY = np.dtype([("doc", "<i8"), ("code", "<u8"), ("kind", "u1")])
-BLOOM_BITS = 24
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -119,7 +120,7 @@ def anchors(texts: DataFrame, buckets: int, least: int) -> DataFrame:
 
         def flush():
             rows = np.concatenate(held)
-            return pack(rows, (mix(rows["key"]) % U(buckets)).astype(np.int64))
+            return pack_entries(rows, (mix(rows["key"]) % U(buckets)).astype(np.int64))
 
         for b in slices(batches, 1, TEXT_BYTES):
             data, at = text_bytes(b.column(1))
@@ -142,6 +143,36 @@ def anchors(texts: DataFrame, buckets: int, least: int) -> DataFrame:
     return texts.select("doc_id", "text").mapInArrow(run, "bucket int, rows binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
 
 
+def pack_entries(rows: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
+    """Entries by bucket, column by column; documents as numbers in a short list."""
+    order = np.lexsort((rows["doc"], bucket))
+    rows, bucket = rows[order], bucket[order]
+    start = np.flatnonzero(np.diff(bucket, prepend=-1)) if len(bucket) else np.zeros(0, np.int64)
+    out = []
+    for a, z in zip(start, np.append(start[1:], len(rows))):
+        part = rows[a:z]
+        docs, number = np.unique(part["doc"], return_inverse=True)
+        out.append(np.array([len(docs), len(part)], "<u4").tobytes() + docs.tobytes() + number.astype("<u4").tobytes() + part["key"].tobytes() + part["fp"].tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(bucket[start].astype(np.int32)), pa.array(out, pa.binary())], ["bucket", "rows"])
+
+
+def unpack_entries(blobs: np.ndarray) -> np.ndarray:
+    """Entries of all the packed parts of a bucket."""
+    data, at, out = blobs.tobytes(), 0, []
+    while at < len(data):
+        m, n = np.frombuffer(data, "<u4", 2, at)
+        m, n = int(m), int(n)
+        rows = np.empty(n, ENTRY)
+        docs = np.frombuffer(data, "<i8", m, at + 8)
+        at += 8 + 8 * m
+        rows["doc"] = docs[np.frombuffer(data, "<u4", n, at)]
+        rows["key"] = np.frombuffer(data, "<u8", n, at + 4 * n)
+        rows["fp"] = np.frombuffer(data, "<u4", n, at + 12 * n)
+        at += 16 * n
+        out.append(rows)
+    return np.concatenate(out) if out else np.zeros(0, ENTRY)
+
+
 REPEATED, DOUBLE = 1, 2
 
 
@@ -149,7 +180,8 @@ def compare_blocks(entries: DataFrame, buckets: int) -> DataFrame:
     """bucket (of documents), rows: what each document learns of its blocks."""
 
     def run(batches):
-        for _, rows in by_bucket(batches, ENTRY):
+        for _, blobs in by_bucket(batches, np.uint8):
+            rows = unpack_entries(blobs)
             rows = rows[np.lexsort((rows["doc"], rows["fp"], rows["key"]))]
             key, fp, doc = rows["key"], rows["fp"], rows["doc"]
             new_key, new = np.ones(len(rows), bool), np.ones(len(rows), bool)
@@ -190,17 +222,6 @@ def per_document(replies: DataFrame) -> DataFrame:
     return replies.mapInArrow(run, "doc_id long, repeated binary, double binary")
 
 
-def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is in ``ids`` (unique), with the columns of both.
-
-    A bit table of fixed size, 2**24 bits, keeps most other texts out of the shuffle.
-    """
-    bit = F.pmod(F.xxhash64(F.lit("bit"), "doc_id"), F.lit(1 << BLOOM_BITS))
-    words = ids.select(F.shiftright(bit, 6).alias("word"), (bit % 64).cast("int").alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
-    near = docs.withColumn("word", F.shiftright(bit, 6)).join(F.broadcast(words), "word").where(F.expr(f"shiftrightunsigned(bits, cast(pmod(xxhash64('bit', doc_id), {1 << BLOOM_BITS}L) % 64 as int)) & 1L = 1L")).drop("word", "bits")
-    return near.join(ids.hint("shuffle_hash"), "doc_id")
-
-
 def member(values: np.ndarray, codes: bytes | None) -> np.ndarray:
     table_ = np.frombuffer(codes or b"", U)
     if not len(table_):
@@ -225,11 +246,11 @@ def double_ranks(docs: DataFrame, found: DataFrame, buckets: int, least: int) ->
             rows = np.empty(len(start), ENTRY)
             rows["key"], rows["doc"], rows["fp"] = pair_ranks(ranks, start, least), b.column(0).to_numpy()[doc[pick][owner]] if len(start) else 0, 0
             rows = np.unique(rows)
-            yield pack(rows, (mix(rows["key"]) % U(buckets)).astype(np.int64))
+            yield pack_entries(rows, (mix(rows["key"]) % U(buckets)).astype(np.int64))
 
     def rerank(batches):
-        for _, rows in by_bucket(batches, ENTRY):
-            rows = np.unique(rows)  # by key, then document
+        for _, blobs in by_bucket(batches, np.uint8):
+            rows = np.unique(unpack_entries(blobs))  # by key, then document
             new = np.ones(len(rows), bool)
             new[1:] = rows["key"][1:] != rows["key"][:-1]
             least_doc = rows["doc"][np.flatnonzero(new)][np.cumsum(new) - 1] if len(rows) else rows["doc"]
@@ -282,14 +303,16 @@ def find_repeats(docs: DataFrame, *, least: int = LEAST) -> tuple[DataFrame, Dat
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     sha = F.unhex(F.sha2(F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")), 256))
     known = stage(docs.select("doc_id", sha.alias("text_sha"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")), "dedup-texts")
-    first = known.where(F.col("doc_id").isNotNull() & (F.col("n_bytes") >= least)).groupBy("text_sha").agg(F.min("doc_id").alias("least_id"), F.min("n_bytes").alias("n"))
+    first = known.where(F.col("doc_id").isNotNull() & (F.col("n_bytes") >= least)).groupBy("text_sha").agg(F.min("doc_id").alias("least_id"), F.min("n_bytes").alias("n"), F.count(F.lit(1)).alias("copies"))
     first = stage(first, "dedup-first")
     total = first.agg(F.sum("n")).collect()[0][0] or 0
-    # a fourteenth of all positions, 20 bytes each
+    # a thirteenth of all positions, 20 bytes each
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * 20 / 13 / BUCKET_BYTES) + 1)
 
-    one = first.select(F.col("least_id").alias("doc_id")).distinct()
-    leaders = docs.select("doc_id", "text").join(one.hint("shuffle_hash"), "doc_id")
+    # Copies in the largest groups of equal texts stay out; those in others only cost their own entries.
+    groups = first.where("copies > 1").orderBy(F.desc("copies"), "text_sha").limit(GROUPS).select("text_sha", "least_id")
+    leaders = docs.where(F.octet_length("text") >= least).withColumn("text_sha", sha).join(F.broadcast(groups), "text_sha", "left")  # groups: at most GROUPS rows
+    leaders = leaders.where(F.col("least_id").isNull() | (F.col("doc_id") == F.col("least_id"))).where("doc_id is not null").select("doc_id", "text")
     found = stage(per_document(compare_blocks(anchors(leaders, buckets, least), buckets)), "dedup-blocks")
     release(spark)
     pairs = stage(double_ranks(docs, found, buckets, least), "dedup-pairs")
@@ -332,5 +355,42 @@ def repeated_substrings(docs: DataFrame, *, least: int = LEAST) -> DataFrame:
     )
 
 
+def kept_text(data: bytes, spans: list[tuple[int, int]]) -> str:
+    """What is left of UTF-8 bytes; characters that a span only touches stay."""
+    out, at = [], 0
+    for start, end in spans:
+        while start < len(data) and data[start] & 0xC0 == 0x80:
+            start += 1
+        while end < len(data) and data[end] & 0xC0 == 0x80:
+            end -= 1
+        if end > start:
+            out.append(data[at:start])
+            at = end
+    return b"".join([*out, data[at:]]).decode()
+
+
+def remove_repeats(docs: DataFrame, *, least: int = LEAST) -> DataFrame:
+    """The rows of ``docs`` with repeated passages cut from ``text`` and ``n_chars`` set anew."""
+    rows, cuts = find_repeats(docs, least=least)
+    whole = rows.where("copy").select("doc_id", "text_sha", F.lit(True).alias("dedup_copy"), F.lit(None).cast("array<struct<start:bigint,end:bigint>>").alias("dedup_spans")).distinct()
+    some = cuts.select("doc_id", "text_sha", F.lit(False).alias("dedup_copy"), F.col("spans").alias("dedup_spans"))
+    found = whole.unionByName(some.join(whole, ["doc_id", "text_sha"], "left_anti")).withColumnRenamed("doc_id", "dedup_id").withColumnRenamed("text_sha", "dedup_sha")
+    names, at = docs.columns, docs.columns.index("text")
+
+    def run(batches):
+        for b in slices(batches, at):
+            n, texts = len(names), []
+            for text, copy, spans in zip(b.column(at).to_pylist(), b.column(n).to_pylist(), b.column(n + 1).to_pylist()):
+                texts.append("" if copy else text if not spans else kept_text(text.encode(), [(s["start"], s["end"]) for s in spans]))
+            columns = [b.column(i) for i in range(n)]
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    sha = F.unhex(F.sha2(F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")), 256))
+    met = docs.join(found.hint("shuffle_hash"), (docs["doc_id"] == F.col("dedup_id")) & (sha == F.col("dedup_sha")), "left")
+    out = met.select(*[docs[c] for c in names], "dedup_copy", "dedup_spans").mapInArrow(run, docs.schema)
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
+
+
 def op4_suffix_array_dedup(spark, sf_dir):
     return repeated_substrings(table(spark, sf_dir, "documents"))
