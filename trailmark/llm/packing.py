@@ -20,6 +20,7 @@ an empty table gives an empty result; extra columns are not read.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -36,26 +37,57 @@ from trailmark.llm.telephony import slices
 LENGTH, GROUP, END = 2048, 8192, 1
 # Fixed values of the tokenizer's pre-token pattern, restricted to lower-case Latin-1.
 PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\s0-9²³¹¼½¾a-zªµºß-öø-ÿ]+")
-ODD = re.compile(r"[\x1c-\x1f]|<\|")
+ODD = re.compile(r"[\x1c-\x1f]|<\|(?:start|end)oftext\|>")
+
+
+# The pattern for which PRETOKEN stands; other tokenizers take no shortcut.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class PieceIds(dict):
     """pre-token -> its ids as little-endian bytes."""
 
-    MOST = 500_000
+    MOST = 900_000
+
+    def __init__(self, vocabulary: str):
+        import json
+
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-    def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
+        self.whole, self.single = Tokenizer.from_file(vocabulary), Tokenizer.from_file(vocabulary)
+        steps = json.loads(self.whole.to_str())
+        split = (steps.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        self.known_form = [x["type"] for x in (steps.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and split[0].get("pattern") == {"Regex": PATTERN} and [x["type"] for x in split] == ["Split", "ByteLevel"]
+        # pre-tokens are normalised and split already
+        self.single.normalizer = normalizers.Sequence([])
+        self.single.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
     def learn(self, tokens: set[str]) -> None:
-        new = [t for t in tokens if t not in self]
+        new = list(tokens.difference(self))
         if len(self) + len(new) > self.MOST:
             self.clear()
             new = list(tokens)
-        for token, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+        for token, e in zip(new, self.single.encode_batch_fast(new, add_special_tokens=False)):
             ids = e.ids
             self[token] = struct.pack(f"<{len(ids)}I", *ids)
 
+    def shortcut(self, text: str) -> list[str] | None:
+        """The text's pre-tokens, if they are sure to be the tokenizer's own."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        return PRETOKEN.findall(text.lower()) if self.known_form and not ODD.search(text) else None
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [self.shortcut(x) for x in texts]
+        tokens: set[str] = set()
+        for s in split:
+            tokens.update(s or ())
+        self.learn(tokens)
+        whole = iter(self.whole.encode_batch_fast([x for x, s in zip(texts, split) if s is None], add_special_tokens=False))
+        return [b"".join(map(self.__getitem__, s)) if s is not None else np.array(next(whole).ids, "<u4").tobytes() for s in split]
+
 
 _OPEN: dict[str, PieceIds] = {}
 
@@ -63,27 +95,9 @@ _OPEN: dict[str, PieceIds] = {}
 def ids_of(vocabulary: str) -> Callable[[list[str]], list[bytes]]:
     """Texts to token ids (little-endian, 32 bits), with a table kept for the life of the worker."""
     if vocabulary not in _OPEN:
-        import os
-
-        from tokenizers import Tokenizer
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _OPEN[vocabulary] = PieceIds(Tokenizer.from_file(vocabulary))
-    known = _OPEN[vocabulary]
-
-    def encode(texts: list[str]) -> list[bytes]:
-        split: list[list[str] | None] = []
-        for text in texts:
-            try:
-                text.encode("latin-1")
-                split.append(None if ODD.search(text) else PRETOKEN.findall(text.lower()))
-            except UnicodeEncodeError:
-                split.append(None)
-        known.learn({t for s in split if s for t in s})
-        whole = iter(known.tokenizer.encode_batch_fast([x for x, s in zip(texts, split) if s is None], add_special_tokens=False))
-        return [b"".join(map(known.__getitem__, s)) if s is not None else np.array(next(whole).ids, "<u4").tobytes() for s in split]
-
-    return encode
+        _OPEN[vocabulary] = PieceIds(vocabulary)
+    return _OPEN[vocabulary].encode
 
 
 def pieces(docs: DataFrame, vocabulary: str, *, length: int = LENGTH) -> DataFrame:
