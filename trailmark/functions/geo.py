@@ -28,7 +28,7 @@ def js_round(x: ColumnLike) -> Column:
 def haversine_m(lat1, lon1, lat2, lon2) -> Column:
     lat1, lon1, lat2, lon2 = map(col, (lat1, lon1, lat2, lon2))
     h = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * C.SPHERE_M * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    return 2 * C.SPHERE_M * F.asin(F.when(h > 1, 1.0).otherwise(F.sqrt(h)))  # least() would hide nulls
 
 
 def bearing_deg(lat1, lon1, lat2, lon2) -> Column:

@@ -57,10 +57,10 @@ def _(spark, sf):
     return p.select("id", (haversine_m("lat", "lon", "p.best.lat", "p.best.lon") < 2).alias("near"), F.startswith(F.col("p.best.fmt"), F.concat(F.lit("UTM "), F.col("zone").cast("string"))).alias("same_zone"))
 
 
-@query("text_normalize", "SELECT event_id AS id, CAST(event_id % 90 AS VARCHAR) || ' ° ' || CAST(event_id % 60 AS VARCHAR) || '.' || CAST(event_id % 1000 AS VARCHAR) || '1 \" 005' AS norm FROM events")
+@query("text_normalize", "SELECT event_id AS id, CAST(event_id % 90 AS VARCHAR) || ' ° ' || CAST(event_id % 60 AS VARCHAR) || '.' || CAST(event_id % 1000 AS VARCHAR) || '15 \" 005' AS norm FROM events")
 def _(spark, sf):
     e = F.col("event_id")
-    raw = F.concat((e % 90).cast("string"), F.lit(" deg "), (e % 60).cast("string"), F.lit("."), (e % 1000).cast("string"), F.lit("l '' OO5"))
+    raw = F.concat((e % 90).cast("string"), F.lit(" deg "), (e % 60).cast("string"), F.lit("."), (e % 1000).cast("string"), F.lit("l5 '' OO5"))
     return V.read(spark, sf, "events").select(e.alias("id"), P.normalised(raw).alias("norm"))
 
 

@@ -45,7 +45,8 @@ def world(spark: SparkSession, sf_dir: str) -> DataFrame:
 WORLD = """w AS (SELECT c_custkey AS id, -80.0::DOUBLE + (c_custkey * 7919 % 160000) / 1000.0::DOUBLE AS lat, -180.0::DOUBLE + (c_custkey * 104729 % 360000) / 1000.0::DOUBLE AS lon FROM customer)"""
 
 #: DuckDB macros do not fit one statement, so these are templates.
-HAVERSINE = "(2 * 6371008.8::DOUBLE * asin(least(1.0::DOUBLE, sqrt(pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2)))))"
+SQUARE = "(pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2))"
+HAVERSINE = f"(2 * 6371008.8::DOUBLE * asin(CASE WHEN {SQUARE} > 1 THEN 1 ELSE sqrt({SQUARE}) END))"
 BEARING = "fmod(degrees(atan2(sin(radians({d} - {b})) * cos(radians({c})), cos(radians({a})) * sin(radians({c})) - sin(radians({a})) * cos(radians({c})) * cos(radians({d} - {b})))) + 360.0::DOUBLE, 360.0::DOUBLE)"
 
 
