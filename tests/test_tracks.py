@@ -80,7 +80,7 @@ def test_texts(spark):
     assert v(T.dmm_text(F.lit(45.9999999), True)) == "N 46°00.000'" and v(T.dms_text(F.lit(45.9999999), True)) == "N 46°00'00.0\""
     assert v(T.duration_text(F.lit(34380000))) == "9 h 33" and v(T.duration_text(F.lit(-5))) == "0 min" and v(T.duration_text(F.lit(187200000))) == "2 j 4 h"
     assert v(T.distance_text(F.lit(999.4))) == "999 m" and v(T.distance_text(F.lit(1234.0))) == "1,23 km" and v(T.distance_text(F.lit(12345.0))) == "12,3 km"
-    assert v(T.delta_text(F.lit(-1234.0))) == "−1 234 m" and v(T.delta_text(F.lit(0.2))) == "±0 m"
+    assert v(T.delta_text(F.lit(-1234.0))) == "−1\u202f234 m" and v(T.delta_text(F.lit(0.2))) == "±0 m"
     assert v(T.pin_label(F.array(F.lit(1), F.lit(2), F.lit(3)))) == "2-4" and v(T.pin_label(F.array(F.lit(1), F.lit(4)))) == "2,5"
     assert v(T.uri_component(F.lit("a b!~(é)"))) == "a%20b!~(%C3%A9)"
     assert v(G.utm_zone(F.lit(180.0))) == 61

@@ -41,7 +41,8 @@ def radius_join(points: DataFrame, places: DataFrame, radius: float) -> DataFram
     """
     right = places.select(*[F.col(c).alias(f"p_{c}") for c in places.columns])
     row = F.floor(F.col("p_lat") / (radius / METRES_A_DEGREE)).cast("long")
-    reach = F.least(F.lit(180.0), radius / METRES_A_DEGREE / F.cos(F.radians(F.least(F.lit(89.9), F.abs("p_lat") + radius / METRES_A_DEGREE))) * 1.001)
+    edge = F.abs("p_lat") + radius / METRES_A_DEGREE
+    reach = F.when(edge > 89.9, 180.0).otherwise(F.least(F.lit(180.0), radius / METRES_A_DEGREE / F.cos(F.radians(F.least(F.lit(89.9), edge))) * 1.001))  # all round the poles
 
     def columns(r: Column) -> Column:
         w = column_width(r, radius)

@@ -90,11 +90,11 @@ def near_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     """
     row, _, minute = dup_cells("lat", "lon", "t")
     spread = F.explode(F.flatten(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda j: F.struct((row + i).alias("r"), (minute + j).alias("m"))))))
-    left = a.withColumn("cell", spread).select(*[F.col(c).alias(f"a_{c}") for c in a.columns], F.col("cell.r").alias("r"), F.col("cell.m").alias("m"))
-    right = b.withColumn("r", row).withColumn("m", minute)
-    met = left.join(right, (left["a_track"] == right["track"]) & (left["r"] == right["r"]) & (left["m"] == right["m"]))
-    near = (haversine_m("a_lat", "a_lon", "lat", "lon") < C.DUP_M) & (F.abs(millis("a_t") - millis("t")) < C.DUP_MS)
-    return met.where(near).select(*[F.col(f"a_{c}") for c in a.columns], *[right[c] for c in b.columns])
+    left = a.withColumn("cell", spread).select(*[F.col(c).alias(f"a_{c}") for c in a.columns], F.col("cell.r").alias("a_r"), F.col("cell.m").alias("a_m"))
+    right = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns], row.alias("b_r"), minute.alias("b_m"))
+    met = left.join(right, F.expr("a_track = b_track AND a_r = b_r AND a_m = b_m"))
+    near = (haversine_m("a_lat", "a_lon", "b_lat", "b_lon") < C.DUP_M) & (F.abs(millis("a_t") - millis("b_t")) < C.DUP_MS)
+    return met.where(near).select(*[F.col(f"a_{c}") for c in a.columns], *[F.col(f"b_{c}").alias(c) for c in b.columns])
 
 
 def merge(a: DataFrame, b: DataFrame) -> DataFrame:
