@@ -15,12 +15,14 @@ one common entry makes a candidate.
   go last, by count, the others keep the order of their hashes. The order only
   moves work; any order finds the same pairs.
 * Merging: postings of the short lists are shuffled in packed form and sorted,
-  list by list. Lists with equal members count once. Frequent lists are dealt
-  to several tasks, whose least members are compared with each other.
-* Candidates are compared first with the least member of their list. Components
-  of the links so found make most other pairs needless: only members that are
-  not in the component of their list's least member meet the rest of the list,
-  so a group of near copies costs its size, not its square.
+  list by list. Lists with equal members count once. Frequent lists are sorted
+  in parts by several tasks and are one list again afterwards.
+* A list only pairs members that may reach the overlap with what follows its
+  shingle in both (the list of their first common shingle always does).
+* Candidates are compared first with the member of their list that has fewest
+  words of its own. Components of the links so found make most other pairs needless:
+  members outside the leader's component meet a few more members, then all, so
+  a group of near copies costs its size, not its square.
 * Probing: a candidate's remaining shingles are binary-searched in the other's
   sorted set.
 
@@ -36,11 +38,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from trailmark.llm.components import components
 from trailmark.llm.hashing import U, mix, shingles
-from trailmark.llm.shared import drop_stage, release, stage, table
+from trailmark.llm.shared import drop_stage, release, stage, table, texts_of
 from trailmark.llm.telephony import slices
 
 K, PERCENT = 5, 80
@@ -49,7 +51,8 @@ LIST_PART = 20_000
 TEXT_BYTES = 700_000
 SEEN = 200_000
 
-ROW = np.dtype([("x", "<u8"), ("c", "<u8"), ("n", "<u4")])
+PAIR = np.dtype([("c", "<u8"), ("n", "<u4"), ("p", "<u4")])
+ROW = np.dtype([("x", "<u8"), ("c", "<u8"), ("n", "<u4"), ("p", "<u4")])
 
 
 def set_code(s: np.ndarray) -> np.uint64:
@@ -60,6 +63,28 @@ def set_code(s: np.ndarray) -> np.uint64:
     return code if code else U(1)
 
 
+def mark_of(s: np.ndarray) -> bytes:
+    """Parities of the set's members over at least two cells a member.
+
+    Two marks differ in no more cells than the sets differ in members.
+    """
+    cells = 1 << max(3, int(2 * len(s) - 1).bit_length()) if len(s) else 8
+    return np.packbits(np.bincount((s & U(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def may_link(x: bytes, y: bytes, n: int, m: int, percent: int) -> bool:
+    """False only where the marks prove the sets too different."""
+    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(x) != len(y):  # the larger mark is folded onto the smaller
+        if len(x) > len(y):
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        else:
+            y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    differ = int(np.bitwise_count(x ^ y).sum())
+    # similar sets share (n + m - d) / 2 of (n + m + d) / 2 members, d the number in one only
+    return 100 * (n + m - differ) >= percent * (n + m + differ)
+
+
 def buckets_of(df: DataFrame, rows_each: int = 4000) -> int:
     """As many shuffle buckets as keep a bucket's postings in a few dozen MB."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows_each))
@@ -90,7 +115,7 @@ def by_bucket(batches, dtype):
 
 
 def classes(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, class and a hashed share of the class's shingles for the frequency count."""
+    """doc_id, n_shingles, class, its mark, and a hashed share of its shingles for the frequency count."""
 
     def run(batches):
         seen: set = set()
@@ -104,9 +129,9 @@ def classes(docs: DataFrame, k: int) -> DataFrame:
                 fresh = len(s) and c not in seen
                 seen.add(c)
                 drawn.append(s[mix(s ^ c) & U((1 << SAMPLE_BITS) - 1) == 0].tobytes() if fresh else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(codes.view(np.int64)), pa.array(drawn, pa.binary())], ["doc_id", "n_shingles", "class", "drawn"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(codes.view(np.int64)), pa.array([mark_of(s) for s in sets], pa.binary()), pa.array(drawn, pa.binary())], ["doc_id", "n_shingles", "class", "mark", "drawn"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, class long, drawn binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, class long, mark binary, drawn binary")
 
 
 def frequent_shingles(known: DataFrame, buckets: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +156,7 @@ def frequent_shingles(known: DataFrame, buckets: int, most: int) -> tuple[np.nda
 
 
 def short_lists(docs: DataFrame, buckets: int, frequent: tuple[np.ndarray, np.ndarray], k: int, percent: int) -> DataFrame:
-    """Packed postings (shingle, class, size) of every class's short lists."""
+    """Packed postings (shingle, class, size, place in the class's order) of every class's short lists."""
     xs, counts = frequent
     rank = np.empty(len(xs), np.int64)
     rank[np.lexsort((xs, counts))] = np.arange(len(xs))
@@ -160,7 +185,7 @@ def short_lists(docs: DataFrame, buckets: int, frequent: tuple[np.ndarray, np.nd
                 else:
                     s, size = s[:short], len(s)
                 row = np.empty(len(s), ROW)
-                row["x"], row["c"], row["n"] = s, c, size
+                row["x"], row["c"], row["n"], row["p"] = s, c, size, np.arange(len(s))
                 held.append(row)
             if held:
                 rows = np.concatenate(held)
@@ -201,45 +226,48 @@ def merge_lists(postings: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) ->
             sums = np.zeros(len(start), U)
             np.add.at(sums, member, mix(rows["c"][at]))
             gid = np.where(spread, mix(rows["x"][start]), mix(sums + size.astype(U)))
-            _, first = np.unique(np.where(spread, gid + np.arange(len(gid), dtype=U), gid), return_index=True)
+            places = np.add.reduceat(rows["p"][at].astype(np.int64), np.cumsum(size) - size)
+            # of lists with equal members the one that comes first in the order has the least places for all
+            order = np.lexsort((places, np.where(spread, gid + np.arange(len(gid), dtype=U), gid)))
+            _, first = np.unique(np.where(spread, gid + np.arange(len(gid), dtype=U), gid)[order], return_index=True)
+            first = order[first]
             for a in range(0, len(first), 2000):
                 some = first[a : a + 2000]
-                members = [rows[["c", "n"]][start[i] : start[i] + size[i]] for i in some]
-                yield pa.RecordBatch.from_arrays([pa.array(gid[some].view(np.int64)), pa.array(np.where(spread[some], bucket, 0).astype(np.int32)), pa.array([np.array(m, PAIR).tobytes() for m in members], pa.binary())], ["gid", "part", "members"])
+                members = [rows[["c", "n", "p"]][start[i] : start[i] + size[i]] for i in some]
+                yield pa.RecordBatch.from_arrays([pa.array(gid[some].view(np.int64)), pa.array(np.where(spread[some], bucket, 0).astype(np.int32)), pa.array(places[some]), pa.array([np.array(m, PAIR).tobytes() for m in members], pa.binary())], ["gid", "part", "places", "members"])
 
-    lists = postings.mapInArrow(run, "gid long, part int, members binary")
-    return lists.groupBy("gid", "part").agg(F.first("members").alias("members"))
-
-
-PAIR = np.dtype([("c", "<u8"), ("n", "<u4")])
+    lists = postings.mapInArrow(run, "gid long, part int, places long, members binary")
+    return lists.groupBy("gid", "part").agg(F.min_by("members", "places").alias("members"))
 
 
 def exploded(lists: DataFrame) -> DataFrame:
-    """gid, c, n, lead: every member beside the least member of its part."""
+    """gid, c, n, p: every member of every list."""
 
     def run(batches):
         for b in slices(batches, 1, 1 << 20):
             held = [np.frombuffer(x.as_buffer(), PAIR) for x in b.column(1)]
-            size = np.array([len(m) for m in held])
-            rows, start = np.concatenate(held), np.cumsum(size) - size
-            c, n = rows["c"].astype(U).view(np.int64), rows["n"].astype(np.int64)
-            lead = np.minimum.reduceat(c, start)
-            at = np.flatnonzero(c == np.repeat(lead, size))  # members of a list differ, so one each
-            columns = [np.repeat(b.column(0).to_numpy(), size), c, n, np.repeat(lead, size), np.repeat(n[at], size)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["gid", "c", "n", "lead", "lead_n"])
+            rows = np.concatenate(held)
+            columns = [np.repeat(b.column(0).to_numpy(), [len(m) for m in held]), rows["c"].astype(U).view(np.int64), rows["n"].astype(np.int64), rows["p"].astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["gid", "c", "n", "p"])
 
-    return lists.select("gid", "members").mapInArrow(run, "gid long, c long, n long, lead long, lead_n long")
+    return lists.select("gid", "members").mapInArrow(run, "gid long, c long, n long, p long")
 
 
-def fits(n: str, m: str, percent: int):
-    """Sizes that leave room for the similarity."""
-    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+def fits(percent: int):
+    """Whether u and v may link if this list is of their first common shingle: what follows must suffice."""
+    return F.expr(f"least(u.n - u.p, v.n - v.p) * {100 + percent} >= (u.n + v.n) * {percent}")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among candidate pairs (a, b), by binary probes of one sorted set in the other."""
+def verify(docs: DataFrame, pairs: DataFrame, known: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links among candidate pairs (a, b): marks rule most others out, binary probes decide."""
+    one = known.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("mark").alias("mark"), F.first("n_shingles").alias("n"))
 
-    def run(batches):
+    def prune(batches):
+        for b in batches:
+            keep = [may_link(x, y, n, m, percent) for x, y, n, m in zip(*(b.column(c).to_pylist() for c in (2, 3, 4, 5)))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def probe(batches):
         for b in batches:
             keep = []
             for x, y in zip(b.column(2), b.column(3)):
@@ -252,20 +280,55 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    met = pairs.join(sets.select(F.col("c").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("c").alias("a"), F.col("set").alias("x")), "a")
-    return met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    side = lambda name, mark, n: one.select(F.col("class").alias(name), F.col("mark").alias(mark), F.col("n").alias(n))
+    met = pairs.join(side("b", "y", "m"), "b").join(side("a", "x", "n"), "a").select("a", "b", "x", "y", "n", "m")
+    close = stage(met.mapInArrow(prune, "a long, b long"), "join-close")
+    if close.isEmpty():
+        return close
+    wanted = close.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(one.select("class", "doc_id"), "class").where("doc_id is not null")
+    sets = stage(class_sets(docs, stage(wanted, "join-wanted"), k), "join-sets")
+    met = close.join(sets.select(F.col("class").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("class").alias("a"), F.col("set").alias("x")), "a")
+    links = stage(met.select("a", "b", "x", "y").mapInArrow(probe, "a long, b long").distinct(), "join-links")
+    drop_stage(close, sets)
+    return links
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """c -> set: the sorted shingles of one document of each wanted class."""
+    """class -> set: the sorted shingles of one document of each wanted class."""
 
     def run(batches):
         for b in slices(batches, 1, TEXT_BYTES):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingles(b.column(1), k)], pa.binary())], ["c", "set"])
+            sets = shingles(b.column(1), k)
+            # of rows that share an id, those with other texts are not of this class
+            own = [set_code(s).astype(np.int64) == c for s, c in zip(sets, b.column(0).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["class", "set"]).filter(pa.array(own, pa.bool_()))
+
+    # an id may be the least of several classes where rows share ids
+    ids = wanted.groupBy("doc_id").agg(F.collect_set("class").alias("classes"))
+    rows = texts_of(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids)
+    return rows.select(F.explode("classes").alias("class"), "text").mapInArrow(run, "class long, set binary")
+
 
-    # wanted has one row for each class: a join on unique ids
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("shuffle_hash"), "doc_id")
-    return rows.select("c", "text").mapInArrow(run, "c long, set binary").dropDuplicates(["c"])
+#: Places of the members that the others of a list are compared with, tier by tier.
+TIERS = ((1, 1), (2, 16), (17, None))
+
+
+def tier_pairs(members: DataFrame, label: DataFrame | None, low: int, high: int | None, percent: int) -> DataFrame:
+    """Candidate pairs of a tier: members in other components than their list's first, with those at ``low`` to ``high``.
+
+    Over all tiers every pair of a list meets, unless links found before make both one component.
+    """
+    if label is None:
+        tagged = members.withColumn("label", F.col("c"))
+    else:
+        tagged = members.join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
+        first = tagged.where("place = 1").select("gid", F.col("label").alias("main"))
+        apart = tagged.groupBy("gid").agg((F.min("label") != F.max("label")).alias("apart")).where("apart").select("gid")
+        tagged = stage(tagged.join(apart, "gid").join(first, "gid"), "join-tagged")
+    rest = tagged if label is None else tagged.where("label <> main")
+    others = tagged.where(F.col("place").between(low, high) if high else F.col("place") >= low)
+    met = rest.alias("u").join(others.alias("v"), F.expr("u.gid = v.gid AND u.label <> v.label AND u.c <> v.c")).where(fits(percent))
+    return met.select(F.least("u.c", "v.c").alias("a"), F.greatest("u.c", "v.c").alias("b")).distinct()
 
 
 def ngram_jaccard(docs: DataFrame, *, k: int = K, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
@@ -278,29 +341,21 @@ def ngram_jaccard(docs: DataFrame, *, k: int = K, percent: int = PERCENT, freque
     members = stage(exploded(lists), "join-members")
     release(spark)
 
-    # the least members of the parts of one list, each compared with the least of all
-    heads = members.where("c = lead").groupBy("gid").agg(F.min_by(F.struct("c", "n"), "c").alias("h"), F.count(F.lit(1)).alias("parts"))
-    heads = heads.where("parts > 1").select("gid", F.col("h.c").alias("head"), F.col("h.n").alias("head_n"))
-    across = members.where("c = lead").join(heads, "gid").where((F.col("c") != F.col("head")) & fits("n", "head_n", percent)).select(F.col("head").alias("a"), F.col("c").alias("b"))
-    near = members.where((F.col("c") != F.col("lead")) & fits("n", "lead_n", percent)).select(F.col("lead").alias("a"), F.col("c").alias("b"))
-    tried = stage(near.unionByName(across).distinct(), "join-pairs")
-    in_lists = members.select("c").distinct()
-    one = known.where("doc_id is not null AND n_shingles > 0").groupBy(F.col("class").alias("c")).agg(F.min("doc_id").alias("doc_id"))
-    sets = stage(class_sets(docs, in_lists.join(one, "c"), k), "join-sets")
-    links = stage(verify(tried, sets, percent), "join-links")
-    label = components(links)
-
-    # members outside the component of their list's least member meet the rest of the list
-    tagged = members.join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
-    tagged = stage(tagged.select("gid", "c", "n", "label"), "join-tagged")
-    least = tagged.groupBy("gid").agg(F.min_by("label", "c").alias("main"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gid", "main")
-    mixed = stage(tagged.join(least, "gid"), "join-mixed")
-    rest = mixed.where("label <> main").alias("u").join(mixed.alias("v"), F.expr("u.gid = v.gid AND u.label <> v.label AND u.c <> v.c")).where(fits("u.n", "v.n", percent))
-    rest = rest.select(F.least("u.c", "v.c").alias("a"), F.greatest("u.c", "v.c").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = stage(verify(rest, sets, percent), "join-more")
-    drop_stage(lists, members, tagged, mixed, sets)
-    links = links.unionByName(more)
-    label = components(links)
+    # The member with the fewest words of its own before the list's shingle leads: what others were copied from.
+    place = F.row_number().over(Window.partitionBy("gid").orderBy(F.col("p") / F.col("n"), "c"))
+    members = stage(members.withColumn("place", place), "join-places")
+    links = tried = label = None
+    for low, high in TIERS:
+        pairs = tier_pairs(members, label, low, high, percent)
+        pairs = stage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "join-pairs")
+        if tried is not None and pairs.isEmpty():
+            continue
+        found = verify(docs, pairs, known, k, percent)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        if links is None or not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            label = components(links)
+    drop_stage(lists, members)
 
     degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
     # one row a class: what its documents share
@@ -312,6 +367,18 @@ def ngram_jaccard(docs: DataFrame, *, k: int = K, percent: int = PERCENT, freque
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "class", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of a component its smallest id, once.
+
+    Rows without an id stay, as nothing can name them.
+    """
+    found = ngram_jaccard(docs, **options).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("join_rows"))
+    kept = docs.join(found.hint("shuffle_hash"), "doc_id").select(*[docs[c] for c in docs.columns], "join_rows")
+    once = kept.where("join_rows = 1").drop("join_rows")
+    again = kept.where("join_rows > 1").drop("join_rows").dropDuplicates(["doc_id"])
+    return once.unionByName(again).unionByName(docs.where("doc_id is null"))
+
+
 def op1_ngram_jaccard_join(spark, sf_dir):
     return ngram_jaccard(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
