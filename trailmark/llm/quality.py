@@ -51,6 +51,9 @@ class WordCodes(dict):
         return code
 
 
+CODES = WordCodes()  # lives as long as its worker
+
+
 def features(words: list[str], codes: WordCodes) -> tuple[np.ndarray, np.ndarray]:
     """Indices and values of a text's features (indices may repeat; values add up)."""
     if not words:
@@ -115,7 +118,7 @@ def score_quality(docs: DataFrame, model: bytes, *, threshold: float = 0.7) -> D
     """doc_id, held_out, score, predicted of every row."""
 
     def run(batches):
-        weights, codes = np.frombuffer(model, np.float32).astype(np.float64), WordCodes()
+        weights, codes = np.frombuffer(model, np.float32).astype(np.float64), CODES
         for b in slices(batches, 2):
             scores = [score_text(x or "", weights, codes) for x in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
@@ -123,6 +126,18 @@ def score_quality(docs: DataFrame, model: bytes, *, threshold: float = 0.7) -> D
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(4, 2).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def keep_good(docs: DataFrame, model: bytes, *, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score ``threshold`` or more."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        weights = np.frombuffer(model, np.float32).astype(np.float64)
+        for b in slices(batches, at):
+            yield b.filter(pa.array([score_text(x or "", weights, CODES) >= threshold for x in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op8_quality_ftrl(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
