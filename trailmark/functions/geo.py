@@ -177,3 +177,28 @@ def quad_area(xs, ys) -> Column:
     xs, ys, n = col(xs), col(ys), F.size(col(xs))
     terms = F.transform(F.sequence(F.lit(1), n), lambda i: F.element_at(xs, i) * F.element_at(ys, i % n + 1) - F.element_at(xs, i % n + 1) * F.element_at(ys, i))
     return F.abs(F.aggregate(terms, F.lit(0.0), lambda a, b: a + b)) / 2
+
+
+def rotated_size(w, h, deg) -> Column:
+    """struct(w, h): the extent of an image turned by some degrees."""
+    c, s = F.abs(F.cos(F.radians(col(deg)))), F.abs(F.sin(F.radians(col(deg))))
+    return F.struct((col(w) * c + col(h) * s).alias("w"), (col(w) * s + col(h) * c).alias("h"))
+
+
+def turn_box(box: Column, size: Column, turned: Column, deg) -> Column:
+    """A box of fractions found again in the image turned by ``deg``: same spot, same size in pixels.
+
+    box: struct(x, y, w, h); size and turned: struct(w, h) of the two images.
+    """
+    c, s = F.cos(F.radians(col(deg))), F.sin(F.radians(col(deg)))
+    dx = (box["x"] + box["w"] / 2 - 0.5) * size["w"]
+    dy = (box["y"] + box["h"] / 2 - 0.5) * size["h"]
+    w, h = F.least(F.lit(1.0), box["w"] * size["w"] / turned["w"]), F.least(F.lit(1.0), box["h"] * size["h"] / turned["h"])
+    return fit_box((dx * c - dy * s) / turned["w"] + 0.5 - w / 2, (dx * s + dy * c) / turned["h"] + 0.5 - h / 2, w, h)
+
+
+def fit_box(x, y, w, h) -> Column:
+    """A box kept inside its image."""
+    bound = lambda v, low, high: F.greatest(low, F.least(high, v))
+    w, h = bound(col(w), F.lit(0.0), F.lit(1.0)), bound(col(h), F.lit(0.0), F.lit(1.0))
+    return F.struct(bound(col(x), F.lit(0.0), 1 - w).alias("x"), bound(col(y), F.lit(0.0), 1 - h).alias("y"), w.alias("w"), h.alias("h"))

@@ -354,3 +354,16 @@ def all_positions(df: DataFrame, text: str = "text") -> DataFrame:
     """One row a position: the best of each text (rank 0), then its alternatives."""
     rows = parse_positions(df, text).where("p.ok")
     return rows.select(*df.columns, F.posexplode(F.concat(F.array("p.best"), "p.alts")).alias("rank", "c")).select(*df.columns, "rank", "c.*")
+
+
+def preview_edits(edits: DataFrame) -> DataFrame:
+    """What an edit of one character gives: accepted, position and metres moved.
+
+    edits: id, text, at (1-based), char, lat, lon (the position before). An edit is
+    accepted if the text still reads as one position without alternatives.
+    """
+    from trailmark.functions.geo import haversine_m
+
+    rows = edits.withColumn("edited", F.overlay("text", "char", F.col("at"), F.lit(1))).withColumn("p", parse_position("edited"))
+    ok = F.col("p.ok") & (F.size("p.alts") == 0)
+    return rows.select("id", "edited", ok.alias("accepted"), F.when(ok, F.col("p.best.lat")).alias("lat"), F.when(ok, F.col("p.best.lon")).alias("lon"), F.when(ok, haversine_m("lat", "lon", "p.best.lat", "p.best.lon")).alias("moved"))

@@ -314,3 +314,24 @@ def import_tracks(current: DataFrame, incoming: DataFrame, on_conflict: str = "r
     same = F.coalesce("a.n", F.lit(0)) == 0
     same = same | (F.coalesce("a.name", F.lit("")) == F.coalesce("b.name", F.lit(""))) | (F.coalesce("b.name", F.lit("")) == "") | (F.coalesce("a.name", F.lit("")) == "")
     return rows.select("track", F.when(same, "merge").otherwise(on_conflict).alias("policy"))
+
+
+def point_altitudes(samples: DataFrame, altitudes: DataFrame) -> DataFrame:
+    """track, k, z of the vertices of sampled paths; altitudes: track, i, j, z by sample."""
+    rows = samples.where("k >= 0").join(altitudes, ["track", "i", "j"], "left")
+    return rows.select("track", "k", "z")
+
+
+def put_points(points: DataFrame, queries: DataFrame) -> DataFrame:
+    """``place_points`` with the 1-based rank that each point has in its track afterwards (one query a track)."""
+    placed = place_points(points, queries)
+    rest = points.join(placed.select("track", F.col("seq").alias("put_seq")), "track", "left").where("put_seq is null or seq <> put_seq")
+    before = rest.join(placed.select("track", "qid", F.col("t").alias("put_t"), F.col("seq").alias("own")), "track").where((F.col("t") < F.col("put_t")) | ((F.col("t") == F.col("put_t")) & (F.col("own").isNull() | (F.col("seq") < F.col("own")))))
+    rank = before.groupBy("qid").agg(F.count(F.lit(1)).alias("before"))
+    return placed.join(rank, "qid", "left").withColumn("rank", F.coalesce("before", F.lit(0)) + 1).drop("before")
+
+
+def resume_texts(points: DataFrame) -> DataFrame:
+    """track, text: how many points a stored track has and when its last was seen."""
+    out = points.groupBy("track").agg(F.count(F.lit(1)).alias("n"), F.max("t").alias("last"))
+    return out.select("track", F.concat(F.col("n").cast("string"), F.lit(" point"), F.when(F.col("n") > 1, "s").otherwise(""), F.lit(", "), T.when_text("last")).alias("text"))

@@ -200,3 +200,38 @@ def _(spark, sf):
 
     n = F.col("n_nationkey")
     return V.read(spark, sf, "nation").select(n.alias("id"), widen_box(n / 50.0, n / 60.0, F.lit(0.2), F.lit(0.1)).alias("b")).select("id", "b.*")
+
+
+@query("digit_edits")
+def _(spark, sf):
+    from trailmark.operators.parse import preview_edits
+
+    t = V.texts(spark, sf).where("shape = 0")
+    return preview_edits(t.select("id", "text", F.lit(9).alias("at"), (F.col("id") % 10).cast("string").alias("char"), F.lit(45.0).alias("lat"), F.lit(6.0).alias("lon")))
+
+
+@query("box_turn")
+def _(spark, sf):
+    from trailmark.functions.geo import rotated_size, turn_box
+
+    n = F.col("n_nationkey")
+    box = F.struct((n / 50.0).alias("x"), (n / 60.0).alias("y"), F.lit(0.2).alias("w"), F.lit(0.1).alias("h"))
+    size = F.struct(F.lit(640.0).alias("w"), F.lit(480.0).alias("h"))
+    return V.read(spark, sf, "nation").select(n.alias("id"), turn_box(box, size, rotated_size(F.lit(640.0), F.lit(480.0), n * 3.0), n * 3.0).alias("b")).select("id", "b.*")
+
+
+@query("put_point_rank")
+def _(spark, sf):
+    from trailmark.operators.track import put_points
+    from trailmark.plans.track_queries import keyed
+
+    points, q = keyed(spark, sf)
+    first = q.groupBy("track").agg(F.min_by(F.struct("qid", "t", "lat", "lon", "key", "dated"), "qid").alias("q")).select("track", "q.*")
+    return put_points(points, first).select("qid", "track", "how", "rank")
+
+
+@query("resume_texts")
+def _(spark, sf):
+    from trailmark.operators.track import resume_texts
+
+    return resume_texts(V.sightings(spark, sf))
