@@ -40,4 +40,5 @@ def fit(rows: DataFrame, train: Callable[[list[str], list[int]], bytes]) -> byte
         got = got.sort_values(["doc_id", "label", "text"], kind="stable")
         yield pd.DataFrame({"model": [train([x if isinstance(x, str) else "" for x in got.text], [int(x) for x in got.label])]})
 
-    return bytes(rows.coalesce(1).mapInPandas(run, "model binary").collect()[0].model)
+    found = rows.coalesce(1).mapInPandas(run, "model binary").collect()
+    return bytes(found[0].model) if found else train([], [])
