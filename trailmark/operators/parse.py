@@ -24,7 +24,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from trailmark import constants as C
 
 A = re.ASCII
-# Look-alikes of the unit symbols, keywords without meaning, names of hemispheres.
+# Fixed values that decide results: look-alikes of the unit symbols, keywords without meaning, names of
+# hemispheres, and the patterns of repairs (in order), tokens and UTM texts.
 APOSTROPHES, QUOTES, DEGREES = "′’‘´`ʹʼ", "″“”ʺ", "º˚ᵒ⁰°"
 SKIPPED = frozenset("lat latitude lon lng long longitude position pos gps coord coordonnée coordonnee coordonnées coordonnees wgs wgs84 point".split())
 HEMISPHERES = {"nord": "N", "north": "N", "sud": "S", "south": "S", "est": "E", "east": "E", "ouest": "W", "west": "W", "n": "N", "s": "S", "e": "E", "w": "W", "o": "O"}
