@@ -47,7 +47,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 class PieceIds(dict):
     """pre-token -> its ids as little-endian bytes."""
 
-    MOST = 900_000
+    MOST = 400_000
 
     def __init__(self, vocabulary: str):
         import json

@@ -39,7 +39,7 @@ K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.ui
 class WordCodes(dict):
     """word -> 32 bits of its letters and 16 bits of its shape, kept for words seen often."""
 
-    MOST = 300_000
+    MOST = 150_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.MOST:

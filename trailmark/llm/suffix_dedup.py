@@ -43,7 +43,7 @@ from trailmark.llm.shared import release, stage, table, texts_of
 from trailmark.llm.telephony import slices
 
 LEAST = 50
-TEXT_BYTES, EMIT_BYTES, BUCKET_BYTES = 700_000, 16 << 20, 48 << 20
+TEXT_BYTES, EMIT_BYTES, BUCKET_BYTES = 700_000, 8 << 20, 16 << 20
 GROUPS = 1 << 15
 ENTRY = np.dtype([("key", "<u8"), ("doc", "<i8"), ("fp", "<u4")])
 REPLY = np.dtype([("doc", "<i8"), ("code", "<u8"), ("kind", "u1")])
