@@ -28,8 +28,9 @@ one common entry makes a candidate.
 
 Defined results: words and shingles as in ``hashing.shingles`` (fewer than k
 words are one shingle); null, empty and blank texts have no shingles and no
-links; null ids form a component of their own rows only if their texts link
-(the smallest known id names a component, null where there is none); repeated
+links; rows without an id are grouped with equal texts only, and share the
+component of a known id that has the same set (null where there is none);
+repeated
 rows are in one component; an empty table gives an empty result; extra columns
 are not read.
 """
@@ -258,9 +259,11 @@ def fits(percent: int):
     return F.expr(f"least(u.n - u.p, v.n - v.p) * {100 + percent} >= (u.n + v.n) * {percent}")
 
 
-def verify(docs: DataFrame, pairs: DataFrame, known: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links among candidate pairs (a, b): marks rule most others out, binary probes decide."""
-    one = known.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("mark").alias("mark"), F.first("n_shingles").alias("n"))
+def verify(docs: DataFrame, pairs: DataFrame, one: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links among candidate pairs (a, b): marks rule most others out, binary probes decide.
+
+    one: class, doc_id, mark and n of every class.
+    """
 
     def prune(batches):
         for b in batches:
@@ -344,13 +347,15 @@ def ngram_jaccard(docs: DataFrame, *, k: int = K, percent: int = PERCENT, freque
     # The member with the fewest words of its own before the list's shingle leads: what others were copied from.
     place = F.row_number().over(Window.partitionBy("gid").orderBy(F.col("p") / F.col("n"), "c"))
     members = stage(members.withColumn("place", place), "join-places")
+    one = known.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("mark").alias("mark"), F.first("n_shingles").alias("n"))
+    one = stage(one, "join-one")
     links = tried = label = None
     for low, high in TIERS:
         pairs = tier_pairs(members, label, low, high, percent)
         pairs = stage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "join-pairs")
         if tried is not None and pairs.isEmpty():
             continue
-        found = verify(docs, pairs, known, k, percent)
+        found = verify(docs, pairs, one, k, percent)
         tried = pairs if tried is None else tried.unionByName(pairs)
         if links is None or not found.isEmpty():
             links = found if links is None else links.unionByName(found)
@@ -359,7 +364,7 @@ def ngram_jaccard(docs: DataFrame, *, k: int = K, percent: int = PERCENT, freque
 
     degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
     # one row a class: what its documents share
-    of = known.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least")).join(label.select(F.col("node").alias("class"), "label"), "class", "left")
+    of = one.select("class", F.col("doc_id").alias("least")).join(label.select(F.col("node").alias("class"), "label"), "class", "left")
     of = of.withColumn("label", F.coalesce("label", "class"))
     of = of.join(of.groupBy("label").agg(F.min("least").alias("component_id")), "label").join(degree, "class", "left")
     of = stage(of.select("class", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "join-labels")
