@@ -1,9 +1,11 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from trailmark.llm import suffix_dedup as S
+from trailmark.llm.hashing import U
 
 SCHEMA = "doc_id long, text string, n_chars long, repeated string"
 
@@ -55,6 +57,22 @@ def test_equals_brute_force(spark, least):
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == brute(rows, least)
 
 
+def test_blocks_that_agree_in_half_their_code_stay(spark):
+    """Two texts round one anchor whose block codes have the same upper 32 bits."""
+    n, size = 250_000, 75
+    buffer = np.random.default_rng(1).integers(97, 123, (n, size), np.uint8)
+    low = np.argmin(S.window_ranks(S.prefix_sums(buffer.ravel()[: 25 * n]), 25))
+    buffer[:, 25:50] = buffer.ravel()[low : low + 25].copy()  # the anchor of all its windows
+    first, last, doc, key, code, _ = S.blocks_of(buffer.ravel(), np.arange(n + 1) * size, 50)
+    order = np.lexsort((code, key))
+    key, code, doc = key[order], code[order], doc[order]
+    near = np.flatnonzero((key[1:] == key[:-1]) & (code[1:] != code[:-1]) & (code[1:] >> U(32) == code[:-1] >> U(32)))
+    assert len(near)
+    rows = [(j, buffer[d].tobytes().decode()) for j, d in enumerate(x for i in near.tolist() for x in doc[i : i + 2].tolist())]
+    got = S.repeated_substrings(frame(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == brute(rows)
+
+
 def test_texts_lose_their_repeats(spark):
     rows = [(1, "é" * 60 + "one"), (2, "two" + "é" * 60), (3, "é" * 60 + "one"), (4, "short"), (5, "short")]
     kept = {r.doc_id: r for r in S.remove_repeats(frame(spark, rows)).collect()}

@@ -45,7 +45,7 @@ from trailmark.llm.telephony import slices
 LEAST = 50
 TEXT_BYTES, EMIT_BYTES, BUCKET_BYTES = 700_000, 8 << 20, 16 << 20
 GROUPS = 1 << 15
-ENTRY = np.dtype([("key", "<u8"), ("doc", "<i8"), ("fp", "<u4")])
+ENTRY = np.dtype([("key", "<u8"), ("doc", "<i8"), ("fp", "<u8")])
 REPLY = np.dtype([("doc", "<i8"), ("code", "<u8"), ("kind", "u1")])
 EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -97,7 +97,7 @@ def blocks_of(data: np.ndarray, at: np.ndarray, least: int):
 
 
 def block_code(key: np.ndarray, fp: np.ndarray) -> np.ndarray:
-    return mix(key ^ mix(fp.astype(U) + salt(7)))
+    return mix(key ^ mix(fp + salt(7)))
 
 
 def pair_ranks(ranks: np.ndarray, start: np.ndarray, least: int) -> np.ndarray:
@@ -126,7 +126,7 @@ def anchors(texts: DataFrame, buckets: int, least: int) -> DataFrame:
             data, at = text_bytes(b.column(1))
             _, _, doc, key, code, _ = blocks_of(data, at, least)
             rows = np.empty(len(key), ENTRY)
-            rows["key"], rows["doc"], rows["fp"] = key, b.column(0).to_numpy()[doc] if len(doc) else 0, code >> U(32)
+            rows["key"], rows["doc"], rows["fp"] = key, b.column(0).to_numpy()[doc] if len(doc) else 0, code
             # a text that repeats itself has few distinct blocks
             order = np.lexsort((rows["fp"], rows["key"], rows["doc"]))
             rows = rows[order]
@@ -167,8 +167,8 @@ def unpack_entries(blobs: np.ndarray) -> np.ndarray:
         at += 8 + 8 * m
         rows["doc"] = docs[np.frombuffer(data, "<u4", n, at)]
         rows["key"] = np.frombuffer(data, "<u8", n, at + 4 * n)
-        rows["fp"] = np.frombuffer(data, "<u4", n, at + 12 * n)
-        at += 16 * n
+        rows["fp"] = np.frombuffer(data, "<u8", n, at + 12 * n)
+        at += 20 * n
         out.append(rows)
     return np.concatenate(out) if out else np.zeros(0, ENTRY)
 
@@ -237,7 +237,7 @@ def double_ranks(docs: DataFrame, found: DataFrame, buckets: int, least: int) ->
         for b in slices(batches, 1, TEXT_BYTES):
             data, at = text_bytes(b.column(1))
             first, last, doc, key, code, ranks = blocks_of(data, at, least)
-            codes = block_code(key, code >> U(32))
+            codes = block_code(key, code)
             pick = np.zeros(len(codes), bool)
             for i in range(b.num_rows):
                 mine = slice(*np.searchsorted(doc, [i, i + 1]))
@@ -268,7 +268,7 @@ def double_ranks(docs: DataFrame, found: DataFrame, buckets: int, least: int) ->
 def removed_spans(data: np.ndarray, at: np.ndarray, repeated: list, pairs: list, least: int) -> list[np.ndarray]:
     """For each text of a buffer its maximal removed runs, as rows of [start, end)."""
     first, last, doc, key, code, ranks = blocks_of(data, at, least)
-    codes = block_code(key, code >> U(32))
+    codes = block_code(key, code)
     out = []
     for i in range(len(at) - 1):
         mine = slice(*np.searchsorted(doc, [i, i + 1]))
@@ -306,8 +306,8 @@ def find_repeats(docs: DataFrame, *, least: int = LEAST) -> tuple[DataFrame, Dat
     first = known.where(F.col("doc_id").isNotNull() & (F.col("n_bytes") >= least)).groupBy("text_sha").agg(F.min("doc_id").alias("least_id"), F.min("n_bytes").alias("n"), F.count(F.lit(1)).alias("copies"))
     first = stage(first, "dedup-first")
     total = first.agg(F.sum("n")).collect()[0][0] or 0
-    # a thirteenth of all positions, 20 bytes each
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * 20 / 13 / BUCKET_BYTES) + 1)
+    # a thirteenth of all positions, 24 bytes each
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * 24 / 13 / BUCKET_BYTES) + 1)
 
     # Copies in the largest groups of equal texts stay out; those in others only cost their own entries.
     groups = first.where("copies > 1").orderBy(F.desc("copies"), "text_sha").limit(GROUPS).select("text_sha", "least_id")
