@@ -21,6 +21,19 @@ def test_blocks(text, want):
     assert [x[0] for x in W.article(text)[0]] == want
 
 
+PARTS = [
+    ("<nav>n</nav><div><article><p>one</p></article><h2>Two</h2><article><p>two</p></article></div><p>out</p>", ["one", "Two", "two"]),
+    ("<main><h1>Story</h1><p>A long story</p></main><article>teaser</article>", ["Story", "A long story", "teaser"]),
+    ("<main><h1>Story</h1><p>A long story</p><article>teaser</article></main><p>out</p>", ["Story", "A long story", "teaser"]),
+    ("<div>A long story in a plain box</div><article>teaser</article><nav>n</nav>", ["A long story in a plain box", "teaser"]),
+]
+
+
+@pytest.mark.parametrize("text,want", PARTS)
+def test_all_parts_of_an_article_are_kept(text, want):
+    assert [x[0] for x in W.article(text)[0]] == want
+
+
 def test_tree_match_pairs_most_nodes():
     a = ["body", [], [["nav", [], []], ["div", [], [["p", [], []]]], ["p", [], []]]]
     b = ["body", [], [["div", [], [["p", [], []], ["ul", [], []]]], ["p", [], []], ["footer", [], []]]]

@@ -240,24 +240,31 @@ def prototype(packed: bytes) -> tuple[list, dict[int, int]]:
 
 
 def article(text: str) -> tuple[list[list], Node]:
-    """The article's blocks as [line, holder], and the root of the tree."""
+    """The article's blocks as [line, holder], and the root of the tree.
+
+    The article is the smallest node that holds all text of article and main
+    elements; a page with more text outside of them is kept whole.
+    """
     root, blocks = parse(text)
-    size: dict[Node, int] = {}
-    for line, holder, _ in blocks:
-        if holder.apart:
-            continue
-        up = holder
-        while up is not None:
-            if up.tag in ("article", "main"):
-                size[up] = size.get(up, 0) + len(line)
-            up = up.parent
     kept = [[line, holder] for line, holder, links in blocks if not holder.apart and (holder.inside or 2 * links <= len(line))]
-    for tag in ("article", "main"):
-        found = [x for x in size if x.tag == tag]
-        if found:
-            top = max(found, key=lambda x: size[x])
-            kept = [x for x in kept if any(up is top for up in [*chain(x[1], top), *([top] if is_below(x[1], top) else [])])]
-            break
+    tops: list[Node] = []
+    inside = outside = 0
+    for line, holder in kept:
+        if not holder.inside:
+            outside += len(line)
+            continue
+        inside += len(line)
+        top = up = holder
+        while up is not None and up.inside:
+            top, up = up, up.parent
+        if top not in tops[-1:]:
+            tops.append(top)
+    if tops and inside >= outside:
+        whole = tops[0]
+        for top in tops[1:]:  # the smallest node that holds all parts
+            while not is_below(top, whole):
+                whole = whole.parent
+        kept = [x for x in kept if is_below(x[1], whole)]
     return kept, root
 
 
