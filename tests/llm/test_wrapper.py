@@ -54,6 +54,13 @@ def test_constant_lines_of_a_host_are_template(spark):
     assert W.extract(df).count() == len(rows) and W.extract(df.where("false")).collect() == []
 
 
+def test_template_of_mixed_layouts_and_an_empty_first_page(spark):
+    other = lambda i: f"<body><div class='story'><h2>Head {i}</h2><p>Read more news here</p><p>Text {i}</p></div></body>"
+    rows = [(0, "http://h.example.org/", None), (1, "http://h.example.org/1", "<h1>404</h1>")] + [(i, f"http://h.example.org/{i}", page(i) if i % 2 else other(i)) for i in range(2, 22)]
+    got = {r.page_id: r.text for r in W.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == "" and got[1] == "404" and got[3] == "Title 3\nBody 3" and got[4] == "Head 4\nText 4"
+
+
 def test_copies_of_one_page_are_not_template(spark):
     rows = [(i, f"http://h.example.org/{i}", page(0)) for i in range(20)]
     got = {r.text for r in W.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}

@@ -1,34 +1,30 @@
 """HTML main-text extraction by wrapper induction.
 
-The pages of a host are aligned with its prototype (its page with the smallest
-id) by simple tree matching: two nodes match if their tag and class agree, and
-their children are matched in order so that as many nodes as possible pair up.
-Runs of like leaves (paragraphs, list items) are one slot of the wrapper. A text
-that stands in the same slot on nearly all different pages of a host is template;
-varying slots are content. Of the content, the article is kept: menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
-are known by their elements, roles and class words.
-
-A prototype is sent as a skeleton of tags and text fingerprints, one a host;
-Spark broadcasts the table of skeletons only while it is under its size limit
-and otherwise joins by host, splitting hosts that hold many pages. Template
-counts are combined before they are shuffled, so a host with a third of all
+Element and class rules choose the article: menus, headers, footers, sidebars,
+notices, adverts, forms, scripts, styles and reader comments are known by their
+elements, roles and class words. What is left is held against all other pages
+of the host. A slot of the wrapper is the chain of elements and classes from the
+root down, as simple tree matching pairs nodes only below pairs of like label;
+a text that stands in one slot on nearly all different pages that have this slot
+is template, whatever layouts the host mixes; varying slots are content. No page
+is the prototype, so null, empty and odd pages spoil nothing. ``tree_match``
+compares two pages node by node and is not part of the query.
+
+Counts are combined before they are shuffled, so a host with a third of all
 pages costs its distinct lines.
 
 Defined results: null, empty and text-only html give the text there is (empty if
 none); a null or odd url has the empty host; repeated rows are extracted each
-and count once for the template; ties for the prototype go to the least html;
+and count once for the template;
 an empty table gives an empty result; extra columns are not read; unclosed tags,
 comments and references at the end of cut pages are dropped or kept as HTML does.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as htmllib
-import json
 import re
-import zlib
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -56,13 +52,11 @@ BLANK = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "label", "apart", "children", "parent", "number", "texts", "inside")
+    __slots__ = ("tag", "label", "apart", "children", "parent", "inside")
 
     def __init__(self, tag: str, label: str, apart: bool, parent: Node | None):
         self.tag, self.label, self.apart, self.parent = tag, label, apart, parent
         self.children: list[Node] = []
-        self.texts: list[int] = []
-        self.number = -1
         self.inside = tag in ("article", "main") or (parent is not None and parent.inside)
 
 
@@ -173,41 +167,6 @@ def chain(low: Node, high: Node):
         low = low.parent
 
 
-def skeleton(root: Node, blocks: list[list]) -> list:
-    """[label, text fingerprints, children]: runs of like leaves are one slot."""
-    for line, holder, _ in blocks:
-        holder.texts.append(zlib.crc32(line.encode()))
-
-    def walk(node: Node) -> list:
-        out: list[list] = []
-        slots = []
-        for c in node.children:
-            if c.tag in INLINE:
-                continue
-            s = walk(c)
-            if out and not s[2] and not out[-1][2] and out[-1][0] == s[0]:
-                out[-1][1].extend(s[1])
-                slots.append((c, out[-1]))
-            else:
-                out.append(s)
-                slots.append((c, s))
-        made = [node.label, list(node.texts), out]
-        node.texts = slots  # kept for numbering: each child with its slot
-        return made
-
-    return walk(root)
-
-
-def numbered(tree: list) -> dict[int, int]:
-    """Preorder numbers of a skeleton's slots, by identity."""
-    out, todo = {}, [tree]
-    while todo:
-        s = todo.pop()
-        out[id(s)] = len(out)
-        todo.extend(reversed(s[2]))
-    return out
-
-
 def tree_match(a: list, b: list) -> tuple[int, list[tuple[list, list]]]:
     """Simple tree matching: the most node pairs, and these pairs."""
     if a[0] != b[0]:
@@ -233,12 +192,6 @@ def tree_match(a: list, b: list) -> tuple[int, list[tuple[list, list]]]:
     return 1 + best[m][n], pairs
 
 
-@lru_cache(maxsize=256)
-def prototype(packed: bytes) -> tuple[list, dict[int, int]]:
-    tree = json.loads(zlib.decompress(packed))
-    return tree, numbered(tree)
-
-
 def article(text: str) -> tuple[list[list], Node]:
     """The article's blocks as [line, holder], and the root of the tree.
 
@@ -278,70 +231,48 @@ def host_of(column: str = "url"):
     return F.lower(F.regexp_extract(F.coalesce(column, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-BLOCKS = "page_id long, url string, host string, page_code long, blocks array<struct<text:string,slot:int,code:bigint,same:boolean>>"
-BLOCK = pa.list_(pa.struct([("text", pa.string()), ("slot", pa.int32()), ("code", pa.int64()), ("same", pa.bool_())]))
-
-
-def aligned(text: str, packed: bytes | None) -> list[dict]:
-    """The article's blocks with their slots in the host's wrapper."""
-    kept, root = article(text)
-    blocks = [[line, holder, 0] for line, holder in kept]
-    mine = skeleton(root, blocks)
-    slot_of: dict[int, tuple[int, list]] = {}
-    if packed is not None:
-        tree, number = prototype(packed)
-        for a, b in tree_match(mine, tree)[1]:
-            slot_of[id(a)] = (number[id(b)], b[1])
-    place: dict[int, list] = {id(root): mine}
-    todo = [root]
-    while todo:
-        node = todo.pop()
-        for child, slot in node.texts:
-            place[id(child)] = slot
-            todo.append(child)
-    out = []
-    for line, holder in kept:
-        code = zlib.crc32(line.encode())
-        slot, texts = slot_of.get(id(place.get(id(holder))), (-1, []))
-        out.append({"text": line, "slot": slot, "code": code, "same": code in texts})
-    return out
+BLOCKS = "page_id long, url string, host string, page_code long, blocks array<struct<text:string,slot:bigint,code:bigint>>"
+BLOCK = pa.list_(pa.struct([("text", pa.string()), ("slot", pa.int64()), ("code", pa.int64())]))
 
 
-def induce(pages: DataFrame) -> DataFrame:
-    """host -> skeleton of its prototype page."""
-    first = pages.groupBy("host").agg(F.min("page_id").alias("page_id"))
-    chosen = pages.join(first, ["host", "page_id"]).groupBy("host").agg(F.min("html").alias("html"))
+def code_of(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
-    def run(batches):
-        for b in batches:
-            made = []
-            for text in b.column(1).to_pylist():
-                kept, root = article(text or "")
-                made.append(zlib.compress(json.dumps(skeleton(root, [[x, y, 0] for x, y in kept]), separators=(",", ":")).encode()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], ["host", "skeleton"])
 
-    return chosen.mapInArrow(run, "host string, skeleton binary")
+def aligned(text: str) -> list[dict]:
+    """The article's blocks with their slots: the labels of all elements from the root down."""
+    slot_of: dict[Node, int] = {}
+    out = []
+    for line, holder in article(text)[0]:
+        if holder not in slot_of:
+            labels, up = [], holder
+            while up is not None:
+                labels.append(up.label)
+                up = up.parent
+            slot_of[holder] = code_of("\n".join(labels))
+        out.append({"text": line, "slot": slot_of[holder], "code": code_of(line)})
+    return out
 
 
 def extract(pages: DataFrame, *, share: float = 0.9, least: int = 5) -> DataFrame:
     """page_id, url, text, n_chars of every page.
 
     A line is template if it stands in one slot on ``share`` of a host's different
-    pages, of which there are ``least`` or more.
+    pages that have the slot, of which there are ``least`` or more.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), host_of().alias("host"))
-    wrappers = stage(induce(pages), "html-wrappers")
 
     def run(batches):
         for b in slices(batches, 2):
-            rows = [aligned(text, packed) for text, packed in zip(b.column(2).to_pylist(), b.column(4).to_pylist())]
-            code = [zlib.crc32("\n".join(x["text"] for x in r).encode()) for r in rows]
+            rows = [aligned(text) for text in b.column(2).to_pylist()]
+            code = [code_of("\n".join(x["text"] for x in r)) for r in rows]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(code, pa.int64()), pa.array(rows, BLOCK)], ["page_id", "url", "host", "page_code", "blocks"])
 
-    rows = stage(pages.join(wrappers, "host", "left").select("page_id", "url", "html", "host", "skeleton").mapInArrow(run, BLOCKS), "html-blocks")
-    different = rows.groupBy("host").agg(F.count_distinct("page_code").alias("pages")).where(F.col("pages") >= least)
-    lines = rows.select("host", "page_code", F.explode(F.filter("blocks", lambda x: x["same"])).alias("x")).select("host", "page_code", "x.slot", "x.code").distinct()
-    lines = lines.groupBy("host", "slot", "code").agg(F.count(F.lit(1)).alias("n")).join(different, "host").where(F.col("n") >= share * F.col("pages"))
+    rows = stage(pages.select("page_id", "url", "html", "host").mapInArrow(run, BLOCKS), "html-blocks")
+    lines = rows.select("host", "page_code", F.explode("blocks").alias("x")).select("host", "page_code", "x.slot", "x.code").distinct()
+    different = lines.select("host", "slot", "page_code").distinct().groupBy("host", "slot").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= least)
+    lines = lines.groupBy("host", "slot", "code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= share * least)
+    lines = lines.join(different, ["host", "slot"]).where(F.col("n") >= share * F.col("pages"))
     template = stage(lines.groupBy("host").agg(F.collect_set(F.struct("slot", "code")).alias("template")), "html-template")
     out = rows.join(template, "host", "left")
     kept = F.when(F.col("template").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda x: ~F.array_contains(F.col("template"), F.struct(x["slot"].alias("slot"), x["code"].alias("code")))))
