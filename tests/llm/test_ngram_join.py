@@ -58,6 +58,19 @@ def test_components_equal_brute_force(spark):
     assert got == brute(rows)
 
 
+def test_counted_links_equal_brute_force(spark):
+    rows = corpus()[90:]
+    sets = [frozenset(shingle_set(t)) for _, t in rows]
+    different = set(sets)
+    want = [sum(x != y and 100 * len(x & y) >= 80 * len(x | y) for y in different) if x else 0 for x in sets]
+    assert max(want) > 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = N.ngram_jaccard(docs, count_links=True).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)
+    assert sorted(((r.doc_id, r.n_links) for r in got), key=str) == sorted(((d, n) for (d, _), n in zip(rows, want)), key=str)
+    assert "n_links" not in N.ngram_jaccard(docs).columns
+
+
 def test_without_a_frequency_table_the_result_is_the_same(spark):
     rows = corpus()[100:260]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)

@@ -334,8 +334,13 @@ def tier_pairs(members: DataFrame, label: DataFrame | None, low: int, high: int
     return met.select(F.least("u.c", "v.c").alias("a"), F.greatest("u.c", "v.c").alias("b")).distinct()
 
 
-def ngram_jaccard(docs: DataFrame, *, k: int = K, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, class, n_links (links between classes) of every row."""
+def ngram_jaccard(docs: DataFrame, *, k: int = K, percent: int = PERCENT, frequent: int = FREQUENT, count_links: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id and class of every row.
+
+    Components need only the links that connect them. With ``count_links`` every
+    pair of a list is tried, at the cost of the square of a group's classes, and
+    n_links is the number of other classes that a row's class is linked with.
+    """
     spark = docs.sparkSession
     known = stage(classes(docs, k), "join-classes")
     buckets = buckets_of(known)
@@ -350,7 +355,7 @@ def ngram_jaccard(docs: DataFrame, *, k: int = K, percent: int = PERCENT, freque
     one = known.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("mark").alias("mark"), F.first("n_shingles").alias("n"))
     one = stage(one, "join-one")
     links = tried = label = None
-    for low, high in TIERS:
+    for low, high in ((1, None),) if count_links else TIERS:
         pairs = tier_pairs(members, label, low, high, percent)
         pairs = stage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "join-pairs")
         if tried is not None and pairs.isEmpty():
@@ -362,14 +367,17 @@ def ngram_jaccard(docs: DataFrame, *, k: int = K, percent: int = PERCENT, freque
             label = components(links)
     drop_stage(lists, members)
 
-    degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
     # one row a class: what its documents share
     of = one.select("class", F.col("doc_id").alias("least")).join(label.select(F.col("node").alias("class"), "label"), "class", "left")
     of = of.withColumn("label", F.coalesce("label", "class"))
-    of = of.join(of.groupBy("label").agg(F.min("least").alias("component_id")), "label").join(degree, "class", "left")
-    of = stage(of.select("class", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "join-labels")
+    of = of.join(of.groupBy("label").agg(F.min("least").alias("component_id")), "label")
+    counted = []
+    if count_links:
+        degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
+        of, counted = of.join(degree, "class", "left"), [F.coalesce("n_links", F.lit(0)).alias("n_links")]
+    of = stage(of.select("class", "component_id", *counted), "join-labels")
     out = known.select("doc_id", "n_shingles", "class").join(of, "class", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "class", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "class", *counted)
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
