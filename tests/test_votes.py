@@ -61,6 +61,33 @@ def test_pins_and_places(spark):
     assert groups == {1: [[0], [1, 2]], 2: [[0, 2], [1]]}
 
 
+def test_pin_folds_equal_the_plain_rule():
+    import math
+    import random
+
+    rng = random.Random(3)
+    xs = [{"i": i, "x": rng.uniform(-300, 300), "y": rng.uniform(-300, 300)} for i in range(900)] + [{"i": 900, "x": None, "y": 0.0}, {"i": 901, "x": math.nan, "y": 0.0}, {"i": 902, "x": 0.0, "y": 0.0}]
+    want = []
+    for p in xs:
+        near = [g for g in want if None not in (g[0]["x"], p["x"]) and math.hypot(g[0]["x"] - p["x"], g[0]["y"] - p["y"]) < 34]
+        near[0].append(p) if near else want.append([p])
+    assert S.pin_fold(xs, 34) == [[p["i"] for p in g] for g in want]
+    assert S.profile_fold([{"i": i, "x": x} for i, x in enumerate([0.0, 5.0, 12.0, None, 13.0, 14.0])], 10) == [[0, 1], [2], [3], [4, 5]]
+
+
+def test_pin_and_edit_queries_read_all_rows(spark):
+    from tests.compare import DATA
+    from trailmark.plans import registry
+
+    n = spark.read.parquet(f"{DATA}/events.parquet").count()
+    run = lambda name: registry.QUERIES[name](spark, DATA)
+    assert run("digit_edits").count() == n
+    for name in ("pin_groups", "profile_pin_groups"):
+        found = [(r.track, i) for r in run(name).collect() for i in r.ids]
+        assert len(found) == len(set(found)) == n
+    assert run("pin_labels").count() == run("pin_groups").count()
+
+
 def test_radius_join_equals_brute_force_everywhere(spark):
     from trailmark.operators.parse import distance_m
 

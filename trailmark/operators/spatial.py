@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from trailmark import constants as C
 from trailmark.functions import text as T
@@ -111,37 +113,74 @@ def first_answer(points: DataFrame, *sources: tuple[DataFrame, str]) -> DataFram
     return out.withColumn("answer", F.coalesce(*names)).drop(*names)
 
 
+def pin_fold(xs: list[dict], least: float) -> list[list[int]]:
+    """Groups of ordered pins. Seeds lie apart, so a square of side ``least`` holds few and nine squares are looked at."""
+    groups: list[list[int]] = []
+    squares: dict[tuple[int, int], list[tuple[int, float, float]]] = {}
+    for p in xs:
+        i, x, y = p["i"], p["x"], p["y"]
+        known = least > 0 and x is not None and y is not None and math.isfinite(x / least) and math.isfinite(y / least)
+        found = None
+        if known:
+            u, v = math.floor(x / least), math.floor(y / least)
+            for near in ((u + du, v + dv) for du in (-1, 0, 1) for dv in (-1, 0, 1)):
+                for g, a, b in squares.get(near, ()):
+                    if (found is None or g < found) and math.hypot(a - x, b - y) < least:
+                        found = g
+        if found is not None:
+            groups[found].append(i)
+        else:
+            if known:
+                squares.setdefault((u, v), []).append((len(groups), x, y))
+            groups.append([i])
+    return groups
+
+
+def profile_fold(xs: list[dict], least: float) -> list[list[int]]:
+    groups: list[list[int]] = []
+    seed = None
+    for p in xs:
+        if seed is not None and p["x"] is not None and p["x"] - seed < least:
+            groups[-1].append(p["i"])
+        else:
+            seed = p["x"]
+            groups.append([p["i"]])
+    return groups
+
+
+def folded(rows: DataFrame, keys: tuple[str, ...], fold, least: float) -> DataFrame:
+    """keys, grp, ids from keys and xs, the ordered pins of a view."""
+
+    def run(batches):
+        for b in batches:
+            owner, number, ids = [], [], []
+            for at in range(b.num_rows):
+                groups = fold(b.column(len(keys))[at].as_py(), least)
+                owner += [at] * len(groups)
+                number += range(len(groups))
+                ids += groups
+            columns = [b.column(k).take(pa.array(owner, pa.int64())) for k in range(len(keys))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(number, pa.int32()), pa.array(ids, pa.list_(pa.int32()))], [*keys, "grp", "ids"])
+
+    rows = rows.select(*keys, "xs")
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[: len(keys)], StructField("grp", IntegerType()), StructField("ids", ArrayType(IntegerType()))]))
+
+
 def pin_groups(pins: DataFrame, least: float = C.PIN_PX, keys: tuple[str, ...] = ("track",)) -> DataFrame:
     """Greedy groups of overlapping pins: a pin joins the first group whose seed is under ``least`` away.
 
-    pins: keys, i (0-based order), x, y. The fold is ordered, one array a view.
+    pins: keys, i (0-based order), x, y. The fold is ordered, one array a view, and linear in the pins.
     """
-    item = F.struct("i", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    item = F.struct(F.col("i").cast("int").alias("i"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     rows = pins.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("xs"))
-
-    def step(groups, p):
-        at = F.coalesce(F.array_position(F.transform(groups, lambda g: F.hypot(g["x"] - p["x"], g["y"] - p["y"]) < least), True), F.lit(0))
-        new = F.struct(p["x"].alias("x"), p["y"].alias("y"), F.array(p["i"].cast("int")).alias("ids"))
-        grown = F.transform(groups, lambda g, j: F.struct(g["x"].alias("x"), g["y"].alias("y"), F.when(j + 1 == at, F.concat(g["ids"], F.array(p["i"].cast("int")))).otherwise(g["ids"]).alias("ids")))
-        return F.when(at == 0, F.concat(groups, F.array(new))).otherwise(grown)
-
-    folded = F.aggregate("xs", F.array().cast("array<struct<x:double,y:double,ids:array<int>>>"), step)
-    return rows.select(*keys, F.posexplode(folded).alias("grp", "g")).select(*keys, "grp", "g.ids", T.pin_label(F.col("g.ids")).alias("label"))
+    return folded(rows, keys, pin_fold, least).select(*keys, "grp", "ids", T.pin_label(F.col("ids")).alias("label"))
 
 
 def profile_groups(pins: DataFrame, least: float = C.PROFILE_PIN_PX, keys: tuple[str, ...] = ("track",)) -> DataFrame:
     """Consecutive pins of a profile, each group within ``least`` of its first (keys, i, x)."""
-    rows = pins.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", F.col("x").cast("double").alias("x")))).alias("xs"))
-
-    def step(groups, p):
-        last = F.element_at(groups, -1)
-        new = F.struct(p["x"].alias("x"), F.array(p["i"].cast("int")).alias("ids"))
-        joined = F.struct(last["x"].alias("x"), F.concat(last["ids"], F.array(p["i"].cast("int"))).alias("ids"))
-        near = (F.size(groups) > 0) & (p["x"] - F.coalesce(F.try_element_at(groups, F.lit(-1))["x"], F.lit(float("-inf"))) < least)
-        return F.when(near, F.concat(F.slice(groups, 1, F.greatest(F.size(groups) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(groups, F.array(new)))
-
-    folded = F.aggregate("xs", F.array().cast("array<struct<x:double,ids:array<int>>>"), step)
-    return rows.select(*keys, F.posexplode(folded).alias("grp", "g")).select(*keys, "grp", "g.ids")
+    item = F.struct(F.col("i").cast("int").alias("i"), F.col("x").cast("double").alias("x"))
+    rows = pins.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("xs"))
+    return folded(rows, keys, profile_fold, least)
 
 
 def both_view(positions: DataFrame) -> DataFrame:

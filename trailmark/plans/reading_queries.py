@@ -277,7 +277,7 @@ def pins(spark, sf):
     from pyspark.sql import Window
 
     i = F.row_number().over(Window.partitionBy("track").orderBy("t", "seq")) - 1
-    return s.select("track", i.alias("i"), ((F.col("lon") - 5) * 300).alias("x"), ((F.col("lat") - 44) * 300).alias("y")).where("i < 40")
+    return s.select("track", i.alias("i"), ((F.col("lon") - 5) * 300).alias("x"), ((F.col("lat") - 44) * 300).alias("y"))
 
 
 @query("pin_groups")
