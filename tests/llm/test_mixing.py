@@ -44,3 +44,20 @@ def test_documents_are_repeated_whole(spark):
 
 def test_empty_table(spark):
     assert M.pareto_mix(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_long_documents_have_greater_odds_of_inclusion(spark):
+    docs = spark.createDataFrame([(i, "w " * (3 if i % 2 else 900), f"s{i % 4 // 2}") for i in range(8000)], "doc_id long, text string, source string")
+    copies = defaultdict(list)
+    for r in M.pareto_mix(docs, weights=(1, 9)).collect():
+        copies[r.source, r.size].append(r.copies)
+    mean = {k: sum(v) / len(v) for k, v in copies.items()}
+    # the measures are 2 and 10 binary digits: five times the copies, by chance to a few hundredths
+    assert abs(mean["s0", 900] / mean["s0", 3] - 5) < 1 and mean["s1", 900] == 2
+
+
+def test_reserved_names_and_repeated_rows_pass_through(spark):
+    docs = spark.createDataFrame([(i // 2, "a b c", "s", 7, "x") for i in range(40)], "doc_id long, text string, source string, mix_copies int, copies string")
+    mixed = M.mix_documents(docs)
+    assert mixed.columns == docs.columns and mixed.where("mix_copies <> 7 or copies <> 'x'").count() == 0
+    assert mixed.count() == sum(r.copies for r in M.pareto_mix(docs).collect())

@@ -2,8 +2,8 @@
 
 A model is fitted on at most ``bound`` labelled rows: those with the least
 hashes of their ids, so that a sample does not depend on files or partitions.
-Only their ids travel to every task; their texts meet in one task, whose input
-is bounded by the same number. Everything else covers all documents.
+Only their ids travel to every task, which pick the rows while they scan; the
+picked texts are shuffled to one task, whose input is bounded by the same number. Everything else covers all documents.
 """
 
 from __future__ import annotations
@@ -40,5 +40,6 @@ def fit(rows: DataFrame, train: Callable[[list[str], list[int]], bytes]) -> byte
         got = got.sort_values(["doc_id", "label", "text"], kind="stable")
         yield pd.DataFrame({"model": [train([x if isinstance(x, str) else "" for x in got.text], [int(x) for x in got.label])]})
 
-    found = rows.coalesce(1).mapInPandas(run, "model binary").collect()
+    # a shuffle of at most ``bound`` rows, so that the scan before it keeps its tasks
+    found = rows.repartition(1).mapInPandas(run, "model binary").collect()
     return bytes(found[0].model) if found else train([], [])

@@ -8,6 +8,7 @@ only costs the tasks that it was running.
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -15,22 +16,42 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 BLOOM_BITS = 24
+_LOCAL: dict[str, str] = {}
+_FOLDERS: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only if unset."""
+    """The folder of ``spark.checkpoint.dir``, or of ``SparkContext.setCheckpointDir``.
+
+    Where neither is set, a session on one machine (``local[n]``) gets a temporary
+    folder; a cluster has no folder that all its machines share, so this raises.
+    """
     sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="trailmark-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+        found = _LOCAL.setdefault(sc.applicationId, "file://" + tempfile.mkdtemp(prefix="trailmark-"))
     return found.rstrip("/")
 
 
+def stage_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder, deleted when the application ends."""
+    app = spark.sparkContext.applicationId
+    folder = f"{shared_dir(spark)}/trailmark/{app}"
+    if folder not in _FOLDERS:
+        target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(target)
+        files.deleteOnExit(target)
+        _FOLDERS.add(folder)
+    return folder
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/trailmark/{name}-{uuid.uuid4().hex}"
+    path = f"{stage_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stage_path = path
