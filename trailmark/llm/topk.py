@@ -12,15 +12,24 @@ R of the query's distance to that pivot (triangle inequality), so the search
 expands over the sorted annuli that meet this interval and stops at the rest.
 
 Pivots are fitted by a few k-means rounds on at most ``sample`` vectors (those
-with the least hashes of their ids); every vector is indexed. What the driver
-holds, and what is broadcast, is pivots and annuli: at most ``pivots`` times
-``annuli`` lines for each dimension in the table. Queries and vectors meet in
+with the least hashes of their ids); every vector is indexed. There is a pivot
+for the square root of a 16th of the vectors, at least 16 and at most
+``most_pivots``, so that a cell does not grow with the table before that bound.
+What the driver holds, and what is broadcast, is pivots and annuli: at most
+``most_pivots`` times ``annuli`` lines for each dimension in the table.
+
+Scores are exact integers: floating point where products stay below 2**53, 64-bit
+integers below 2**63, and Python's integers beyond. The search itself is in
+floating point, with a slack that covers its rounding: sums of d squares err by
+(d + 2) * 2**-53 of their size, so squared radii are widened by
+(d + 8) * 2**-50 of |q|^2 + M^2, and distances by as much of |q| + 2M. Queries and vectors meet in
 blocks; of equal vectors only the k + 1 smallest ids can be in any answer, so
 only those are kept, however often a vector occurs.
 
 Defined results: vectors that are null, or hold a null or non-finite component,
-or one of 2**21 or more in size (whose scores may not fit a long), take no part,
-and neither do null ids; rows with the same id and vector count once; other rows of a
+take no part, and neither do empty ones or null ids; a vector with a component of 2**52
+or more in size, whose integers do not fit 62 bits, raises ValueError, and so does an
+answer whose score does not fit a long; rows with the same id and vector count once; other rows of a
 query's id are not its candidates; vectors meet only those of their own length;
 ties go to the smaller id; an empty table gives an empty result; extra columns
 are not read.
@@ -37,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from trailmark.llm.shared import stage, table
 
 SCALE = 1024.0
-LIMIT = 2**31
+LIMIT = 2**62
 BLOCK, PACK = 2048, 256
 CELL = ["dim", "pivot", "ring"]
 
@@ -57,9 +66,12 @@ def rows_per_batch(spark: SparkSession, n: int):
 def quantised(vectors: DataFrame) -> DataFrame:
     """vec_id and its vector of integers floor(1024 * x)."""
     x = F.col("embedding")
-    fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < LIMIT / SCALE))
-    rows = vectors.where(F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0)).where(fine)
-    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v.cast("double") * SCALE).cast("int")).alias("vec"))
+    number = lambda v: v.cast("double")
+    finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(number(v)) & (F.abs(number(v)) != float("inf")))
+    rows = vectors.where(F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0)).where(finite)
+    fits = lambda v: F.abs(number(v)) < LIMIT / SCALE
+    whole = lambda v: F.when(fits(v), F.floor(number(v) * SCALE).cast("long")).otherwise(F.raise_error(F.lit("a component of 2**52 or more has no exact scores")).cast("long"))
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, whole).alias("vec"))
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -89,22 +101,34 @@ def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer products: by floating point only where that is exact."""
-    if a.shape[1] * float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) < 2**53:
+    """Exact integer products, in the fastest arithmetic that holds them."""
+    most = a.shape[1] * float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0))
+    if most < 2**53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a.astype(np.int64) @ b.astype(np.int64).T
+    if most < 2**62:
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    return a.astype(object) @ b.astype(object).T
 
 
-def build_index(vectors: DataFrame, *, k: int, pivots: int = 16, annuli: int = 16, sample: int = 4096) -> tuple[DataFrame, DataFrame, dict]:
+def slack(dim: int) -> float:
+    """A bound of the rounding of a squared length in ``dim`` dimensions, relative and generous."""
+    return (dim + 8) * 2.0**-50
+
+
+def build_index(vectors: DataFrame, *, k: int, pivots: int | None = None, most_pivots: int = 256, annuli: int = 16, sample: int = 4096) -> tuple[DataFrame, DataFrame, dict]:
     """Keyed vectors, their blocks and the bounded directory of the index."""
     spark = vectors.sparkSession
     base = stage(quantised(vectors).dropDuplicates(["vec_id", "vec"]), "topk-rows")
     norm = F.aggregate("vec", F.lit(0.0), lambda s, v: s + v.cast("double") * v)
-    tops = {r.dim: r.top for r in base.groupBy(F.size("vec").alias("dim")).agg(F.max(norm).alias("top")).collect()}
+    largest = F.max(F.array_max(F.transform("vec", lambda v: F.abs(v)))).alias("most")
+    found = base.groupBy(F.size("vec").alias("dim")).agg(F.max(norm).alias("top"), largest, F.count(F.lit(1)).alias("n")).collect()
+    tops, count = {r.dim: r.top for r in found}, {r.dim: r.n for r in found}
+    kind = "int" if max((r.most for r in found), default=0) < 2**31 else "bigint"  # what moves is as narrow as it can be
+    base = base.withColumn("vec", F.col("vec").cast(f"array<{kind}>"))
     chosen: dict[int, list] = {}
     for r in base.orderBy(F.xxhash64("vec_id"), "vec_id", "vec").limit(sample).collect():
         chosen.setdefault(len(r.vec), []).append(r.vec)
-    centres = {d: fit_pivots(v, tops[d], pivots) for d, v in chosen.items()}
+    centres = {d: fit_pivots(v, tops[d], pivots or min(most_pivots, max(16, int((count[d] / 16) ** 0.5)))) for d, v in chosen.items()}
 
     def assign(batches):
         for b in batches:
@@ -118,7 +142,7 @@ def build_index(vectors: DataFrame, *, k: int, pivots: int = 16, annuli: int = 1
                 near = far.argmin(1)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), part, pa.array(np.full(len(at), d, np.int32)), pa.array((near if d in centres else near - 1).astype(np.int32)), pa.array(far[np.arange(len(at)), near])], ["vec_id", "vec", "dim", "pivot", "r"])
 
-    keyed = stage(base.mapInArrow(assign, "vec_id long, vec array<int>, dim int, pivot int, r double"), "topk-keys")
+    keyed = stage(base.mapInArrow(assign, f"vec_id long, vec array<{kind}>, dim int, pivot int, r double"), "topk-keys")
     cuts = keyed.groupBy("dim", "pivot").agg(F.percentile_approx("r", [i / annuli for i in range(1, annuli)], 2000).alias("cuts"))
     ring = F.size(F.filter("cuts", lambda c: c < F.col("r"))).alias("ring")
     keyed = stage(keyed.join(F.broadcast(cuts), ["dim", "pivot"]).select("vec_id", "vec", *CELL[:2], ring, "r"), "topk-rings")  # cuts: one row a pivot
@@ -131,7 +155,7 @@ def build_index(vectors: DataFrame, *, k: int, pivots: int = 16, annuli: int = 1
     sizes = spark.createDataFrame([(*c, -(-v[2] // BLOCK)) for c, v in lines.items()], "dim int, pivot int, ring int, parts long")
     blocks = kept.join(F.broadcast(sizes), CELL).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")))  # sizes: one row a ring
     blocks = blocks.groupBy(*CELL, "part").agg(F.collect_list(F.struct("r", "vec_id", "vec")).alias("rows"))
-    return keyed, stage(blocks, "topk-blocks"), {"tops": tops, "centres": centres, "lines": lines}
+    return keyed, stage(blocks, "topk-blocks"), {"tops": tops, "centres": centres, "lines": lines, "kind": kind}
 
 
 def unpack(value: pa.StructScalar | pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,8 +166,24 @@ def unpack(value: pa.StructScalar | pa.Array, dim: int) -> tuple[np.ndarray, np.
     return r[order], rows.field("vec_id").to_numpy(zero_copy_only=False)[order], matrix(rows.field("vec"), dim)[order]
 
 
+def kth(scores: np.ndarray, k: int) -> int | None:
+    """The k-th highest score, or the most that a long holds; None if there are fewer."""
+    if len(scores) < k:
+        return None
+    found = sorted(scores.tolist())[-k] if scores.dtype == object else int(np.partition(scores, len(scores) - k)[len(scores) - k])
+    return max(-(2**63), min(found, 2**63 - 1))
+
+
+def in_long(score: int) -> int:
+    if not -(2**63) <= score < 2**63:
+        raise ValueError(f"the score {score} of an answer does not fit a long")
+    return score
+
+
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k best: high score first, then small id."""
+    if scores.dtype == object:
+        return np.array(sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:k], np.int64)
     if len(ids) > 4 * k:
         least = np.partition(scores, len(scores) - k)[len(scores) - k]
         at = np.flatnonzero(scores >= least)
@@ -152,7 +192,7 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))][:k]
 
 
-PACKED = "dim int, pivot int, ring int, pack long, queries array<struct<r:double,vec_id:bigint,vec:array<int>>>"
+PACKED = "dim int, pivot int, ring int, pack long, queries array<struct<r:double,vec_id:bigint,vec:array<KIND>>>"
 
 
 def search(vectors: DataFrame, is_query, *, k: int = 10, **options) -> DataFrame:
@@ -160,6 +200,7 @@ def search(vectors: DataFrame, is_query, *, k: int = 10, **options) -> DataFrame
     spark = vectors.sparkSession
     keyed, blocks, index = build_index(vectors, k=k, **options)
     tops, centres, lines = index["tops"], index["centres"], index["lines"]
+    packed = PACKED.replace("KIND", index["kind"])
     counts = {(r.dim, r.pivot, r.ring): r.n for r in keyed.where(is_query).groupBy(*CELL).agg(F.count(F.lit(1)).alias("n")).collect()}
     sizes = spark.createDataFrame([(*c, -(-n // PACK)) for c, n in counts.items()], "dim int, pivot int, ring int, packs long")
     packs = keyed.where(is_query).join(F.broadcast(sizes), CELL).withColumn("pack", F.pmod(F.xxhash64("vec_id"), F.col("packs")))  # sizes: one row a ring
@@ -177,14 +218,14 @@ def search(vectors: DataFrame, is_query, *, k: int = 10, **options) -> DataFrame
                 row = []
                 for j, own in enumerate(q_ids):
                     others = s[j][ids != own]
-                    row.append(int(np.partition(others, len(others) - k)[len(others) - k]) if len(others) >= k else None)
+                    row.append(kth(others, k))
                 bounds.append(row)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in range(5)), pa.array(bounds, pa.list_(pa.int64()))], ["dim", "pivot", "ring", "pack", "queries", "bounds"])
 
     # Blocks are dealt by a hash of ids, so part 0 of a ring is there whenever any is; its least part is read.
     home = blocks.join(blocks.groupBy(*CELL).agg(F.min("part").alias("part")), [*CELL, "part"]).drop("part")
     with rows_per_batch(spark, 8):
-        looked = stage(packs.join(home, CELL).select(*CELL, "pack", "queries", "rows").mapInArrow(first_look, PACKED + ", bounds array<bigint>"), "topk-looked")
+        looked = stage(packs.join(home, CELL).select(*CELL, "pack", "queries", "rows").mapInArrow(first_look, packed + ", bounds array<bigint>"), "topk-looked")
 
     def expand(batches):
         """Each pack to the rings that its queries' radii reach, nearest ring first."""
@@ -193,8 +234,8 @@ def search(vectors: DataFrame, is_query, *, k: int = 10, **options) -> DataFrame
                 d = b.column(0)[i].as_py()
                 q, bounds = matrix(b.column(4)[i].values.field("vec"), d).astype(np.float64), b.column(5)[i].as_py()
                 norms = (q * q).sum(1)
-                radius = np.array([np.inf if t is None else np.sqrt(max(0.0, n + tops[d] - 2.0 * t)) for t, n in zip(bounds, norms)])
-                radius = radius * (1 + 1e-9) + 1e-6
+                radius = np.array([np.inf if t is None else np.sqrt(max(0.0, n + tops[d] - 2.0 * t) + slack(d) * (n + tops[d])) for t, n in zip(bounds, norms)])
+                radius = radius + slack(d) * (np.sqrt(norms) + 2 * np.sqrt(tops[d]))
                 far = distances(np.hstack([q, np.zeros((len(q), 1))]), centres[d]) if d in centres else np.zeros((len(q), 1))
                 found = []
                 for (dim, pivot, ring), (low, high, _) in lines.items():
@@ -214,15 +255,15 @@ def search(vectors: DataFrame, is_query, *, k: int = 10, **options) -> DataFrame
                     ["dim", "pivot", "ring", "pack", "queries", "bounds", "meets", "low", "high"],
                 )
 
-    reach = looked.mapInArrow(expand, PACKED.replace("pack long", "pack string") + ", bounds array<bigint>, meets array<boolean>, low array<double>, high array<double>")
+    reach = looked.mapInArrow(expand, packed.replace("pack long", "pack string") + ", bounds array<bigint>, meets array<boolean>, low array<double>, high array<double>")
 
     def score(batches):
         for b in batches:
             out: list[tuple] = []
             for i in range(b.num_rows):
                 d = b.column(0)[i].as_py()
-                packed = b.column(1)[i].values
-                q_ids, q = packed.field("vec_id").to_numpy(zero_copy_only=False), matrix(packed.field("vec"), d)
+                queries = b.column(1)[i].values
+                q_ids, q = queries.field("vec_id").to_numpy(zero_copy_only=False), matrix(queries.field("vec"), d)
                 bounds, low, high = b.column(2)[i].as_py(), np.array(b.column(4)[i].as_py()), np.array(b.column(5)[i].as_py())
                 meets = np.flatnonzero(b.column(3)[i].as_py())
                 r, ids, x = unpack(b.column(6)[i], d)
@@ -235,7 +276,7 @@ def search(vectors: DataFrame, is_query, *, k: int = 10, **options) -> DataFrame
                 for j, row in zip(meets, s):
                     at = np.flatnonzero((ids[a:z] != q_ids[j]) & (row >= (bounds[j] if bounds[j] is not None else np.iinfo(np.int64).min)))
                     top = at[best(ids[a:z][at], row[at], k)]
-                    out += [(int(q_ids[j]), int(v), int(w)) for v, w in zip(ids[a:z][top], row[top])]
+                    out += [(int(q_ids[j]), int(v), in_long(int(w))) for v, w in zip(ids[a:z][top], row[top])]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["query_id", "vec_id", "score"])
 
