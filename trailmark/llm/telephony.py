@@ -1,14 +1,19 @@
 """Telephony audio columns: companded and ADPCM samples in, resampled PCM out.
 
 A media column holds one RIFF/WAVE file per row. ``encode_payloads`` stores any
-bytes losslessly as 8-bit mu-law or A-law codes (every byte is a code, so the
-data chunk *is* the payload). ``decode_media`` reads such files, expands the
-codes by table lookup (or decodes IMA ADPCM, vectorised across blocks) and
-resamples the 16-bit PCM.
+bytes losslessly: as mu-law or A-law samples (every byte is a code, so the data
+chunk *is* the payload), or as the nibbles of IMA ADPCM blocks (every nibble is a
+code; a block is its head and 64 bytes of payload). Without a fixed kind the
+payload's CRC-32 chooses one of the three. ``store`` writes the files as a table
+in the shared folder. ``decode_media`` reads such files, expands codes by table
+lookup, decodes the ADPCM blocks of all rows of a batch side by side, resamples
+the 16-bit PCM and returns it as a column beside digests and features; the caller
+stores it, and the query takes its digest.
 
 Both run row by row inside a task: no shuffle, nothing kept between rows, and
 a lost executor costs only its running tasks. Arrow batches are cut by bytes,
-so that very long rows do not pile up.
+so that very long rows do not pile up; a single text takes some 40 times its
+bytes while it is resampled.
 
 Defined results: a null or empty text is an empty payload, which is padded to
 one unit of 64 zero bytes; equal texts give equal files and features; repeated
@@ -28,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from trailmark.llm.shared import table
+from trailmark.llm.shared import stage, table
 
 UNIT = 64
 PCM, ALAW, MULAW, IMA = 1, 6, 7, 17
@@ -61,6 +66,7 @@ def alaw_table() -> np.ndarray:
 
 
 TABLES = {MULAW: mulaw_table(), ALAW: alaw_table()}
+KINDS = (MULAW, ALAW, IMA)
 
 
 def wav(data: bytes, kind: int, rate: int, samples: int, block: int = 1, bits: int = 8, extra: bytes = b"") -> bytes:
@@ -133,6 +139,38 @@ def ima_decode(data: bytes, block: int) -> np.ndarray:
     return out.reshape(-1)
 
 
+def ima_store(payload: bytes) -> bytes:
+    """A padded payload as the nibbles of ADPCM blocks that start from silence."""
+    units = np.frombuffer(payload, np.uint8).reshape(-1, UNIT)
+    return np.hstack([np.zeros((len(units), 4), np.uint8), units]).tobytes()
+
+
+def payload_of(found: dict) -> bytes:
+    """The bytes that a parsed file stores: its samples, or its blocks without their heads."""
+    if found["kind"] != IMA or found["block"] <= 4:
+        return found["data"]
+    n = len(found["data"]) // found["block"]
+    return np.frombuffer(found["data"], np.uint8, n * found["block"]).reshape(n, found["block"])[:, 4:].tobytes()
+
+
+def expand_all(files: list[dict | None]) -> list[np.ndarray | None]:
+    """16-bit PCM of parsed files; ADPCM blocks of one size are decoded together."""
+    out = [None if f is None or f["kind"] == IMA else expand(f) for f in files]
+    blocks: dict[int, list[int]] = {}
+    for i, f in enumerate(files):
+        if f is not None and f["kind"] == IMA:
+            blocks.setdefault(f["block"], []).append(i)
+    for size, rows in blocks.items():
+        whole = [len(files[i]["data"]) // size * size if size else 0 for i in rows]
+        pcm = ima_decode(b"".join(files[i]["data"][:n] for i, n in zip(rows, whole)), size)
+        at = 0
+        for i, n in zip(rows, whole):
+            samples = n // size * samples_of(IMA, size) if size > 4 else 0
+            out[i] = pcm[at : at + min(samples, files[i].get("samples", samples))]
+            at += samples
+    return out
+
+
 def expand(found: dict) -> np.ndarray | None:
     """16-bit PCM of a parsed file; None for a format that is not telephony."""
     if found["kind"] in TABLES:
@@ -170,10 +208,10 @@ def resample(pcm: np.ndarray, rate: int, to: int, taps: int = 4) -> np.ndarray:
     return np.clip(np.rint(out), -32768, 32767).astype(np.int16)
 
 
-def describe(kind: int, pcm: np.ndarray, out: np.ndarray, to: int) -> str:
-    """Integer features of the expanded and the resampled signal."""
+def describe(kind: int, pcm: np.ndarray) -> str:
+    """Integer features of the expanded signal."""
     x = pcm.astype(np.int64)
-    return f"kind={kind};samples={len(x)};peak={np.abs(x).max(initial=0)};sum={x.sum()};energy={(x * x).sum()};crossings={np.count_nonzero((x[1:] < 0) != (x[:-1] < 0))};rate={to};resampled={len(out)};pcm_crc32={zlib.crc32(out.astype('<i2').tobytes())}"
+    return f"kind={kind};samples={len(x)};peak={np.abs(x).max(initial=0)};sum={x.sum()};energy={(x * x).sum()};crossings={np.count_nonzero((x[1:] < 0) != (x[:-1] < 0))}"
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: int, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
@@ -194,48 +232,61 @@ def pad(payload: bytes) -> bytes:
     return payload + b"\0" * (UNIT - len(payload) % UNIT if len(payload) % UNIT or not payload else 0)
 
 
-def encode_payloads(docs: DataFrame, *, kind: int = MULAW, rate: int = 8000) -> DataFrame:
-    """doc_id, n_bytes, media: each text's padded UTF-8 bytes as a companded WAVE file."""
-    if kind not in TABLES:
-        raise ValueError("only mu-law and A-law codes store bytes losslessly")
+def encode_payloads(docs: DataFrame, *, kind: int | None = None, rate: int = 8000) -> DataFrame:
+    """doc_id, n_bytes, media: each text's padded UTF-8 bytes as a telephony WAVE file."""
+    if kind not in (None, MULAW, ALAW, IMA):
+        raise ValueError("only mu-law, A-law and ADPCM codes store bytes losslessly")
+
+    def one(payload: bytes) -> bytes:
+        own = kind or KINDS[zlib.crc32(payload) % len(KINDS)]
+        if own == IMA:
+            per = samples_of(IMA, UNIT + 4)
+            return wav(ima_store(payload), IMA, rate, len(payload) // UNIT * per, UNIT + 4, 4, struct.pack("<H", per))
+        return wav(payload, own, rate, len(payload))
 
     def run(batches):
         for b in slices(batches, 1):
             texts = [x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()]
-            padded = [pad(x) for x in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in texts], pa.int64()), pa.array([wav(x, kind, rate, len(x)) for x in padded], pa.binary())], ["doc_id", "n_bytes", "media"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in texts], pa.int64()), pa.array([one(pad(x)) for x in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def decode_media(media: DataFrame, *, rate: int = 16000, keep_pcm: bool = True) -> DataFrame:
-    """Digests and features of the stored files, with their PCM at ``rate`` unless not wanted.
+def store(media: DataFrame) -> DataFrame:
+    """The media table, written to the shared folder and read back."""
+    return stage(media, "media", compression="zstd")
+
+
+def decode_media(media: DataFrame, *, rate: int = 16000) -> DataFrame:
+    """Digests and features of the stored files, with their PCM at ``rate``.
 
     Reads doc_id, n_bytes and media; returns doc_id, n_bytes, payload_bytes,
     payload_sha256, tail_crc32, media_bytes, media_sha256, feature and pcm.
     """
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"] + ["pcm"] * keep_pcm
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()] + [pa.binary()] * keep_pcm
+    kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64()}
+    kinds |= {"media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "pcm": pa.binary()}
 
-    def one(blob: bytes | None) -> tuple:
-        found = parse_wav(blob) if blob is not None else None
+    def one(blob: bytes | None, found: dict | None, pcm: np.ndarray | None) -> tuple:
         digest = (None, None) if blob is None else (len(blob), hashlib.sha256(blob).hexdigest())
         if found is None:
             return None, None, None, *digest, None, None
-        data, pcm = found["data"], expand(found)
-        out = None if pcm is None else resample(pcm, found["rate"], rate)
-        feature = None if pcm is None else describe(found["kind"], pcm, out, rate)
-        return len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), *digest, feature, None if out is None or not keep_pcm else out.astype("<i2").tobytes()
+        data = payload_of(found)
+        out = None if pcm is None else resample(pcm, found["rate"], rate).astype("<i2").tobytes()
+        return len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), *digest, None if pcm is None else describe(found["kind"], pcm), out
 
     def run(batches):
         for b in slices(batches, 2):
-            rows = [one(x) for x in b.column(2).to_pylist()]
-            columns = [b.column(0), b.column(1), *(pa.array([r[i] for r in rows], kinds[i + 2]) for i in range(len(names) - 2))]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            blobs = b.column(2).to_pylist()
+            files = [parse_wav(x) if x is not None else None for x in blobs]
+            rows = [one(*x) for x in zip(blobs, files, expand_all(files))]
+            columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate([*kinds.values()][2:])]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], [*kinds])
 
-    schema = ", ".join(f"{n} {'string' if k == pa.string() else 'binary' if k == pa.binary() else 'long'}" for n, k in zip(names, kinds))
+    schema = ", ".join(f"{n} {'string' if k == pa.string() else 'binary' if k == pa.binary() else 'long'}" for n, k in kinds.items())
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
 
 
 def op3_telephony_media(spark, sf_dir):
-    return decode_media(encode_payloads(table(spark, sf_dir, "documents")), keep_pcm=False)
+    found = decode_media(store(encode_payloads(table(spark, sf_dir, "documents"))))
+    sound = F.concat(F.lit(";resampled="), F.expr("octet_length(pcm) div 2"), F.lit(";pcm_crc32="), F.crc32("pcm"))
+    return found.withColumn("feature", F.concat("feature", sound)).drop("pcm")
