@@ -18,8 +18,9 @@ def make(spark, rows=ROWS):
 
 def test_collection_reads_back_whole(spark):
     blocks = warc.write_archives(make(spark), block_records=2, partitions=3)
-    got = {(r.page_id, r.url): r for r in warc.read_archives(blocks).collect()}
-    assert len(warc.read_archives(blocks).collect()) == len(ROWS)
+    rows = warc.lookup_many(blocks, make(spark).select(*warc.one_key(warc.key_column())).distinct()).collect()
+    got = {(r.page_id, r.url): r for r in rows}
+    assert len(rows) == len(ROWS)
     for page, url, html in ROWS:
         r = got[page, url if url is None else warc.clean(url)]
         payload = (html or "").encode()
@@ -39,10 +40,42 @@ def test_blocks_concatenate_to_one_gzip_file(spark):
 
 
 def test_lookup_searches_both_levels(spark):
-    index = warc.CaptureIndex(warc.write_archives(make(spark), block_records=1, partitions=4))
-    assert [r.page_id for r in index.lookup("http://a.example.org/x")] == [4, 5, 10, 11]
-    assert [r.page_id for r in index.lookup("http://b.example.org:80/y?q=1")] == [9, 9]
-    assert index.lookup("http://a.example.org/") == [] and index.lookup("http://zzz.example/") == []
+    blocks = warc.write_archives(make(spark), block_records=1, partitions=4)
+    pages = lambda url: sorted(r.page_id for r in warc.lookup(blocks, url).collect())
+    assert pages("http://a.example.org/x") == [4, 5, 10, 11] and pages("http://b.example.org:80/y?q=1") == [9, 9]
+    assert pages("http://a.example.org/") == [] and pages("http://zzz.example/") == []
+    wanted = spark.createDataFrame([("", "~"), ("a", "a"), ("org,", "org,~")], "low string, high string")
+    every = sorted(warc.capture_key(u, p) for p, u, _ in ROWS)
+    want = sum("" <= k < "~" for k in every) + sum("org," <= k < "org,~" for k in every)
+    assert warc.lookup_many(blocks, wanted).count() == want
+
+
+def test_what_the_index_does_not_list_is_not_found(spark, monkeypatch):
+    """The query reads through directory, index block and byte range: it ends with their errors."""
+    whole = warc.write_archives
+
+    def damaged(pages, **options):
+        return whole(pages, **options).withColumn("cdx", F.lit(warc.zlib.compress(b'nothing [0,1,"response",""]')))
+
+    monkeypatch.setattr(warc, "write_archives", damaged)
+    assert warc.op2_warc_capture_index(spark, "/root/testdata/sf0.001").collect() == []
+
+
+def test_exported_files_are_warc(spark, tmp_path):
+    blocks = warc.write_archives(make(spark), block_records=2, partitions=2)
+    warc.export_archives(blocks, f"file://{tmp_path}/out")
+    found = []
+    for file in (tmp_path / "out").glob("part-*"):
+        data = file.read_bytes()
+        while data:
+            head, _, rest = data.partition(b"\r\n\r\n")
+            fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+            size = int(fields["Content-Length"])
+            assert head.startswith(b"WARC/1.1\r\n") and rest[size : size + 4] == b"\r\n\r\n"
+            found.append((fields["WARC-Record-ID"], rest[:size].partition(b"\r\n\r\n")[2] if fields["WARC-Type"] == "response" else None))
+            data = rest[size + 4 :]
+    assert sorted(x for x, _ in found) == sorted(f"<urn:page:{p}>" for p, _, _ in ROWS)
+    assert ("<urn:page:11>", b"z" * 200000) in found and ("<urn:page:8>", ("é" * 50).encode()) in found
 
 
 def test_key_column_equals_key_function(spark):
@@ -52,4 +85,4 @@ def test_key_column_equals_key_function(spark):
 
 def test_empty_table(spark):
     blocks = warc.write_archives(make(spark).where(F.lit(False)))
-    assert warc.read_archives(blocks).collect() == [] and warc.CaptureIndex(blocks).lookup("http://a/") == []
+    assert blocks.collect() == [] and warc.lookup(blocks, "http://a/").collect() == []

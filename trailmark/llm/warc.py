@@ -2,20 +2,25 @@
 
 Records are written in the order of their capture keys (URL with the host
 reversed, then page id), so one block of the index covers one contiguous run
-of bytes of one archive. Three tables make a collection:
+of bytes of one archive. The ``blocks`` table makes a collection:
 
-* ``blocks``: archive, block, base (offset of the block in its archive),
+* archive, block, base (offset of the block in its archive), first and last key,
   ``cdx`` (zlib-compressed, sorted index lines) and ``warc`` (the records, one
   gzip member each; the blocks of an archive concatenated are a .warc.gz file);
-* the sparse directory: one line per block with its first and last key.
+* the sparse directory is its lines without the two contents, one per block.
 
-A lookup binary-searches the directory, opens one compressed index block,
-binary-searches its lines, and range-reads a record from the archive bytes.
+``lookup_many`` answers ranges of keys, any number of them: a range finds its
+archives in the list of archives (one line a write task, on the driver), meets
+the directory lines of its archive in one group, which is binary-searched for
+blocks, and then the blocks, whose index lines are binary-searched for offsets;
+records are range-read from the bytes of the block, and nothing else is unpacked.
 
-Deduplication moves ids only: the smallest page id of each digest that occurs
-twice is joined back on the digest, a join whose hot digests Spark can split,
-and html is shuffled once, into key order by range. Keys end in the page id, so
-a host or URL with a third of all rows is spread over many ranges.
+Records are compressed before they are shuffled into key order by range, so html
+moves once and compressed. Deduplication moves ids only: the smallest page id of
+each digest that occurs twice is joined back on the digest, a join whose hot
+digests Spark can split, and the decisions travel in the same range shuffle. Keys
+end in the page id, so a host or URL with a third of all rows is spread over many
+ranges.
 
 Defined results: null html is an empty payload; payloads under
 ``least_bytes`` are never revisits; a null url has an empty key; a null page id
@@ -36,13 +41,16 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trailmark.llm.shared import stage, table
+from trailmark.llm.telephony import slices
 
 LEAST_BYTES = 100
 BLOCK_RECORDS, BLOCK_BYTES = 500, 2 << 20
+CAPTURE = {"key": "string", "page_id": "long", "url": "string", "digest": "binary", "payload_bytes": "long", "member": "binary", "refers_to": "long"}
 BLOCKS = "archive string, block int, base long, first_key string, last_key string, records int, cdx binary, warc binary"
 
 
@@ -70,12 +78,12 @@ def clean(value: object) -> str:
     return re.sub(r"[\x00-\x1f\x7f]", lambda c: f"%{ord(c[0]):02X}", str(value))
 
 
-def record(page_id, url: str | None, payload: bytes, digest: str, refers_to) -> bytes:
+def record(page_id, url: str | None, payload: bytes, payload_bytes: int, digest: str, refers_to) -> bytes:
     """One gzip member: a response with its payload, or a revisit that names one."""
     head = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<urn:page:{page_id}>"), ("WARC-Date", "1970-01-01T00:00:00Z")]
     if url is not None:
         head.append(("WARC-Target-URI", clean(url)))
-    head += [("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Payload-Length", len(payload))]
+    head += [("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Payload-Length", payload_bytes)]
     if refers_to is None:
         body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
     else:
@@ -119,9 +127,21 @@ def write_archives(pages: DataFrame, *, least_bytes: int = LEAST_BYTES, block_re
     """The ``blocks`` table of page_id, url, html, written to the shared folder and read back."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     n = partitions or max(1, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # The decisions travel in the same range shuffle as the pages and sort before them: html moves once.
-    known = revisits(pages, least_bytes).select("key", F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "refers_to")
-    captures = pages.select(key_column().alias("key"), "page_id", "url", "html", F.lit(None).cast("binary").alias("digest"), F.lit(None).cast("long").alias("refers_to"))
+
+    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 3):
+            digests, sizes, members = [], [], []
+            for page, url, html in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+                payload = (html or "").encode()
+                digests.append(hashlib.sha256(payload).digest())
+                sizes.append(len(payload))
+                members.append(record(page, url, payload, len(payload), digests[-1].hex(), None))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(members, pa.binary()), pa.nulls(b.num_rows, pa.int64())], [*CAPTURE])
+
+    captures = pages.select(key_column().alias("key"), "page_id", "url", "html").mapInArrow(compress, ", ".join(map(" ".join, CAPTURE.items())))
+    # The decisions travel in the same range shuffle as the records and sort before them.
+    known = revisits(pages, least_bytes)
+    known = known.select(*[F.col(c) if c in known.columns else F.lit(None).cast(kind).alias(c) for c, kind in CAPTURE.items()])
     rows = captures.unionByName(known).repartitionByRange(n, "key").sortWithinPartitions("key", F.col("refers_to").asc_nulls_last())
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,26 +159,25 @@ def write_archives(pages: DataFrame, *, least_bytes: int = LEAST_BYTES, block_re
         size, at, decided = 0, None, {}
         for b in batches:
             for i in range(b.num_rows):
-                key, page, url, html, of, refers = (b.column(c)[i].as_py() for c in range(6))
+                key, page, url, digest, payload_bytes, member, refers = (b.column(c)[i].as_py() for c in range(7))
                 if key != at:
                     at, decided = key, {}
                 if refers is not None:
-                    decided[of.hex()] = refers
+                    decided[digest] = refers
                     continue
-                payload = (html or "").encode()
-                digest = hashlib.sha256(payload).hexdigest()
                 refers = decided.get(digest)
-                member = record(page, url, payload, digest, refers)
+                if refers is not None:
+                    member = record(page, url, b"", payload_bytes, digest.hex(), refers)
                 if lines and (len(lines) >= block_records or size + len(member) > block_bytes):
                     yield close()
                     size = 0
-                lines.append((key, [size, len(member), "response" if refers is None else "revisit", digest[:16]]))
+                lines.append((key, [size, len(member), "response" if refers is None else "revisit", digest.hex()[:16]]))
                 members.append(member)
                 size += len(member)
         if lines:
             yield close()
 
-    return stage(rows.select("key", "page_id", "url", "html", "digest", "refers_to").mapInArrow(build, BLOCKS), "warc")
+    return stage(rows.mapInArrow(build, BLOCKS), "warc")
 
 
 def directory(blocks: DataFrame) -> DataFrame:
@@ -175,56 +194,76 @@ def cdx_lines(cdx: bytes) -> tuple[list[str], list[list]]:
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html binary"
 
 
-def read_archives(blocks: DataFrame, *, keep_html: bool = True) -> DataFrame:
-    """Every capture, range-read through its index block."""
+def lookup_many(blocks: DataFrame, wanted: DataFrame, *, keep_html: bool = True) -> DataFrame:
+    """The records whose capture keys lie in ranges (low, high) of ``wanted``, high excluded; once for each such range."""
+    lines = blocks.groupBy("archive").agg(F.min("first_key").alias("first"), F.max("last_key").alias("last")).collect()  # one line a write task
+    archives = sorted((r.first, r.last, r.archive) for r in lines)
+    starts = [x[0] for x in archives]
 
-    def run(batches):
+    def route(batches):
         for b in batches:
-            for cdx, warc in zip(b.column(0), b.column(1)):
-                body = memoryview(warc.as_buffer())
-                rows = [read_record(bytes(body[at : at + n])) for at, n, *_ in cdx_lines(cdx.as_py())[1]]
-                columns = {c: [r[c] for r in rows] for c in ("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to")}
-                kinds = dict(page_id=pa.int64(), url=pa.string(), payload_bytes=pa.int64(), payload_digest=pa.string(), record_type=pa.string(), refers_to=pa.int64())
-                arrays = [pa.array(v, kinds[k]) for k, v in columns.items()] + [pa.array([r["payload"] if keep_html else None for r in rows], pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, [*columns, "html"])
-
-    return blocks.select("cdx", "warc").mapInArrow(run, RECORDS)
-
-
-class CaptureIndex:
-    """Point lookups: the directory in memory, index blocks and records by range read."""
-
-    def __init__(self, blocks: DataFrame, directory_limit: int = 2_000_000):
-        self.blocks = blocks
-        lines = directory(blocks).limit(directory_limit + 1).collect()
-        if len(lines) > directory_limit:
-            raise ValueError("the directory exceeds its bound; raise block_records or use lookup_many")
-        self.lines = sorted((r.first_key, r.last_key, r.archive, r.block) for r in lines)
-        self.starts = [x[0] for x in self.lines]
-
-    def lookup(self, url: str) -> list[Row]:
-        """All captures of a URL, in the order of their page ids."""
-        prefix = capture_key(url, None).rsplit(" ", 1)[0]
-        low, high = prefix + " ", prefix + "!"
+            out = []
+            for low, high in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for _, last, archive in archives[max(0, bisect.bisect_right(starts, low) - 1) : bisect.bisect_left(starts, high)]:
+                    if last >= low:
+                        out.append((archive, low, high))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in range(3)], ["archive", "low", "high"])
+
+    def search(ranges: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
+        lines = lines.sort_values("block")
+        first, last, number = lines["first_key"].tolist(), lines["last_key"].tolist(), lines["block"].tolist()
         out = []
-        for _, last, archive, block in self.lines[max(0, bisect.bisect_left(self.starts, low) - 1) : bisect.bisect_left(self.starts, high)]:
-            if last < low:
-                continue
-            for r in self.blocks.where((F.col("archive") == archive) & (F.col("block") == block)).select("cdx", "warc").collect():
-                keys, values = cdx_lines(r.cdx)
-                for start, n, *_ in values[bisect.bisect_left(keys, low) : bisect.bisect_left(keys, high)]:
-                    out.append(Row(**read_record(bytes(r.warc[start : start + n]))))
-        return out
+        for low, high in zip(ranges["low"], ranges["high"]):
+            for i in range(bisect.bisect_left(last, low), bisect.bisect_left(first, high)):
+                out.append((lines["archive"].iat[0], number[i], low, high))
+        return pd.DataFrame(out, columns=["archive", "block", "low", "high"])
+
+    def read(batches):
+        kinds = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload": pa.binary()}
+        for b in slices(batches, 1, 1 << 20):
+            rows = []
+            for cdx, warc, ranges in zip(b.column(0), b.column(1), b.column(2).to_pylist()):
+                body, (keys, values) = memoryview(warc.as_buffer()), cdx_lines(cdx.as_py())
+                for r in ranges:
+                    for at, n, *_ in values[bisect.bisect_left(keys, r["low"]) : bisect.bisect_left(keys, r["high"])]:
+                        rows.append(read_record(bytes(body[at : at + n])))
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] if keep_html or c != "payload" else None for r in rows], k) for c, k in kinds.items()], [*kinds][:-1] + ["html"])
+
+    routed = wanted.select("low", "high").mapInArrow(route, "archive string, low string, high string")
+    met = routed.groupBy("archive").cogroup(directory(blocks).groupBy("archive")).applyInPandas(search, "archive string, block int, low string, high string")
+    met = met.groupBy("archive", "block").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+    return blocks.join(met, ["archive", "block"]).select("cdx", "warc", "ranges").mapInArrow(read, RECORDS)
+
+
+def one_key(key: Column) -> list[Column]:
+    """The range that holds one capture key only."""
+    return [key.alias("low"), F.concat(key, F.lit("\x00")).alias("high")]
+
+
+def lookup(blocks: DataFrame, url: str) -> DataFrame:
+    """All captures of a URL."""
+    prefix = capture_key(url, None).rsplit(" ", 1)[0]
+    return lookup_many(blocks, blocks.sparkSession.createDataFrame([(prefix + " ", prefix + "!")], "low string, high string"))
 
 
 def export_archives(blocks: DataFrame, folder: str) -> None:
-    """One folder per archive; its rows by ``base``, joined, are a .warc.gz file."""
-    blocks.repartition("archive").sortWithinPartitions("archive", "block").select("archive", "base", "warc").write.partitionBy("archive").parquet(folder)
+    """Uncompressed WARC files in ``folder``, one a partition, records in the order of their keys.
+
+    Spark's text writer ends each row with the newline that a record ends with.
+    """
+
+    def unpack(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([gzip.decompress(x.as_py())[:-1] for x in b.column(0)], pa.binary())], ["value"])
+
+    ordered = blocks.repartition("archive").sortWithinPartitions("archive", "block").select("warc")
+    ordered.mapInArrow(unpack, "value binary").select(F.col("value").cast("string")).write.text(folder)
 
 
 def op2_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = write_archives(table(spark, sf_dir, "pages"))
-    return read_archives(blocks, keep_html=False).drop("html", "url")
+    pages = table(spark, sf_dir, "pages")
+    wanted = pages.select(*one_key(key_column())).distinct()
+    return lookup_many(write_archives(pages), wanted, keep_html=False).drop("html", "url")
 
 
 ORACLE = """
