@@ -35,11 +35,65 @@ def test_all_parts_of_an_article_are_kept(text, want):
 
 
 def test_tree_match_pairs_most_nodes():
-    a = ["body", [], [["nav", [], []], ["div", [], [["p", [], []]]], ["p", [], []]]]
-    b = ["body", [], [["div", [], [["p", [], []], ["ul", [], []]]], ["p", [], []], ["footer", [], []]]]
-    n, pairs = W.tree_match(a, b)
-    assert n == len(pairs) == 4 and all(x[0] == y[0] for x, y in pairs)
-    assert W.tree_match(["a", [], []], ["b", [], []]) == (0, [])
+    tree = lambda x: W.read(x)
+    a = tree("-1 body\n0 nav\n0 div\n0 p\n2 p")
+    b = tree("-1 body\n0 div\n0 p\n0 footer\n1 p\n1 ul")
+    assert W.tree_match(a, b) == {0: 0, 2: 1, 4: 4, 3: 2} and W.tree_match(tree("-1 a"), tree("-1 b")) == {}
+    assert W.read(W.written(a)) == a
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_tree_match_equals_all_matchings(seed):
+    import random
+    from functools import cache
+
+    rng = random.Random(seed)
+
+    def tree(n):
+        return W.read("\n".join([f"-1 {'a'}", *sorted((f"{rng.randrange(i)} {rng.choice('ab')}" for i in range(1, n)), key=lambda x: int(x.split()[0]))]))
+
+    a, b = tree(9), tree(9)
+
+    @cache
+    def most(x, y):  # by every way of pairing children in order
+        def best(m, n):
+            if not m or not n:
+                return 0
+            return max(best(m[1:], n), best(m, n[1:]), best(m[1:], n[1:]) + (most(m[0], n[0]) if a[0][m[0]] == b[0][n[0]] else 0))
+
+        return 1 + best(tuple(a[1][x]), tuple(b[1][y]))
+
+    got = W.tree_match(a, b)
+    assert len(got) == most(0, 0) and all(a[0][x] == b[0][y] for x, y in got.items())
+
+
+@pytest.mark.parametrize("name", ["social-science", "search-results", "post login-free", "notice-of-meeting", "shareholders"])
+def test_class_names_that_say_more_than_a_hint_keep_the_article(name):
+    assert [x[0] for x in W.article(f"<div class='{name}'><p>one</p></div><p id='{name}'>two</p>")[0]] == ["one", "two"]
+
+
+@pytest.mark.parametrize("name", ["ad", "share-buttons", "cookie-notice", "sidebar_left", "navBar top", "related-posts", "comment-12"])
+def test_class_names_of_other_parts(name):
+    assert [x[0] for x in W.article(f"<div class='x {name}'><p>one</p></div><p>two</p>")[0]] == ["two"]
+
+
+def test_paragraphs_of_links_stay_and_menus_go():
+    assert [x[0] for x in W.article("<div><p><a>A paragraph that is one link</a></p><p>b</p></div><ul><li><a>Home</a><li><a>News</a></ul>")[0]] == ["A paragraph that is one link", "b"]
+
+
+def test_deep_and_wide_pages_take_little_time():
+    import time
+
+    start = time.time()
+    deep, wide = "<div>" * 100_000 + "x", "".join(f"<h2>h{i}</h2><p>p{i}</p>" for i in range(5000))
+    found, blocks = W.page_blocks(deep)
+    assert [b["text"] for b in blocks] == ["x"] and W.slots(1, found, [{"layout": 2, "skeleton": found}])
+    found, blocks = W.page_blocks(wide)
+    assert len(blocks) == 10_000 and len(W.read(found)[0]) == 3
+    alternate = "".join(f"<div class='c{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}'>x</div>" for i in range(10_000))
+    found, blocks = W.page_blocks(alternate)
+    assert len(blocks) == 10_000 and len(W.slots(1, found, [{"layout": 2, "skeleton": found}])) == 677
+    assert time.time() - start < 12
 
 
 def page(i, extra=""):
@@ -76,3 +130,23 @@ def test_articles_of_the_table(spark):
         want[i] = "\n".join(x for x in blocks if x)
     got = {r.page_id: r.text for r in W.op7_wrapper_induction(spark, path).collect()}
     assert got == want
+
+
+def test_without_class_names_the_articles_are_the_same(spark):
+    """Template and elements decide; class names are only needed beyond them."""
+    path = "/root/testdata/sf0.001/pages.parquet"
+    pages = spark.read.parquet(path)
+    from pyspark.sql import functions as F
+
+    bare = pages.withColumn("html", F.regexp_replace("html", r' (?:class|id)="[^"]*"', ""))
+    assert {(r.page_id, r.text) for r in W.extract(bare).collect()} == {(r.page_id, r.text) for r in W.extract(pages).collect()}
+
+
+def test_menus_without_any_hint_are_learnt_from_the_host(spark):
+    """Two layouts of plain boxes; what a host repeats goes, wherever it stands."""
+    one = lambda i: f"<body><div><div>Home</div><div>News</div></div><div><p>Story {i}</p><p>More {i}</p></div><div>All rights {'reserved'}</div></body>"
+    two = lambda i: f"<body><table><tr><td>Home<td>News</table><table><tr><td>Tale {i}</table></body>"
+    odd = "<body><div><div>Home</div><div>News</div></div><div><p>Lonely</p></div><blockquote>q</blockquote><div>All rights reserved</div></body>"
+    rows = [(i, "http://h.example.org/", one(i) if i % 3 else two(i)) for i in range(30)] + [(99, "http://h.example.org/x", odd)]
+    got = {r.page_id: r.text for r in W.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "Story 1\nMore 1" and got[3] == "Tale 3" and got[99] == "Lonely\nq"

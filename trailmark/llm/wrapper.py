@@ -1,22 +1,31 @@
 """HTML main-text extraction by wrapper induction.
 
-Element and class rules choose the article: menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles and reader comments are known by their
-elements, roles and class words. What is left is held against all other pages
-of the host. A slot of the wrapper is the chain of elements and classes from the
-root down, as simple tree matching pairs nodes only below pairs of like label;
-a text that stands in one slot on nearly all different pages that have this slot
-is template, whatever layouts the host mixes; varying slots are content. No page
-is the prototype, so null, empty and odd pages spoil nothing. ``tree_match``
-compares two pages node by node and is not part of the query.
-
-Counts are combined before they are shuffled, so a host with a third of all
-pages costs its distinct lines.
+Every page is parsed to its element tree, of which the skeleton is taken: block
+elements with their classes, runs of like siblings as one node. A host's
+prototypes are the skeletons that most of its different pages have, at most
+``prototypes`` of them; each other skeleton of the host is aligned with them node
+by node by simple tree matching and takes the slots of the one that it fits best,
+so null, empty, odd pages and mixed layouts spoil nothing. A line that stands in
+one slot on nearly all different pages that have this slot is template, and goes;
+varying slots are content.
+
+Varying menus, adverts and comments are no article either, and no alignment can
+tell: elements (nav, footer, aside, form ...), roles and class names that say
+nothing else are left out of what remains, and where article or main elements hold
+a fifth of the text or more, so is all that stands outside the smallest node that
+holds them.
+
+Pages are never compared in pairs: matching works on the distinct skeletons of a
+host, counts are combined before they are shuffled, so a host with a third of
+all pages costs its distinct lines. Trees are walked without recursion; a level
+of over ``WIDTH`` runs merges all its like siblings, so pages of any depth and
+width take time in proportion to their nodes.
 
 Defined results: null, empty and text-only html give the text there is (empty if
 none); a null or odd url has the empty host; repeated rows are extracted each
 and count once for the template;
-an empty table gives an empty result; extra columns are not read; unclosed tags,
+an empty table gives an empty result; extra columns are not read; very long, deep and
+wide pages are handled like others; unclosed tags,
 comments and references at the end of cut pages are dropped or kept as HTML does.
 """
 
@@ -27,7 +36,7 @@ import html as htmllib
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from trailmark.llm.shared import stage, table
 from trailmark.llm.telephony import slices
@@ -42,32 +51,52 @@ SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 APART = frozenset("nav footer aside form head menu dialog".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 WORDS = frozenset(
-    "ad ads adbox adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs byline-share comment comments commentlist consent cookie cookies copyright disclaimer disqus dropdown "
-    "footer gdpr hidden legal login masthead menu modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination paywall popup promo promotion recommended related "
-    "replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola toolbar topbar widget widgets".split()
+    "ad ads adbox adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright disclaimer disqus dropdown footer gdpr "
+    "hidden legal login masthead menu modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination paywall popup promo promotion recommended related replies reply "
+    "respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola toolbar topbar widget widgets".split()
+)
+# What may stand beside such a word in a class name without changing its meaning.
+BESIDE = frozenset(
+    "area bar block body bottom box btn button buttons col column container content first form global group head header heading holder icon icons inner item items last left link links list main media outer "
+    "page panel post posts primary right row secondary section site slot small sticky text thread title to top unit wrap wrapper".split()
 )
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|$)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 BLANK = re.compile(r"\s+")
+WIDTH = 64
 
 
 class Node:
-    __slots__ = ("tag", "label", "apart", "children", "parent", "inside")
+    __slots__ = ("tag", "label", "apart", "children", "parent", "top", "depth", "at")
 
     def __init__(self, tag: str, label: str, apart: bool, parent: Node | None):
         self.tag, self.label, self.apart, self.parent = tag, label, apart, parent
         self.children: list[Node] = []
-        self.inside = tag in ("article", "main") or (parent is not None and parent.inside)
+        self.depth = 0 if parent is None else parent.depth + 1
+        self.at = -1  # its node of the skeleton
+        #: the outermost article or main element that the node is in
+        self.top: Node | None = parent.top if parent is not None and parent.top is not None else self if tag in ("article", "main") else None
+
+
+def says_apart(name: str) -> bool:
+    """Whether a class name or id says that its element is no part of an article, and nothing else."""
+    words = [w for w in re.split(r"[_-]+|(?<=[a-z])(?=[A-Z])", name) if w]
+    words = [w.lower() for w in words if not w.isdigit()]
+    return any(w in WORDS for w in words) and all(w in WORDS or w in BESIDE for w in words)
 
 
 def traits(tag: str, raw: str, inside: bool) -> tuple[str, bool]:
     """A node's label for matching, and whether its text stands apart from the article."""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(raw)} if raw.strip() else {}
-    kind = found.get("class", "").lower()
-    words = set(re.split(r"[\s_-]+", kind + " " + found.get("id", "").lower())) if kind or "id" in found else set()
+    names = found.get("class", "").split()
+    label = f"{tag}.{'.'.join(sorted(re.sub(r'[0-9]+', '0', n.lower()) for n in names))}" if names else tag
     apart = tag in APART or (tag == "header" and not inside) or found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden") == "true"
-    apart = apart or "display:none" in found.get("style", "").replace(" ", "").lower() or (tag not in ("html", "body", "article", "main") and bool(words & WORDS)) or (tag == "article" and bool(words & {"comment", "comments", "reply"}))
-    return f"{tag}.{'.'.join(sorted(kind.split()))}" if kind else tag, apart
+    apart = apart or "display:none" in found.get("style", "").replace(" ", "").lower()
+    if not apart and tag not in ("html", "body", "main"):
+        hints = [n for n in [*names, found.get("id", "")] if says_apart(n)]
+        # of an article only the class of a comment says that it is none
+        apart = bool(hints) if tag != "article" else any(set(re.split(r"[_-]+", n.lower())) & {"comment", "comments", "reply"} for n in hints)
+    return label, apart
 
 
 def parse(text: str) -> tuple[Node, list[list]]:
@@ -150,7 +179,7 @@ def parse(text: str) -> tuple[Node, list[list]]:
                     while up.parent is not None and up.parent.tag in SIBLINGS[tag]:
                         up = up.parent
                     node = up.parent
-        label, apart = traits(tag, m[3], node.inside)
+        label, apart = traits(tag, m[3], node.top is not None)
         child = Node(tag, label, apart or node.apart, node)
         node.children.append(child)
         if tag not in VOID and not (m[3].rstrip().endswith("/") and tag not in INLINE and tag not in CLOSES_P):
@@ -167,94 +196,210 @@ def chain(low: Node, high: Node):
         low = low.parent
 
 
-def tree_match(a: list, b: list) -> tuple[int, list[tuple[list, list]]]:
-    """Simple tree matching: the most node pairs, and these pairs."""
-    if a[0] != b[0]:
-        return 0, []
-    m, n = len(a[2]), len(b[2])
-    if not m or not n:
-        return 1, [(a, b)]
-    cell = [[tree_match(x, y) if x[0] == y[0] else (0, []) for y in b[2]] for x in a[2]]
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    for i in range(1, m + 1):
-        row, above, w = best[i], best[i - 1], cell[i - 1]
-        for j in range(1, n + 1):
-            row[j] = max(above[j], row[j - 1], above[j - 1] + w[j - 1][0])
-    pairs, i, j = [(a, b)], m, n
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
+Skeleton = tuple[list[str], list[list[int]]]  # labels, and the children of each node; the root is node 0
+
+
+def inner(node: Node) -> list[Node]:
+    """The block elements below a node, through inline ones."""
+    if all(c.tag not in INLINE for c in node.children):
+        return node.children
+    out, stack = [], [iter(node.children)]
+    while stack:
+        c = next(stack[-1], None)
+        if c is None:
+            stack.pop()
+        elif c.tag in INLINE:
+            stack.append(iter(c.children))
         else:
-            i, j = i - 1, j - 1
-            pairs += cell[i][j][1]
-    return 1 + best[m][n], pairs
+            out.append(c)
+    return out
+
+
+def skeleton(root: Node) -> Skeleton:
+    """The tree of block elements, with runs of siblings of one label as one node; sets ``at`` of each."""
+    labels, children, queue = [root.label], [[]], [[root]]
+    root.at = 0
+    for i, members in enumerate(queue):  # grows as it is walked
+        below = [c for m in members for c in inner(m)]
+        runs: list[list[Node]] = []
+        for c in below:
+            if runs and runs[-1][0].label == c.label:
+                runs[-1].append(c)
+            else:
+                runs.append([c])
+        if len(runs) > WIDTH:
+            merged: dict[str, list[Node]] = {}
+            for run in runs:
+                merged.setdefault(run[0].label, []).extend(run)
+            runs = list(merged.values())
+        for run in runs:
+            for c in run:
+                c.at = len(labels)
+            children[i].append(len(labels))
+            labels.append(run[0].label)
+            children.append([])
+            queue.append(run)
+    return labels, children
+
+
+def written(found: Skeleton) -> str:
+    up = [-1] * len(found[0])
+    for i, below in enumerate(found[1]):
+        for c in below:
+            up[c] = i
+    return "\n".join(f"{p} {label}" for p, label in zip(up, found[0]))
+
+
+def read(text: str) -> Skeleton:
+    rows = [x.split(" ", 1) for x in text.split("\n")]
+    children: list[list[int]] = [[] for _ in rows]
+    for i, (p, _) in enumerate(rows):
+        if i:
+            children[int(p)].append(i)
+    return [x[1] for x in rows], children
+
+
+def tree_match(a: Skeleton, b: Skeleton) -> dict[int, int]:
+    """Simple tree matching: the most nodes of ``a``, with their partners in ``b``, parents and order kept.
+
+    Levels of over ``WIDTH`` by ``WIDTH`` runs have lost their order: there like labels pair in turn.
+    """
+    (la, ca), (lb, cb) = a, b
+    if la[0] != lb[0]:
+        return {}
+
+    def by_label(i: int, j: int) -> list[tuple[int, int]]:
+        turn: dict[str, list[int]] = {}
+        for y in reversed(cb[j]):
+            turn.setdefault(lb[y], []).append(y)
+        return [(x, turn[la[x]].pop()) for x in ca[i] if turn.get(la[x])]
+
+    def wide(i: int, j: int) -> bool:
+        return len(ca[i]) * len(cb[j]) > WIDTH * WIDTH
+
+    pairs = [(0, 0)]
+    for i, j in pairs:  # grows as it is walked: all pairs of like nodes below pairs
+        pairs += by_label(i, j) if wide(i, j) else [(x, y) for x in ca[i] for y in cb[j] if la[x] == lb[y]]
+    weight: dict[tuple[int, int], int] = {}
+
+    def table_of(i: int, j: int) -> list[list[int]]:
+        best = [[0] * (len(cb[j]) + 1)]
+        for x in ca[i]:
+            above, row = best[-1], [0]
+            for n, y in enumerate(cb[j]):
+                row.append(max(above[n + 1], row[n], above[n] + weight.get((x, y), 0)))
+            best.append(row)
+        return best
+
+    for i, j in reversed(pairs):
+        if wide(i, j):
+            weight[i, j] = 1 + sum(weight[p] for p in by_label(i, j))
+        else:
+            weight[i, j] = 1 + (table_of(i, j)[-1][-1] if ca[i] and cb[j] else 0)
+    out, open_ = {}, [(0, 0)]
+    while open_:
+        i, j = open_.pop()
+        out[i] = j
+        if wide(i, j):
+            open_ += by_label(i, j)
+            continue
+        best, m, n = table_of(i, j), len(ca[i]), len(cb[j])
+        while m and n:
+            if best[m][n] == best[m - 1][n]:
+                m -= 1
+            elif best[m][n] == best[m][n - 1]:
+                n -= 1
+            else:
+                m, n = m - 1, n - 1
+                open_.append((ca[i][m], cb[j][n]))
+    return out
 
 
 def article(text: str) -> tuple[list[list], Node]:
     """The article's blocks as [line, holder], and the root of the tree.
 
     The article is the smallest node that holds all text of article and main
-    elements; a page with more text outside of them is kept whole.
+    elements; a page with over four times their text outside of them is kept whole.
     """
     root, blocks = parse(text)
-    kept = [[line, holder] for line, holder, links in blocks if not holder.apart and (holder.inside or 2 * links <= len(line))]
+    # outside of articles an item of a list that is mostly links is one of a menu
+    kept = [[line, holder] for line, holder, links in blocks if not holder.apart and (holder.top is not None or holder.tag != "li" or 2 * links <= len(line))]
     tops: list[Node] = []
     inside = outside = 0
     for line, holder in kept:
-        if not holder.inside:
+        if holder.top is None:
             outside += len(line)
             continue
         inside += len(line)
-        top = up = holder
-        while up is not None and up.inside:
-            top, up = up, up.parent
-        if top not in tops[-1:]:
-            tops.append(top)
-    if tops and inside >= outside:
+        if holder.top not in tops[-1:]:
+            tops.append(holder.top)
+    if tops and 4 * inside >= outside:
         whole = tops[0]
         for top in tops[1:]:  # the smallest node that holds all parts
-            while not is_below(top, whole):
-                whole = whole.parent
-        kept = [x for x in kept if is_below(x[1], whole)]
+            while top.depth > whole.depth:
+                top = top.parent
+            while whole is not top:
+                if whole.depth > top.depth:
+                    whole = whole.parent
+                else:
+                    top, whole = (top.parent, whole.parent) if top.depth == whole.depth else (top.parent, whole)
+        below, stack = set(), [whole]
+        while stack:
+            node = stack.pop()
+            below.add(node)
+            stack += node.children
+        kept = [x for x in kept if x[1] in below]
     return kept, root
 
 
-def is_below(node: Node | None, top: Node) -> bool:
-    while node is not None and node is not top:
-        node = node.parent
-    return node is top
-
-
 def host_of(column: str = "url"):
     return F.lower(F.regexp_extract(F.coalesce(column, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-BLOCKS = "page_id long, url string, host string, page_code long, blocks array<struct<text:string,slot:bigint,code:bigint>>"
-BLOCK = pa.list_(pa.struct([("text", pa.string()), ("slot", pa.int64()), ("code", pa.int64())]))
+BLOCKS = "page_id long, url string, host string, page_code long, layout long, skeleton string, blocks array<struct<text:string,node:int,code:bigint>>"
+BLOCK = pa.list_(pa.struct([("text", pa.string()), ("node", pa.int32()), ("code", pa.int64())]))
 
 
 def code_of(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def aligned(text: str) -> list[dict]:
-    """The article's blocks with their slots: the labels of all elements from the root down."""
-    slot_of: dict[Node, int] = {}
+def page_blocks(text: str) -> tuple[str, list[dict]]:
+    """The skeleton of a page, and its article's blocks with their nodes there."""
+    kept, root = article(text)
+    found = written(skeleton(root))
     out = []
-    for line, holder in article(text)[0]:
-        if holder not in slot_of:
-            labels, up = [], holder
-            while up is not None:
-                labels.append(up.label)
-                up = up.parent
-            slot_of[holder] = code_of("\n".join(labels))
-        out.append({"text": line, "slot": slot_of[holder], "code": code_of(line)})
+    for line, holder in kept:
+        while holder.at < 0:  # text right inside inline elements
+            holder = holder.parent
+        out.append({"text": line, "node": holder.at, "code": code_of(line)})
+    return found, out
+
+
+def slots(layout: int, own: str, models: list[dict]) -> list[int]:
+    """A slot for each node of a skeleton: that of its partner in the prototype that it fits best, or a name of its own."""
+    mine, best = read(own), None
+    for m in models:
+        if m["layout"] == layout:
+            best = (2.0, layout, {i: i for i in range(len(mine[0]))})
+            break
+        other = read(m["skeleton"])
+        pairs = tree_match(mine, other)
+        fit = 2 * len(pairs) / (len(mine[0]) + len(other[0]))
+        if best is None or fit > best[0]:
+            best = (fit, m["layout"], pairs)
+    out, up = [], [0] * len(mine[0])
+    for i, below in enumerate(mine[1]):
+        for c in below:
+            up[c] = i
+    chain: list[int] = []
+    for i, label in enumerate(mine[0]):
+        chain.append(code_of(f"{chain[up[i]] if i else 0} {label}"))
+        out.append(code_of(f"{best[1]}/{best[2][i]}") if best and i in best[2] else chain[i])
     return out
 
 
-def extract(pages: DataFrame, *, share: float = 0.9, least: int = 5) -> DataFrame:
+def extract(pages: DataFrame, *, share: float = 0.9, least: int = 5, prototypes: int = 4) -> DataFrame:
     """page_id, url, text, n_chars of every page.
 
     A line is template if it stands in one slot on ``share`` of a host's different
@@ -264,18 +409,32 @@ def extract(pages: DataFrame, *, share: float = 0.9, least: int = 5) -> DataFram
 
     def run(batches):
         for b in slices(batches, 2):
-            rows = [aligned(text) for text in b.column(2).to_pylist()]
-            code = [code_of("\n".join(x["text"] for x in r)) for r in rows]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(code, pa.int64()), pa.array(rows, BLOCK)], ["page_id", "url", "host", "page_code", "blocks"])
+            rows = [page_blocks(text) for text in b.column(2).to_pylist()]
+            code = [code_of("\n".join(x["text"] for x in r)) for _, r in rows]
+            columns = [pa.array(code, pa.int64()), pa.array([code_of(s) for s, _ in rows], pa.int64()), pa.array([s for s, _ in rows], pa.string()), pa.array([r for _, r in rows], BLOCK)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), *columns], ["page_id", "url", "host", "page_code", "layout", "skeleton", "blocks"])
+
+    def align(batches):
+        for b in batches:
+            found = [slots(*x) for x in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int64()))], ["host", "layout", "slots"])
 
     rows = stage(pages.select("page_id", "url", "html", "host").mapInArrow(run, BLOCKS), "html-blocks")
-    lines = rows.select("host", "page_code", F.explode("blocks").alias("x")).select("host", "page_code", "x.slot", "x.code").distinct()
+    layouts = rows.select("host", "layout", "page_code", "skeleton").dropDuplicates(["host", "layout", "page_code"])
+    layouts = stage(layouts.groupBy("host", "layout").agg(F.count(F.lit(1)).alias("pages"), F.first("skeleton").alias("skeleton")), "html-layouts")
+    rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("pages"), "layout"))
+    models = layouts.withColumn("rank", rank).where(F.col("rank") <= prototypes).groupBy("host").agg(F.array_sort(F.collect_list(F.struct("rank", "layout", "skeleton"))).alias("models"))
+    placed = stage(layouts.join(models, "host").select("host", "layout", "skeleton", "models").mapInArrow(align, "host string, layout long, slots array<bigint>"), "html-slots")
+
+    lines = rows.select("host", "page_code", "layout", F.explode("blocks").alias("x")).select("host", "layout", "page_code", "x.node", "x.code").distinct()
+    lines = lines.join(placed, ["host", "layout"]).select("host", F.expr("slots[node]").alias("slot"), "page_code", "code").distinct()
     different = lines.select("host", "slot", "page_code").distinct().groupBy("host", "slot").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= least)
     lines = lines.groupBy("host", "slot", "code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= share * least)
     lines = lines.join(different, ["host", "slot"]).where(F.col("n") >= share * F.col("pages"))
-    template = stage(lines.groupBy("host").agg(F.collect_set(F.struct("slot", "code")).alias("template")), "html-template")
-    out = rows.join(template, "host", "left")
-    kept = F.when(F.col("template").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda x: ~F.array_contains(F.col("template"), F.struct(x["slot"].alias("slot"), x["code"].alias("code")))))
+    nodes = placed.select("host", "layout", F.posexplode("slots").alias("node", "slot")).join(lines.select("host", "slot", "code"), ["host", "slot"])
+    template = stage(nodes.groupBy("host", "layout").agg(F.collect_set(F.struct("node", "code")).alias("template")), "html-template")
+    out = rows.join(template, ["host", "layout"], "left")
+    kept = F.when(F.col("template").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda x: ~F.array_contains(F.col("template"), F.struct(x["node"].alias("node"), x["code"].alias("code")))))
     text = F.array_join(F.transform(kept, lambda x: x["text"]), "\n")
     return out.select("page_id", "url", text.alias("text"), F.char_length(text).cast("long").alias("n_chars"))
 
