@@ -3,7 +3,7 @@
 Every page is parsed to its element tree, of which the skeleton is taken: block
 elements with their classes, runs of like siblings as one node. A host's
 prototypes are the skeletons that most of its different pages have, at most
-``prototypes`` of them; each other skeleton of the host is aligned with them node
+``prototypes`` of those with ``least`` pages or more, and one in any case; each other skeleton of the host is aligned with them node
 by node by simple tree matching and takes the slots of the one that it fits best,
 so null, empty, odd pages and mixed layouts spoil nothing. A line that stands in
 one slot on nearly all different pages that have this slot is template, and goes;
@@ -423,7 +423,7 @@ def extract(pages: DataFrame, *, share: float = 0.9, least: int = 5, prototypes:
     layouts = rows.select("host", "layout", "page_code", "skeleton").dropDuplicates(["host", "layout", "page_code"])
     layouts = stage(layouts.groupBy("host", "layout").agg(F.count(F.lit(1)).alias("pages"), F.first("skeleton").alias("skeleton")), "html-layouts")
     rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("pages"), "layout"))
-    models = layouts.withColumn("rank", rank).where(F.col("rank") <= prototypes).groupBy("host").agg(F.array_sort(F.collect_list(F.struct("rank", "layout", "skeleton"))).alias("models"))
+    models = layouts.withColumn("rank", rank).where((F.col("rank") == 1) | ((F.col("rank") <= prototypes) & (F.col("pages") >= least))).groupBy("host").agg(F.array_sort(F.collect_list(F.struct("rank", "layout", "skeleton"))).alias("models"))
     placed = stage(layouts.join(models, "host").select("host", "layout", "skeleton", "models").mapInArrow(align, "host string, layout long, slots array<bigint>"), "html-slots")
 
     lines = rows.select("host", "page_code", "layout", F.explode("blocks").alias("x")).select("host", "layout", "page_code", "x.node", "x.code").distinct()
