@@ -48,6 +48,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 CLOSES_P = frozenset("address article aside blockquote body center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "thead": {"table"}, "tbody": {"table"}}
+BOXES = frozenset("article aside body center div fieldset footer form header main nav ol section table tbody tfoot thead ul".split())
 APART = frozenset("nav footer aside form head menu dialog".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 WORDS = frozenset(
@@ -63,7 +64,7 @@ BESIDE = frozenset(
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|$)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 BLANK = re.compile(r"\s+")
-WIDTH = 64
+WIDTH, BOX_RUN = 64, 8
 
 
 class Node:
@@ -216,7 +217,10 @@ def inner(node: Node) -> list[Node]:
 
 
 def skeleton(root: Node) -> Skeleton:
-    """The tree of block elements, with runs of siblings of one label as one node; sets ``at`` of each."""
+    """The tree of block elements, with runs of siblings of one label as one node; sets ``at`` of each.
+
+    Boxes that stand side by side are places of their own, unless they are many.
+    """
     labels, children, queue = [root.label], [[]], [[root]]
     root.at = 0
     for i, members in enumerate(queue):  # grows as it is walked
@@ -227,6 +231,7 @@ def skeleton(root: Node) -> Skeleton:
                 runs[-1].append(c)
             else:
                 runs.append([c])
+        runs = [part for run in runs for part in ([run] if run[0].tag not in BOXES or len(run) > BOX_RUN else [[c] for c in run])]
         if len(runs) > WIDTH:
             merged: dict[str, list[Node]] = {}
             for run in runs:
