@@ -19,10 +19,12 @@ one common entry makes a candidate.
   in parts by several tasks and are one list again afterwards.
 * A list only pairs members that may reach the overlap with what follows its
   shingle in both (the list of their first common shingle always does).
-* Candidates are compared first with the member of their list that has fewest
-  words of its own. Components of the links so found make most other pairs needless:
-  members outside the leader's component meet a few more members, then all, so
-  a group of near copies costs its size, not its square.
+* Candidates are compared first with the leader of their list, the member that
+  has fewest words of its own. Components of the links so found make most other
+  pairs needless: lists in which several components meet are tried with a leader
+  once more, then in full, so a group of near copies costs its size, not its
+  square. In full, only members that come early in their own order look for
+  partners; where unlike documents share a passage there are none.
 * Probing: a candidate's remaining shingles are binary-searched in the other's
   sorted set.
 
@@ -39,7 +41,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from trailmark.llm.components import components
 from trailmark.llm.hashing import U, mix, shingles
@@ -91,6 +93,12 @@ def buckets_of(df: DataFrame, rows_each: int = 4000) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows_each))
 
 
+def dealt(packed: DataFrame, buckets: int) -> DataFrame:
+    """Packed rows by bucket: some buckets a partition, so that partitions do not grow in number as fast as the data."""
+    least = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return packed.repartition(max(least, -(-buckets // 8)), "bucket").sortWithinPartitions("bucket")
+
+
 def pack(values: np.ndarray, bucket: np.ndarray, name: str = "rows") -> pa.RecordBatch:
     """One binary row for each bucket that occurs."""
     order = np.argsort(bucket, kind="stable")
@@ -149,8 +157,8 @@ def frequent_shingles(known: DataFrame, buckets: int, most: int) -> tuple[np.nda
             top = np.flatnonzero(n >= LEAST_SAMPLED)
             yield pa.RecordBatch.from_arrays([pa.array(x[top].view(np.int64)), pa.array(n[top])], ["x", "n"])
 
-    dealt = known.where("drawn is not null").select("drawn").mapInArrow(deal, "bucket int, rows binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    rows = dealt.mapInArrow(count, "x long, n long").orderBy(F.desc("n"), "x").limit(most).collect()
+    sent = known.where("drawn is not null").select("drawn").mapInArrow(deal, "bucket int, rows binary")
+    rows = dealt(sent, buckets).mapInArrow(count, "x long, n long").orderBy(F.desc("n"), "x").limit(most).collect()
     x = np.array([r.x for r in rows], np.int64).view(U)
     order = np.argsort(x)
     return x[order], np.array([r.n for r in rows], np.int64)[order] << SAMPLE_BITS
@@ -196,7 +204,7 @@ def short_lists(docs: DataFrame, buckets: int, frequent: tuple[np.ndarray, np.nd
                     part = np.where(xs[at] == rows["x"], rows["c"] % parts[at], U(0))
                 yield pack(rows, (mix(rows["x"] + part * U(0x9E3779B97F4A7C15)) % U(buckets)).astype(np.int64))
 
-    return docs.select("text").mapInArrow(run, "bucket int, rows binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return dealt(docs.select("text").mapInArrow(run, "bucket int, rows binary"), buckets)
 
 
 def merge_lists(postings: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -312,25 +320,47 @@ def class_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return rows.select(F.explode("classes").alias("class"), "text").mapInArrow(run, "class long, set binary")
 
 
-#: Places of the members that the others of a list are compared with, tier by tier.
-TIERS = ((1, 1), (2, 16), (17, None))
+def with_labels(members: DataFrame, label: DataFrame | None) -> DataFrame:
+    """Members of the lists in which several components meet, with their component."""
+    if label is None:
+        return members.withColumn("label", F.col("c"))
+    tagged = members.join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
+    tagged = stage(tagged, "join-tagged")
+    apart = tagged.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gid")
+    return tagged.join(apart, "gid")
 
 
-def tier_pairs(members: DataFrame, label: DataFrame | None, low: int, high: int | None, percent: int) -> DataFrame:
-    """Candidate pairs of a tier: members in other components than their list's first, with those at ``low`` to ``high``.
+def leader_pairs(members: DataFrame, percent: int, second: bool = False) -> DataFrame:
+    """Candidate pairs of each list's leader with its members of other components.
 
-    Over all tiers every pair of a list meets, unless links found before make both one component.
+    The leader has the fewest words of its own before the list's shingle: what others were copied from.
     """
-    if label is None:
-        tagged = members.withColumn("label", F.col("c"))
-    else:
-        tagged = members.join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
-        first = tagged.where("place = 1").select("gid", F.col("label").alias("main"))
-        apart = tagged.groupBy("gid").agg((F.min("label") != F.max("label")).alias("apart")).where("apart").select("gid")
-        tagged = stage(tagged.join(apart, "gid").join(first, "gid"), "join-tagged")
-    rest = tagged if label is None else tagged.where("label <> main")
-    others = tagged.where(F.col("place").between(low, high) if high else F.col("place") >= low)
-    met = rest.alias("u").join(others.alias("v"), F.expr("u.gid = v.gid AND u.label <> v.label AND u.c <> v.c")).where(fits(percent))
+    order = F.struct((F.col("p") / F.col("n")).alias("own"), "c")
+    leaders = lambda rows: rows.groupBy("gid").agg(F.min_by(F.struct("c", "n", "p", "label"), order).alias("v")).select("gid", "v.*")
+    first = leaders(members)
+    if second:
+        main = first.select("gid", F.col("label").alias("main"))
+        members = members.join(main, "gid").where("label <> main").drop("main")
+        first = leaders(members)
+    met = members.alias("u").join(first.alias("v"), F.expr("u.gid = v.gid AND u.label <> v.label AND u.c <> v.c")).where(fits(percent))
+    return met.select(F.least("u.c", "v.c").alias("a"), F.greatest("u.c", "v.c").alias("b")).distinct()
+
+
+def second_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """The same for what is outside the component of a list's leader, with a leader of its own."""
+    return leader_pairs(members, percent, second=True)
+
+
+def all_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs of all members of other components.
+
+    Of two sets that may link, the smaller has at most (100 - percent) / (100 + percent)
+    of its words before their first common shingle, so only such members look for
+    partners: in the list of a passage that unlike documents share there are none.
+    """
+    early = members.where(f"p * {100 + percent} <= n * {100 - percent}")
+    sized = "u.gid = v.gid AND u.label <> v.label AND u.c <> v.c AND u.n <= v.n"
+    met = early.alias("u").join(members.alias("v"), F.expr(sized)).where(fits(percent))
     return met.select(F.least("u.c", "v.c").alias("a"), F.greatest("u.c", "v.c").alias("b")).distinct()
 
 
@@ -349,14 +379,12 @@ def ngram_jaccard(docs: DataFrame, *, k: int = K, percent: int = PERCENT, freque
     members = stage(exploded(lists), "join-members")
     release(spark)
 
-    # The member with the fewest words of its own before the list's shingle leads: what others were copied from.
-    place = F.row_number().over(Window.partitionBy("gid").orderBy(F.col("p") / F.col("n"), "c"))
-    members = stage(members.withColumn("place", place), "join-places")
     one = known.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("mark").alias("mark"), F.first("n_shingles").alias("n"))
     one = stage(one, "join-one")
     links = tried = label = None
-    for low, high in ((1, None),) if count_links else TIERS:
-        pairs = tier_pairs(members, label, low, high, percent)
+    for pairs_of in (all_pairs,) if count_links else (leader_pairs, second_pairs, all_pairs):
+        tagged = with_labels(members, label)
+        pairs = pairs_of(tagged, percent)
         pairs = stage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "join-pairs")
         if tried is not None and pairs.isEmpty():
             continue
@@ -383,12 +411,12 @@ def ngram_jaccard(docs: DataFrame, *, k: int = K, percent: int = PERCENT, freque
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of a component its smallest id, once.
 
-    Rows without an id stay, as nothing can name them.
+    Of rows that repeat the id one stays. Rows without an id stay, as nothing can name them.
     """
-    found = ngram_jaccard(docs, **options).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("join_rows"))
-    kept = docs.join(found.hint("shuffle_hash"), "doc_id").select(*[docs[c] for c in docs.columns], "join_rows")
-    once = kept.where("join_rows = 1").drop("join_rows")
-    again = kept.where("join_rows > 1").drop("join_rows").dropDuplicates(["doc_id"])
+    found = ngram_jaccard(docs, **options).where("doc_id = component_id").groupBy("doc_id").agg((F.count(F.lit(1)) > 1).alias("again"))
+    kept = docs.select(F.struct("*").alias("row")).join(found, F.col("row.doc_id") == F.col("doc_id")).select("row", "doc_id", "again")
+    once = kept.where("not again").select("row.*")
+    again = kept.where("again").dropDuplicates(["doc_id"]).select("row.*")
     return once.unionByName(again).unionByName(docs.where("doc_id is null"))
 
 
