@@ -43,6 +43,12 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][: n + 1], _POWERS[1][: n + 1]
 
 
+def forget() -> None:
+    """Drop the powers that a long text left behind."""
+    if len(_POWERS[0]) > 1 << 17:
+        _POWERS[:] = [p[: 1 << 17].copy() for p in _POWERS]
+
+
 def prefix_sums(data: np.ndarray) -> np.ndarray:
     p, _ = powers(len(data))
     out = np.zeros(len(data) + 1, U)

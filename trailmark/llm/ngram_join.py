@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from trailmark.llm.components import components
 from trailmark.llm.hashing import U, mix, shingles
-from trailmark.llm.shared import drop_stage, release, stage, table, texts_of
+from trailmark.llm.shared import drop_stage, lean, release, stage, table, texts_of
 from trailmark.llm.telephony import slices
 
 K, PERCENT = 5, 80
@@ -140,7 +140,7 @@ def classes(docs: DataFrame, k: int) -> DataFrame:
                 drawn.append(s[mix(s ^ c) & U((1 << SAMPLE_BITS) - 1) == 0].tobytes() if fresh else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(codes.view(np.int64)), pa.array([mark_of(s) for s in sets], pa.binary()), pa.array(drawn, pa.binary())], ["doc_id", "n_shingles", "class", "mark", "drawn"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, class long, mark binary, drawn binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, n_shingles long, class long, mark binary, drawn binary")
 
 
 def frequent_shingles(known: DataFrame, buckets: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -157,8 +157,8 @@ def frequent_shingles(known: DataFrame, buckets: int, most: int) -> tuple[np.nda
             top = np.flatnonzero(n >= LEAST_SAMPLED)
             yield pa.RecordBatch.from_arrays([pa.array(x[top].view(np.int64)), pa.array(n[top])], ["x", "n"])
 
-    sent = known.where("drawn is not null").select("drawn").mapInArrow(deal, "bucket int, rows binary")
-    rows = dealt(sent, buckets).mapInArrow(count, "x long, n long").orderBy(F.desc("n"), "x").limit(most).collect()
+    sent = known.where("drawn is not null").select("drawn").mapInArrow(lean(deal), "bucket int, rows binary")
+    rows = dealt(sent, buckets).mapInArrow(lean(count), "x long, n long").orderBy(F.desc("n"), "x").limit(most).collect()
     x = np.array([r.x for r in rows], np.int64).view(U)
     order = np.argsort(x)
     return x[order], np.array([r.n for r in rows], np.int64)[order] << SAMPLE_BITS
@@ -204,7 +204,7 @@ def short_lists(docs: DataFrame, buckets: int, frequent: tuple[np.ndarray, np.nd
                     part = np.where(xs[at] == rows["x"], rows["c"] % parts[at], U(0))
                 yield pack(rows, (mix(rows["x"] + part * U(0x9E3779B97F4A7C15)) % U(buckets)).astype(np.int64))
 
-    return dealt(docs.select("text").mapInArrow(run, "bucket int, rows binary"), buckets)
+    return dealt(docs.select("text").mapInArrow(lean(run), "bucket int, rows binary"), buckets)
 
 
 def merge_lists(postings: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -245,7 +245,7 @@ def merge_lists(postings: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) ->
                 members = [rows[["c", "n", "p"]][start[i] : start[i] + size[i]] for i in some]
                 yield pa.RecordBatch.from_arrays([pa.array(gid[some].view(np.int64)), pa.array(np.where(spread[some], bucket, 0).astype(np.int32)), pa.array(places[some]), pa.array([np.array(m, PAIR).tobytes() for m in members], pa.binary())], ["gid", "part", "places", "members"])
 
-    lists = postings.mapInArrow(run, "gid long, part int, places long, members binary")
+    lists = postings.mapInArrow(lean(run), "gid long, part int, places long, members binary")
     return lists.groupBy("gid", "part").agg(F.min_by("members", "places").alias("members"))
 
 
@@ -259,7 +259,7 @@ def exploded(lists: DataFrame) -> DataFrame:
             columns = [np.repeat(b.column(0).to_numpy(), [len(m) for m in held]), rows["c"].astype(U).view(np.int64), rows["n"].astype(np.int64), rows["p"].astype(np.int64)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["gid", "c", "n", "p"])
 
-    return lists.select("gid", "members").mapInArrow(run, "gid long, c long, n long, p long")
+    return lists.select("gid", "members").mapInArrow(lean(run), "gid long, c long, n long, p long")
 
 
 def fits(percent: int):
@@ -293,13 +293,13 @@ def verify(docs: DataFrame, pairs: DataFrame, one: DataFrame, k: int, percent: i
 
     side = lambda name, mark, n: one.select(F.col("class").alias(name), F.col("mark").alias(mark), F.col("n").alias(n))
     met = pairs.join(side("b", "y", "m"), "b").join(side("a", "x", "n"), "a").select("a", "b", "x", "y", "n", "m")
-    close = stage(met.mapInArrow(prune, "a long, b long"), "join-close")
+    close = stage(met.mapInArrow(lean(prune), "a long, b long"), "join-close")
     if close.isEmpty():
         return close
     wanted = close.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(one.select("class", "doc_id"), "class").where("doc_id is not null")
     sets = stage(class_sets(docs, stage(wanted, "join-wanted"), k), "join-sets")
     met = close.join(sets.select(F.col("class").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("class").alias("a"), F.col("set").alias("x")), "a")
-    links = stage(met.select("a", "b", "x", "y").mapInArrow(probe, "a long, b long").distinct(), "join-links")
+    links = stage(met.select("a", "b", "x", "y").mapInArrow(lean(probe), "a long, b long").distinct(), "join-links")
     drop_stage(close, sets)
     return links
 
@@ -317,7 +317,7 @@ def class_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     # an id may be the least of several classes where rows share ids
     ids = wanted.groupBy("doc_id").agg(F.collect_set("class").alias("classes"))
     rows = texts_of(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids)
-    return rows.select(F.explode("classes").alias("class"), "text").mapInArrow(run, "class long, set binary")
+    return rows.select(F.explode("classes").alias("class"), "text").mapInArrow(lean(run), "class long, set binary")
 
 
 def with_labels(members: DataFrame, label: DataFrame | None) -> DataFrame:
@@ -327,7 +327,8 @@ def with_labels(members: DataFrame, label: DataFrame | None) -> DataFrame:
     tagged = members.join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
     tagged = stage(tagged, "join-tagged")
     apart = tagged.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gid")
-    return tagged.join(apart, "gid")
+    # staged, as are leaders: Spark splits a hot list where both sides of a join come right from a shuffle
+    return tagged.join(stage(apart, "join-apart"), "gid")
 
 
 def leader_pairs(members: DataFrame, percent: int, second: bool = False) -> DataFrame:
@@ -336,7 +337,7 @@ def leader_pairs(members: DataFrame, percent: int, second: bool = False) -> Data
     The leader has the fewest words of its own before the list's shingle: what others were copied from.
     """
     order = F.struct((F.col("p") / F.col("n")).alias("own"), "c")
-    leaders = lambda rows: rows.groupBy("gid").agg(F.min_by(F.struct("c", "n", "p", "label"), order).alias("v")).select("gid", "v.*")
+    leaders = lambda rows: stage(rows.groupBy("gid").agg(F.min_by(F.struct("c", "n", "p", "label"), order).alias("v")).select("gid", "v.*"), "join-leaders")
     first = leaders(members)
     if second:
         main = first.select("gid", F.col("label").alias("main"))

@@ -31,7 +31,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from trailmark.llm.shared import stage, table
+from trailmark.llm.shared import lean, stage, table
 from trailmark.llm.telephony import slices
 
 LENGTH, GROUP, END = 2048, 8192, 1
@@ -117,7 +117,7 @@ def pieces(docs: DataFrame, vocabulary: str, *, length: int = LENGTH) -> DataFra
                 row += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "row"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, row long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, row long")
 
 
 class Tournament:
@@ -162,7 +162,7 @@ def pack(parts: DataFrame, *, length: int = LENGTH, group_size: int = GROUP) ->
     parts = stage(parts, "pack-pieces")
     groups = max(1, -(-parts.count() // group_size))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[np.int64, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "start", "row"], kind="stable", na_position="first")
         bins, offsets = first_fit_decreasing(pdf["length"].tolist(), length)
         pdf["sequence_id"] = (int(key[0]) << 32) + np.array(bins, np.int64)

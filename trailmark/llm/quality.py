@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from trailmark.llm.labelled import fit, held_out, sample
-from trailmark.llm.shared import table
+from trailmark.llm.shared import lean, table
 from trailmark.llm.telephony import slices
 
 BITS, BOUND = 18, 8000
@@ -123,7 +123,7 @@ def score_quality(docs: DataFrame, model: bytes, *, threshold: float = 0.7) -> D
             scores = [score_text(x or "", weights, codes) for x in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(4, 2).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(4, 2).alias("held_out"), "text").mapInArrow(lean(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: bytes, *, threshold: float = 0.7) -> DataFrame:
@@ -135,7 +135,7 @@ def keep_good(docs: DataFrame, model: bytes, *, threshold: float = 0.7) -> DataF
         for b in slices(batches, at):
             yield b.filter(pa.array([score_text(x or "", weights, CODES) >= threshold for x in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op8_quality_ftrl(spark, sf_dir):

@@ -7,14 +7,22 @@ only costs the tasks that it was running.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import gc
 import re
 import tempfile
 import time
 import uuid
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from trailmark.llm import hashing
+
 BLOOM_BITS = 24
 _LOCAL: dict[str, str] = {}
 _FOLDERS: set[str] = set()
@@ -76,6 +84,25 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a partition, giving freed memory back to the machine when the partition ends.
+
+    Workers live on for later stages; what theirs left behind would count beside them.
+    """
+
+    @functools.wraps(run)
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            hashing.forget()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from trailmark.llm.hashing import U, mix, powers, prefix_sums, salt, text_bytes
 from trailmark.llm.ngram_join import by_bucket, pack
-from trailmark.llm.shared import release, stage, table, texts_of
+from trailmark.llm.shared import lean, release, stage, table, texts_of
 from trailmark.llm.telephony import slices
 
 LEAST = 50
@@ -140,7 +140,7 @@ def anchors(texts: DataFrame, buckets: int, least: int) -> DataFrame:
         if held:
             yield flush()
 
-    return texts.select("doc_id", "text").mapInArrow(run, "bucket int, rows binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return texts.select("doc_id", "text").mapInArrow(lean(run), "bucket int, rows binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
 
 
 def pack_entries(rows: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
@@ -203,7 +203,7 @@ def compare_blocks(entries: DataFrame, buckets: int) -> DataFrame:
             out["doc"], out["code"], out["kind"] = doc[pick], block_code(key[pick], fp[pick]), np.where(repeated[pick], REPEATED, DOUBLE)
             yield pack(out, (mix(out["doc"].view(U)) % U(buckets)).astype(np.int64))
 
-    return entries.mapInArrow(run, "bucket int, rows binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return entries.mapInArrow(lean(run), "bucket int, rows binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
 
 
 def per_document(replies: DataFrame) -> DataFrame:
@@ -219,7 +219,7 @@ def per_document(replies: DataFrame) -> DataFrame:
                 codes = [[np.sort(p["code"][p["kind"] == kind]).tobytes() for p in parts] for kind in (REPEATED, DOUBLE)]
                 yield pa.RecordBatch.from_arrays([pa.array([int(p["doc"][0]) for p in parts], pa.int64()), *(pa.array(c, pa.binary()) for c in codes)], ["doc_id", "repeated", "double"])
 
-    return replies.mapInArrow(run, "doc_id long, repeated binary, double binary")
+    return replies.mapInArrow(lean(run), "doc_id long, repeated binary, double binary")
 
 
 def member(values: np.ndarray, codes: bytes | None) -> np.ndarray:
@@ -260,8 +260,8 @@ def double_ranks(docs: DataFrame, found: DataFrame, buckets: int, least: int) ->
             yield pack(out, (mix(out["doc"].view(U)) % U(buckets)).astype(np.int64))
 
     wanted = found.where(F.octet_length("double") > 0).select("doc_id", "double")
-    sent = texts_of(docs.select("doc_id", "text"), wanted).select("doc_id", "text", "double").mapInArrow(emit, "bucket int, rows binary")
-    sent = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(rerank, "bucket int, rows binary")
+    sent = texts_of(docs.select("doc_id", "text"), wanted).select("doc_id", "text", "double").mapInArrow(lean(emit), "bucket int, rows binary")
+    sent = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(rerank), "bucket int, rows binary")
     return per_document(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket")).select("doc_id", F.col("repeated").alias("pairs"))
 
 
@@ -334,7 +334,7 @@ def find_repeats(docs: DataFrame, *, least: int = LEAST) -> tuple[DataFrame, Dat
 
     touched = found.where(F.octet_length("repeated") > 0).select("doc_id", "repeated").join(pairs, "doc_id", "full")
     cuts = texts_of(docs.select("doc_id", "text"), stage(touched, "dedup-touched")).select("doc_id", "text", "repeated", "pairs")
-    cuts = stage(cuts.mapInArrow(cut, "doc_id long, text_sha binary, spans array<struct<start:bigint,end:bigint>>, kept_sha256 string").dropDuplicates(["doc_id", "text_sha"]), "dedup-cuts")
+    cuts = stage(cuts.mapInArrow(lean(cut), "doc_id long, text_sha binary, spans array<struct<start:bigint,end:bigint>>, kept_sha256 string").dropDuplicates(["doc_id", "text_sha"]), "dedup-cuts")
     # hot texts: the side that is joined has one row a text, and Spark splits the other
     rows = known.join(first.select("text_sha", "least_id"), "text_sha", "left")
     rows = rows.select("doc_id", "text_sha", "n_bytes", F.coalesce(F.col("doc_id") > F.col("least_id"), F.lit(False)).alias("copy"))
@@ -388,7 +388,7 @@ def remove_repeats(docs: DataFrame, *, least: int = LEAST) -> DataFrame:
 
     sha = F.unhex(F.sha2(F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")), 256))
     met = docs.join(found.hint("shuffle_hash"), (docs["doc_id"] == F.col("dedup_id")) & (sha == F.col("dedup_sha")), "left")
-    out = met.select(*[docs[c] for c in names], "dedup_copy", "dedup_spans").mapInArrow(run, docs.schema)
+    out = met.select(*[docs[c] for c in names], "dedup_copy", "dedup_spans").mapInArrow(lean(run), docs.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
 

@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from trailmark.llm.shared import stage, table
+from trailmark.llm.shared import lean, stage, table
 
 UNIT = 64
 PCM, ALAW, MULAW, IMA = 1, 6, 7, 17
@@ -249,7 +249,7 @@ def encode_payloads(docs: DataFrame, *, kind: int | None = None, rate: int = 800
             texts = [x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in texts], pa.int64()), pa.array([one(pad(x)) for x in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, n_bytes long, media binary")
 
 
 def store(media: DataFrame) -> DataFrame:
@@ -283,7 +283,7 @@ def decode_media(media: DataFrame, *, rate: int = 16000) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], [*kinds])
 
     schema = ", ".join(f"{n} {'string' if k == pa.string() else 'binary' if k == pa.binary() else 'long'}" for n, k in kinds.items())
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(lean(run), schema)
 
 
 def op3_telephony_media(spark, sf_dir):

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from trailmark.llm.labelled import fit, held_out, sample
-from trailmark.llm.shared import table
+from trailmark.llm.shared import lean, table
 from trailmark.llm.telephony import slices
 
 BITS, BOUND = 20, 6000
@@ -266,7 +266,7 @@ def score_toxicity(docs: DataFrame, model: bytes, *, threshold: float = 0.5, spa
             columns = [b.column(0), b.column(1), pa.array(score, pa.float64()), pa.array([int(s >= threshold) for s in score], pa.int32()), pa.array(spans, SPANS)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(5, 0).alias("held_out"), "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(5, 0).alias("held_out"), "text").mapInArrow(lean(run), SCHEMA)
 
 
 def spans_of(text: str, p: np.ndarray, threshold: float) -> list[dict]:

@@ -45,7 +45,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from trailmark.llm.shared import stage, table
+from trailmark.llm.shared import lean, stage, table
 from trailmark.llm.telephony import slices
 
 LEAST_BYTES = 100
@@ -138,7 +138,7 @@ def write_archives(pages: DataFrame, *, least_bytes: int = LEAST_BYTES, block_re
                 members.append(record(page, url, payload, len(payload), digests[-1].hex(), None))
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(members, pa.binary()), pa.nulls(b.num_rows, pa.int64())], [*CAPTURE])
 
-    captures = pages.select(key_column().alias("key"), "page_id", "url", "html").mapInArrow(compress, ", ".join(map(" ".join, CAPTURE.items())))
+    captures = pages.select(key_column().alias("key"), "page_id", "url", "html").mapInArrow(lean(compress), ", ".join(map(" ".join, CAPTURE.items())))
     # The decisions travel in the same range shuffle as the records and sort before them.
     known = revisits(pages, least_bytes)
     known = known.select(*[F.col(c) if c in known.columns else F.lit(None).cast(kind).alias(c) for c, kind in CAPTURE.items()])
@@ -177,7 +177,7 @@ def write_archives(pages: DataFrame, *, least_bytes: int = LEAST_BYTES, block_re
         if lines:
             yield close()
 
-    return stage(rows.mapInArrow(build, BLOCKS), "warc")
+    return stage(rows.mapInArrow(lean(build), BLOCKS), "warc")
 
 
 def directory(blocks: DataFrame) -> DataFrame:
@@ -229,10 +229,10 @@ def lookup_many(blocks: DataFrame, wanted: DataFrame, *, keep_html: bool = True)
                         rows.append(read_record(bytes(body[at : at + n])))
             yield pa.RecordBatch.from_arrays([pa.array([r[c] if keep_html or c != "payload" else None for r in rows], k) for c, k in kinds.items()], [*kinds][:-1] + ["html"])
 
-    routed = wanted.select("low", "high").mapInArrow(route, "archive string, low string, high string")
+    routed = wanted.select("low", "high").mapInArrow(lean(route), "archive string, low string, high string")
     met = routed.groupBy("archive").cogroup(directory(blocks).groupBy("archive")).applyInPandas(search, "archive string, block int, low string, high string")
     met = met.groupBy("archive", "block").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
-    return blocks.join(met, ["archive", "block"]).select("cdx", "warc", "ranges").mapInArrow(read, RECORDS)
+    return blocks.join(met, ["archive", "block"]).select("cdx", "warc", "ranges").mapInArrow(lean(read), RECORDS)
 
 
 def one_key(key: Column) -> list[Column]:
@@ -257,7 +257,7 @@ def export_archives(blocks: DataFrame, folder: str) -> None:
             yield pa.RecordBatch.from_arrays([pa.array([gzip.decompress(x.as_py())[:-1] for x in b.column(0)], pa.binary())], ["value"])
 
     ordered = blocks.repartition("archive").sortWithinPartitions("archive", "block").select("warc")
-    ordered.mapInArrow(unpack, "value binary").select(F.col("value").cast("string")).write.text(folder)
+    ordered.mapInArrow(lean(unpack), "value binary").select(F.col("value").cast("string")).write.text(folder)
 
 
 def op2_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:

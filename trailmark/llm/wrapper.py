@@ -38,7 +38,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from trailmark.llm.shared import stage, table
+from trailmark.llm.shared import lean, stage, table
 from trailmark.llm.telephony import slices
 
 # Fixed values of HTML: elements by their part in a page.
@@ -424,12 +424,12 @@ def extract(pages: DataFrame, *, share: float = 0.9, least: int = 5, prototypes:
             found = [slots(*x) for x in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int64()))], ["host", "layout", "slots"])
 
-    rows = stage(pages.select("page_id", "url", "html", "host").mapInArrow(run, BLOCKS), "html-blocks")
+    rows = stage(pages.select("page_id", "url", "html", "host").mapInArrow(lean(run), BLOCKS), "html-blocks")
     layouts = rows.select("host", "layout", "page_code", "skeleton").dropDuplicates(["host", "layout", "page_code"])
     layouts = stage(layouts.groupBy("host", "layout").agg(F.count(F.lit(1)).alias("pages"), F.first("skeleton").alias("skeleton")), "html-layouts")
     rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("pages"), "layout"))
     models = layouts.withColumn("rank", rank).where((F.col("rank") == 1) | ((F.col("rank") <= prototypes) & (F.col("pages") >= least))).groupBy("host").agg(F.array_sort(F.collect_list(F.struct("rank", "layout", "skeleton"))).alias("models"))
-    placed = stage(layouts.join(models, "host").select("host", "layout", "skeleton", "models").mapInArrow(align, "host string, layout long, slots array<bigint>"), "html-slots")
+    placed = stage(layouts.join(models, "host").select("host", "layout", "skeleton", "models").mapInArrow(lean(align), "host string, layout long, slots array<bigint>"), "html-slots")
 
     lines = rows.select("host", "page_code", "layout", F.explode("blocks").alias("x")).select("host", "layout", "page_code", "x.node", "x.code").distinct()
     lines = lines.join(placed, ["host", "layout"]).select("host", F.expr("slots[node]").alias("slot"), "page_code", "code").distinct()
