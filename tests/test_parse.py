@@ -64,3 +64,17 @@ def test_rows_equal_single_texts(spark):
     for r in rows:
         one = parse(r.text)
         assert r.p.ok == one["ok"] and (not r.p.ok or (r.p.best.lat, r.p.best.fmt, r.p.conf) == (one["best"]["lat"], one["best"]["fmt"], one["conf"]))
+
+
+@pytest.mark.parametrize("text", ["45 DEGR\u00c9S 16.277' N 5 DEGR\u00c9S 56.052' E", "N 45\u00b016.277'\u2028E 005\u00b056.052'", "45.271283,\ufeff5.934200", "45.271283\u16805.934200"])
+def test_accented_capitals_and_unicode_blanks(text):
+    p = parse(text)
+    assert p["ok"] and distance_m((p["best"]["lat"], p["best"]["lon"]), (LAT, LON)) < 3
+
+
+def test_long_text_takes_under_two_seconds():
+    import time
+
+    text = "Une ligne de texte sans position, ou presque.\n" * 300 + "N 45\u00b016.277' E 005\u00b056.052'"
+    start = time.perf_counter()
+    assert parse(text)["ok"] and time.perf_counter() - start < 2

@@ -376,3 +376,35 @@ def map_images(df: DataFrame, kernel: Callable[[np.ndarray], dict], schema: str)
             yield pd.DataFrame([{"id": i, **kernel(np.frombuffer(g, np.uint8).reshape(h, w))} for i, g, w, h in zip(b["id"], b["gray"], b["w"], b["h"])], columns=None if len(b) else ["id"])
 
     return df.select("id", "gray", "w", "h").mapInPandas(run, schema)
+
+
+def display_tone(v) -> np.ndarray:
+    """Grey values in an S for the eye: a logistic curve about the middle."""
+    return np.floor(255 / (1 + np.exp(-(np.asarray(v, float) - 128) / 30)) + 0.5).astype(np.uint8)
+
+
+def cropped(g: np.ndarray, box: tuple[float, float, float, float], width: int) -> np.ndarray:
+    """A box of fractions (x, y, w, h) of an image, at ``width`` pixels by nearest neighbours."""
+    h, w = g.shape
+    x0, y0 = int(box[0] * w), int(box[1] * h)
+    part = g[y0 : max(y0 + 1, int(np.ceil((box[1] + box[3]) * h))), x0 : max(x0 + 1, int(np.ceil((box[0] + box[2]) * w)))]
+    height = max(1, round(part.shape[0] * width / part.shape[1]))
+    rows = np.minimum((np.arange(height) + 0.5) * part.shape[0] / height, part.shape[0] - 1).astype(int)
+    columns = np.minimum((np.arange(width) + 0.5) * part.shape[1] / width, part.shape[1] - 1).astype(int)
+    return part[np.ix_(rows, columns)]
+
+
+def zone_display(g: np.ndarray, box: tuple[float, float, float, float], width: int = 1400) -> np.ndarray:
+    """A zone for the eye: cropped, sharpened, in the tones of ``display_tone``."""
+    part = cropped(g, box, width)
+    return display_tone(enhance(part, {"lo": 0, "hi": 255, "contrast": 1, "sharp": 1.2}, max(2, round(part.shape[1] / 300))))
+
+
+FULL = (0.0, 0.0, 1.0, 1.0)
+
+
+def zone_views(g: np.ndarray) -> list[dict]:
+    """The views in which a photo is searched: whole and its screen if it shows one, each as it is and with an even background."""
+    found = screen_box(cropped(g, FULL, min(160, g.shape[1])))
+    boxes = [("whole", FULL)] + ([("screen", found)] if found is not None else [])
+    return [{"name": name, "box": box, "flat": flat} for name, box in boxes for flat in (False, True)]

@@ -2,8 +2,7 @@
 
 The grammar is ordered and recursive over a handful of tokens a text, with one
 Unicode step (NFKC) that Spark lacks, so the whole parse is one Arrow-batched
-function that stays inside its stage: no shuffle, no explode. A native filter
-(``may_hold_position``) keeps texts without two numbers away from Python.
+function that stays inside its stage: no shuffle, no explode.
 
 Work a text is linear in its tokens: windows hold ten tokens and six numbers at
 most. Candidates are numbered in the order of their making, which breaks ties.
@@ -30,12 +29,13 @@ APOSTROPHES, QUOTES, DEGREES = "′’‘´`ʹʼ", "″“”ʺ", "º˚ᵒ⁰°"
 SKIPPED = frozenset("lat latitude lon lng long longitude position pos gps coord coordonnée coordonnee coordonnées coordonnees wgs wgs84 point".split())
 HEMISPHERES = {"nord": "N", "north": "N", "sud": "S", "south": "S", "est": "E", "east": "E", "ouest": "W", "west": "W", "n": "N", "s": "S", "e": "E", "w": "W", "o": "O"}
 NEUTRAL = frozenset(",;/ \t\r\n\v\f:()[]=@&?#+_|!.~*-")
+BLANKS = re.compile("[\u1680\u2028\u2029\ufeff]")  # white space that NFKC leaves and an ASCII pattern misses
 STEPS = [
     (re.compile(f"[{APOSTROPHES}]"), "'"),
     (re.compile(f"[{QUOTES}]"), '"'),
     (re.compile("''"), '"'),
     (re.compile(f"[{DEGREES}]"), "°"),
-    (re.compile(r"\bdeg(?:r[eé]s?)?\b", re.I | A), "°"),
+    (re.compile(r"\bdeg(?:r[eéÉ]s?)?\b", re.I | A), "°"),
     (re.compile(r"(\d)\s*\*", A), r"\1°"),
     (re.compile(r"(^|[^A-Za-z0-9.,])([oO]{1,2})(?=\d)", A), lambda m: m[1] + "0" * len(m[2])),
     (re.compile(r"(^|[^\d.,])(\d{1,3})[oO](?=\s?\d{1,2}(?:[.,][\dOo]|\s*'|\s+\d))", A), r"\1\2°"),
@@ -78,7 +78,7 @@ class Candidate:
 
 
 def normalise(text: str) -> str:
-    out = unicodedata.normalize("NFKC", text)
+    out = BLANKS.sub(" ", unicodedata.normalize("NFKC", text))
     for pattern, by in STEPS:
         out = pattern.sub(by, out)
     for _ in range(3):  # one repair may make room for another beside it
@@ -327,11 +327,6 @@ def _token_rows(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
-def may_hold_position(text: Column) -> Column:
-    """False only for texts that cannot give a candidate: fewer than two digits or misread digits."""
-    return text.rlike("(?s)[0-9\\p{No}\\p{Nd}\\p{Nl}oO].*[0-9\\p{No}\\p{Nd}\\p{Nl}]|[\\p{No}\\p{Nd}\\p{Nl}\\p{So}]")
-
-
 def parse_position(text: Column | str) -> Column:
     """The parse of a text column as a struct."""
     return F.pandas_udf(_parse, RESULT)(text)

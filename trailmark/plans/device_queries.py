@@ -217,7 +217,7 @@ def _(spark, sf):
     n = F.col("n_nationkey")
     box = F.struct((n / 50.0).alias("x"), (n / 60.0).alias("y"), F.lit(0.2).alias("w"), F.lit(0.1).alias("h"))
     size = F.struct(F.lit(640.0).alias("w"), F.lit(480.0).alias("h"))
-    return V.read(spark, sf, "nation").select(n.alias("id"), turn_box(box, size, rotated_size(F.lit(640.0), F.lit(480.0), n * 3.0), n * 3.0).alias("b")).select("id", "b.*")
+    return V.read(spark, sf, "nation").select(n.alias("id"), turn_box(box, size, rotated_size(F.lit(640.0), F.lit(480.0), n * 3.0), n * 3.0).alias("b")).select("id", *[F.round(f"b.{c}", 9).alias(c) for c in "xywh"])
 
 
 @query("put_point_rank")

@@ -106,7 +106,7 @@ def _(spark, sf):
 
 @query("settle_reading")
 def _(spark, sf):
-    return O.settle(readings(spark, sf)).drop("alts")
+    return O.settle(readings(spark, sf)).drop("alts").withColumn("notes", F.array_join("notes", ","))
 
 
 @query("read_loop")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from trailmark.plans import device_queries, geo_queries, reading_queries, track_queries
+from trailmark.plans import device_queries, geo_queries, place_queries, reading_queries, track_queries
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (geo_queries, track_queries, reading_queries, device_queries):
+for _module in (geo_queries, track_queries, reading_queries, device_queries, place_queries):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
