@@ -12,11 +12,10 @@ R of the query's distance to that pivot (triangle inequality), so the search
 expands over the sorted annuli that meet this interval and stops at the rest.
 
 Pivots are fitted by a few k-means rounds on at most ``sample`` vectors (those
-with the least hashes of their ids); every vector is indexed. There is a pivot
-for the square root of a 16th of the vectors, at least 16 and at most
-``most_pivots``, so that a cell does not grow with the table before that bound.
-What the driver holds, and what is broadcast, is pivots and annuli: at most
-``most_pivots`` times ``annuli`` lines for each dimension in the table.
+with the least hashes of their ids); every vector is indexed. What the driver
+holds, and what is broadcast, is pivots and annuli: at most ``pivots`` times
+``annuli`` lines for each dimension in the table. More pivots prune better, but a
+pack of queries travels once to each ring that it may reach.
 
 Scores are exact integers: floating point where products stay below 2**53, 64-bit
 integers below 2**63, and Python's integers beyond. The search itself is in
@@ -115,20 +114,20 @@ def slack(dim: int) -> float:
     return (dim + 8) * 2.0**-50
 
 
-def build_index(vectors: DataFrame, *, k: int, pivots: int | None = None, most_pivots: int = 256, annuli: int = 16, sample: int = 4096) -> tuple[DataFrame, DataFrame, dict]:
+def build_index(vectors: DataFrame, *, k: int, pivots: int = 16, annuli: int = 16, sample: int = 4096) -> tuple[DataFrame, DataFrame, dict]:
     """Keyed vectors, their blocks and the bounded directory of the index."""
     spark = vectors.sparkSession
     base = stage(quantised(vectors).dropDuplicates(["vec_id", "vec"]), "topk-rows")
     norm = F.aggregate("vec", F.lit(0.0), lambda s, v: s + v.cast("double") * v)
     largest = F.max(F.array_max(F.transform("vec", lambda v: F.abs(v)))).alias("most")
-    found = base.groupBy(F.size("vec").alias("dim")).agg(F.max(norm).alias("top"), largest, F.count(F.lit(1)).alias("n")).collect()
-    tops, count = {r.dim: r.top for r in found}, {r.dim: r.n for r in found}
+    found = base.groupBy(F.size("vec").alias("dim")).agg(F.max(norm).alias("top"), largest).collect()
+    tops = {r.dim: r.top for r in found}
     kind = "int" if max((r.most for r in found), default=0) < 2**31 else "bigint"  # what moves is as narrow as it can be
     base = base.withColumn("vec", F.col("vec").cast(f"array<{kind}>"))
     chosen: dict[int, list] = {}
     for r in base.orderBy(F.xxhash64("vec_id"), "vec_id", "vec").limit(sample).collect():
         chosen.setdefault(len(r.vec), []).append(r.vec)
-    centres = {d: fit_pivots(v, tops[d], pivots or min(most_pivots, max(16, int((count[d] / 16) ** 0.5)))) for d, v in chosen.items()}
+    centres = {d: fit_pivots(v, tops[d], pivots) for d, v in chosen.items()}
 
     def assign(batches):
         for b in batches:
