@@ -1,5 +1,8 @@
 """Held-out accuracy on the small tables, and edge cases."""
 
+import math
+import zlib
+
 import numpy as np
 import pytest
 
@@ -77,3 +80,58 @@ def test_keep_good_passes_all_columns(spark):
     kept = Q.keep_good(docs, model)
     assert kept.schema == docs.schema
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in Q.score_quality(docs, model).where("predicted = 1").collect()}
+
+
+def plain_scores(spark, path, modulus, rest):
+    docs = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text").collect()
+    return [(d, t or "", zlib.crc32(str(d).encode()) % modulus == rest) for d, t in docs]
+
+
+def test_quality_query_equals_a_plain_computation(spark):
+    """held_out, score and predicted, recomputed feature by feature from the fitted weights."""
+    path = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
+    weights = np.frombuffer(Q.fit_quality(docs, labels), np.float32).astype(float)
+    got = {r.doc_id: r for r in Q.op8_quality_ftrl(spark, path).collect()}
+    mask = (1 << 64) - 1
+    k1, k2, k3 = int(Q.K1), int(Q.K2), int(Q.K3)
+    for d, text, held in plain_scores(spark, path, 4, 2):
+        words = text.split()
+        code = [Q.CODES[w] for w in words]
+        core, shape = [c >> 16 for c in code], [c & 0xFFFF for c in code]
+        kinds = [[c * k1 & mask for c in core], [s * k2 & mask for s in shape]]
+        if len(words) > 1:
+            kinds.append([k3 if a == b else (a * k1 + b * k3) & mask for a, b in zip(core, core[1:])])
+            kinds.append([(a * k3 + b * k2 + 1) & mask for a, b in zip(shape, shape[1:])])
+        total = weights[-1]
+        for values in kinds:
+            for x in values:
+                total += weights[(((x ^ x >> 29) * k2 & mask) >> 31) & (1 << Q.BITS) - 1] * Q.GAIN / len(values)
+        score = 1 / (1 + math.exp(-max(-35, min(35, total))))
+        r = got[d]
+        assert r.held_out == held and abs(r.score - score) < 1e-9 and r.predicted == int(r.score >= 0.7)
+    assert len(got) == docs.count()
+
+
+def test_toxicity_query_equals_a_plain_computation(spark):
+    """held_out, score and predicted from the fitted field, marginals by unscaled forward-backward in logarithms."""
+    path = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
+    model = np.frombuffer(X.fit_toxicity(docs, labels), np.float32).astype(float)
+    moves, head, emit = model[:4].reshape(2, 2), model[4:9], model[X.HEAD :]
+    got = {r.doc_id: r for r in X.op9_toxicity_crf(spark, path).collect()}
+    for d, text, held in plain_scores(spark, path, 5, 0):
+        e = [sum(emit[t % X.SIZE] for t in X.traits(w)) for w in X.WORD.findall(text)]
+        n = len(e)
+        ahead, back = np.zeros((n, 2)), np.zeros((n, 2))
+        for t in range(n):
+            came = np.logaddexp(*(ahead[t - 1, a] + moves[a] for a in (0, 1))) if t else np.zeros(2)
+            ahead[t] = came + [0.0, e[t]]
+        for t in range(n - 2, -1, -1):
+            back[t] = [np.logaddexp(moves[a, 0] + back[t + 1, 0], moves[a, 1] + e[t + 1] + back[t + 1, 1]) for a in (0, 1)]
+        both = ahead + back
+        p = 1 / (1 + np.exp(-np.clip(both[:, 1] - both[:, 0], -35, 35)))
+        score = 1 / (1 + math.exp(-max(-35, min(35, head[0] + head[1:] @ X.summary(p)))))
+        r = got[d]
+        assert r.held_out == held and abs(r.score - score) < 1e-6 and r.predicted == int(r.score >= 0.5)
+    assert len(got) == docs.count()

@@ -80,6 +80,15 @@ def test_texts_lose_their_repeats(spark):
     assert kept[2].n_chars == 3 and kept[2].repeated == "clash"
 
 
+def test_names_of_joined_columns_may_clash_and_empty_tables_pass(spark):
+    rows = [(1, "a" * 60, True, "x", 7), (2, "b" + "a" * 60, False, "y", 8), (None, "a" * 60, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, copy boolean, spans string, dedup_id int")
+    kept = S.remove_repeats(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, "a" * 60, True, "x", 7), (2, "b", False, "y", 8), (None, "a" * 60, None, None, None)], key=str)
+    assert S.remove_repeats(docs.where("false")).collect() == []
+
+
 def test_characters_stay_whole():
     data = "aé".encode() * 3
     assert S.kept_text(data, [(2, 5)]) == "aééaé"  # only the whole "a" at 3 goes

@@ -370,15 +370,16 @@ def kept_text(data: bytes, spans: list[tuple[int, int]]) -> str:
 
 
 def remove_repeats(docs: DataFrame, *, least: int = LEAST) -> DataFrame:
-    """The rows of ``docs`` with repeated passages cut from ``text`` and ``n_chars`` set anew."""
-    rows, cuts = find_repeats(docs, least=least)
-    whole = rows.where("copy").select("doc_id", "text_sha", F.lit(True).alias("dedup_copy"), F.lit(None).cast("array<struct<start:bigint,end:bigint>>").alias("dedup_spans")).distinct()
-    some = cuts.select("doc_id", "text_sha", F.lit(False).alias("dedup_copy"), F.col("spans").alias("dedup_spans"))
-    found = whole.unionByName(some.join(whole, ["doc_id", "text_sha"], "left_anti")).withColumnRenamed("doc_id", "dedup_id").withColumnRenamed("text_sha", "dedup_sha")
+    """The rows of ``docs`` with repeated passages cut from ``text`` and ``n_chars`` set anew; no column name is reserved."""
+    rows, cuts = find_repeats(docs.select("doc_id", "text"), least=least)
+    whole = rows.where("copy").select("doc_id", "text_sha", F.lit(True).alias("copy"), F.lit(None).cast("array<struct<start:bigint,end:bigint>>").alias("spans")).distinct()
+    some = cuts.select("doc_id", "text_sha", F.lit(False).alias("copy"), "spans")
+    found = whole.unionByName(some.join(whole, ["doc_id", "text_sha"], "left_anti"))
     names, at = docs.columns, docs.columns.index("text")
 
     def run(batches):
-        for b in slices(batches, at):
+        flat = (pa.RecordBatch.from_arrays([*b.column(0).flatten(), b.column(1), b.column(2)], [*names, "", ""]) for b in batches)
+        for b in slices(flat, at):
             n, texts = len(names), []
             for text, copy, spans in zip(b.column(at).to_pylist(), b.column(n).to_pylist(), b.column(n + 1).to_pylist()):
                 texts.append("" if copy else text if not spans else kept_text(text.encode(), [(s["start"], s["end"]) for s in spans]))
@@ -386,9 +387,9 @@ def remove_repeats(docs: DataFrame, *, least: int = LEAST) -> DataFrame:
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    sha = F.unhex(F.sha2(F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")), 256))
-    met = docs.join(found.hint("shuffle_hash"), (docs["doc_id"] == F.col("dedup_id")) & (sha == F.col("dedup_sha")), "left")
-    out = met.select(*[docs[c] for c in names], "dedup_copy", "dedup_spans").mapInArrow(lean(run), docs.schema)
+    sha = F.unhex(F.sha2(F.coalesce(F.encode("d.row.text", "UTF-8"), F.lit(b"")), 256))
+    met = docs.select(F.struct("*").alias("row")).alias("d").join(found.alias("f"), (F.col("d.row.doc_id") == F.col("f.doc_id")) & (sha == F.col("f.text_sha")), "left")
+    out = met.select("d.row", "f.copy", "f.spans").mapInArrow(lean(run), docs.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
 

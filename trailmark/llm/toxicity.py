@@ -24,6 +24,7 @@ empty table gives an empty result; extra columns are not read.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from array import array
@@ -38,7 +39,7 @@ from trailmark.llm.telephony import slices
 
 BITS, BOUND = 20, 6000
 SIZE = 1 << BITS
-WINDOW, CELLS = 64, 1 << 20
+WINDOW, CELLS, CLEAN_SHARE = 64, 1 << 20, 0.1
 HEAD = 4 + 6  # transitions 00 01 10 11, then bias and weights of the document's score
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -169,8 +170,11 @@ def summary(p: np.ndarray) -> np.ndarray:
     return np.array([np.log1p(s), min(s, 3.0), float(p.max()), np.log1p(1000 * s / len(p)) / 4])
 
 
-def train(texts: list[str], labels: list[int], rounds: int = 8, rate: float = 0.3) -> bytes:
-    """float32: 4 transitions, 6 numbers of the document's score, SIZE emissions."""
+def train(texts: list[str], labels: list[int], rounds: int = 8, rate: float = 0.3, clean_share: float = CLEAN_SHARE) -> bytes:
+    """float32: 4 transitions, 6 numbers of the document's score, SIZE emissions.
+
+    Of the sample's windows without an offending word the share ``clean_share`` is learnt from.
+    """
     model = np.zeros(HEAD + SIZE, np.float32)
     if not texts:
         return model.tobytes()
@@ -185,7 +189,7 @@ def train(texts: list[str], labels: list[int], rounds: int = 8, rate: float = 0.
         tags = hit[doc].astype(np.int64) * y
         for a in range(0, len(doc), WINDOW):
             # of windows without an offending word a fixed share is enough to learn from
-            if tags[a : a + WINDOW].any() or rng.random() < 0.1:
+            if tags[a : a + WINDOW].any() or rng.random() < clean_share:
                 windows.append((doc[a : a + WINDOW], tags[a : a + WINDOW]))
     weights, squares = np.zeros(SIZE), np.full(SIZE, 1e-8)
     moves, moves_sq = np.zeros((2, 2)), np.full((2, 2), 1e-8)
@@ -245,8 +249,8 @@ def expected(emission: np.ndarray, moves: np.ndarray) -> np.ndarray:
     return (joint / joint.sum((0, 1))).sum(2)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, bound: int = BOUND) -> bytes:
-    return fit(sample(docs, labels, "toxic", held_out(5, 0), bound, per_class=True), train)
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, bound: int = BOUND, clean_share: float = CLEAN_SHARE) -> bytes:
+    return fit(sample(docs, labels, "toxic", held_out(5, 0), bound, per_class=True), functools.partial(train, clean_share=clean_share))
 
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, spans array<struct<start:int,end:int,probability:double>>"
