@@ -3,6 +3,14 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet in the shared folder and read again as the next stage's ``docs``.
 All but the last return the columns of ``documents``.
+
+In every stage: an empty table gives an empty one; columns beyond those of
+``documents`` pass through under any name. Rows with a null or empty text are
+scored like others; where they are good they have no shingles, no repeats and no
+words, so the join and the dedup keep them and the mixture, which counts words,
+drops them. Rows without an id are never near duplicates and lose no passage, and
+are mixed and packed like others. Of rows that repeat an id the join keeps one.
+Ties go to the smaller id.
 """
 
 from __future__ import annotations
