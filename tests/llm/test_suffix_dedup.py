@@ -50,11 +50,48 @@ def frame(spark, rows, parts=5):
     return spark.createDataFrame([(d, t, len(t or ""), "clash") for d, t in rows], SCHEMA).repartition(parts)
 
 
-@pytest.mark.parametrize("least", [50, 21])
-def test_equals_brute_force(spark, least):
+def digest(df):
+    return sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in df.collect()), key=str)
+
+
+@pytest.mark.parametrize("options", [{"least": 50}, {"least": 21}, {"least": 50, "sampled": 1, "hot": 2}, {"least": 50, "sampled": 2, "hot": 1}])
+def test_equals_brute_force(spark, options):
     rows = corpus()
-    got = S.repeated_substrings(frame(spark, rows), least=least).collect()
-    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == brute(rows, least)
+    assert digest(S.repeated_substrings(frame(spark, rows), **options)) == brute(rows, options["least"])
+
+
+def hot_corpus():
+    """A line that all documents have, among other words in each; in a third of them with the same words."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    line = " ".join(word() for _ in range(9))
+    same = " ".join(word() for _ in range(9)) + line + " ".join(word() for _ in range(9))
+    return [(i * 7 % 601, word() + word() + (same if i % 3 else line) + word() + word() + " ".join(word() for _ in range(9))) for i in range(600)]
+
+
+def test_hot_line_equals_brute_force(spark, monkeypatch):
+    rows = hot_corpus()
+    want = brute(rows)
+    assert digest(S.repeated_substrings(frame(spark, rows), sampled=1, hot=20)) == want
+    monkeypatch.setattr(S, "HOT_ANCHORS", 1)  # the table is full: the others are dealt by rank
+    assert digest(S.repeated_substrings(frame(spark, rows), sampled=1, hot=20)) == want
+
+
+def test_hot_anchors_are_spread(spark):
+    """No bucket gets more than a part of a hot anchor, and a hot block is one entry a task."""
+    rows, buckets = hot_corpus(), 16
+    docs = frame(spark, rows, 4)
+    hot = S.hot_anchors(docs, 50, 1, 20)
+    assert 0 < len(hot) < 60
+    met = {}
+    for r in S.anchors(docs, buckets, 50, hot).where("bucket >= 0").collect():
+        for e in S.unpack_entries(np.frombuffer(bytes(r.rows), np.uint8)):
+            met.setdefault(int(e["key"]), {}).setdefault(r.bucket, []).append(int(e["fp"]))
+    sizes = [[len(v) for v in met[int(k)].values()] for k in hot]
+    assert max(map(sum, sizes)) >= 200 and all(max(n) <= max(8, sum(n) / 4) for n in sizes)
+    for of_key in met.values():
+        for fps in of_key.values():
+            assert max(fps.count(x) for x in fps) <= 4
 
 
 def test_blocks_that_agree_in_half_their_code_stay(spark):

@@ -20,8 +20,14 @@ pair up locally only ranks that other documents may share are moved and sorted.
 
 Equal texts are found first. Of the largest groups of them (a bounded table)
 only the text with the smallest id takes part.
-A packed bucket holds a bounded number of distinct (rank, block) entries per
-document; there are as many buckets as the bytes of the table ask for.
+
+Hot strings. The smallest document of a block is a minimum, so tasks take it
+over what they read and answer the other documents themselves: of a block that
+very many documents share, one entry a task and buffer travels. An anchor that
+very many documents have in different blocks (hot anchors, a bounded table from
+a hashed share of all documents) is dealt by block, not by rank; its blocks
+double without being asked. Which anchors are hot only moves work.
+There are as many buckets as the bytes of the table ask for.
 
 Defined results: a null or empty text has no bytes; a null id takes no part as
 a smaller id and loses nothing; rows that share an id are compared with smaller
@@ -38,13 +44,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from trailmark.llm.hashing import U, mix, powers, prefix_sums, salt, text_bytes
-from trailmark.llm.ngram_join import by_bucket, pack
+from trailmark.llm.ngram_join import by_bucket, dealt, pack
 from trailmark.llm.shared import lean, release, stage, table, texts_of
 from trailmark.llm.telephony import slices
 
 LEAST = 50
 TEXT_BYTES, EMIT_BYTES, BUCKET_BYTES = 700_000, 8 << 20, 16 << 20
-GROUPS = 1 << 15
+GROUPS, HOT_ANCHORS = 1 << 15, 1 << 18
+SAMPLED, HOT = 64, 64  # one document in SAMPLED is looked at; an anchor of HOT of those is hot
+PAIR_ROWS = 1 << 20
 ENTRY = np.dtype([("key", "<u8"), ("doc", "<i8"), ("fp", "<u8")])
 REPLY = np.dtype([("doc", "<i8"), ("code", "<u8"), ("kind", "u1")])
 EMPTY = hashlib.sha256(b"").hexdigest()
@@ -100,6 +108,10 @@ def block_code(key: np.ndarray, fp: np.ndarray) -> np.ndarray:
     return mix(key ^ mix(fp + salt(7)))
 
 
+def block_codes(rows: np.ndarray) -> np.ndarray:
+    return block_code(rows["key"], rows["fp"])
+
+
 def pair_ranks(ranks: np.ndarray, start: np.ndarray, least: int) -> np.ndarray:
     """The doubled rank of windows: of the pair of ranks at i and i + h."""
     return mix(ranks[start] + mix(ranks[start + (least - least // 2)] ^ salt(9)))
@@ -112,35 +124,80 @@ def spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + first[owner], owner
 
 
-def anchors(texts: DataFrame, buckets: int, least: int) -> DataFrame:
-    """bucket, rows: distinct (anchor rank, document, block) entries."""
+def block_entries(b: pa.RecordBatch, least: int) -> np.ndarray:
+    """Distinct (anchor rank, document, block) entries of a batch of (doc_id, text)."""
+    data, at = text_bytes(b.column(1))
+    _, _, doc, key, code, _ = blocks_of(data, at, least)
+    rows = np.empty(len(key), ENTRY)
+    rows["key"], rows["doc"], rows["fp"] = key, b.column(0).to_numpy()[doc] if len(doc) else 0, code
+    # a text that repeats itself has few distinct blocks
+    rows = rows[np.lexsort((rows["fp"], rows["key"], rows["doc"]))]
+    same = np.zeros(len(rows), bool)
+    same[1:] = rows[1:] == rows[:-1]
+    return rows[~same]
+
+
+def hot_anchors(texts: DataFrame, least: int, sampled: int, hot: int) -> np.ndarray:
+    """Ranks, sorted, of anchors that ``hot`` blocks of one document in ``sampled`` have: at most HOT_ANCHORS."""
 
     def run(batches):
-        held, size = [], 0
+        for b in slices(batches, 1, TEXT_BYTES):
+            key, n = np.unique(block_entries(b, least)["key"], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
+
+    drawn = texts.where(F.pmod(F.xxhash64(F.lit("anchor"), "doc_id"), F.lit(sampled)) == 0).select("doc_id", "text")
+    counts = drawn.mapInArrow(lean(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= hot)
+    return np.sort(np.array([r.key for r in counts.orderBy(F.desc("n"), "key").limit(HOT_ANCHORS).collect()], np.int64).view(U))
 
-        def flush():
-            rows = np.concatenate(held)
-            return pack_entries(rows, (mix(rows["key"]) % U(buckets)).astype(np.int64))
 
+def replies(rows: np.ndarray, code: np.ndarray, kind: np.ndarray | int) -> np.ndarray:
+    out = np.empty(len(rows), REPLY)
+    out["doc"], out["code"], out["kind"] = rows["doc"], code, kind
+    return out
+
+
+def to_documents(out: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(out["doc"].view(U)) % U(buckets)).astype(np.int64)
+
+
+def send(rows: np.ndarray, codes, hot: np.ndarray, buckets: int):
+    """Packed entries of the smallest document of each block, and answers to its other documents.
+
+    Answers have negative buckets: they only pass through the next step.
+    """
+    rows = rows[np.lexsort((rows["doc"], rows["fp"], rows["key"]))]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows["key"][1:] != rows["key"][:-1]) | (rows["fp"][1:] != rows["fp"][:-1])
+    least = rows["doc"][np.flatnonzero(new)][np.cumsum(new) - 1]
+    first, later = rows[new], rows[rows["doc"] > least]
+    split = member(first["key"], hot.tobytes())
+    to = np.where(split, block_code(first["key"], first["fp"]), first["key"])
+    yield pack_entries(first, (mix(to) % U(buckets)).astype(np.int64))
+    if len(later):
+        out = replies(later, codes(later), REPEATED)
+        yield pack(out, -1 - to_documents(out, buckets))
+
+
+def passed(bucket: int, blob: np.ndarray) -> pa.RecordBatch:
+    """Answers on their way to the documents' bucket."""
+    return pa.RecordBatch.from_arrays([pa.array([-1 - bucket], pa.int32()), pa.array([blob.tobytes()], pa.binary())], ["bucket", "rows"])
+
+
+def anchors(texts: DataFrame, buckets: int, least: int, hot: np.ndarray) -> DataFrame:
+    """bucket, rows: distinct (anchor rank, document, block) entries, and answers."""
+
+    def run(batches):
+        held, size = [], 0
         for b in slices(batches, 1, TEXT_BYTES):
-            data, at = text_bytes(b.column(1))
-            _, _, doc, key, code, _ = blocks_of(data, at, least)
-            rows = np.empty(len(key), ENTRY)
-            rows["key"], rows["doc"], rows["fp"] = key, b.column(0).to_numpy()[doc] if len(doc) else 0, code
-            # a text that repeats itself has few distinct blocks
-            order = np.lexsort((rows["fp"], rows["key"], rows["doc"]))
-            rows = rows[order]
-            same = np.zeros(len(rows), bool)
-            same[1:] = rows[1:] == rows[:-1]
-            held.append(rows[~same])
-            size += len(data)
+            held.append(block_entries(b, least))
+            size += b.column(1).nbytes
             if size >= EMIT_BYTES:
-                yield flush()
+                yield from send(np.concatenate(held), block_codes, hot, buckets)
                 held, size = [], 0
         if held:
-            yield flush()
+            yield from send(np.concatenate(held), block_codes, hot, buckets)
 
-    return texts.select("doc_id", "text").mapInArrow(lean(run), "bucket int, rows binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return dealt(texts.select("doc_id", "text").mapInArrow(lean(run), "bucket int, rows binary"), buckets)
 
 
 def pack_entries(rows: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
@@ -176,11 +233,14 @@ def unpack_entries(blobs: np.ndarray) -> np.ndarray:
 REPEATED, DOUBLE = 1, 2
 
 
-def compare_blocks(entries: DataFrame, buckets: int) -> DataFrame:
+def compare_blocks(entries: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
     """bucket (of documents), rows: what each document learns of its blocks."""
 
     def run(batches):
-        for _, blobs in by_bucket(batches, np.uint8):
+        for bucket, blobs in by_bucket(batches, np.uint8):
+            if bucket < 0:
+                yield passed(bucket, blobs)
+                continue
             rows = unpack_entries(blobs)
             rows = rows[np.lexsort((rows["doc"], rows["fp"], rows["key"]))]
             key, fp, doc = rows["key"], rows["fp"], rows["doc"]
@@ -194,19 +254,19 @@ def compare_blocks(entries: DataFrame, buckets: int) -> DataFrame:
             least_of_key = np.minimum.reduceat(least, starts) if len(starts) else least
             several = np.bincount(of_key, minlength=len(starts))[of_key] > 1 if len(starts) else np.zeros(0, bool)
             varied = several & (np.maximum.reduceat(least, starts)[of_key] > least_of_key[of_key]) if len(starts) else several
+            varied = varied | member(key[block], hot.tobytes())  # other blocks of these are elsewhere
             repeated = doc > least[owner]
             double = ~repeated & varied[owner] & (doc == least[owner])
             pick = np.flatnonzero(repeated | double)
             if not len(pick):
                 continue
-            out = np.empty(len(pick), REPLY)
-            out["doc"], out["code"], out["kind"] = doc[pick], block_code(key[pick], fp[pick]), np.where(repeated[pick], REPEATED, DOUBLE)
-            yield pack(out, (mix(out["doc"].view(U)) % U(buckets)).astype(np.int64))
+            out = replies(rows[pick], block_codes(rows[pick]), np.where(repeated[pick], REPEATED, DOUBLE))
+            yield pack(out, to_documents(out, buckets))
 
-    return entries.mapInArrow(lean(run), "bucket int, rows binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return dealt(entries.mapInArrow(lean(run), "bucket int, rows binary"), buckets)
 
 
-def per_document(replies: DataFrame) -> DataFrame:
+def per_document(answers: DataFrame) -> DataFrame:
     """doc_id, repeated, double: sorted codes of each document."""
 
     def run(batches):
@@ -219,7 +279,7 @@ def per_document(replies: DataFrame) -> DataFrame:
                 codes = [[np.sort(p["code"][p["kind"] == kind]).tobytes() for p in parts] for kind in (REPEATED, DOUBLE)]
                 yield pa.RecordBatch.from_arrays([pa.array([int(p["doc"][0]) for p in parts], pa.int64()), *(pa.array(c, pa.binary()) for c in codes)], ["doc_id", "repeated", "double"])
 
-    return replies.mapInArrow(lean(run), "doc_id long, repeated binary, double binary")
+    return answers.mapInArrow(lean(run), "doc_id long, repeated binary, double binary")
 
 
 def member(values: np.ndarray, codes: bytes | None) -> np.ndarray:
@@ -233,7 +293,10 @@ def member(values: np.ndarray, codes: bytes | None) -> np.ndarray:
 def double_ranks(docs: DataFrame, found: DataFrame, buckets: int, least: int) -> DataFrame:
     """doc_id, pairs: the doubled ranks of a document that a smaller one has."""
 
+    none = np.zeros(0, U)
+
     def emit(batches):
+        held, size = [], 0
         for b in slices(batches, 1, TEXT_BYTES):
             data, at = text_bytes(b.column(1))
             first, last, doc, key, code, ranks = blocks_of(data, at, least)
@@ -245,24 +308,31 @@ def double_ranks(docs: DataFrame, found: DataFrame, buckets: int, least: int) ->
             start, owner = spread(first[pick], last[pick])
             rows = np.empty(len(start), ENTRY)
             rows["key"], rows["doc"], rows["fp"] = pair_ranks(ranks, start, least), b.column(0).to_numpy()[doc[pick][owner]] if len(start) else 0, 0
-            rows = np.unique(rows)
-            yield pack_entries(rows, (mix(rows["key"]) % U(buckets)).astype(np.int64))
+            held.append(np.unique(rows))
+            size += len(held[-1])
+            if size >= PAIR_ROWS:
+                yield from send(np.concatenate(held), lambda rows: rows["key"], none, buckets)
+                held, size = [], 0
+        if held:
+            yield from send(np.concatenate(held), lambda rows: rows["key"], none, buckets)
 
     def rerank(batches):
-        for _, blobs in by_bucket(batches, np.uint8):
+        for bucket, blobs in by_bucket(batches, np.uint8):
+            if bucket < 0:
+                yield passed(bucket, blobs)
+                continue
             rows = np.unique(unpack_entries(blobs))  # by key, then document
             new = np.ones(len(rows), bool)
             new[1:] = rows["key"][1:] != rows["key"][:-1]
             least_doc = rows["doc"][np.flatnonzero(new)][np.cumsum(new) - 1] if len(rows) else rows["doc"]
-            pick = rows["doc"] > least_doc
-            out = np.empty(int(pick.sum()), REPLY)
-            out["doc"], out["code"], out["kind"] = rows["doc"][pick], rows["key"][pick], REPEATED
-            yield pack(out, (mix(out["doc"].view(U)) % U(buckets)).astype(np.int64))
+            later = rows[rows["doc"] > least_doc]
+            out = replies(later, later["key"], REPEATED)
+            yield pack(out, to_documents(out, buckets))
 
     wanted = found.where(F.octet_length("double") > 0).select("doc_id", "double")
     sent = texts_of(docs.select("doc_id", "text"), wanted).select("doc_id", "text", "double").mapInArrow(lean(emit), "bucket int, rows binary")
-    sent = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(rerank), "bucket int, rows binary")
-    return per_document(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket")).select("doc_id", F.col("repeated").alias("pairs"))
+    sent = dealt(sent, buckets).mapInArrow(lean(rerank), "bucket int, rows binary")
+    return per_document(dealt(sent, buckets)).select("doc_id", F.col("repeated").alias("pairs"))
 
 
 def removed_spans(data: np.ndarray, at: np.ndarray, repeated: list, pairs: list, least: int) -> list[np.ndarray]:
@@ -294,7 +364,7 @@ def removed_spans(data: np.ndarray, at: np.ndarray, repeated: list, pairs: list,
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def find_repeats(docs: DataFrame, *, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+def find_repeats(docs: DataFrame, *, least: int = LEAST, sampled: int = SAMPLED, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """All rows (doc_id, text_sha, n_bytes, copy), and the removed spans of touched texts.
 
     ``copy`` marks a text of ``least`` bytes or more that a smaller id has whole.
@@ -313,7 +383,8 @@ def find_repeats(docs: DataFrame, *, least: int = LEAST) -> tuple[DataFrame, Dat
     groups = first.where("copies > 1").orderBy(F.desc("copies"), "text_sha").limit(GROUPS).select("text_sha", "least_id")
     leaders = docs.where(F.octet_length("text") >= least).withColumn("text_sha", sha).join(F.broadcast(groups), "text_sha", "left")  # groups: at most GROUPS rows
     leaders = leaders.where(F.col("least_id").isNull() | (F.col("doc_id") == F.col("least_id"))).where("doc_id is not null").select("doc_id", "text")
-    found = stage(per_document(compare_blocks(anchors(leaders, buckets, least), buckets)), "dedup-blocks")
+    split = hot_anchors(leaders, least, sampled, hot)
+    found = stage(per_document(compare_blocks(anchors(leaders, buckets, least, split), buckets, split)), "dedup-blocks")
     release(spark)
     pairs = stage(double_ranks(docs, found, buckets, least), "dedup-pairs")
     release(spark)
@@ -341,9 +412,9 @@ def find_repeats(docs: DataFrame, *, least: int = LEAST) -> tuple[DataFrame, Dat
     return rows, cuts.where(F.size("spans") > 0)
 
 
-def repeated_substrings(docs: DataFrame, *, least: int = LEAST) -> DataFrame:
+def repeated_substrings(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    rows, cuts = find_repeats(docs, least=least)
+    rows, cuts = find_repeats(docs, **options)
     out = rows.join(cuts, ["doc_id", "text_sha"], "left")
     size = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
     whole = F.col("copy")
@@ -369,9 +440,9 @@ def kept_text(data: bytes, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, data[at:]]).decode()
 
 
-def remove_repeats(docs: DataFrame, *, least: int = LEAST) -> DataFrame:
+def remove_repeats(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` with repeated passages cut from ``text`` and ``n_chars`` set anew; no column name is reserved."""
-    rows, cuts = find_repeats(docs.select("doc_id", "text"), least=least)
+    rows, cuts = find_repeats(docs.select("doc_id", "text"), **options)
     whole = rows.where("copy").select("doc_id", "text_sha", F.lit(True).alias("copy"), F.lit(None).cast("array<struct<start:bigint,end:bigint>>").alias("spans")).distinct()
     some = cuts.select("doc_id", "text_sha", F.lit(False).alias("copy"), "spans")
     found = whole.unionByName(some.join(whole, ["doc_id", "text_sha"], "left_anti"))
