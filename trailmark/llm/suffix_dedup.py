@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from trailmark.llm.hashing import U, mix, powers, prefix_sums, salt, text_bytes
-from trailmark.llm.ngram_join import by_bucket, dealt, pack
+from trailmark.llm.ngram_join import by_bucket, dealt
 from trailmark.llm.shared import lean, release, stage, table, texts_of
 from trailmark.llm.telephony import slices
 
@@ -54,7 +54,6 @@ GROUPS, HOT_ANCHORS = 1 << 15, 1 << 18
 SAMPLED, HOT = 64, 64  # one document in SAMPLED is looked at; an anchor of HOT of those is hot
 PAIR_ROWS = 1 << 20
 ENTRY = np.dtype([("key", "<u8"), ("doc", "<i8"), ("fp", "<u8")])
-REPLY = np.dtype([("doc", "<i8"), ("code", "<u8"), ("kind", "u1")])
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -131,10 +130,12 @@ def block_entries(b: pa.RecordBatch, least: int) -> np.ndarray:
     rows = np.empty(len(key), ENTRY)
     rows["key"], rows["doc"], rows["fp"] = key, b.column(0).to_numpy()[doc] if len(doc) else 0, code
     # a text that repeats itself has few distinct blocks
-    rows = rows[np.lexsort((rows["fp"], rows["key"], rows["doc"]))]
-    same = np.zeros(len(rows), bool)
-    same[1:] = rows[1:] == rows[:-1]
-    return rows[~same]
+    code = block_codes(rows)
+    order = np.lexsort((code, doc))
+    rows, code, doc = rows[order], code[order], doc[order]
+    new = np.ones(len(rows), bool)
+    new[1:] = (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])
+    return rows[new]
 
 
 def hot_anchors(texts: DataFrame, least: int, sampled: int, hot: int) -> np.ndarray:
@@ -150,32 +151,32 @@ def hot_anchors(texts: DataFrame, least: int, sampled: int, hot: int) -> np.ndar
     return np.sort(np.array([r.key for r in counts.orderBy(F.desc("n"), "key").limit(HOT_ANCHORS).collect()], np.int64).view(U))
 
 
-def replies(rows: np.ndarray, code: np.ndarray, kind: np.ndarray | int) -> np.ndarray:
-    out = np.empty(len(rows), REPLY)
-    out["doc"], out["code"], out["kind"] = rows["doc"], code, kind
-    return out
-
-
-def to_documents(out: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(out["doc"].view(U)) % U(buckets)).astype(np.int64)
+def answers(doc: np.ndarray, code: np.ndarray, kind: np.ndarray | int, buckets: int, through: bool = False) -> pa.RecordBatch:
+    """Entries (code, document, kind) by bucket of documents; negative where they only pass through the next step."""
+    out = np.empty(len(doc), ENTRY)
+    out["key"], out["doc"], out["fp"] = code, doc, kind
+    bucket = (mix(doc.astype(U)) % U(buckets)).astype(np.int64)
+    return pack_entries(out, -1 - bucket if through else bucket)
 
 
 def send(rows: np.ndarray, codes, hot: np.ndarray, buckets: int):
-    """Packed entries of the smallest document of each block, and answers to its other documents.
-
-    Answers have negative buckets: they only pass through the next step.
-    """
-    rows = rows[np.lexsort((rows["doc"], rows["fp"], rows["key"]))]
+    """Packed entries of the smallest document of each block, and answers to its other documents."""
+    if not len(rows):
+        return
+    code = codes(rows)
+    order = np.argsort(code)
+    rows, code = rows[order], code[order]
     new = np.ones(len(rows), bool)
-    new[1:] = (rows["key"][1:] != rows["key"][:-1]) | (rows["fp"][1:] != rows["fp"][:-1])
-    least = rows["doc"][np.flatnonzero(new)][np.cumsum(new) - 1]
-    first, later = rows[new], rows[rows["doc"] > least]
-    split = member(first["key"], hot.tobytes())
-    to = np.where(split, block_code(first["key"], first["fp"]), first["key"])
+    new[1:] = code[1:] != code[:-1]
+    starts = np.flatnonzero(new)
+    least = np.minimum.reduceat(rows["doc"], starts)
+    first = rows[starts]
+    first["doc"] = least
+    to = np.where(member(first["key"], hot.tobytes()), code[starts], first["key"])
     yield pack_entries(first, (mix(to) % U(buckets)).astype(np.int64))
+    later = np.flatnonzero(rows["doc"] > least[np.cumsum(new) - 1])
     if len(later):
-        out = replies(later, codes(later), REPEATED)
-        yield pack(out, -1 - to_documents(out, buckets))
+        yield answers(rows["doc"][later], code[later], REPEATED, buckets, through=True)
 
 
 def passed(bucket: int, blob: np.ndarray) -> pa.RecordBatch:
@@ -204,7 +205,7 @@ def pack_entries(rows: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
     """Entries by bucket, column by column; documents as numbers in a short list."""
     order = np.lexsort((rows["doc"], bucket))
     rows, bucket = rows[order], bucket[order]
-    start = np.flatnonzero(np.diff(bucket, prepend=-1)) if len(bucket) else np.zeros(0, np.int64)
+    start = np.flatnonzero(np.diff(bucket, prepend=bucket[0] - 1)) if len(bucket) else np.zeros(0, np.int64)
     out = []
     for a, z in zip(start, np.append(start[1:], len(rows))):
         part = rows[a:z]
@@ -260,26 +261,26 @@ def compare_blocks(entries: DataFrame, buckets: int, hot: np.ndarray) -> DataFra
             pick = np.flatnonzero(repeated | double)
             if not len(pick):
                 continue
-            out = replies(rows[pick], block_codes(rows[pick]), np.where(repeated[pick], REPEATED, DOUBLE))
-            yield pack(out, to_documents(out, buckets))
+            yield answers(doc[pick], block_codes(rows[pick]), np.where(repeated[pick], REPEATED, DOUBLE), buckets)
 
     return dealt(entries.mapInArrow(lean(run), "bucket int, rows binary"), buckets)
 
 
-def per_document(answers: DataFrame) -> DataFrame:
+def per_document(told: DataFrame) -> DataFrame:
     """doc_id, repeated, double: sorted codes of each document."""
 
     def run(batches):
-        for _, rows in by_bucket(batches, REPLY):
-            rows = np.unique(rows[np.lexsort((rows["code"], rows["doc"]))])
+        for _, blobs in by_bucket(batches, np.uint8):
+            rows = unpack_entries(blobs)
+            rows = rows[np.lexsort((rows["key"], rows["doc"]))]
             cut = np.flatnonzero(np.diff(rows["doc"])) + 1
             for a in range(0, len(cut) + 1, 1000):
                 bounds = np.concatenate([[0], cut, [len(rows)]])[a : a + 1001]
                 parts = [rows[x:y] for x, y in zip(bounds[:-1], bounds[1:])]
-                codes = [[np.sort(p["code"][p["kind"] == kind]).tobytes() for p in parts] for kind in (REPEATED, DOUBLE)]
+                codes = [[np.unique(p["key"][p["fp"] == kind]).tobytes() for p in parts] for kind in (REPEATED, DOUBLE)]
                 yield pa.RecordBatch.from_arrays([pa.array([int(p["doc"][0]) for p in parts], pa.int64()), *(pa.array(c, pa.binary()) for c in codes)], ["doc_id", "repeated", "double"])
 
-    return answers.mapInArrow(lean(run), "doc_id long, repeated binary, double binary")
+    return told.mapInArrow(lean(run), "doc_id long, repeated binary, double binary")
 
 
 def member(values: np.ndarray, codes: bytes | None) -> np.ndarray:
@@ -326,8 +327,7 @@ def double_ranks(docs: DataFrame, found: DataFrame, buckets: int, least: int) ->
             new[1:] = rows["key"][1:] != rows["key"][:-1]
             least_doc = rows["doc"][np.flatnonzero(new)][np.cumsum(new) - 1] if len(rows) else rows["doc"]
             later = rows[rows["doc"] > least_doc]
-            out = replies(later, later["key"], REPEATED)
-            yield pack(out, to_documents(out, buckets))
+            yield answers(later["doc"], later["key"], REPEATED, buckets)
 
     wanted = found.where(F.octet_length("double") > 0).select("doc_id", "double")
     sent = texts_of(docs.select("doc_id", "text"), wanted).select("doc_id", "text", "double").mapInArrow(lean(emit), "bucket int, rows binary")
