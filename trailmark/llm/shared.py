@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from trailmark.llm import hashing
 
 BLOOM_BITS = 24
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 _LOCAL: dict[str, str] = {}
 _FOLDERS: set[str] = set()
 
@@ -56,11 +57,32 @@ def stage_folder(spark: SparkSession) -> str:
     return folder
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for the time of one write."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    try:
+        for key, value in values.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
 def stage(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here."""
+    """Write ``df`` to the shared folder and read it back: lineage ends here.
+
+    Rows pass to Python in batches of at most 4 MB (or one row): a batch is held by the JVM, off its
+    heap, and by the worker at once, and 10 000 texts or packed rows would be tens of MB each.
+    """
     spark = df.sparkSession
     path = f"{stage_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
+    with settings(spark, BATCH):
+        df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._stage_path = path
     return out

@@ -49,7 +49,7 @@ from trailmark.llm.shared import lean, release, stage, table, texts_of
 from trailmark.llm.telephony import slices
 
 LEAST = 50
-TEXT_BYTES, EMIT_BYTES, BUCKET_BYTES = 700_000, 8 << 20, 16 << 20
+TEXT_BYTES, EMIT_BYTES, BUCKET_BYTES = 700_000, 4 << 20, 16 << 20
 GROUPS, HOT_ANCHORS = 1 << 15, 1 << 18
 SAMPLED, HOT = 64, 64  # one document in SAMPLED is looked at; an anchor of HOT of those is hot
 PAIR_ROWS = 1 << 20
