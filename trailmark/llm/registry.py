@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trailmark.llm import mixing, ngram_join, packing, quality, suffix_dedup, telephony, topk, toxicity, warc, wrapper
+from trailmark.llm import bpe, mixing, ngram_join, packing, quality, suffix_dedup, telephony, topk, toxicity, warc, wrapper
 
 QUERIES = {
     "op7_wrapper_induction": wrapper.op7_wrapper_induction,
@@ -15,6 +15,7 @@ QUERIES = {
     "op2_warc_capture_index": warc.op2_warc_capture_index,
     "op3_telephony_media": telephony.op3_telephony_media,
     "op10_pareto_mix": mixing.op10_pareto_mix,
+    "op11_speculative_bpe": bpe.op11_speculative_bpe,
 }
 ORACLES = {
     "op1_ngram_jaccard_join": ngram_join.ORACLE,
