@@ -60,12 +60,17 @@ def byte_symbols() -> dict[str, int]:
     return out
 
 
-def gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """data[start:start+size] of all spans, one after the other."""
+def places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start..start+size of all spans, one after the other."""
     ends = np.cumsum(size)
     at = np.repeat(start - (ends - size), size)
     at += np.arange(len(at))
-    return data[at]
+    return at
+
+
+def gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """data[start:start+size] of all spans, one after the other."""
+    return data[places(start, size)]
 
 
 def sliced(ids: np.ndarray, count: np.ndarray) -> list[bytes]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trailmark.llm import bpe, mixing, ngram_join, packing, quality, suffix_dedup, telephony, topk, toxicity, warc, wrapper
+from trailmark.llm import bpe, lexical, mixing, ngram_join, packing, quality, suffix_dedup, telephony, topk, toxicity, warc, wrapper
 
 QUERIES = {
     "op7_wrapper_induction": wrapper.op7_wrapper_induction,
@@ -16,10 +16,12 @@ QUERIES = {
     "op3_telephony_media": telephony.op3_telephony_media,
     "op10_pareto_mix": mixing.op10_pareto_mix,
     "op11_speculative_bpe": bpe.op11_speculative_bpe,
+    "op13_quantised_search": lexical.op13_quantised_search,
 }
 ORACLES = {
     "op1_ngram_jaccard_join": ngram_join.ORACLE,
     "op5_pivot_topk": topk.ORACLE,
     "op2_warc_capture_index": warc.ORACLE,
     "op10_pareto_mix": mixing.ORACLE,
+    "op13_quantised_search": lexical.ORACLE,
 }
