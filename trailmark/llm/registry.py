@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trailmark.llm import bpe, lexical, mixing, ngram_join, packing, quality, suffix_dedup, telephony, topk, toxicity, warc, wrapper
+from trailmark.llm import bpe, lexical, mixing, ngram_join, packing, prefix_trie, quality, suffix_dedup, telephony, topk, toxicity, warc, wrapper
 
 QUERIES = {
     "op7_wrapper_induction": wrapper.op7_wrapper_induction,
@@ -16,6 +16,7 @@ QUERIES = {
     "op3_telephony_media": telephony.op3_telephony_media,
     "op10_pareto_mix": mixing.op10_pareto_mix,
     "op11_speculative_bpe": bpe.op11_speculative_bpe,
+    "op12_heavy_path_trie": prefix_trie.op12_heavy_path_trie,
     "op13_quantised_search": lexical.op13_quantised_search,
 }
 ORACLES = {
@@ -23,5 +24,6 @@ ORACLES = {
     "op5_pivot_topk": topk.ORACLE,
     "op2_warc_capture_index": warc.ORACLE,
     "op10_pareto_mix": mixing.ORACLE,
+    "op12_heavy_path_trie": prefix_trie.ORACLE,
     "op13_quantised_search": lexical.ORACLE,
 }
