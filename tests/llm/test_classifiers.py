@@ -135,3 +135,19 @@ def test_toxicity_query_equals_a_plain_computation(spark):
         r = got[d]
         assert r.held_out == held and abs(r.score - score) < 1e-6 and r.predicted == int(r.score >= 0.5)
     assert len(got) == docs.count()
+
+
+def test_samples_are_bounded_in_rows_and_bytes(spark):
+    from pyspark.sql import functions as F
+
+    from trailmark.llm import labelled
+
+    docs = spark.range(50_000).select(F.lit(3).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    docs = docs.unionByName(spark.range(100, 140).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 1000).alias("text")))
+    labels = spark.createDataFrame([(3, 1), (3, 1), *((i, i % 2) for i in range(100, 140))], "doc_id long, quality int")
+    rows = labelled.sample(docs, labels.where("doc_id = 3"), "quality", F.lit(False), 10, per_class=False).collect()
+    assert [(r.doc_id, r.text, r.label) for r in rows] == [(3, "text 0", 1)]
+    assert labelled.sample(docs, labels, "quality", F.lit(False), 20, per_class=True).count() == 20
+    labels = labels.where("doc_id > 3")
+    few = labelled.sample(docs, labels, "quality", F.lit(False), 20, per_class=True, most_bytes=5500).collect()
+    assert len(few) == 5 and labelled.sample(docs, labels, "quality", F.lit(False), 20, per_class=True, most_bytes=10).collect() == []

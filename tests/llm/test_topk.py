@@ -84,3 +84,12 @@ def test_scores_that_no_long_holds_raise(spark):
     rows = [(0, [2.0**40, 0.0]), (1, [-(2.0**40), 0.0])] + [(i, [i / 1024, 1.0]) for i in range(2, 20)]
     got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=3).collect()
     assert [r.vec_id for r in sorted(got, key=lambda r: r.rank)] == [19, 18, 17]
+
+
+def test_answers_below_all_longs_raise_and_others_are_found(spark):
+    far = [(0, [2.0**49])] + [(i, [-(2.0**50) - i]) for i in range(1, 13)]
+    with pytest.raises(Exception, match="does not fit a long"):
+        topk.search(spark.createDataFrame(far, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+    near = far + [(20 + i, [i / 1024]) for i in range(10)]
+    got = topk.search(spark.createDataFrame(near, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+    assert [r.vec_id for r in sorted(got, key=lambda r: r.rank)] == list(range(29, 19, -1))

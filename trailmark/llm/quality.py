@@ -45,8 +45,8 @@ class WordCodes(dict):
         if len(self) >= self.MOST:
             self.clear()
         core = re.sub(r"[\W_]+", "", word.lower())
-        letters = re.sub(r"[^\W\d_]+", lambda m: "A" if len(m[0]) > 1 and m[0].isupper() else "b" if m[0][:1].isupper() else "a", word[:40])
-        shape = re.sub(r"\d+", "0", letters)[:8]
+        letters = re.sub(r"[^\W\d_]+", lambda m: "A" if len(m[0]) > 1 and m[0].isupper() else "b" if m[0][:1].isupper() else "a", word)
+        shape = re.sub(r"\d+", "0", letters)
         code = self[word] = zlib.crc32(core.encode()) << 16 | zlib.crc32(shape.encode()) & 0xFFFF
         return code
 

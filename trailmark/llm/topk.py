@@ -166,17 +166,18 @@ def unpack(value: pa.StructScalar | pa.Array, dim: int) -> tuple[np.ndarray, np.
 
 
 def kth(scores: np.ndarray, k: int) -> int | None:
-    """The k-th highest score, or the most that a long holds; None if there are fewer."""
+    """The k-th highest score, at most what a long holds; None if there are fewer or it lies below all longs: no bound."""
     if len(scores) < k:
         return None
     found = sorted(scores.tolist())[-k] if scores.dtype == object else int(np.partition(scores, len(scores) - k)[len(scores) - k])
-    return max(-(2**63), min(found, 2**63 - 1))
+    return min(found, 2**63 - 1) if found >= -(2**63) else None
 
 
 def in_long(score: int) -> int:
-    if not -(2**63) <= score < 2**63:
+    """A score as a long; one below all longs becomes the least, which ``search`` refuses as an answer."""
+    if score >= 2**63:
         raise ValueError(f"the score {score} of an answer does not fit a long")
-    return score
+    return max(score, -(2**63))
 
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -273,17 +274,20 @@ def search(vectors: DataFrame, is_query, *, k: int = 10, **options) -> DataFrame
                     continue
                 s = products(q[meets], x[a:z])
                 for j, row in zip(meets, s):
-                    at = np.flatnonzero((ids[a:z] != q_ids[j]) & (row >= (bounds[j] if bounds[j] is not None else np.iinfo(np.int64).min)))
+                    reaches = ids[a:z] != q_ids[j]
+                    at = np.flatnonzero(reaches if bounds[j] is None else reaches & (row >= bounds[j]))
                     top = at[best(ids[a:z][at], row[at], k)]
-                    out += [(int(q_ids[j]), int(v), in_long(int(w))) for v, w in zip(ids[a:z][top], row[top])]
+                    out += [(int(q_ids[j]), int(v), in_long(int(w)), int(w) < -(2**63)) for v, w in zip(ids[a:z][top], row[top])]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], ["query_id", "vec_id", "score", "below"])
 
     with rows_per_batch(spark, 8):
         met = reach.join(blocks, CELL).select("dim", "queries", "bounds", "meets", "low", "high", "rows", "pivot")
-        partial = stage(met.mapInArrow(score, "query_id long, vec_id long, score long"), "topk-partial")
+        partial = stage(met.mapInArrow(score, "query_id long, vec_id long, score long, below boolean"), "topk-partial")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return partial.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    answers = partial.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k)
+    score = F.when(F.col("below"), F.raise_error(F.lit("the score of an answer does not fit a long")).cast("long")).otherwise(F.col("score"))
+    return answers.select("query_id", "rank", "vec_id", score.alias("score"))
 
 
 def op5_pivot_topk(spark, sf_dir):
