@@ -19,6 +19,9 @@ SPHERE_M, SIGHT_SPHERE_M = 6371008.8, 6371000.0
 MIN_DT_MS, DUP_M, DUP_MS, SAME_M = 600_000, 3.0, 60_000, 0.5
 # votes
 VOTE_TOLERANCE, VOTE_NEED, VOTE_MARGIN = 0.00002, 3, 2
+# photos: passes over a box and over a widened one, margin around a zone, least side of a frame, tilts and lean
+PASSES, WIDE_PASSES, ZONE_PAD, FRAME_LEAST = 11, 6, 0.35, 0.02
+TILT_MOST, LEAN_GAIN, ZONE_LEAN = 45.0, 1.5, 0.4
 # places
 PLACE_RADIUS_M, ALTITUDE_PACK, RELIEF_MOVE_M, SMOOTHING = 2000.0, 100, 25.0, 0.25
 HISTORY_KEPT, HISTORY_CHARS, HISTORY_DWELL_S = 10, 400, 1.5

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trailmark.operators.trust import confidence, shot_state
-from trailmark.operators.vote import settle, words_confidence
+from trailmark.operators.vote import settle, word_weight
 
 
 def left_to_read(shots: DataFrame, states: DataFrame) -> DataFrame:
@@ -15,19 +15,24 @@ def left_to_read(shots: DataFrame, states: DataFrame) -> DataFrame:
 
 
 def reading_confidence(readings: DataFrame, words: DataFrame) -> DataFrame:
-    """Readings with ``tess``: the weighted confidence of their words that bear coordinates, null without any.
+    """Readings with ``tess``: the mean confidence of their words with a digit, weighted by length, null without any.
 
-    words: photo, pass_idx, text, confidence. ``settle`` takes the chosen reading's, else the mean of the winners.
+    words: photo, pass_idx, text, confidence. It is not rounded here: ``settle`` takes the chosen reading's, else the
+    mean of the winners, and rounds once.
     """
-    heard = words_confidence(words, "photo", "pass_idx").select("photo", "pass_idx", F.col("confidence").cast("double").alias("tess"))
+    use = F.coalesce("text", F.lit("")).rlike("[0-9]") & F.col("confidence").isNotNull()
+    w = word_weight(F.coalesce("text", F.lit(""))).cast("double")
+    heard = words.groupBy("photo", "pass_idx").agg((F.sum(F.when(use, F.col("confidence") * w)) / F.sum(F.when(use, w))).alias("tess"))
     return readings.drop("tess").join(heard, ["photo", "pass_idx"], "left")
 
 
-def read_photos(readings: DataFrame) -> DataFrame:
+def read_photos(readings: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """photo, lat, lon, pct, level, st of each photo: settled, trusted and put in its state.
 
-    Found is what has a position; a photo without one is ``none``.
+    For photos whose readings are all made: found is what has a position, and a photo without one is ``none``.
+    ``words``, where given, are what the readings' confidence is taken from. ``photo_chain`` reads by rounds.
     """
+    readings = readings if words is None else reading_confidence(readings, words)
     kept = settle(readings)
     trust = confidence(F.col("tess"), F.col("agree"), F.col("total"), F.col("sure"), F.col("rival"), F.size("notes"), F.size("alts"), F.lit(False))
     rows = kept.withColumn("trust", trust)

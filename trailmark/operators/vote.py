@@ -12,12 +12,18 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trailmark import constants as C
 from trailmark.functions.geo import haversine_m, in_region, js_round
+from trailmark.operators.parse import parse_position
 
 GROUP = "struct<v:double,w:double,n:int,runs:array<int>,vals:array<struct<k:string,x:double,w:double>>>"
 
 
 def fold_votes(votes: Column) -> Column:
     """Groups of array<struct<idx, v, w>> votes, in the order of their first vote."""
+    return F.aggregate(votes, F.array().cast(f"array<{GROUP}>"), add_vote)
+
+
+def add_vote(groups: Column, vote: Column) -> Column:
+    """``groups`` after one more vote: it joins the first group that is near, or makes one."""
 
     def join(group: Column, vote: Column) -> Column:
         key = F.format_string("%.6f", vote["v"])
@@ -31,12 +37,9 @@ def fold_votes(votes: Column) -> Column:
         key = F.format_string("%.6f", vote["v"])
         return F.struct(key.cast("double").alias("v"), vote["w"].alias("w"), F.lit(1).alias("n"), F.array(vote["idx"]).alias("runs"), F.array(F.struct(key.alias("k"), key.cast("double").alias("x"), vote["w"].alias("w"))).alias("vals")).cast(GROUP)
 
-    def step(groups: Column, vote: Column) -> Column:
-        near = F.transform(groups, lambda g: F.abs(g["v"] - vote["v"]) < C.VOTE_TOLERANCE)
-        at = F.coalesce(F.array_position(near, True), F.lit(0))
-        return F.when(at == 0, F.concat(groups, F.array(fresh(vote)))).otherwise(F.transform(groups, lambda g, i: F.when(i + 1 == at, join(g, vote)).otherwise(g)))
-
-    return F.aggregate(votes, F.array().cast(f"array<{GROUP}>"), step)
+    near = F.transform(groups, lambda g: F.abs(g["v"] - vote["v"]) < C.VOTE_TOLERANCE)
+    at = F.coalesce(F.array_position(near, True), F.lit(0))
+    return F.when(at == 0, F.concat(groups, F.array(fresh(vote)))).otherwise(F.transform(groups, lambda g, i: F.when(i + 1 == at, join(g, vote)).otherwise(g)))
 
 
 def ranked_groups(groups: Column) -> Column:
@@ -66,22 +69,44 @@ def with_firm(votes: DataFrame) -> DataFrame:
     return votes.withColumns({"sure": both, "rival": rival})
 
 
+def leading(groups: Column) -> tuple[Column, Column]:
+    """The heaviest group and its runner-up, the first made first among equals."""
+    order = ranked_groups(groups)
+    return F.get(order, F.lit(0)), F.get(order, F.lit(1))
+
+
 def read_loop(readings: DataFrame, limit: int = 11, keys: tuple[str, ...] = ("photo",)) -> DataFrame:
-    """The readings that a reader would have made: up to the first prefix whose votes are firm.
+    """The readings that a reader would have made: up to the first whose votes are firm on both axes.
 
-    Prefixes are folded from one sorted array a photo, ``limit`` long at most.
+    One fold a photo over its sorted readings: the state holds the vote groups of both axes and where
+    to stop, and nothing is voted on after that. One exchange; a photo's readings are at most ``limit``.
     """
-    kept = readings.where(F.col("pass_idx") < limit)
-    prefixes = kept.select(*keys, F.explode(F.sequence(F.col("pass_idx"), F.lit(limit - 1))).alias("upto"), "pass_idx", "ok", "lat", "lon", "notes")
-    last = kept.groupBy(*keys).agg(F.max("pass_idx").alias("last"))
-    firm_at = with_firm(axis_votes(prefixes, (*keys, "upto"))).where("sure").groupBy(*keys).agg(F.min("upto").alias("stop"))
-    bound = last.join(firm_at, list(keys), "left").select(*keys, F.coalesce("stop", "last").alias("stop"))
-    return kept.join(bound, list(keys)).where(F.col("pass_idx") <= F.col("stop")).drop("stop")
+    groups = f"array<{GROUP}>"
+    runs = F.array_sort(F.collect_list(F.struct("pass_idx", *[c for c in readings.columns if c not in (*keys, "pass_idx")])))
+    lists = readings.where(F.col("pass_idx") < limit).groupBy(*keys).agg(runs.alias("runs"))
+    # what votes: position and weight of a reading in the region
+    votes = F.transform("runs", lambda r: F.struct(r["pass_idx"].cast("int").alias("idx"), F.coalesce(r["ok"] & in_region(r["lat"], r["lon"]), F.lit(False)).alias("on"), F.when(F.size(r["notes"]) > 0, 0.6).otherwise(1.0).alias("w"), r["lat"].alias("lat"), r["lon"].alias("lon")))
+    start = F.struct(F.array().cast(groups).alias("lat"), F.array().cast(groups).alias("lon"), F.lit(None).cast("int").alias("stop"))
+
+    def voted(state: Column, r: Column) -> Column:
+        axis = lambda a: F.when(r["on"], add_vote(state[a], F.struct(r["idx"].alias("idx"), r[a].alias("v"), r["w"].alias("w")))).otherwise(state[a]).alias(a)
+        return F.struct(axis("lat"), axis("lon"), r["idx"].alias("idx"))
+
+    def step(state: Column, r: Column) -> Column:
+        # a list of one state, so that what was voted is computed once
+        done = lambda n: F.struct(n["lat"].alias("lat"), n["lon"].alias("lon"), F.when(firm(*leading(n["lat"])) & firm(*leading(n["lon"])), n["idx"]).alias("stop"))
+        return F.when(state["stop"].isNotNull(), state).otherwise(F.get(F.transform(F.array(voted(state, r)), done), F.lit(0)))
+
+    stopped = lists.withColumn("stop", F.aggregate(votes, start, step)["stop"])
+    kept = F.filter("runs", lambda r: F.col("stop").isNull() | (r["pass_idx"] <= F.col("stop")))
+    return stopped.select(*keys, F.explode(kept).alias("r")).select(*keys, "r.*").select(*readings.columns)
 
 
 def settle(readings: DataFrame, keys: tuple[str, ...] = ("photo",)) -> DataFrame:
     """The settled reading of each photo: position, sure, rival, agreement, notes and other readings.
 
+    Where no single reading holds both winning values, the pair is written out and parsed again.
+
     readings: keys, pass_idx, txt, ok, lat, lon, fmt, notes, alts (array of lat, lon), tess.
     """
     votes = with_firm(axis_votes(readings, keys))
@@ -95,20 +120,22 @@ def settle(readings: DataFrame, keys: tuple[str, ...] = ("photo",)) -> DataFrame
     ref = F.array_min(F.transform(F.filter("runs", lambda r: F.array_contains(F.col("both"), r["pass_idx"])), lambda r: F.struct(rank(r).alias("rank"), r["pass_idx"].alias("idx"), r.alias("r"))))["r"]
     out = out.withColumn("ref", ref)
     apart = F.col("ref").isNull() & ~F.col("none")
-    made = lambda axis: F.when(F.col("ref").isNull(), F.round(F.col(f"{axis}_best.v"), 6)).otherwise(F.col(f"ref.{axis}"))
-    out = out.withColumns({"lat": made("lat"), "lon": made("lon"), "fmt": F.when(apart, "DD").otherwise(F.col("ref.fmt"))})
-    notes = F.coalesce("ref.notes", F.array().cast("array<string>"))
-    kept = F.when(F.col("sure"), F.filter(notes, lambda x: ~x.contains("symbol"))).otherwise(F.concat(notes, F.when(apart, F.array(F.lit("two_readings"))).otherwise(F.array().cast("array<string>")), F.array(F.lit("agreement"))))
+    pair_text = F.format_string("%.6f, %.6f", F.col("lat_best.v"), F.col("lon_best.v"))
+    out = out.withColumn("again", parse_position(F.when(apart, pair_text)))
+    made = lambda axis: F.when(apart, F.col(f"again.best.{axis}")).otherwise(F.col(f"ref.{axis}"))
+    out = out.withColumns({"lat": made("lat"), "lon": made("lon"), "fmt": made("fmt")})
+    ref_notes, ref_alts = F.coalesce(made("notes"), F.array().cast("array<string>")), F.when(apart, F.transform("again.alts", lambda a: F.struct(a["lat"].alias("lat"), a["lon"].alias("lon")))).otherwise(F.col("ref.alts"))
+    kept = F.when(F.col("sure"), F.filter(ref_notes, lambda x: ~x.contains("symbol"))).otherwise(F.concat(ref_notes, F.when(apart, F.array(F.lit("two_readings"))).otherwise(F.array().cast("array<string>")), F.array(F.lit("agreement"))))
     pair = F.struct(F.coalesce("lat_second.v", "lat_best.v").alias("lat"), F.coalesce("lon_second.v", "lon_best.v").alias("lon"))
     none = F.array().cast("array<struct<lat:double,lon:double>>")
     other = F.when((F.col("lat_second").isNotNull() | F.col("lon_second").isNotNull()) & (haversine_m(pair["lat"], pair["lon"], "lat", "lon") > 5), F.array(pair)).otherwise(none)
-    alts = F.when(F.col("sure"), none).otherwise(F.slice(F.concat(other, F.coalesce("ref.alts", none)), 1, 3))
+    alts = F.when(F.col("sure"), none).otherwise(F.slice(F.concat(other, F.coalesce(ref_alts, none)), 1, 3))
     winners = F.array_union("lat_best.runs", "lon_best.runs")
     heard = F.filter(F.transform(F.filter("runs", lambda r: F.array_contains(winners, r["pass_idx"])), lambda r: r["tess"]), lambda x: x.isNotNull())
     mean = F.when(F.size(heard) > 0, F.aggregate(heard, F.lit(0.0), lambda a, x: a + x) / F.size(heard))
     tess = js_round(F.when(F.col("ref").isNotNull(), F.col("ref.tess")).otherwise(mean))
     blank = lambda c: F.when(~F.col("none"), c)
-    text = F.when(F.col("none"), F.get("runs", F.lit(0))["txt"]).when(apart, F.concat(F.format_string("%.6f", F.col("lat_best.v")), F.lit(", "), F.format_string("%.6f", F.col("lon_best.v")))).otherwise(F.col("ref.txt"))
+    text = F.when(F.col("none"), F.get("runs", F.lit(0))["txt"]).when(apart, pair_text).otherwise(F.col("ref.txt"))
     return out.select(
         *keys, text.alias("text"), "none", (F.col("sure") & ~F.col("none")).alias("sure"), (F.col("rival") & ~F.col("none")).alias("rival"), blank(F.col("lat")).alias("lat"), blank(F.col("lon")).alias("lon"), blank(F.col("fmt")).alias("fmt"),
         F.when(F.col("none"), F.array().cast("array<string>")).otherwise(kept).alias("notes"), F.when(F.col("none"), none).otherwise(alts).alias("alts"), blank(F.least("lat_best.n", "lon_best.n")).alias("agree"), "total", blank(tess).cast("int").alias("tess"),
@@ -158,8 +185,6 @@ def line_windows(lines: DataFrame, most: int = 3) -> DataFrame:
 
 def best_zone(lines: DataFrame, most: int = 3) -> DataFrame:
     """The window of a page whose text reads best: page, i, k, text, p, score."""
-    from trailmark.operators.parse import parse_position
-
     rows = line_windows(lines, most).withColumn("p", parse_position("text")).where("p.ok")
     score = F.col("p.best.score") - 0.3 * (F.col("k") - 1) - 0.5 * F.size("p.best.notes")
     rows = rows.withColumn("score", score)

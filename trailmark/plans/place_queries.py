@@ -115,13 +115,13 @@ def _(spark, sf):
 @query(
     "reading_confidence",
     """WITH r AS (SELECT event_id AS photo, unnest(generate_series(0, event_id % 9 + 2)) AS i FROM events)
-    SELECT photo, CAST(i AS INTEGER) AS pass_idx, CASE WHEN i % 4 <> 3 THEN CAST(floor(((photo + i) % 101 * 2 + (photo * 3 + i) % 101 * 6) / 8.0::DOUBLE + 0.5::DOUBLE) AS DOUBLE) END AS tess FROM r""",
+    SELECT photo, CAST(i AS INTEGER) AS pass_idx, CASE WHEN i % 4 <> 3 THEN ((photo + i) % 101 * 2 + (photo * 3 + i) % 101 * 6) / 8.0::DOUBLE END AS tess FROM r""",
 )
 def _(spark, sf):
     r = readings(spark, sf).select("photo", "pass_idx", "tess")
     p, i = F.col("photo"), F.col("pass_idx")
     word = lambda text, c: F.struct(F.lit(text).alias("text"), c.cast("double").alias("confidence"))
-    heard = F.when(i % 4 != 3, F.array(word("45", (p + i) % 101), word("menu", F.lit(3)), word("16.277", (p * 3 + i) % 101)))
+    heard = F.when(i % 4 != 3, F.array(word("N", F.lit(10)), word("45", (p + i) % 101), word("'", F.lit(5)), word("menu", F.lit(3)), word("16.277", (p * 3 + i) % 101)))
     words = r.select("photo", "pass_idx", F.explode_outer(F.coalesce(heard, F.array(word("menu", F.lit(50))))).alias("w")).select("photo", "pass_idx", "w.*")
     return H.reading_confidence(r, words)
 
