@@ -1,8 +1,9 @@
 """Positions in noisy text: normalise, tokenise, enumerate windows, score, choose.
 
-The grammar is ordered and recursive over a handful of tokens a text, with one
-Unicode step (NFKC) that Spark lacks, so the whole parse is one Arrow-batched
-function that stays inside its stage: no shuffle, no explode.
+The parse of any text is one Arrow-batched function that stays inside its stage: no
+shuffle, no explode. It is the reference of ``parse_columns``, which gives the same
+results in column expressions wherever Unicode's compatibility forms (NFKC, which
+Spark lacks) leave a text alone.
 
 Work a text is linear in its tokens: windows hold ten tokens and six numbers at
 most. Candidates are numbered in the order of their making, which breaks ties.
@@ -13,7 +14,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -346,13 +347,13 @@ def parse_positions(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("p", parse_position(text))
 
 
-def all_positions(df: DataFrame, text: str = "text") -> DataFrame:
+def all_positions(df: DataFrame, text: str = "text", parser: Callable[[Column], Column] = parse_position) -> DataFrame:
     """One row a position: the best of each text (rank 0), then its alternatives."""
-    rows = parse_positions(df, text).where("p.ok")
+    rows = df.withColumn("p", parser(F.col(text))).where("p.ok")
     return rows.select(*df.columns, F.posexplode(F.concat(F.array("p.best"), "p.alts")).alias("rank", "c")).select(*df.columns, "rank", "c.*")
 
 
-def preview_edits(edits: DataFrame) -> DataFrame:
+def preview_edits(edits: DataFrame, parser: Callable[[Column], Column] = parse_position) -> DataFrame:
     """What an edit of one character gives: accepted, position and metres moved.
 
     edits: id, text, at (1-based), char, lat, lon (the position before). An edit is
@@ -360,6 +361,6 @@ def preview_edits(edits: DataFrame) -> DataFrame:
     """
     from trailmark.functions.geo import haversine_m
 
-    rows = edits.withColumn("edited", F.overlay("text", "char", F.col("at"), F.lit(1))).withColumn("p", parse_position("edited"))
+    rows = edits.withColumn("edited", F.overlay("text", "char", F.col("at"), F.lit(1))).withColumn("p", parser(F.col("edited")))
     ok = F.col("p.ok") & (F.size("p.alts") == 0)
     return rows.select("id", "edited", ok.alias("accepted"), F.when(ok, F.col("p.best.lat")).alias("lat"), F.when(ok, F.col("p.best.lon")).alias("lon"), F.when(ok, haversine_m("lat", "lon", "p.best.lat", "p.best.lon")).alias("moved"))

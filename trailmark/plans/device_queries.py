@@ -205,9 +205,10 @@ def _(spark, sf):
 @query("digit_edits")
 def _(spark, sf):
     from trailmark.operators.parse import preview_edits
+    from trailmark.operators.parse_columns import parse_strict
 
     t = V.texts(spark, sf)
-    return preview_edits(t.select("id", "text", F.lit(9).alias("at"), (F.col("id") % 10).cast("string").alias("char"), F.lit(45.0).alias("lat"), F.lit(6.0).alias("lon")))
+    return preview_edits(t.select("id", "text", F.lit(9).alias("at"), (F.col("id") % 10).cast("string").alias("char"), F.lit(45.0).alias("lat"), F.lit(6.0).alias("lon")), parse_strict)
 
 
 @query("box_turn")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trailmark.operators import parse as P, spatial as S, trust as U, vote as O
+from trailmark.operators import parse as P, parse_columns as N, spatial as S, trust as U, vote as O
 from trailmark.plans import views as V
 
 QUERIES: dict = {}
@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None):
 
 
 def parsed(spark, sf):
-    return P.parse_positions(V.texts(spark, sf))
+    return N.parse_positions(V.texts(spark, sf))
 
 
 @query("parse_position", f"WITH {V.TEXTS} SELECT id, round(lat, 6) AS lat, round(lon, 6) AS lon, fmt, true AS ok FROM e")
@@ -39,7 +39,7 @@ def _(spark, sf):
 def _(spark, sf):
     e = V.texts(spark, sf)
     two = e.select("id", F.concat("text", F.lit(" or "), F.lead("text", 1, "N 45°16.277' E 005°56.052'").over(__import__("pyspark").sql.Window.partitionBy(F.col("id") % 64).orderBy("id"))).alias("text"))
-    return P.all_positions(two).select("id", "rank", "lat", "lon", "fmt", "score", "seg")
+    return P.all_positions(two, parser=N.parse_strict).select("id", "rank", "lat", "lon", "fmt", "score", "seg")
 
 
 UTM_SQL = f"WITH {V.WORLD} SELECT id, true AS near, true AS same_zone FROM w WHERE id > 0 AND abs(lat) <= 79"
@@ -53,7 +53,7 @@ def _(spark, sf):
     w = V.world(spark, sf).where("id > 0 and abs(lat) <= 79").withColumn("zone", utm_zone("lon"))
     parts = F.split(utm_text("lat", "lon"), " ")
     text = F.concat_ws(" ", parts[0], F.lpad(parts[1], 7, "0"), F.lpad(parts[2], 7, "0"))
-    p = P.parse_positions(w.withColumn("text", text))
+    p = N.parse_positions(w.withColumn("text", text))
     return p.select("id", (haversine_m("lat", "lon", "p.best.lat", "p.best.lon") < 2).alias("near"), F.startswith(F.col("p.best.fmt"), F.concat(F.lit("UTM "), F.col("zone").cast("string"))).alias("same_zone"))
 
 
@@ -61,17 +61,17 @@ def _(spark, sf):
 def _(spark, sf):
     e = F.col("event_id")
     raw = F.concat((e % 90).cast("string"), F.lit(" deg "), (e % 60).cast("string"), F.lit("."), (e % 1000).cast("string"), F.lit("l5 '' OO5"))
-    return V.read(spark, sf, "events").select(e.alias("id"), P.normalised(raw).alias("norm"))
+    return V.read(spark, sf, "events").select(e.alias("id"), N.normalise(raw).alias("norm"))
 
 
 @query("text_tokens")
 def _(spark, sf):
-    return V.texts(spark, sf).select("id", F.posexplode(P.token_rows("text")).alias("at", "t")).select("id", "at", "t.kind", "t.start", "t.end", "t.text", "t.symbol")
+    return V.texts(spark, sf).select("id", F.posexplode(N.token_rows("text")).alias("at", "t")).select("id", "at", "t.kind", "t.start", "t.end", "t.text", "t.symbol")
 
 
 @query("text_runs")
 def _(spark, sf):
-    t = V.texts(spark, sf).select("id", F.explode(P.token_rows("text")).alias("t")).where("t.kind <> 'word'")
+    t = V.texts(spark, sf).select("id", F.explode(N.token_rows("text")).alias("t")).where("t.kind <> 'word'")
     return t.groupBy("id", "t.run").agg(F.count_if(F.col("t.kind") == "num").alias("numbers"), F.count_if(F.col("t.kind") == "hemi").alias("hemispheres"))
 
 
