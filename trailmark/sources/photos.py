@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from trailmark.functions.text import shot_key
 
 HEAD_BYTES = 131_072
-ORIGINAL, MODIFIED, EXIF_POINTER = 0x9003, 0x0132, 0x8769
+ORIGINAL, MODIFIED, EXIF_POINTER, ORIENTATION = 0x9003, 0x0132, 0x8769, 0x0112
 
 
 def parse_date(text: str | None) -> int | None:
@@ -47,17 +47,17 @@ def exif_segment(data: bytes) -> bytes | None:
     return None
 
 
-def exif_date(data: bytes | None) -> int | None:
-    """When a JPEG was taken, else changed, in milliseconds; None where it does not say."""
+def exif_tags(data: bytes | None) -> dict[int, str | int]:
+    """The date texts and the orientation that a JPEG's Exif segment holds."""
     tiff = exif_segment(data or b"")
     if tiff is None or len(tiff) < 8:
-        return None
+        return {}
     order = "<" if tiff[:2] == b"II" else ">"
     u16 = lambda at: struct.unpack_from(order + "H", tiff, at)[0]
     u32 = lambda at: struct.unpack_from(order + "I", tiff, at)[0]
     if u16(2) != 42:
-        return None
-    found: dict[int, str] = {}
+        return {}
+    found: dict[int, str | int] = {}
     todo, done = [u32(4)], set()
     while todo:
         base = todo.pop(0)
@@ -71,14 +71,33 @@ def exif_date(data: bytes | None) -> int | None:
             tag, kind, count = u16(at), u16(at + 2), u32(at + 4)
             if tag == EXIF_POINTER and kind == 4 and len(done) == 1:
                 todo.append(u32(at + 8))
+            elif tag == ORIENTATION and kind == 3 and len(done) == 1 and 1 <= u16(at + 8) <= 8:
+                found[tag] = u16(at + 8)
             elif tag in (ORIGINAL, MODIFIED) and kind == 2 and count >= 19:
                 start = u32(at + 8)
                 if start + 19 <= len(tiff):
                     text = tiff[start : start + 19].decode("latin-1")
                     found[tag] = text if tag == ORIGINAL else found.get(tag, text)
+    return found
+
+
+def exif_date(data: bytes | None) -> int | None:
+    """When a JPEG was taken, else changed, in milliseconds; None where it does not say."""
+    found = exif_tags(data)
     return parse_date(found.get(ORIGINAL)) or parse_date(found.get(MODIFIED))
 
 
+def exif_orientation(content: Column | str) -> Column:
+    """1 to 8, how a photo is to be turned to stand upright; 1 where it does not say."""
+
+    def turns(heads: pd.Series) -> pd.Series:
+        return heads.map(lambda x: exif_tags(bytes(x)).get(ORIENTATION, 1) if x is not None else 1).astype("int32")
+
+    turns.__annotations__ = {"heads": pd.Series, "return": pd.Series}
+    c = F.col(content) if isinstance(content, str) else content
+    return F.pandas_udf(turns, "int")(F.substring(c, 1, HEAD_BYTES))
+
+
 def exif_millis(content: Column | str) -> Column:
     """``exif_date`` of the head of a binary column; only the head goes to Python."""
 
@@ -91,14 +110,20 @@ def exif_millis(content: Column | str) -> Column:
 
 
 def read_photos(spark: SparkSession, path: str) -> DataFrame:
-    """One record a file: key, name, t (ms), src, st; dated by EXIF, else by the file."""
-    files = spark.read.format("binaryFile").load(path)
-    return new_shots(files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("modified"), "content"))
+    """One record a file: key, name, t (ms), src, st; dated by EXIF, else by the file. Only heads of files are read."""
+    from trailmark.sources.heads import read_heads
+
+    return new_shots(read_heads(spark, path))
 
 
 def new_shots(files: DataFrame) -> DataFrame:
-    """Records of (name, size, modified, content) rows, waiting to be read, in the order of their dates."""
+    """Records of (name, size, modified, content) rows, waiting to be read; ``by_date`` puts them in order."""
     rows = files.withColumn("exif", exif_millis("content"))
     t = F.coalesce("exif", F.nullif("modified", F.lit(0)), F.unix_millis(F.current_timestamp()))
     src = F.when(F.col("exif").isNotNull(), "exif").when(F.coalesce("modified", F.lit(0)) != 0, "file").otherwise("now")
     return rows.select(shot_key("name", "size", "modified").alias("key"), "name", t.alias("t"), t.alias("t0"), src.alias("src"), F.lit("wait").alias("st"))
+
+
+def by_date(shots: DataFrame) -> DataFrame:
+    """Records in the order of their dates, of equal dates by key."""
+    return shots.orderBy("t", "key")

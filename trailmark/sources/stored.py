@@ -54,12 +54,8 @@ def heading_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def keep_late_points(stream: DataFrame, path: str, checkpoint: str):
-    """A query that adds points to a stored track table, late ones too; readers order them by date.
+    """A query that adds positions of devices to a stored track a device, late ones too (``runs.load_points`` orders them)."""
+    from trailmark.sources.runs import keep_points, track_table
 
-    A batch that is written again after a failure replaces itself, as its folder is named by its number.
-    """
-
-    def add(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    points = stream.select(F.col("device").alias("track"), "seq", "t", "lat", "lon", F.lit(None).cast("string").alias("label"))
+    return keep_points(points, track_table(stream.sparkSession, path), checkpoint)
