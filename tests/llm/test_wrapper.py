@@ -150,3 +150,48 @@ def test_menus_without_any_hint_are_learnt_from_the_host(spark):
     rows = [(i, "http://h.example.org/", one(i) if i % 3 else two(i)) for i in range(30)] + [(99, "http://h.example.org/x", odd)]
     got = {r.page_id: r.text for r in W.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[1] == "Story 1\nMore 1" and got[3] == "Tale 3" and got[99] == "Lonely\nq"
+
+
+def kept_lines(html):
+    return [b["text"] for b in W.page_blocks(html)[1]]
+
+
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        ("<article>short teaser</article><p>A long story that is much longer than this teaser</p>", ["short teaser", "A long story that is much longer than this teaser"]),
+        ("<ul><li><a>The first of two works</a></li><li><a>The second of two works</a></li></ul><p>x</p>", ["The first of two works", "The second of two works", "x"]),
+        ("<ul><li><a>one</a></li><li><a>two</a></li><li><a>three</a></li></ul><p>x</p>", ["x"]),
+        ("<form><article><p>The story</p><form>mail</form></article></form>", ["The story"]),
+        ("<form><p>all there is</p></form>", ["all there is"]),
+        ("<nav>menu</nav><div class=promo>the only text</div>", ["the only text"]),
+        ("<div class=promo>advert</div><p>text</p>", ["text"]),
+        ("<nav>menu</nav>", []),
+        ("<div><main><p>one</p></main><p>between</p></div><div><article>two</article></div><p>t</p>", ["one", "between", "two"]),
+    ],
+)
+def test_hints_and_shares_do_not_empty_a_page(html, want):
+    assert kept_lines(html) == want
+
+
+@pytest.mark.parametrize("html", ["<b>" * 20000 + "</i>" * 20000, "<b>x" * 30000, "<div>" * 10000 + "<li></li>" * 9000, "<article>t</article>" + "<div>" * 8000 + "<article>x</article>" * 5000, "<b><div>" * 9000 + "</b>" * 9000, "<p><b>" * 9000 + "<td>" * 9000], ids=["unmatched", "inline", "items", "articles", "crossed", "cells"])
+def test_odd_pages_are_read_in_time_that_grows_as_they_do(html):
+    import time
+
+    start = time.perf_counter()
+    W.page_blocks(html)
+    assert time.perf_counter() - start < 3
+
+
+def test_unlike_levels_are_matched_in_bounded_time():
+    import random
+    import time
+
+    def page(seed):
+        r = random.Random(seed)
+        return "<body>" + "".join("<ul>" + "".join("<li>a</li>" if j % 2 else "<div></div>" for j in range(60 + r.randint(0, 3))) + "</ul><ol><li>b</li></ol>" for _ in range(30)) + "</body>"
+
+    a, b = (W.skeleton(W.parse(page(seed))[0]) for seed in (1, 2))
+    start = time.perf_counter()
+    found = W.tree_match(a, b)
+    assert time.perf_counter() - start < 3 and len(found) > 0.9 * len(a[0])

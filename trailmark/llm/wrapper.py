@@ -49,7 +49,7 @@ CLOSES_P = frozenset("address article aside blockquote body center details dialo
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "thead": {"table"}, "tbody": {"table"}}
 BOXES = frozenset("article aside body center div fieldset footer form header main nav ol section table tbody tfoot thead ul".split())
-APART = frozenset("nav footer aside form head menu dialog".split())
+APART = frozenset("nav footer aside head menu dialog".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 WORDS = frozenset(
     "ad ads adbox adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright disclaimer disqus dropdown footer gdpr "
@@ -65,12 +65,16 @@ TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)(
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 BLANK = re.compile(r"\s+")
 WIDTH, BOX_RUN = 64, 8
+#: Why a node's text stands apart: its element or role; a class name or id; being inside a form. The last two are hints.
+PLAIN, HINTED, IN_FORM = 1, 2, 4
+MENU_ITEMS, LABEL_WORDS = 3, 2
+MOST_PAIRS = 20_000
 
 
 class Node:
     __slots__ = ("tag", "label", "apart", "children", "parent", "top", "depth", "at")
 
-    def __init__(self, tag: str, label: str, apart: bool, parent: Node | None):
+    def __init__(self, tag: str, label: str, apart: int, parent: Node | None):
         self.tag, self.label, self.apart, self.parent = tag, label, apart, parent
         self.children: list[Node] = []
         self.depth = 0 if parent is None else parent.depth + 1
@@ -86,24 +90,55 @@ def says_apart(name: str) -> bool:
     return any(w in WORDS for w in words) and all(w in WORDS or w in BESIDE for w in words)
 
 
-def traits(tag: str, raw: str, inside: bool) -> tuple[str, bool]:
-    """A node's label for matching, and whether its text stands apart from the article."""
+def traits(tag: str, raw: str, inside: bool) -> tuple[str, int]:
+    """A node's label for matching, and why its text stands apart from the article (0: it does not)."""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(raw)} if raw.strip() else {}
     names = found.get("class", "").split()
     label = f"{tag}.{'.'.join(sorted(re.sub(r'[0-9]+', '0', n.lower()) for n in names))}" if names else tag
     apart = tag in APART or (tag == "header" and not inside) or found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden") == "true"
     apart = apart or "display:none" in found.get("style", "").replace(" ", "").lower()
+    why = PLAIN if apart else IN_FORM if tag == "form" else 0
     if not apart and tag not in ("html", "body", "main"):
         hints = [n for n in [*names, found.get("id", "")] if says_apart(n)]
         # of an article only the class of a comment says that it is none
-        apart = bool(hints) if tag != "article" else any(set(re.split(r"[_-]+", n.lower())) & {"comment", "comments", "reply"} for n in hints)
-    return label, apart
+        if hints if tag != "article" else any(set(re.split(r"[_-]+", n.lower())) & {"comment", "comments", "reply"} for n in hints):
+            why |= HINTED
+    return label, why
+
+
+class Opened:
+    """The open elements of a page while it is read, with what is asked about them at hand: every question takes the same time."""
+
+    def __init__(self, root: Node):
+        self.stack, self.blocks, self.by_tag = [root], [root], {}
+
+    @property
+    def node(self) -> Node:
+        return self.stack[-1]
+
+    def depth(self, tags) -> int:
+        """The depth of the innermost open element of these tags; -1 without one."""
+        return max((self.by_tag[t][-1].depth for t in tags if self.by_tag.get(t)), default=-1)
+
+    def push(self, node: Node) -> None:
+        self.stack.append(node)
+        self.by_tag.setdefault(node.tag, []).append(node)
+        if node.tag not in INLINE:
+            self.blocks.append(node)
+
+    def close(self, depth: int) -> None:
+        """Close all elements of this depth or more."""
+        while len(self.stack) > 1 and self.stack[-1].depth >= depth:
+            node = self.stack.pop()
+            self.by_tag[node.tag].pop()
+            if node.tag not in INLINE:
+                self.blocks.pop()
 
 
 def parse(text: str) -> tuple[Node, list[list]]:
-    """The element tree and the blocks [text, node, link length] in page order."""
-    root = Node("#", "#", False, None)
-    node, blocks, buffer, at = root, [], [], 0
+    """The element tree and the blocks [text, node, link length] in page order, in time that grows as the page."""
+    root = Node("#", "#", 0, None)
+    opened, blocks, buffer, at = Opened(root), [], [], 0
     links = 0
 
     def flush() -> None:
@@ -111,10 +146,7 @@ def parse(text: str) -> tuple[Node, list[list]]:
         if buffer:
             line = BLANK.sub(" ", "".join(x for x, _ in buffer)).strip()
             if line:
-                holder = buffer[0][1]
-                while holder.tag in INLINE and holder.parent is not None:
-                    holder = holder.parent
-                blocks.append([line, holder, links])
+                blocks.append([line, buffer[0][1], links])
             buffer.clear()
         links = 0
 
@@ -122,18 +154,9 @@ def parse(text: str) -> tuple[Node, list[list]]:
         nonlocal links
         if chunk:
             chunk = htmllib.unescape(chunk) if "&" in chunk else chunk
-            buffer.append((chunk, node))
-            up = node
-            while up is not None and up.tag in INLINE:
-                if up.tag == "a":
-                    links += len(chunk.strip())
-                    break
-                up = up.parent
-
-    def close(until: Node) -> None:
-        nonlocal node
-        flush()
-        node = until.parent
+            buffer.append((chunk, opened.blocks[-1]))
+            if opened.depth("a") > opened.blocks[-1].depth:
+                links += len(chunk.strip())
 
     for m in iter(lambda: TOKEN.search(text, at), None):
         write(text[at : m.start()])
@@ -149,54 +172,40 @@ def parse(text: str) -> tuple[Node, list[list]]:
                 at = stop.end() if stop else len(text)
             continue
         if tag == "br":
-            buffer.append((" ", node))
+            buffer.append((" ", opened.blocks[-1]))
             continue
         if end:
-            up = node
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None and up is not root:
-                if tag in INLINE:
-                    if all(x.tag in INLINE for x in chain(node, up)):
-                        node = up.parent
-                else:
-                    close(up)
-            elif tag not in INLINE:
+            found = opened.depth((tag,))
+            if tag not in INLINE:
                 flush()
+                if found > 0:
+                    opened.close(found)
+            elif found > opened.blocks[-1].depth:
+                opened.close(found)
             continue
         if tag not in INLINE:
             flush()
-            if tag in CLOSES_P:
-                up = node
-                while up.tag in INLINE and up.parent is not None:
-                    up = up.parent
-                if up.tag == "p":
-                    node = up.parent
+            if tag in CLOSES_P and opened.blocks[-1].tag == "p":
+                opened.close(opened.blocks[-1].depth)
             if tag in SIBLINGS:
-                up = node
-                while up is not None and up.tag not in SCOPES.get(tag, ()) and up.tag not in SIBLINGS[tag]:
-                    up = up.parent
-                if up is not None and up.tag in SIBLINGS[tag]:
-                    while up.parent is not None and up.parent.tag in SIBLINGS[tag]:
-                        up = up.parent
-                    node = up.parent
-        label, apart = traits(tag, m[3], node.top is not None)
-        child = Node(tag, label, apart or node.apart, node)
-        node.children.append(child)
+                scope = opened.depth(SCOPES.get(tag, ()))
+                while (found := opened.depth(SIBLINGS[tag])) > scope and found > 0:
+                    opened.close(found)
+                    if opened.node.tag not in SIBLINGS[tag]:
+                        break
+        label, apart = traits(tag, m[3], opened.node.top is not None)
+        # an article is not apart for standing in a form that holds the page
+        above = opened.node.apart & ~IN_FORM if tag in ("article", "main") else opened.node.apart
+        child = Node(tag, label, apart | above, opened.node)
+        opened.node.children.append(child)
         if tag not in VOID and not (m[3].rstrip().endswith("/") and tag not in INLINE and tag not in CLOSES_P):
-            node = child
+            opened.push(child)
     else:
         write(text[at:])
     flush()
     return root, blocks
 
 
-def chain(low: Node, high: Node):
-    while low is not high and low is not None:
-        yield low
-        low = low.parent
-
-
 Skeleton = tuple[list[str], list[list[int]]]  # labels, and the children of each node; the root is node 0
 
 
@@ -264,10 +273,11 @@ def read(text: str) -> Skeleton:
     return [x[1] for x in rows], children
 
 
-def tree_match(a: Skeleton, b: Skeleton) -> dict[int, int]:
+def tree_match(a: Skeleton, b: Skeleton, most_pairs: int = MOST_PAIRS) -> dict[int, int]:
     """Simple tree matching: the most nodes of ``a``, with their partners in ``b``, parents and order kept.
 
-    Levels of over ``WIDTH`` by ``WIDTH`` runs have lost their order: there like labels pair in turn.
+    Levels of over ``WIDTH`` by ``WIDTH`` runs have lost their order: there like labels pair in turn. So they do below
+    the pairs that follow the first ``most_pairs``, which bounds the work on pages that are unlike at many levels.
     """
     (la, ca), (lb, cb) = a, b
     if la[0] != lb[0]:
@@ -282,9 +292,25 @@ def tree_match(a: Skeleton, b: Skeleton) -> dict[int, int]:
     def wide(i: int, j: int) -> bool:
         return len(ca[i]) * len(cb[j]) > WIDTH * WIDTH
 
+    # equal subtrees match whole: nothing below them need be compared
+    known: dict[tuple, int] = {}
+
+    def kinds(found: Skeleton) -> tuple[list[int], list[int]]:
+        kind, size = [0] * len(found[0]), [1] * len(found[0])
+        for i in range(len(found[0]) - 1, -1, -1):  # children have larger numbers
+            kind[i] = known.setdefault((found[0][i], *(kind[c] for c in found[1][i])), len(known))
+            size[i] += sum(size[c] for c in found[1][i])
+        return kind, size
+
+    (ka, sizes), (kb, _) = kinds(a), kinds(b)
+    in_turn: dict[tuple[int, int], list[tuple[int, int]]] = {}
     pairs = [(0, 0)]
-    for i, j in pairs:  # grows as it is walked: all pairs of like nodes below pairs
-        pairs += by_label(i, j) if wide(i, j) else [(x, y) for x in ca[i] for y in cb[j] if la[x] == lb[y]]
+    for i, j in pairs:  # grows as it is walked: all pairs of like, unequal nodes below pairs
+        if ka[i] == kb[j]:
+            continue
+        if wide(i, j) or len(pairs) > most_pairs:
+            in_turn[i, j] = by_label(i, j)
+        pairs += in_turn.get((i, j)) or [(x, y) for x in ca[i] for y in cb[j] if la[x] == lb[y]]
     weight: dict[tuple[int, int], int] = {}
 
     def table_of(i: int, j: int) -> list[list[int]]:
@@ -297,16 +323,21 @@ def tree_match(a: Skeleton, b: Skeleton) -> dict[int, int]:
         return best
 
     for i, j in reversed(pairs):
-        if wide(i, j):
-            weight[i, j] = 1 + sum(weight[p] for p in by_label(i, j))
+        if ka[i] == kb[j]:
+            weight[i, j] = sizes[i]
+        elif (i, j) in in_turn:
+            weight[i, j] = 1 + sum(weight[p] for p in in_turn[i, j])
         else:
             weight[i, j] = 1 + (table_of(i, j)[-1][-1] if ca[i] and cb[j] else 0)
     out, open_ = {}, [(0, 0)]
     while open_:
         i, j = open_.pop()
         out[i] = j
-        if wide(i, j):
-            open_ += by_label(i, j)
+        if ka[i] == kb[j]:
+            open_ += zip(ca[i], cb[j])
+            continue
+        if (i, j) in in_turn:
+            open_ += in_turn[i, j]
             continue
         best, m, n = table_of(i, j), len(ca[i]), len(cb[j])
         while m and n:
@@ -320,34 +351,37 @@ def tree_match(a: Skeleton, b: Skeleton) -> dict[int, int]:
     return out
 
 
-def article(text: str) -> tuple[list[list], Node]:
+def article(text: str, outside_share: float = 3.0) -> tuple[list[list], Node]:
     """The article's blocks as [line, holder], and the root of the tree.
 
-    The article is the smallest node that holds all text of article and main
-    elements; a page with over four times their text outside of them is kept whole.
+    The article is the smallest node that holds all text of article and main elements; a page with over
+    ``outside_share`` times their text outside of them is kept whole. Where only hints (class names, forms) would leave
+    no text at all, they are not believed.
     """
     root, blocks = parse(text)
-    # outside of articles an item of a list that is mostly links is one of a menu
-    kept = [[line, holder] for line, holder, links in blocks if not holder.apart and (holder.top is not None or holder.tag != "li" or 2 * links <= len(line))]
-    tops: list[Node] = []
-    inside = outside = 0
-    for line, holder in kept:
-        if holder.top is None:
-            outside += len(line)
-            continue
-        inside += len(line)
-        if holder.top not in tops[-1:]:
-            tops.append(holder.top)
-    if tops and 4 * inside >= outside:
-        whole = tops[0]
-        for top in tops[1:]:  # the smallest node that holds all parts
-            while top.depth > whole.depth:
+    for reasons in (PLAIN | HINTED | IN_FORM, PLAIN | HINTED, PLAIN):
+        kept = [x for x in blocks if not x[1].apart & reasons]
+        if kept:
+            break
+    # outside of articles a list is a menu if its items are mostly links and are many, or labels of a word or two
+    items: dict[int, list[int]] = {}
+    linked = lambda line, holder, links: holder.top is None and holder.tag == "li" and 2 * links > len(line)
+    for x in kept:
+        if linked(*x):
+            items.setdefault(id(x[1].parent), []).append(len(x[0].split()))
+    menus = {k for k, words in items.items() if len(words) >= MENU_ITEMS or max(words) <= LABEL_WORDS}
+    kept = [[x[0], x[1]] for x in kept if not (linked(*x) and id(x[1].parent) in menus)]
+    tops = [holder.top for _, holder in kept if holder.top is not None]
+    inside = sum(len(line) for line, holder in kept if holder.top is not None)
+    outside = sum(len(line) for line, holder in kept if holder.top is None)
+    if tops and outside_share * inside >= outside:
+        # the first and the last in page order: what holds both holds all between
+        whole, top = tops[0], tops[-1]
+        while whole is not top:
+            if whole.depth >= top.depth:
+                whole = whole.parent
+            else:
                 top = top.parent
-            while whole is not top:
-                if whole.depth > top.depth:
-                    whole = whole.parent
-                else:
-                    top, whole = (top.parent, whole.parent) if top.depth == whole.depth else (top.parent, whole)
         below, stack = set(), [whole]
         while stack:
             node = stack.pop()
@@ -428,7 +462,7 @@ def extract(pages: DataFrame, *, share: float = 0.9, least: int = 5, prototypes:
     layouts = rows.select("host", "layout", "page_code", "skeleton").dropDuplicates(["host", "layout", "page_code"])
     layouts = stage(layouts.groupBy("host", "layout").agg(F.count(F.lit(1)).alias("pages"), F.first("skeleton").alias("skeleton")), "html-layouts")
     rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("pages"), "layout"))
-    models = layouts.withColumn("rank", rank).where((F.col("rank") == 1) | ((F.col("rank") <= prototypes) & (F.col("pages") >= least))).groupBy("host").agg(F.array_sort(F.collect_list(F.struct("rank", "layout", "skeleton"))).alias("models"))
+    models = layouts.withColumn("rank", rank).where(F.col("rank") <= prototypes).where((F.col("rank") == 1) | ((F.col("rank") <= prototypes) & (F.col("pages") >= least))).groupBy("host").agg(F.array_sort(F.collect_list(F.struct("rank", "layout", "skeleton"))).alias("models"))
     placed = stage(layouts.join(models, "host").select("host", "layout", "skeleton", "models").mapInArrow(lean(align), "host string, layout long, slots array<bigint>"), "html-slots")
 
     lines = rows.select("host", "page_code", "layout", F.explode("blocks").alias("x")).select("host", "layout", "page_code", "x.node", "x.code").distinct()
