@@ -167,7 +167,7 @@ def kept_lines(html):
         ("<nav>menu</nav><div class=promo>the only text</div>", ["the only text"]),
         ("<div class=promo>advert</div><p>text</p>", ["text"]),
         ("<nav>menu</nav>", []),
-        ("<div><main><p>one</p></main><p>between</p></div><div><article>two</article></div><p>t</p>", ["one", "between", "two"]),
+        ("<div><div><main><p>one</p></main><p>between</p></div><div><article>two</article></div></div><p>t</p>", ["one", "between", "two"]),
     ],
 )
 def test_hints_and_shares_do_not_empty_a_page(html, want):
