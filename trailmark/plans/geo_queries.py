@@ -139,25 +139,25 @@ def _(spark, sf):
 
 
 # Degree texts: built from whole thousandths of minutes, halfway between two texts' rounding steps.
-@query("fmt_dmm", "SELECT event_id AS id, (CASE WHEN event_id % 2 = 0 THEN 'N ' ELSE 'S ' END) || lpad(CAST(event_id % 90 AS VARCHAR), 2, '0') || '°' || lpad(CAST(event_id * 7919 % 60000 // 1000 AS VARCHAR), 2, '0') || '.' || lpad(CAST(event_id * 7919 % 1000 AS VARCHAR), 3, '0') || '''' AS text FROM events WHERE event_id > 0")
+@query("fmt_dmm", "SELECT event_id AS id, (CASE WHEN event_id % 2 = 0 THEN 'N ' ELSE 'S ' END) || lpad(CAST(event_id % 90 AS VARCHAR), 2, '0') || '°' || lpad(CAST(event_id * 7919 % 60000 // 1000 AS VARCHAR), 2, '0') || '.' || lpad(CAST(event_id * 7919 % 1000 AS VARCHAR), 3, '0') || '''' AS text FROM events")
 def _(spark, sf):
     e = F.col("event_id")
     v = (e % 90 + (e * 7919 % 60000 + 0.1) / 60000.0) * F.when(e % 2 == 0, 1).otherwise(-1)
-    return V.read(spark, sf, "events").where("event_id > 0").select(e.alias("id"), T.dmm_text(v, True).alias("text"))
+    return V.read(spark, sf, "events").select(e.alias("id"), T.dmm_text(v, True).alias("text"))
 
 
-@query("fmt_dms", """SELECT event_id AS id, (CASE WHEN event_id % 2 = 0 THEN 'E ' ELSE 'O ' END) || lpad(CAST(event_id % 180 AS VARCHAR), 3, '0') || '°' || lpad(CAST(event_id * 7919 % 36000 // 600 AS VARCHAR), 2, '0') || '''' || lpad(CAST(event_id * 7919 % 600 // 10 AS VARCHAR), 2, '0') || '.' || CAST(event_id * 7919 % 10 AS VARCHAR) || '"' AS text FROM events WHERE event_id > 0""")
+@query("fmt_dms", """SELECT event_id AS id, (CASE WHEN event_id % 2 = 0 THEN 'E ' ELSE 'O ' END) || lpad(CAST(event_id % 180 AS VARCHAR), 3, '0') || '°' || lpad(CAST(event_id * 7919 % 36000 // 600 AS VARCHAR), 2, '0') || '''' || lpad(CAST(event_id * 7919 % 600 // 10 AS VARCHAR), 2, '0') || '.' || CAST(event_id * 7919 % 10 AS VARCHAR) || '"' AS text FROM events""")
 def _(spark, sf):
     e = F.col("event_id")
     v = (e % 180 + (e * 7919 % 36000 + 0.1) / 36000.0) * F.when(e % 2 == 0, 1).otherwise(-1)
-    return V.read(spark, sf, "events").where("event_id > 0").select(e.alias("id"), T.dms_text(v, False).alias("text"))
+    return V.read(spark, sf, "events").select(e.alias("id"), T.dms_text(v, False).alias("text"))
 
 
-@query("fmt_pilot", "SELECT event_id AS id, (CASE WHEN event_id % 2 = 0 THEN '' ELSE '-' END) || CAST(event_id % 90 AS VARCHAR) AS d, CAST(event_id * 7919 % 600000 // 10000 AS VARCHAR) || '.' || lpad(CAST(event_id * 7919 % 10000 AS VARCHAR), 4, '0') AS m FROM events WHERE event_id > 0")
+@query("fmt_pilot", "SELECT event_id AS id, (CASE WHEN event_id % 2 = 0 THEN '' ELSE '-' END) || CAST(event_id % 90 AS VARCHAR) AS d, CAST(event_id * 7919 % 600000 // 10000 AS VARCHAR) || '.' || lpad(CAST(event_id * 7919 % 10000 AS VARCHAR), 4, '0') AS m FROM events")
 def _(spark, sf):
     e = F.col("event_id")
     v = (e % 90 + (e * 7919 % 600000 + 0.1) / 600000.0) * F.when(e % 2 == 0, 1).otherwise(-1)
-    return V.read(spark, sf, "events").where("event_id > 0").select(e.alias("id"), T.pilot_entry(v).alias("p")).select("id", "p.*")
+    return V.read(spark, sf, "events").select(e.alias("id"), T.pilot_entry(v).alias("p")).select("id", "p.*")
 
 
 @query("fmt_distance", "WITH m AS (SELECT event_id AS id, event_id * 7919 % 30000 AS d FROM events) SELECT id, CASE WHEN d < 1000 THEN CAST(d AS VARCHAR) || ' m' WHEN d < 10000 THEN CAST((d // 10 + CASE WHEN d % 10 >= 5 THEN 1 ELSE 0 END) // 100 AS VARCHAR) || ',' || lpad(CAST((d // 10 + CASE WHEN d % 10 >= 5 THEN 1 ELSE 0 END) % 100 AS VARCHAR), 2, '0') || ' km' ELSE CAST((d // 100 + CASE WHEN d % 100 >= 50 THEN 1 ELSE 0 END) // 10 AS VARCHAR) || ',' || CAST((d // 100 + CASE WHEN d % 100 >= 50 THEN 1 ELSE 0 END) % 10 AS VARCHAR) || ' km' END AS text FROM m")

@@ -198,16 +198,16 @@ def _(spark, sf):
 
 @query(
     "stored_history",
-    """WITH e AS (SELECT user_id AS owner, event_id % 50 AS k, event_id AS seq, ts AS t FROM events WHERE event_id % 4 <> 0 AND event_id % 7 <> 0),
+    """WITH e AS (SELECT user_id AS owner, event_id % 50 AS k, event_id AS seq, ts AS t FROM events WHERE event_id % 4 <> 0),
     u AS (SELECT *, row_number() OVER (PARTITION BY owner, k ORDER BY t DESC, seq DESC) AS n FROM e), p AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY t DESC, seq DESC) AS place FROM u WHERE n = 1)
-    SELECT owner, CAST(place AS INTEGER) AS place, k, 'text ' || CAST(seq AS VARCHAR) AS src FROM p WHERE place <= 10""",
+    SELECT owner, CAST(place AS INTEGER) AS place, k, CASE WHEN seq % 7 = 0 THEN '' ELSE 'text ' || CAST(seq AS VARCHAR) END AS src FROM p WHERE place <= 10""",
 )
 def _(spark, sf):
     from trailmark.sources.stored import stored_history
 
     s = V.sightings(spark, sf)
-    src = F.when(F.col("seq") % 4 != 0, F.concat(F.lit("text "), F.col("seq").cast("string"))).otherwise("")
-    rows = s.select(F.col("track").alias("owner"), (F.col("seq") % 50).alias("k"), src.alias("src"), "t", "seq", F.when(F.col("seq") % 7 == 0, 91.0).otherwise(F.col("lat")).alias("lat"), "lon")
+    src = F.when(F.col("seq") % 7 == 0, "").when(F.col("seq") % 4 != 0, F.concat(F.lit("text "), F.col("seq").cast("string")))
+    rows = s.select(F.col("track").alias("owner"), F.when(F.col("seq") % 4 != 0, F.col("seq") % 50).alias("k"), src.alias("src"), "t", "seq")
     return stored_history(rows).select("owner", "place", "k", "src")
 
 

@@ -42,7 +42,7 @@ def _(spark, sf):
     return P.all_positions(two, parser=N.parse_strict).select("id", "rank", "lat", "lon", "fmt", "score", "seg")
 
 
-UTM_SQL = f"WITH {V.WORLD} SELECT id, true AS near, true AS same_zone FROM w WHERE id > 0 AND abs(lat) <= 79"
+UTM_SQL = f"WITH {V.WORLD} SELECT id, true AS near, true AS same_zone FROM w"
 
 
 @query("parse_utm", UTM_SQL)
@@ -50,7 +50,7 @@ def _(spark, sf):
     from trailmark.functions.geo import haversine_m, utm_zone
     from trailmark.functions.text import utm_text
 
-    w = V.world(spark, sf).where("id > 0 and abs(lat) <= 79").withColumn("zone", utm_zone("lon"))
+    w = V.world(spark, sf).withColumn("zone", utm_zone("lon"))
     parts = F.split(utm_text("lat", "lon"), " ")
     text = F.concat_ws(" ", parts[0], F.lpad(parts[1], 7, "0"), F.lpad(parts[2], 7, "0"))
     p = N.parse_positions(w.withColumn("text", text))
@@ -69,7 +69,10 @@ def _(spark, sf):
     return V.texts(spark, sf).select("id", F.posexplode(N.token_rows("text")).alias("at", "t")).select("id", "at", "t.kind", "t.start", "t.end", "t.text", "t.symbol")
 
 
-@query("text_runs")
+@query(
+    "text_runs",
+    "WITH x AS (SELECT event_id AS id, event_id % 8 AS shape FROM events) SELECT id, CASE WHEN shape = 4 THEN 6 ELSE 0 END AS run, CASE WHEN shape IN (0, 1) THEN 4 WHEN shape = 5 THEN 6 ELSE 2 END AS numbers, CASE WHEN shape IN (0, 5, 7) THEN 2 ELSE 0 END AS hemispheres FROM x",
+)
 def _(spark, sf):
     t = V.texts(spark, sf).select("id", F.explode(N.token_rows("text")).alias("t")).where("t.kind <> 'word'")
     return t.groupBy("id", "t.run").agg(F.count_if(F.col("t.kind") == "num").alias("numbers"), F.count_if(F.col("t.kind") == "hemi").alias("hemispheres"))

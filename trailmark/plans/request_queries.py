@@ -91,3 +91,46 @@ def _(spark, sf):
 
     s = V.sightings(spark, sf)
     return memo(s.select(F.lit("alt").alias("kind"), (F.col("seq") % 40).cast("string").alias("key"), "seq", "t", (F.col("seq") % 3 == 0).alias("fails")), 3 * 86400.0)
+
+
+def samples(spark, sf):
+    """Each sighting is a sample, 90 m after the one before; every third is a point of its track."""
+    from pyspark.sql import Window
+
+    from trailmark.operators.profile import numbered
+
+    i = F.row_number().over(Window.partitionBy("track").orderBy("t", "seq")) - 1
+    rows = V.sightings(spark, sf).select("track", i.alias("i"), "z", (F.col("seq") % 3 == 0).alias("point"))
+    return numbered(rows.withColumn("d", F.col("i") * 90.0))
+
+
+PROFILE_SQL = f"""WITH RECURSIVE {V.SIGHTINGS}, a AS (SELECT track, row_number() OVER (PARTITION BY track ORDER BY t, seq) - 1 AS i, z, seq % 3 = 0 AS point FROM s),
+b AS (SELECT *, i * 90.0::DOUBLE AS d, CASE WHEN point THEN count(*) FILTER (point) OVER (PARTITION BY track ORDER BY i) - 1 ELSE -1 END AS k FROM a),
+l AS (SELECT track, min(z) AS lo, max(z) AS hi, greatest(max(d), CASE WHEN max(d) = 0 THEN 1 ELSE 0 END) AS dmax FROM b GROUP BY 1 HAVING count(z) >= 2),
+m AS (SELECT track, dmax, CASE WHEN hi - lo < 20 THEN (hi + lo) / 2 - 10 ELSE lo END AS lo, CASE WHEN hi - lo < 20 THEN (hi + lo) / 2 + 10 ELSE hi END AS hi FROM l),
+p AS (SELECT *, (hi - lo) / 4 AS raw, pow(10, floor(log10(greatest((hi - lo) / 4, 1)))) AS p10 FROM m),
+q AS (SELECT *, CASE WHEN p10 >= raw THEN p10 WHEN 2 * p10 >= raw THEN 2 * p10 WHEN 5 * p10 >= raw THEN 5 * p10 ELSE 10 * p10 END AS step FROM p),
+c AS (SELECT track, dmax, step, floor(lo / step) * step AS y0, ceil(hi / step) * step AS y1 FROM q),
+e AS (SELECT b.*, c.dmax, 60.0::DOUBLE + d / dmax * 514 AS px, 22.0::DOUBLE + (1 - (z - y0) / (y1 - y0)) * 152 AS py FROM b JOIN c USING (track) WHERE z IS NOT NULL),
+n AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY i) AS o FROM e WHERE k >= 0),
+f(track, o, k, z, px, py, seed, grp) AS (SELECT track, o, k, z, px, py, px, 0 FROM n WHERE o = 1
+  UNION ALL SELECT n.track, n.o, n.k, n.z, n.px, n.py, CASE WHEN n.px - f.seed < 22 THEN f.seed ELSE n.px END, CASE WHEN n.px - f.seed < 22 THEN f.grp ELSE f.grp + 1 END FROM f JOIN n ON n.track = f.track AND n.o = f.o + 1),
+g AS (SELECT track, grp, min(seed) AS px, arg_min(py, o) AS py, min(k) AS k0, max(k) AS k1, min(z) AS lo, max(z) AS hi FROM f GROUP BY 1, 2),
+h AS (SELECT *, CASE WHEN k0 = k1 THEN CAST(k0 + 1 AS VARCHAR) ELSE (k0 + 1) || '-' || (k1 + 1) END AS label FROM g),
+j AS (SELECT *, greatest(18, 8 + length(label) * 8) AS w, replace(format('{{:,}}', CAST(floor(lo + 0.5::DOUBLE) AS BIGINT)), ',', chr(8239)) || CASE WHEN hi - lo >= 5 THEN '-' || replace(format('{{:,}}', CAST(floor(hi + 0.5::DOUBLE) AS BIGINT)), ',', chr(8239)) ELSE '' END AS text FROM h),
+v AS (SELECT track, grp, floor(least(greatest(px, 60 + w / 2.0::DOUBLE - 9), 583 - w / 2.0::DOUBLE) * 10 + 0.5::DOUBLE) / 10 AS x, floor(py * 10 + 0.5::DOUBLE) / 10 AS y, label, text FROM j),
+r(track, grp, x, y, label, text, here, shown) AS (SELECT track, -1, 0.0::DOUBLE, 0.0::DOUBLE, '', '', -99.0::DOUBLE, false FROM v WHERE grp = 0
+  UNION ALL SELECT v.track, v.grp, v.x, v.y, v.label, v.text, CASE WHEN v.x - r.here >= 30 + length(v.text) * 4 THEN v.x ELSE r.here END, v.x - r.here >= 30 + length(v.text) * 4 FROM r JOIN v ON v.track = r.track AND v.grp = r.grp + 1),
+t AS (SELECT track, step, y0, y1, unnest(generate_series(0, CAST(floor((y1 + 0.1::DOUBLE - y0) / step) AS BIGINT))) AS j FROM c)
+SELECT track, 'tick' AS kind, CAST(j AS INTEGER) AS ord, 60.0::DOUBLE AS x, floor((22.0::DOUBLE + (1 - j * step / (y1 - y0)) * 152) * 10 + 0.5::DOUBLE) / 10 AS y, NULL::DOUBLE AS y2, replace(format('{{:,}}', CAST(y0 + j * step AS BIGINT)), ',', chr(8239)) AS label, NULL AS text, true AS shown FROM t
+UNION ALL SELECT track, 'line', CAST(floor(px) AS INTEGER), floor(px), floor(min(py) * 10 + 0.5::DOUBLE) / 10, floor(max(py) * 10 + 0.5::DOUBLE) / 10, NULL, NULL, true FROM e GROUP BY track, floor(px)
+UNION ALL SELECT track, 'end', 0, 60, 194, NULL, '0', NULL, true FROM c
+UNION ALL SELECT track, 'end', 1, 574, 194, NULL, CASE WHEN dmax < 1000 THEN CAST(CAST(dmax AS BIGINT) AS VARCHAR) || ' m' WHEN dmax < 10000 THEN replace(format('{{:.2f}}', dmax / 1000), '.', ',') || ' km' ELSE replace(format('{{:.1f}}', dmax / 1000), '.', ',') || ' km' END, NULL, true FROM c
+UNION ALL SELECT track, 'pin', CAST(grp AS INTEGER), x, y, NULL, label, text, shown FROM r WHERE grp >= 0"""
+
+
+@query("profile_rows", PROFILE_SQL)
+def _(spark, sf):
+    from trailmark.operators.profile import profile_rows
+
+    return profile_rows(samples(spark, sf))

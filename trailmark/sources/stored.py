@@ -26,10 +26,10 @@ def read_answers(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def stored_history(rows: DataFrame) -> DataFrame:
-    """The kept entries of a stored history (owner, k, src, t, seq, lat, lon); those without text, date or place are left out."""
+    """The kept entries of a stored history (owner, k, src, t, seq): those with a position text and a source text, which may be empty."""
     from trailmark.operators.track import history
 
-    return history(rows.where((F.coalesce("src", F.lit("")) != "") & valid_position("lat", "lon") & F.col("t").isNotNull()))
+    return history(rows.where(F.col("k").isNotNull() & F.col("src").isNotNull()))
 
 
 def track_names(rows: DataFrame) -> DataFrame:
