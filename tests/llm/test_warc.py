@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from trailmark.llm import warc
@@ -86,3 +87,24 @@ def test_key_column_equals_key_function(spark):
 def test_empty_table(spark):
     blocks = warc.write_archives(make(spark).where(F.lit(False)))
     assert blocks.collect() == [] and warc.lookup(blocks, "http://a/").collect() == []
+
+
+def test_ranges_of_any_width_meet_their_blocks_without_groups_of_an_archive(spark):
+    import random
+
+    rng = random.Random(9)
+    rows = [(i, f"http://h{rng.randint(0, 5)}.org/{rng.randint(0, 30)}", f"<p>{i}</p>" * rng.randint(1, 30)) for i in range(400)]
+    blocks = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), block_records=7, partitions=3)
+    keys = sorted(warc.capture_key(u, i) for i, u, _ in rows)
+    ranges = {tuple(sorted(rng.sample(keys, 2))) for _ in range(40)} | {(k, k + "\x00") for k in rng.sample(keys, 60)} | {("", "~"), ("zz", "~"), (keys[0], keys[0])}
+    found = warc.lookup_many(blocks, spark.createDataFrame(sorted(ranges), "low string, high string"))
+    want = sorted(i for low, high in ranges for i, u, _ in rows if low <= warc.capture_key(u, i) < high)
+    assert sorted(r.page_id for r in found.collect()) == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroups" not in plan and "FlatMapGroups" not in plan
+
+
+def test_damaged_records_are_named(spark):
+    data = warc.record(1, "http://a.org/", b"x" * 200, 200, "0" * 64, None)
+    with pytest.raises(ValueError, match="payload digest"):
+        warc.read_record(data)

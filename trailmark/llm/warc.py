@@ -10,9 +10,10 @@ of bytes of one archive. The ``blocks`` table makes a collection:
 * the sparse directory is its lines without the two contents, one per block.
 
 ``lookup_many`` answers ranges of keys, any number of them: a range finds its
-archives in the list of archives (one line a write task, on the driver), meets
-the directory lines of its archive in one group, which is binary-searched for
-blocks, and then the blocks, whose index lines are binary-searched for offsets;
+archives by binary search in the list of archives (one line a write task, on the
+driver; a task writes about a gigabyte of html at most, or one key), meets the
+directory lines of its archive in a merge by keys, which holds what is open at a key
+and no more, and then the blocks, whose index lines are binary-searched for offsets;
 records are range-read from the bytes of the block, and nothing else is unpacked.
 
 Records are compressed before they are shuffled into key order by range, so html
@@ -27,7 +28,8 @@ Defined results: null html is an empty payload; payloads under
 sorts first and is kept as null; of repeated rows of one page id each gets its
 record, and they are responses or revisits alike (a row that equals the
 response's page id is a response); an empty table gives an empty collection;
-extra columns are not read.
+extra columns are not read. A damaged record, or one whose payload is not that of its
+digest, stops the reading with an error that names what is wrong.
 """
 
 from __future__ import annotations
@@ -41,7 +43,6 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -49,7 +50,7 @@ from trailmark.llm.shared import lean, stage, table
 from trailmark.llm.telephony import slices
 
 LEAST_BYTES = 100
-BLOCK_RECORDS, BLOCK_BYTES = 500, 2 << 20
+BLOCK_RECORDS, BLOCK_BYTES, ARCHIVE_BYTES = 500, 2 << 20, 1 << 30
 CAPTURE = {"key": "string", "page_id": "long", "url": "string", "digest": "binary", "payload_bytes": "long", "member": "binary", "refers_to": "long"}
 BLOCKS = "archive string, block int, base long, first_key string, last_key string, records int, cdx binary, warc binary"
 
@@ -126,7 +127,10 @@ def revisits(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
 def write_archives(pages: DataFrame, *, least_bytes: int = LEAST_BYTES, block_records: int = BLOCK_RECORDS, block_bytes: int = BLOCK_BYTES, partitions: int | None = None) -> DataFrame:
     """The ``blocks`` table of page_id, url, html, written to the shared folder and read back."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    n = partitions or max(1, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = partitions
+    if n is None:  # archives of a bounded size, whatever the number of partitions
+        size = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+        n = max(1, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // ARCHIVE_BYTES))
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 3):
@@ -209,14 +213,23 @@ def lookup_many(blocks: DataFrame, wanted: DataFrame, *, keep_html: bool = True)
                         out.append((archive, low, high))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in range(3)], ["archive", "low", "high"])
 
-    def search(ranges: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
-        lines = lines.sort_values("block")
-        first, last, number = lines["first_key"].tolist(), lines["last_key"].tolist(), lines["block"].tolist()
-        out = []
-        for low, high in zip(ranges["low"], ranges["high"]):
-            for i in range(bisect.bisect_left(last, low), bisect.bisect_left(first, high)):
-                out.append((lines["archive"].iat[0], number[i], low, high))
-        return pd.DataFrame(out, columns=["archive", "block", "low", "high"])
+    def meet(batches):
+        """Directory lines and ranges of an archive in the order of keys: what is open at a key is all that is held."""
+        archive, blocks_open, wanted_open = None, [], []
+        for b in batches:
+            out = []
+            for at, key, end, block in zip(*(b.column(i).to_pylist() for i in range(4))):
+                if at != archive:
+                    archive, blocks_open, wanted_open = at, [], []
+                blocks_open = [x for x in blocks_open if x[1] >= key]
+                wanted_open = [x for x in wanted_open if x[1] > key]
+                if block is None:
+                    out += [(at, n, key, end) for n, _ in blocks_open]
+                    wanted_open.append((key, end))
+                else:
+                    out += [(at, block, low, high) for low, high in wanted_open]
+                    blocks_open.append((block, end))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.string()))], ["archive", "block", "low", "high"])
 
     def read(batches):
         kinds = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload": pa.binary()}
@@ -230,7 +243,9 @@ def lookup_many(blocks: DataFrame, wanted: DataFrame, *, keep_html: bool = True)
             yield pa.RecordBatch.from_arrays([pa.array([r[c] if keep_html or c != "payload" else None for r in rows], k) for c, k in kinds.items()], [*kinds][:-1] + ["html"])
 
     routed = wanted.select("low", "high").mapInArrow(lean(route), "archive string, low string, high string")
-    met = routed.groupBy("archive").cogroup(directory(blocks).groupBy("archive")).applyInPandas(search, "archive string, block int, low string, high string")
+    lines = directory(blocks).select("archive", F.col("first_key").alias("key"), F.col("last_key").alias("end"), "block")
+    both = lines.unionAll(routed.select("archive", F.col("low").alias("key"), F.col("high").alias("end"), F.lit(None).cast("int").alias("block")))
+    met = both.repartition("archive").sortWithinPartitions("archive", "key", F.col("block").asc_nulls_last()).mapInArrow(lean(meet), "archive string, block int, low string, high string")
     met = met.groupBy("archive", "block").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
     return blocks.join(met, ["archive", "block"]).select("cdx", "warc", "ranges").mapInArrow(lean(read), RECORDS)
 
