@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from trailmark import constants as C
 from trailmark.functions import text as T
+from trailmark.operators.spatial import met_places, named_places, nearest_of
 
 # Address levels in the order in which they name a municipality, and the tags of wanted places.
 LEVELS = ["city", "town", "village", "municipality", "hamlet"]
@@ -63,6 +65,26 @@ def searched(elements: DataFrame) -> DataFrame:
     return rows.withColumn("rank", rank).where(F.col("rank") <= most).drop("rank")
 
 
+def search_near(points: DataFrame, elements: DataFrame, k: int = 3, radius: float = C.PLACE_RADIUS_M, *, nodes: int = MOST_NODES, ways: int = MOST_WAYS) -> DataFrame:
+    """The ``k`` nearest named places among what a search around each point returns: id, place, name, kind, d, b.
+
+    points: id, lat, lon; elements: eid, element (node or way), tags, geometry. A search returns the wanted elements within
+    ``radius``, the first ``nodes`` nodes and ``ways`` ways by id; those that are no place count there and go afterwards.
+    """
+    rows = named_places(elements.where(wanted(F.col("element"), F.col("tags"))).withColumnRenamed("eid", "pid"))
+    met = met_places(points, rows, radius, "element")
+    rank = F.row_number().over(Window.partitionBy("id", "p_element").orderBy("p_pid"))
+    met = met.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("p_element") == "node", nodes).otherwise(ways)).drop("rank")
+    return nearest_of(met.where("x.p_kind is not null and coalesce(x.p_name, '') <> ''"), k)
+
+
+def search_with_fallback(points: DataFrame, first: DataFrame, second: DataFrame, failed: DataFrame, k: int = 3, **options) -> DataFrame:
+    """``search_near`` by a first source, and by a second for the points (``failed``: id) that it gave no answer for."""
+    again = points.join(failed.select("id"), "id", "left_semi")
+    answered = points.join(failed.select("id"), "id", "left_anti")
+    return search_near(answered, first, k, **options).unionByName(search_near(again, second, k, **options))
+
+
 def place_lines(points: DataFrame, municipalities: DataFrame, altitudes: DataFrame, near: DataFrame) -> DataFrame:
     """id, text: municipality, altitude and nearest named place, each on a line if known.
 

@@ -88,12 +88,25 @@ def nearest_places(points: DataFrame, places: DataFrame, k: int = 3, radius: flo
     lon). Distance is to the nearest vertex; of equal names (in any case) the
     nearest counts, the earlier among equals; bearings run from place to point.
     """
+    named = (F.col("kind").isNotNull()) & (F.coalesce("name", F.lit("")) != "")
+    return nearest_of(met_places(points, named_places(places).where(named), radius), k)
+
+
+def named_places(places: DataFrame) -> DataFrame:
+    """pid, kind, name and geometry of places, and the columns beside them; kind and name may be null."""
     tag = lambda n: F.try_element_at("tags", F.lit(n))
-    rows = places.withColumn("kind", kind_of(F.col("tags"))).withColumn("name", F.coalesce(F.nullif(tag("name:fr"), F.lit("")), tag("name")))
-    rows = rows.where(F.col("kind").isNotNull() & (F.coalesce("name", F.lit("")) != ""))
-    rows = rows.select("pid", "kind", "name", F.posexplode("geometry").alias("vertex", "g")).select("pid", "kind", "name", "vertex", F.col("g.lat").alias("lat"), F.col("g.lon").alias("lon")).where("lat is not null")
+    return places.withColumn("kind", kind_of(F.col("tags"))).withColumn("name", F.coalesce(F.nullif(tag("name:fr"), F.lit("")), tag("name")))
+
+
+def met_places(points: DataFrame, places: DataFrame, radius: float, *keep: str) -> DataFrame:
+    """id, p_pid and ``x`` (d and both ends) of places with a vertex within ``radius``, and their columns ``keep`` as p_..."""
+    rows = places.select("pid", "kind", "name", *keep, F.posexplode("geometry").alias("vertex", "g")).select("pid", "kind", "name", *keep, "vertex", F.col("g.lat").alias("lat"), F.col("g.lon").alias("lon")).where("lat is not null")
     met = radius_join(points.select("id", "lat", "lon"), rows, radius)
-    near = met.groupBy("id", "p_pid").agg(F.min_by(F.struct("d", "lat", "lon", "p_lat", "p_lon", "p_name", "p_kind"), F.struct("d", "p_vertex")).alias("x"))
+    return met.groupBy("id", "p_pid").agg(F.min_by(F.struct("d", "lat", "lon", "p_lat", "p_lon", "p_name", "p_kind"), F.struct("d", "p_vertex")).alias("x"), *[F.first(f"p_{c}").alias(f"p_{c}") for c in keep])
+
+
+def nearest_of(near: DataFrame, k: int) -> DataFrame:
+    """The ``k`` nearest of met places, one a name: id, place, name, kind, d, b."""
     by_name = Window.partitionBy("id", F.lower("x.p_name")).orderBy("x.d", "p_pid")
     by_distance = Window.partitionBy("id").orderBy("x.d", "p_pid")
     near = near.withColumn("n", F.row_number().over(by_name)).where("n = 1").withColumn("place", F.row_number().over(by_distance)).where(F.col("place") <= k)

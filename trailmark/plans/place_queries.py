@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trailmark.operators import places as P, shots as H
 from trailmark.plans import views as V
-from trailmark.plans.reading_queries import READINGS, readings
+from trailmark.plans.reading_queries import PLACES, READINGS, readings
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -211,6 +211,21 @@ def _(spark, sf):
     return stored_history(rows).select("owner", "place", "k", "src")
 
 
+@query(
+    "places_search_near",
+    f"""WITH {PLACES}, t AS (SELECT b.*, p_partkey % 7 AS tag FROM b JOIN part ON p_partkey = pid), j AS (SELECT s.seq AS id, pid, name, kind, tag, {V.hav("s.lat", "s.lon", "t.lat", "t.lon")} AS d, m FROM s JOIN t ON tag <> 5 AND abs(s.lat - t.lat) < 0.02 WHERE {V.hav("s.lat", "s.lon", "t.lat", "t.lon")} <= 2000),
+n AS (SELECT id, pid, tag IN (3, 4) AS way, any_value(name) AS name, any_value(kind) AS kind, min(d) AS d FROM j GROUP BY ALL), l AS (SELECT *, row_number() OVER (PARTITION BY id, way ORDER BY pid) AS rank FROM n),
+u AS (SELECT *, row_number() OVER (PARTITION BY id, lower(name) ORDER BY d, pid) AS r FROM l WHERE rank <= CASE WHEN way THEN 1 ELSE 2 END AND kind IS NOT NULL), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, pid) AS place FROM u WHERE r = 1)
+SELECT id, place, name, kind, round(d, 3) AS d FROM k WHERE place <= 3""",
+)
+def _(spark, sf):
+    from trailmark.plans.reading_queries import places
+
+    points = V.sightings(spark, sf).select(F.col("seq").alias("id"), "lat", "lon")
+    elements = places(spark, sf).select(F.col("pid").alias("eid"), F.when((F.col("pid") % 7).isin(3, 4), "way").otherwise("node").alias("element"), "tags", "geometry")
+    return P.search_near(points, elements, nodes=2, ways=1).select("id", F.col("place").cast("long").alias("place"), "name", "kind", F.round("d", 3).alias("d"))
+
+
 # SQL forms of queries that stand in other modules
 ORACLES["doubt_carry"] = """WITH e AS (SELECT user_id AS chain, event_id AS seq, event_id % 7 <> 0 AS ok, event_id % 5 = 0 AS ocr, event_id % 11 = 0 AS verified, CAST(event_id % 100 AS INTEGER) AS pct,
   CASE WHEN event_id % 3 = 0 THEN 'check' ELSE 'ok' END AS level FROM events),
