@@ -141,3 +141,21 @@ def test_reader_asks_for_no_more_than_a_head(tmp_path, monkeypatch):
     system = type("S", (), {"open_input_file": lambda self, path: File()})()
     monkeypatch.setattr(reader, "_system", lambda: (system, ""))
     assert [len(r[4]) for p in parts for r in reader.read(p)] == [131_072] and asked == [(0, 131_072)] and fs
+
+
+def test_tracks_are_saved_and_exported_and_read_again(spark, tmp_path):
+    from trailmark.plans import views as V
+    from trailmark.sources import tracks as S
+    from tests.compare import DATA
+
+    points = V.sightings(spark, DATA).where("track < 20")
+    S.save_track(points, str(tmp_path / "saved"))
+    assert S.load_track(spark, str(tmp_path / "saved")).count() == points.count() > 0
+    S.write_gpx(points, str(tmp_path / "gpx"), files=3)
+    assert len(list((tmp_path / "gpx").glob("part-*"))) <= 3
+    back = S.read_gpx(spark, str(tmp_path / "gpx"))
+    key = lambda df, c: sorted((r[0], round(r.lat, 6), round(r.lon, 6)) for r in df.select(c, "lat", "lon").collect())
+    assert key(back.withColumn("id", F.col("id").cast("long")), "id") == key(points, "track")
+    (tmp_path / "texts").mkdir()
+    (tmp_path / "texts" / "a.gpx").write_text(spark.read.parquet(str(tmp_path / "gpx")).first().gpx)
+    assert S.import_files(S.read_texts(spark, str(tmp_path / "texts"))).count() > 0

@@ -134,3 +134,69 @@ def _(spark, sf):
     from trailmark.operators.profile import profile_rows
 
     return profile_rows(samples(spark, sf))
+
+
+# Small columns: link fragments, areas, signed degrees, editable dates, altitudes of points, doubles in a row.
+@query(
+    "fragment_texts",
+    "SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN '45.' || CAST(event_id AS VARCHAR) || ',-6.5' WHEN 1 THEN '-12,' || CAST(event_id % 180 AS VARCHAR) || '.25' END AS text FROM events",
+)
+def _(spark, sf):
+    from trailmark.sources.tracks import fragment_text
+
+    e = F.col("event_id")
+    n = e.cast("string")
+    hashes = F.when(e % 4 == 0, F.concat(F.lit("#45."), n, F.lit(",-6.5"))).when(e % 4 == 1, F.concat(F.lit("-12%2C"), (e % 180).cast("string"), F.lit(".25"))).when(e % 4 == 2, F.concat(F.lit("#s=45.1,"), n)).otherwise(F.concat(F.lit("#45.1,+"), n, F.lit("%")))
+    return V.read(spark, sf, "events").select(e.alias("id"), hashes.alias("hash")).select("id", fragment_text("hash").alias("text"))
+
+
+@query("quad_areas", "SELECT event_id AS id, (event_id % 90) * (event_id % 70 + 1) / 2.0::DOUBLE + (event_id % 90) * (event_id % 70 + 1) / 2.0::DOUBLE AS area FROM events")
+def _(spark, sf):
+    from trailmark.functions.geo import quad_area
+
+    w, h, o = (F.col("event_id") % 90).cast("double"), (F.col("event_id") % 70 + 1).cast("double"), F.lit(0.0)
+    return V.read(spark, sf, "events").select(F.col("event_id").alias("id"), quad_area(F.array(o, w, w + 3, o + 3), F.array(o, o, h, h)).alias("area"))
+
+
+@query("signed_degrees", "SELECT event_id AS id, CASE WHEN event_id % 200 > 100 THEN '+' ELSE '' END || CASE WHEN event_id % 200 < 100 THEN '-' ELSE '' END || CAST(abs(event_id % 200 - 100) // 10 AS VARCHAR) || ',' || CAST(abs(event_id % 200 - 100) % 10 AS VARCHAR) || '°' AS text FROM events")
+def _(spark, sf):
+    from trailmark.functions.text import signed_degrees
+
+    return V.read(spark, sf, "events").select(F.col("event_id").alias("id"), signed_degrees((F.col("event_id") % 200 - 100) / 10.0).alias("text"))
+
+
+@query("local_values", f"WITH {V.SIGHTINGS} SELECT seq AS id, strftime(t, '%Y-%m-%dT%H:%M') AS text FROM s")
+def _(spark, sf):
+    from trailmark.functions.text import local_value
+
+    s = V.sightings(spark, sf)
+    return s.select(F.col("seq").alias("id"), local_value("t").alias("text"))
+
+
+@query("point_altitudes", f"WITH {V.SIGHTINGS} SELECT track, seq AS k, CASE WHEN seq % 5 <> 0 THEN z END AS z FROM s WHERE seq % 3 = 0")
+def _(spark, sf):
+    from trailmark.operators.track import point_altitudes
+
+    q = F.col("seq")
+    s = V.sightings(spark, sf).select("track", q.alias("i"), (q % 4).alias("j"), F.when(q % 3 == 0, q).otherwise(-1).alias("k"), "z")
+    return point_altitudes(s.select("track", "i", "j", "k"), s.where("i % 5 <> 0").select("track", "i", "j", "z"))
+
+
+@query(
+    "track_doubles",
+    f"""WITH {V.SIGHTINGS}, n AS (SELECT track, seq, ms + seq % 2 * 30000 AS ms, lat + seq % 3 * 0.00001::DOUBLE AS lat, lon FROM s), d AS (SELECT track, seq, ms, lat, lon FROM n UNION ALL SELECT track, seq + 10000000, ms + 40000, lat + 0.00001::DOUBLE, lon FROM n WHERE seq % 2 = 0),
+    l AS (SELECT *, lead(seq) OVER w AS s2, lead(ms) OVER w AS ms2, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2 FROM d WINDOW w AS (PARTITION BY track ORDER BY ms, seq))
+    SELECT track, seq, s2 AS next FROM l WHERE s2 IS NOT NULL AND abs(ms2 - ms) < 60000 AND {V.hav("lat", "lon", "lat2", "lon2")} < 3""",
+)
+def _(spark, sf):
+    from pyspark.sql import Window
+
+    from trailmark.operators.track import is_dup
+
+    q = F.col("seq")
+    n = V.sightings(spark, sf).select("track", "seq", F.timestamp_millis(F.unix_millis("t") + q % 2 * 30000).alias("t"), (F.col("lat") + q % 3 * 0.00001).alias("lat"), "lon")
+    more = n.where("seq % 2 = 0").select("track", (q + 10_000_000).alias("seq"), F.timestamp_millis(F.unix_millis("t") + 40000).alias("t"), (F.col("lat") + 0.00001).alias("lat"), "lon")
+    w = Window.partitionBy("track").orderBy("t", "seq")
+    point = F.struct("seq", "t", "lat", "lon")
+    pairs = n.unionByName(more).select("track", point.alias("p"), F.lead(point).over(w).alias("q")).where("q is not null")
+    return pairs.where(is_dup("p", "q")).select("track", F.col("p.seq").alias("seq"), F.col("q.seq").alias("next"))

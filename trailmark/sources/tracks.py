@@ -27,9 +27,14 @@ def import_files(files: DataFrame) -> DataFrame:
     return gpx.unionByName(K.decode_links(links))
 
 
-def write_gpx(points: DataFrame, path: str) -> None:
-    """One text row a document, partitioned by track."""
-    K.to_gpx(points).write.partitionBy("track").text(path)
+def write_gpx(points: DataFrame, path: str, files: int = 64) -> None:
+    """One row a document (track, gpx), dealt to ``files`` files by a hash of the track."""
+    K.to_gpx(points).repartition(files, "track").write.mode("overwrite").parquet(path)
+
+
+def read_gpx(spark: SparkSession, path: str) -> DataFrame:
+    """Points of the documents that ``write_gpx`` wrote: id (the track), name, seq, lat, lon, t, label."""
+    return K.from_gpx(spark.read.parquet(path).withColumnRenamed("track", "id"))
 
 
 def save_track(points: DataFrame, path: str) -> None:
