@@ -176,7 +176,7 @@ def _(spark, sf):
     return K.history(rows).select("owner", F.col("place").cast("long").alias("place"), "k", F.unix_millis("t").alias("ms"))
 
 
-@query("track_link_encode")
+@query("track_link_encode", f"WITH {V.SIGHTINGS} SELECT track, 's=track%20' || CAST(track AS VARCHAR) || string_agg('~' || format('{{:.6f}}', lat) || ',' || format('{{:.6f}}', lon) || ',' || CAST((ms + 500) // 1000 AS VARCHAR) || ',' || coalesce(label, ''), '' ORDER BY t, seq) AS hash FROM s GROUP BY 1")
 def _(spark, sf):
     return K.encode_links(V.sightings(spark, sf))
 
@@ -187,7 +187,13 @@ def _(spark, sf):
     return K.decode_links(links).select("id", "name", F.col("seq").cast("long").alias("seq"), r("lat", 6).alias("lat"), r("lon", 6).alias("lon"), "label", "t")
 
 
-@query("track_gpx")
+@query(
+    "track_gpx",
+    f"""WITH {V.SIGHTINGS}, n AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY t, seq) AS rank, 'lat="' || format('{{:.6f}}', lat) || '" lon="' || format('{{:.6f}}', lon) || '"><time>' || strftime(t, '%Y-%m-%dT%H:%M:%S') || '.' || lpad(CAST(ms % 1000 AS VARCHAR), 3, '0') || 'Z</time>' AS head FROM s)
+    SELECT track, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<gpx version="1.1" creator="trailmark" xmlns="http://www.topografix.com/GPX/1/1">' || chr(10) || '  <metadata><name>track ' || CAST(track AS VARCHAR) || '</name></metadata>' || chr(10)
+      || string_agg('  <wpt ' || head || '<name>' || CAST(rank AS VARCHAR) || CASE WHEN coalesce(label, '') <> '' THEN ' · ' || label ELSE '' END || '</name></wpt>', chr(10) ORDER BY rank) || chr(10) || '  <trk><name>track ' || CAST(track AS VARCHAR) || '</name><trkseg>' || chr(10)
+      || string_agg('      <trkpt ' || head || '</trkpt>', chr(10) ORDER BY rank) || chr(10) || '    </trkseg></trk>' || chr(10) || '</gpx>' || chr(10) AS gpx FROM n GROUP BY 1""",
+)
 def _(spark, sf):
     return K.to_gpx(V.sightings(spark, sf))
 
@@ -213,3 +219,11 @@ def _(spark, sf):
     current = c.select(k.alias("track"), F.concat(F.lit("n"), (k % 3).cast("string")).alias("name"), F.when(k % 5 == 0, 0).otherwise(3).alias("n"))
     incoming = c.select(k.alias("track"), F.when(k % 4 == 0, "").otherwise(F.concat(F.lit("n"), (k % 2).cast("string"))).alias("name"), F.lit(2).alias("n"))
     return K.import_tracks(current, incoming)
+
+
+#: The rank of one placed point a track, for the query of that name in another module.
+PUT_RANK = f"""{KEYED}, o AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY track ORDER BY qid) = 1),
+pl AS (SELECT o.qid, o.track, CASE WHEN p.seq IS NOT NULL THEN CASE WHEN {V.hav('p.lat', 'p.lon', 'o.lat', 'o.lon')} < 0.5 AND NOT (o.dated AND p.ms <> o.ms) THEN 'same' ELSE 'moved' END WHEN n.near IS NOT NULL THEN 'dup' ELSE 'added' END AS how,
+  coalesce(p.seq, n.near_seq) AS seq, CASE WHEN p.seq IS NOT NULL AND NOT o.dated THEN p.ms WHEN p.seq IS NULL AND n.near IS NOT NULL THEN d.ms ELSE o.ms END AS ms FROM o LEFT JOIN p ON p.track = o.track AND p.key = o.key LEFT JOIN n ON n.qid = o.qid LEFT JOIN p d ON d.track = o.track AND d.seq = n.near_seq)
+SELECT pl.qid, pl.track, pl.how, 1 + count(x.seq) AS rank FROM pl LEFT JOIN p x ON x.track = pl.track AND (pl.seq IS NULL OR x.seq <> pl.seq) AND (x.ms < pl.ms OR (x.ms = pl.ms AND (pl.seq IS NULL OR x.seq < pl.seq))) GROUP BY ALL"""
+ORACLES["put_point_rank"] = PUT_RANK
