@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from trailmark.llm import mixing, ngram_join, packing, quality, suffix_dedup
-from trailmark.llm.shared import stage, table
+from trailmark.llm.shared import drop_stage, stage, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +62,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, function in STAGES:
-        docs = stage(function(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        before, docs = docs, stage(function(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        drop_stage(before)  # what a stage has written is all that the next one reads
     return docs
 
 
