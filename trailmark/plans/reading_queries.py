@@ -153,13 +153,24 @@ def pages_of_lines(spark, sf):
     return t.select(F.floor(F.col("id") / 6).alias("page"), line.alias("line"), text.alias("text"), F.lit(0).alias("x0"), (line * 20).alias("y0"))
 
 
-@query("zone_best_window")
+_MINUTES = "lpad(CAST({m} // 1000 AS VARCHAR), 2, '0') || '.' || lpad(CAST({m} % 1000 AS VARCHAR), 3, '0')"
+_SECONDS = "lpad(CAST({m} // 1000 AS VARCHAR), 2, '0') || chr(39) || lpad(CAST({m} % 1000 * 6 // 100 AS VARCHAR), 2, '0') || '.' || CAST({m} % 10 AS VARCHAR) || chr(34)"
+
+
+@query(
+    "zone_best_window",
+    f"""WITH {V.TEXTS} SELECT id // 6 AS page, 3 AS i, 1 AS k, CASE x.shape WHEN 1 THEN CAST(dlat AS VARCHAR) || '° ' || {_MINUTES.format(m="mlat")} || chr(39) || ' ' || lpad(CAST(dlon AS VARCHAR), 3, '0') || '° ' || {_MINUTES.format(m="mlon")} || chr(39)
+      WHEN 3 THEN 'GPS: ' || CAST(dlat AS VARCHAR) || '.' || lpad(CAST(mlat AS VARCHAR), 5, '0') || ', ' || CAST(dlon AS VARCHAR) || '.' || lpad(CAST(mlon AS VARCHAR), 5, '0')
+      WHEN 5 THEN CAST(dlat AS VARCHAR) || '°' || {_SECONDS.format(m="mlat")} || 'N ' || lpad(CAST(dlon AS VARCHAR), 3, '0') || '°' || {_SECONDS.format(m="mlon")} || 'E'
+      ELSE 'N ' || CAST(dlat AS VARCHAR) || {_MINUTES.format(m="mlat")} || ' E ' || lpad(CAST(dlon AS VARCHAR), 3, '0') || {_MINUTES.format(m="mlon")} END AS text,
+    CASE x.shape WHEN 1 THEN 8.0::DOUBLE WHEN 3 THEN 5.0::DOUBLE WHEN 5 THEN 11.0::DOUBLE ELSE 5.0::DOUBLE END AS score, round(lat, 6) AS lat, round(lon, 6) AS lon FROM x JOIN e USING (id) WHERE id % 6 = 3""",
+)
 def _(spark, sf):
     z = O.best_zone(pages_of_lines(spark, sf))
-    return z.select("page", "i", "k", "text", "score", F.col("p.best.lat").alias("lat"), F.col("p.best.lon").alias("lon"))
+    return z.select("page", "i", "k", "text", "score", F.round("p.best.lat", 6).alias("lat"), F.round("p.best.lon", 6).alias("lon"))
 
 
-@query("zone_best_view")
+@query("zone_best_view", "SELECT DISTINCT event_id // 4 AS photo, '0' AS view, true AS clean, CASE WHEN event_id // 4 % 2 = 0 THEN 11.0::DOUBLE ELSE 5.0::DOUBLE END AS rank FROM events")
 def _(spark, sf):
     p = parsed(spark, sf).select(F.floor(F.col("id") / 4).alias("photo"), (F.col("id") % 4).cast("int").alias("ord"), (F.col("id") % 4).cast("string").alias("view"), "p").where("p.ok")
     return O.best_view(p).select("photo", "view", "clean", "rank")
