@@ -19,7 +19,7 @@ from trailmark import constants as C
 from trailmark.functions.geo import haversine_m, utm_inverse
 from trailmark.operators import parse as P
 
-SPACES = r"\s\x1c-\x1f\x85\xa0  -     　"
+SPACES = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORD = "A-Za-z0-9_"
 CANDIDATE, RESULT = P.CANDIDATE, P.RESULT
 TEXTS = "array<string>"
@@ -31,7 +31,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def _simple_forms() -> tuple[str, str, str]:
     """Characters whose compatibility form is one character, as a pattern class; and those to be replaced, by what."""
-    known = [*range(0x250), *range(0x2010, 0x2060), *map(ord, P.APOSTROPHES + P.QUOTES + P.DEGREES + " ﻿€")]
+    known = [*range(0x250), *range(0x2010, 0x2060), *map(ord, P.APOSTROPHES + P.QUOTES + P.DEGREES + "\u1680\u2028\u2029\u3000\ufeff€")]
     signs = {**dict.fromkeys(P.APOSTROPHES, "'"), **dict.fromkeys(P.QUOTES, '"'), **dict.fromkeys(P.DEGREES, "°")}
     ranges, source, target = [], "", ""
     for c in sorted(set(known)):
