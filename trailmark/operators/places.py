@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trailmark import constants as C
 from trailmark.functions import text as T
-from trailmark.operators.spatial import met_places, named_places, nearest_of
+from trailmark.operators.spatial import at_spots, met_places, named_places, nearest_of
 
 # Address levels in the order in which they name a municipality, and the tags of wanted places.
 LEVELS = ["city", "town", "village", "municipality", "hamlet"]
@@ -72,10 +72,14 @@ def search_near(points: DataFrame, elements: DataFrame, k: int = 3, radius: floa
     ``radius``, the first ``nodes`` nodes and ``ways`` ways by id; those that are no place count there and go afterwards.
     """
     rows = named_places(elements.where(wanted(F.col("element"), F.col("tags"))).withColumnRenamed("eid", "pid"))
-    met = met_places(points, rows, radius, "element")
-    rank = F.row_number().over(Window.partitionBy("id", "p_element").orderBy("p_pid"))
-    met = met.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("p_element") == "node", nodes).otherwise(ways)).drop("rank")
-    return nearest_of(met.where("x.p_kind is not null and coalesce(x.p_name, '') <> ''"), k)
+
+    def near(spots: DataFrame) -> DataFrame:
+        met = met_places(spots, rows, radius, "element")
+        rank = F.row_number().over(Window.partitionBy("id", "p_element").orderBy("p_pid"))
+        met = met.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("p_element") == "node", nodes).otherwise(ways)).drop("rank")
+        return nearest_of(met.where("x.p_kind is not null and coalesce(x.p_name, '') <> ''"), k)
+
+    return at_spots(points, near)
 
 
 def search_with_fallback(points: DataFrame, first: DataFrame, second: DataFrame, failed: DataFrame, k: int = 3, **options) -> DataFrame:

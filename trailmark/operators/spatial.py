@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -38,8 +39,9 @@ def radius_join(points: DataFrame, places: DataFrame, radius: float) -> DataFram
     points and places need lat and lon; columns of places get the prefix ``p_``.
     Places are put in every cell that a point within the radius may lie in (three
     rows, in each the columns its longitude reach covers, also across the date
-    line), so the join is one equi-join on cells, which Spark may broadcast or
-    split; the exact distance decides.
+    line), so the join is one equi-join on cells; the exact distance decides. Its
+    sides are sorted and may be split: the size of a small file says nothing of its
+    rows in all their cells, so neither side is collected for a broadcast.
     """
     right = places.select(*[F.col(c).alias(f"p_{c}") for c in places.columns])
     row = F.floor(F.col("p_lat") / (radius / METRES_A_DEGREE)).cast("long")
@@ -57,7 +59,7 @@ def radius_join(points: DataFrame, places: DataFrame, radius: float) -> DataFram
     right = right.withColumn("cell", F.explode(near)).select(*right.columns, F.col("cell.r").alias("cell_r"), F.col("cell.c").alias("cell_c"))
     r, c = cells(F.col("lat"), F.col("lon"), radius)
     left = points.withColumns({"cell_r": r, "cell_c": c})
-    out = left.join(right, ["cell_r", "cell_c"]).withColumn("d", haversine_m("lat", "lon", "p_lat", "p_lon"))
+    out = left.join(right.hint("merge"), ["cell_r", "cell_c"]).withColumn("d", haversine_m("lat", "lon", "p_lat", "p_lon"))
     return out.where(F.col("d") <= radius).drop("cell_r", "cell_c")
 
 
@@ -89,7 +91,15 @@ def nearest_places(points: DataFrame, places: DataFrame, k: int = 3, radius: flo
     nearest counts, the earlier among equals; bearings run from place to point.
     """
     named = (F.col("kind").isNotNull()) & (F.coalesce("name", F.lit("")) != "")
-    return nearest_of(met_places(points, named_places(places).where(named), radius), k)
+    return at_spots(points, lambda spots: nearest_of(met_places(spots, named_places(places).where(named), radius), k))
+
+
+def at_spots(points: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``near`` finds around points (id, lat, lon), asked once a position however many points lie there."""
+    spots = points.select("lat", "lon").where("lat is not null and lon is not null").distinct()
+    found = near(spots.select(F.struct("lat", "lon").alias("id"), "lat", "lon"))
+    found = found.select("*", F.col("id.lat").alias("lat"), F.col("id.lon").alias("lon")).drop("id")
+    return points.select("id", "lat", "lon").distinct().join(found, ["lat", "lon"]).select("id", *[c for c in found.columns if c not in ("lat", "lon")])
 
 
 def named_places(places: DataFrame) -> DataFrame:
