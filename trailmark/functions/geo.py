@@ -140,22 +140,38 @@ def utm_forward(lat, lon) -> tuple[Column, Column]:
 
 def utm_inverse(zone, band, easting, northing) -> tuple[Column, Column]:
     """Latitude and longitude; band letters before N lie south."""
+    out = utm_position(zone, band, easting, northing, lambda value, body: body(value))
+    return out["lat"], out["lon"]
+
+
+def utm_position(zone, band, easting, northing, let) -> Column:
+    """struct(lat, lon) of ``utm_inverse``; ``let`` binds what is used more than once."""
+    return let(_footpoint(band, northing), lambda p: let(F.struct(F.sin(p).alias("s"), F.cos(p).alias("c"), F.tan(p).alias("t")), lambda f: _from_foot(zone, col(easting) - 500000.0, p, f["s"], f["c"], f["t"], let)))
+
+
+def _footpoint(band, northing) -> Column:
     e2 = _e2()
-    ep2 = e2 / (1 - e2)
-    x = col(easting) - 500000.0
     y = F.when(col(band) < "N", col(northing) - 10_000_000.0).otherwise(col(northing))
     mu = y / C.UTM_K0 / (C.WGS84_A * (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256))
     e1 = (1 - math.sqrt(1 - e2)) / (1 + math.sqrt(1 - e2))
     foot = {2: 3 * e1 / 2 - 27 * e1**3 / 32, 4: 21 * e1**2 / 16 - 55 * e1**4 / 32, 6: 151 * e1**3 / 96, 8: 1097 * e1**4 / 512}
-    p = reduce(lambda a, b: a + b, [mu, *(k * F.sin(i * mu) for i, k in foot.items())])
-    s, c, t = F.sin(p), F.cos(p), F.tan(p)
+    return reduce(lambda a, b: a + b, [mu, *(k * F.sin(i * mu) for i, k in foot.items())])
+
+
+def _from_foot(zone, x: Column, p: Column, s: Column, c: Column, t: Column, let) -> Column:
+    e2 = _e2()
+    ep2 = e2 / (1 - e2)
     n = C.WGS84_A / F.sqrt(1 - e2 * s * s)
     r = C.WGS84_A * (1 - e2) / F.pow(1 - e2 * s * s, F.lit(1.5))
-    t2, c2, d = t * t, ep2 * c * c, x / (n * C.UTM_K0)
-    fall = d * d / 2 - (5 + 3 * t2 + 10 * c2 - 4 * c2 * c2 - 9 * ep2) * F.pow(d, F.lit(4.0)) / 24 + (61 + 90 * t2 + 298 * c2 + 45 * t2 * t2 - 252 * ep2 - 3 * c2 * c2) * F.pow(d, F.lit(6.0)) / 720
-    lat = F.degrees(p - n * t / r * fall)
-    side = d - (1 + 2 * t2 + c2) * F.pow(d, F.lit(3.0)) / 6 + (5 - 2 * c2 + 28 * t2 - 3 * c2 * c2 + 8 * ep2 + 24 * t2 * t2) * F.pow(d, F.lit(5.0)) / 120
-    return lat, (col(zone) - 1) * 6 - 180 + 3 + F.degrees(side / c)
+
+    def made(v: Column) -> Column:
+        t2, c2, d = v["t2"], v["c2"], v["d"]
+        fall = d * d / 2 - (5 + 3 * t2 + 10 * c2 - 4 * c2 * c2 - 9 * ep2) * F.pow(d, F.lit(4.0)) / 24 + (61 + 90 * t2 + 298 * c2 + 45 * t2 * t2 - 252 * ep2 - 3 * c2 * c2) * F.pow(d, F.lit(6.0)) / 720
+        lat = F.degrees(p - n * t / r * fall)
+        side = d - (1 + 2 * t2 + c2) * F.pow(d, F.lit(3.0)) / 6 + (5 - 2 * c2 + 28 * t2 - 3 * c2 * c2 + 8 * ep2 + 24 * t2 * t2) * F.pow(d, F.lit(5.0)) / 120
+        return F.struct(lat.alias("lat"), ((col(zone) - 1) * 6 - 180 + 3 + F.degrees(side / c)).alias("lon"))
+
+    return let(F.struct((t * t).alias("t2"), (ep2 * c * c).alias("c2"), (x / (n * C.UTM_K0)).alias("d")), made)
 
 
 def projected(quad_h: list, x, y) -> tuple[Column, Column]:

@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trailmark import constants as C
-from trailmark.functions.geo import haversine_m, utm_inverse
+from trailmark.functions.geo import haversine_m, utm_position
 from trailmark.operators import parse as P
 
 SPACES = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -291,7 +291,7 @@ def utm_candidates(norm: Column) -> Column:
 
     def one(m: Column) -> Column:
         zone, band = m["zone"].cast("int"), m["band"]
-        lat, lon = utm_inverse(zone, band, m["east"].cast("double"), m["north"].cast("double"))
+        found = utm_position(zone, band, m["east"].cast("double"), m["north"].cast("double"), let)
 
         def made(at: Column) -> Column:
             region = region_score(at["lat"], at["lon"])
@@ -299,7 +299,9 @@ def utm_candidates(norm: Column) -> Column:
             c = F.struct(at["lat"].alias("lat"), at["lon"].alias("lon"), (F.lit(C.UTM_BASE) + region).alias("score"), region.alias("region"), form.alias("a"), form.alias("b"), F.lit(False).alias("swapped"), F.lit(True).alias("hemi"), F.lit(0).alias("at"), F.lit(0).alias("end"), m["seg"].alias("utm"))
             return F.when(zone.between(1, 60) & (F.abs(at["lat"]) <= 84), c.cast(LIGHT))
 
-        return let(F.struct(lat.alias("lat"), lon.alias("lon")), made)
+        # rounded metres may lie a little beyond the date line
+        lon = lambda x: F.when(x < -180, F.when(x >= -180 - C.DATE_LINE_SLACK, x + 360).otherwise(x)).when((x > 180) & (x <= 180 + C.DATE_LINE_SLACK), x - 360).otherwise(x)
+        return let(let(found, lambda at: F.struct(at["lat"].alias("lat"), lon(at["lon"]).alias("lon"))), made)
 
     zipped = F.arrays_zip(part(1).alias("seg"), part(2).alias("zone"), part(3).alias("band"), part(4).alias("east"), part(5).alias("north"))
     return F.when(norm.rlike(UTM), F.filter(F.transform(zipped, one), lambda c: c.isNotNull())).otherwise(_none(LIGHT))
@@ -357,6 +359,11 @@ def parse_positions(df: DataFrame, text: str = "text", parser: Callable[[Column]
     return df.withColumn("p", parser(F.col(text)))
 
 
+def parse_once(df: DataFrame, text: str = "text", parser: Callable[[Column], Column] = parse_any) -> DataFrame:
+    """``parse.parse_once``, in columns where a text is plain."""
+    return P.parse_once(df, text, parser)
+
+
 TOKENS = P.TOKENS
 
 

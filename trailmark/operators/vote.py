@@ -12,34 +12,37 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trailmark import constants as C
 from trailmark.functions.geo import haversine_m, in_region, js_round
-from trailmark.operators.parse import parse_position
+from trailmark.operators import parse_columns as N
+from trailmark.operators.parse_columns import let
 
 GROUP = "struct<v:double,w:double,n:int,runs:array<int>,vals:array<struct<k:string,x:double,w:double>>>"
 
 
+def cast_vote(idx: Column, v: Column, w: Column) -> Column:
+    """One vote, with its value to six decimals as text and number; made once, as a fold compares it often."""
+    return let(F.format_string("%.6f", v), lambda k: F.struct(idx.alias("idx"), v.alias("v"), w.alias("w"), k.alias("k"), k.cast("double").alias("x")))
+
+
 def fold_votes(votes: Column) -> Column:
     """Groups of array<struct<idx, v, w>> votes, in the order of their first vote."""
-    return F.aggregate(votes, F.array().cast(f"array<{GROUP}>"), add_vote)
+    return F.aggregate(F.transform(votes, lambda x: cast_vote(x["idx"], x["v"], x["w"])), F.array().cast(f"array<{GROUP}>"), add_vote)
 
 
 def add_vote(groups: Column, vote: Column) -> Column:
-    """``groups`` after one more vote: it joins the first group that is near, or makes one."""
-
-    def join(group: Column, vote: Column) -> Column:
-        key = F.format_string("%.6f", vote["v"])
-        known = F.exists(group["vals"], lambda y: y["k"] == key)
-        vals = F.when(known, F.transform(group["vals"], lambda y: F.struct(y["k"].alias("k"), y["x"].alias("x"), F.when(y["k"] == key, y["w"] + vote["w"]).otherwise(y["w"]).alias("w"))))
-        vals = vals.otherwise(F.concat(group["vals"], F.array(F.struct(key.alias("k"), key.cast("double").alias("x"), vote["w"].alias("w")))))
-        top = F.aggregate(vals, F.struct(F.lit(0.0).alias("x"), F.lit(-1.0).alias("w")), lambda a, y: F.when(y["w"] > a["w"], F.struct(y["x"].alias("x"), y["w"].alias("w"))).otherwise(a))
-        return F.struct(top["x"].alias("v"), (group["w"] + vote["w"]).alias("w"), (group["n"] + 1).alias("n"), F.concat(group["runs"], F.array(vote["idx"])).alias("runs"), vals.alias("vals")).cast(GROUP)
+    """``groups`` after one more vote (``cast_vote``): it joins the first group that is near, or makes one."""
+    first = lambda: F.array(F.struct(vote["k"].alias("k"), vote["x"].alias("x"), vote["w"].alias("w")))
 
-    def fresh(vote: Column) -> Column:
-        key = F.format_string("%.6f", vote["v"])
-        return F.struct(key.cast("double").alias("v"), vote["w"].alias("w"), F.lit(1).alias("n"), F.array(vote["idx"]).alias("runs"), F.array(F.struct(key.alias("k"), key.cast("double").alias("x"), vote["w"].alias("w"))).alias("vals")).cast(GROUP)
+    def join(group: Column) -> Column:
+        known = F.exists(group["vals"], lambda y: y["k"] == vote["k"])
+        vals = F.when(known, F.transform(group["vals"], lambda y: F.struct(y["k"].alias("k"), y["x"].alias("x"), F.when(y["k"] == vote["k"], y["w"] + vote["w"]).otherwise(y["w"]).alias("w"))))
+        top = lambda vs: F.aggregate(vs, F.struct(F.lit(0.0).alias("x"), F.lit(-1.0).alias("w")), lambda a, y: F.when(y["w"] > a["w"], F.struct(y["x"].alias("x"), y["w"].alias("w"))).otherwise(a))
+        joined = lambda vs: F.struct(top(vs)["x"].alias("v"), (group["w"] + vote["w"]).alias("w"), (group["n"] + 1).alias("n"), F.concat(group["runs"], F.array(vote["idx"])).alias("runs"), vs.alias("vals")).cast(GROUP)
+        return let(vals.otherwise(F.concat(group["vals"], first())), joined)
 
+    fresh = F.struct(vote["x"].alias("v"), vote["w"].alias("w"), F.lit(1).alias("n"), F.array(vote["idx"]).alias("runs"), first().alias("vals")).cast(GROUP)
     near = F.transform(groups, lambda g: F.abs(g["v"] - vote["v"]) < C.VOTE_TOLERANCE)
-    at = F.coalesce(F.array_position(near, True), F.lit(0))
-    return F.when(at == 0, F.concat(groups, F.array(fresh(vote)))).otherwise(F.transform(groups, lambda g, i: F.when(i + 1 == at, join(g, vote)).otherwise(g)))
+    added = lambda at: F.when(at == 0, F.concat(groups, F.array(fresh))).otherwise(F.transform(groups, lambda g, i: F.when(i + 1 == at, join(g)).otherwise(g)))
+    return let(F.coalesce(F.array_position(near, True), F.lit(0)), added)
 
 
 def ranked_groups(groups: Column) -> Column:
@@ -48,14 +51,15 @@ def ranked_groups(groups: Column) -> Column:
     return F.transform(F.array_sort(placed), lambda x: x["g"])
 
 
-def axis_votes(readings: DataFrame, keys: tuple[str, ...] = ("photo",)) -> DataFrame:
-    """lat_best, lat_second, lon_best, lon_second of each photo; ``total`` counts all readings."""
+def axis_votes(readings: DataFrame, keys: tuple[str, ...] = ("photo",), *beside: Column) -> DataFrame:
+    """lat_best, lat_second, lon_best, lon_second of each photo; ``total`` counts all readings, ``beside`` are more aggregates."""
     counts = F.col("ok") & in_region("lat", "lon")
     weight = F.when(F.size("notes") > 0, 0.6).otherwise(1.0)
     vote = lambda axis: F.struct(F.col("pass_idx").cast("int").alias("idx"), F.col(axis).alias("v"), weight.alias("w"))
-    lists = readings.groupBy(*keys).agg(*[F.array_sort(F.collect_list(F.when(counts, vote(a)))).alias(a) for a in ("lat", "lon")], F.count(F.lit(1)).alias("total"))
+    lists = readings.groupBy(*keys).agg(*[F.array_sort(F.collect_list(F.when(counts, vote(a)))).alias(a) for a in ("lat", "lon")], F.count(F.lit(1)).alias("total"), *beside)
+    more = [c for c in lists.columns if c not in (*keys, "lat", "lon", "total")]
     out = lists.withColumns({a: ranked_groups(fold_votes(F.col(a))) for a in ("lat", "lon")})
-    return out.select(*keys, "total", *[F.get(a, F.lit(i)).alias(f"{a}_{n}") for a in ("lat", "lon") for i, n in enumerate(("best", "second"))])
+    return out.select(*keys, "total", *more, *[F.get(a, F.lit(i)).alias(f"{a}_{n}") for a in ("lat", "lon") for i, n in enumerate(("best", "second"))])
 
 
 def firm(best: Column, second: Column) -> Column:
@@ -69,10 +73,9 @@ def with_firm(votes: DataFrame) -> DataFrame:
     return votes.withColumns({"sure": both, "rival": rival})
 
 
-def leading(groups: Column) -> tuple[Column, Column]:
-    """The heaviest group and its runner-up, the first made first among equals."""
-    order = ranked_groups(groups)
-    return F.get(order, F.lit(0)), F.get(order, F.lit(1))
+def leader_firm(groups: Column) -> Column:
+    """Whether the heaviest group is firm against its runner-up."""
+    return let(ranked_groups(groups), lambda order: firm(F.get(order, F.lit(0)), F.get(order, F.lit(1))))
 
 
 def read_loop(readings: DataFrame, limit: int = 11, keys: tuple[str, ...] = ("photo",)) -> DataFrame:
@@ -89,12 +92,12 @@ def read_loop(readings: DataFrame, limit: int = 11, keys: tuple[str, ...] = ("ph
     start = F.struct(F.array().cast(groups).alias("lat"), F.array().cast(groups).alias("lon"), F.lit(None).cast("int").alias("stop"))
 
     def voted(state: Column, r: Column) -> Column:
-        axis = lambda a: F.when(r["on"], add_vote(state[a], F.struct(r["idx"].alias("idx"), r[a].alias("v"), r["w"].alias("w")))).otherwise(state[a]).alias(a)
+        axis = lambda a: F.when(r["on"], let(cast_vote(r["idx"], r[a], r["w"]), lambda v: add_vote(state[a], v))).otherwise(state[a]).alias(a)
         return F.struct(axis("lat"), axis("lon"), r["idx"].alias("idx"))
 
     def step(state: Column, r: Column) -> Column:
         # a list of one state, so that what was voted is computed once
-        done = lambda n: F.struct(n["lat"].alias("lat"), n["lon"].alias("lon"), F.when(firm(*leading(n["lat"])) & firm(*leading(n["lon"])), n["idx"]).alias("stop"))
+        done = lambda n: F.struct(n["lat"].alias("lat"), n["lon"].alias("lon"), F.when(leader_firm(n["lat"]) & leader_firm(n["lon"]), n["idx"]).alias("stop"))
         return F.when(state["stop"].isNotNull(), state).otherwise(F.get(F.transform(F.array(voted(state, r)), done), F.lit(0)))
 
     stopped = lists.withColumn("stop", F.aggregate(votes, start, step)["stop"])
@@ -109,19 +112,17 @@ def settle(readings: DataFrame, keys: tuple[str, ...] = ("photo",)) -> DataFrame
 
     readings: keys, pass_idx, txt, ok, lat, lon, fmt, notes, alts (array of lat, lon), tess.
     """
-    votes = with_firm(axis_votes(readings, keys))
-    both = F.array_intersect("lat_best.runs", "lon_best.runs")
-    votes = votes.withColumns({"none": F.col("lat_best").isNull() | F.col("lon_best").isNull(), "both": both})
     item = F.struct("pass_idx", "txt", "ok", "lat", "lon", "fmt", "notes", "alts", "tess")
-    runs = readings.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("runs"))
-    out = votes.join(runs, list(keys))
+    votes = with_firm(axis_votes(readings, keys, F.array_sort(F.collect_list(item)).alias("runs")))
+    both = F.array_intersect("lat_best.runs", "lon_best.runs")
+    out = votes.withColumns({"none": F.col("lat_best").isNull() | F.col("lon_best").isNull(), "both": both})
     same = lambda x, axis: F.when(F.format_string("%.6f", x) == F.format_string("%.6f", F.col(f"{axis}_best.v")), 0).otherwise(10)
     rank = lambda r: same(r["lat"], "lat") + same(r["lon"], "lon") + F.size(r["notes"])
     ref = F.array_min(F.transform(F.filter("runs", lambda r: F.array_contains(F.col("both"), r["pass_idx"])), lambda r: F.struct(rank(r).alias("rank"), r["pass_idx"].alias("idx"), r.alias("r"))))["r"]
     out = out.withColumn("ref", ref)
     apart = F.col("ref").isNull() & ~F.col("none")
     pair_text = F.format_string("%.6f, %.6f", F.col("lat_best.v"), F.col("lon_best.v"))
-    out = out.withColumn("again", parse_position(F.when(apart, pair_text)))
+    out = out.withColumn("again", N.parse_strict(F.when(apart, pair_text)))
     made = lambda axis: F.when(apart, F.col(f"again.best.{axis}")).otherwise(F.col(f"ref.{axis}"))
     out = out.withColumns({"lat": made("lat"), "lon": made("lon"), "fmt": made("fmt")})
     ref_notes, ref_alts = F.coalesce(made("notes"), F.array().cast("array<string>")), F.when(apart, F.transform("again.alts", lambda a: F.struct(a["lat"].alias("lat"), a["lon"].alias("lon")))).otherwise(F.col("ref.alts"))
@@ -185,7 +186,7 @@ def line_windows(lines: DataFrame, most: int = 3) -> DataFrame:
 
 def best_zone(lines: DataFrame, most: int = 3) -> DataFrame:
     """The window of a page whose text reads best: page, i, k, text, p, score."""
-    rows = line_windows(lines, most).withColumn("p", parse_position("text")).where("p.ok")
+    rows = N.parse_once(line_windows(lines, most)).where("p.ok")
     score = F.col("p.best.score") - 0.3 * (F.col("k") - 1) - 0.5 * F.size("p.best.notes")
     rows = rows.withColumn("score", score)
     best = F.max_by(F.struct("i", "k", "text", "p", "score"), F.struct("score", -F.col("i"), -F.col("k")))

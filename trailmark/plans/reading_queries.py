@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None):
 
 
 def parsed(spark, sf):
-    return N.parse_positions(V.texts(spark, sf))
+    return N.parse_once(V.texts(spark, sf), parser=N.parse_strict)
 
 
 @query("parse_position", f"WITH {V.TEXTS} SELECT id, round(lat, 6) AS lat, round(lon, 6) AS lon, fmt, true AS ok FROM e")
