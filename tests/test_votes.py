@@ -120,3 +120,34 @@ def test_words_confidence(spark):
     words = spark.createDataFrame([(1, "Menu", 10.0), (1, "N", 90.0), (1, "45°16.277'", 75.0), (1, "12", None)], "id int, text string, confidence double")
     assert O.words_confidence(words, "id").first().confidence == int((90 + 75 * 10) / 11 + 0.5)
     assert O.words_confidence(words.where(F.col("text") == "Menu"), "id").first().confidence is None
+
+
+def test_folds_of_many_photos_equal_the_plain_rule(spark):
+    import random
+    from decimal import ROUND_HALF_UP, Decimal
+
+    rng = random.Random(5)
+    values = [45.1, 45.100015, 45.10003, 45.1000005, 45.1000015, 45.2, 10.0, None]
+    rows = [(p, i, "t", True, rng.choice(values), 6.0, "DD", ["n"] * rng.randint(0, 1), [], 1.0) for p in range(400) for i in range(rng.choice([1, 3, 11, 11, 40]))]
+    six = lambda v: float(Decimal(repr(v)).quantize(Decimal("0.000001"), ROUND_HALF_UP))
+
+    def plain(photo):
+        groups = []
+        for _, i, _, _, v, _, _, notes, _, _ in photo:
+            if v in (None, 10.0):
+                continue
+            w = 0.6 if notes else 1.0
+            g = next((g for g in groups if abs(g["v"] - v) < 0.00002), None)
+            if g is None:
+                groups.append(g := {"v": six(v), "w": 0.0, "runs": [], "vals": {}})
+            g["vals"][six(v)] = g["vals"].get(six(v), 0.0) + w
+            g["v"], g["w"] = max(g["vals"], key=g["vals"].get), g["w"] + w
+            g["runs"].append(i)
+        return [(g["v"], round(g["w"], 9), len(g["runs"]), g["runs"]) for g in sorted(groups, key=lambda g: -g["w"])[:2]]
+
+    votes = O.axis_votes(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    plan = votes._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "aggregate(" not in plan  # no fold in an expression
+    for r in votes.collect():
+        got = [(g.v, round(g.w, 9), g.n, list(g.runs)) for g in (r.lat_best, r.lat_second) if g]
+        assert got == plain([x for x in rows if x[0] == r.photo]), r.photo

@@ -3,63 +3,39 @@
 Readings are rows (photo, box, pass_idx, lat, lon, notes, ...) after the parse.
 A vote is an ordered fold per (photo, box, axis): values within a tolerance of a
 group's leading value join it, and the leading value moves as votes arrive. It
-runs as ``aggregate`` over a sorted array, so a photo costs one shuffle.
+runs over one list a photo, many photos at a time (``vote_fold``), so a photo costs one shuffle.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
 
 from trailmark import constants as C
 from trailmark.functions.geo import haversine_m, in_region, js_round
-from trailmark.operators import parse_columns as N
-from trailmark.operators.parse_columns import let
+from trailmark.operators import parse_columns as N, vote_fold
 
-GROUP = "struct<v:double,w:double,n:int,runs:array<int>,vals:array<struct<k:string,x:double,w:double>>>"
 
+def _voting(readings: DataFrame) -> DataFrame:
+    """``readings`` with what each votes with (``vote_fold.FIELDS``)."""
+    tess = F.col("tess").cast("double") if "tess" in readings.columns else F.lit(None).cast("double")
+    on = F.coalesce(F.col("ok") & in_region("lat", "lon"), F.lit(False))
+    notes = F.size("notes")
+    return readings.withColumns({"lat": F.col("lat").cast("double"), "lon": F.col("lon").cast("double"), "idx": F.col("pass_idx").cast("int"), "on": on, "w": F.when(notes > 0, 0.6).otherwise(1.0), "n_notes": notes, "tess_": tess})
 
-def cast_vote(idx: Column, v: Column, w: Column) -> Column:
-    """One vote, with its value to six decimals as text and number; made once, as a fold compares it often."""
-    return let(F.format_string("%.6f", v), lambda k: F.struct(idx.alias("idx"), v.alias("v"), w.alias("w"), k.alias("k"), k.cast("double").alias("x")))
 
+def _folded(readings: DataFrame, keys: tuple[str, ...], own: list[str]) -> DataFrame:
+    rows = _voting(readings).select(*keys, *own, *[f for f in vote_fold.FIELDS if f not in own])
+    parts = [f"{k} {vote_fold.GROUP}" for k in vote_fold.GROUPS]
+    schema = StructType([readings.schema[k] for k in keys] + StructType.fromDDL(", ".join(["total bigint", *parts, "heard double"])).fields)
+    if own:
+        schema = schema.add("first", "string").add("ref", StructType([rows.schema[c] for c in own])).add("apart", "boolean")
+    return vote_fold.by_photo(rows, keys, own or ["idx"], vote_fold.settled(keys, own), schema)
 
-def fold_votes(votes: Column) -> Column:
-    """Groups of array<struct<idx, v, w>> votes, in the order of their first vote."""
-    return F.aggregate(F.transform(votes, lambda x: cast_vote(x["idx"], x["v"], x["w"])), F.array().cast(f"array<{GROUP}>"), add_vote)
 
-
-def add_vote(groups: Column, vote: Column) -> Column:
-    """``groups`` after one more vote (``cast_vote``): it joins the first group that is near, or makes one."""
-    first = lambda: F.array(F.struct(vote["k"].alias("k"), vote["x"].alias("x"), vote["w"].alias("w")))
-
-    def join(group: Column) -> Column:
-        known = F.exists(group["vals"], lambda y: y["k"] == vote["k"])
-        vals = F.when(known, F.transform(group["vals"], lambda y: F.struct(y["k"].alias("k"), y["x"].alias("x"), F.when(y["k"] == vote["k"], y["w"] + vote["w"]).otherwise(y["w"]).alias("w"))))
-        top = lambda vs: F.aggregate(vs, F.struct(F.lit(0.0).alias("x"), F.lit(-1.0).alias("w")), lambda a, y: F.when(y["w"] > a["w"], F.struct(y["x"].alias("x"), y["w"].alias("w"))).otherwise(a))
-        joined = lambda vs: F.struct(top(vs)["x"].alias("v"), (group["w"] + vote["w"]).alias("w"), (group["n"] + 1).alias("n"), F.concat(group["runs"], F.array(vote["idx"])).alias("runs"), vs.alias("vals")).cast(GROUP)
-        return let(vals.otherwise(F.concat(group["vals"], first())), joined)
-
-    fresh = F.struct(vote["x"].alias("v"), vote["w"].alias("w"), F.lit(1).alias("n"), F.array(vote["idx"]).alias("runs"), first().alias("vals")).cast(GROUP)
-    near = F.transform(groups, lambda g: F.abs(g["v"] - vote["v"]) < C.VOTE_TOLERANCE)
-    added = lambda at: F.when(at == 0, F.concat(groups, F.array(fresh))).otherwise(F.transform(groups, lambda g, i: F.when(i + 1 == at, join(g)).otherwise(g)))
-    return let(F.coalesce(F.array_position(near, True), F.lit(0)), added)
-
-
-def ranked_groups(groups: Column) -> Column:
-    """Groups by weight, the first made first among equals."""
-    placed = F.transform(groups, lambda g, i: F.struct((-g["w"]).alias("o"), i.alias("i"), g.alias("g")))
-    return F.transform(F.array_sort(placed), lambda x: x["g"])
-
-
-def axis_votes(readings: DataFrame, keys: tuple[str, ...] = ("photo",), *beside: Column) -> DataFrame:
-    """lat_best, lat_second, lon_best, lon_second of each photo; ``total`` counts all readings, ``beside`` are more aggregates."""
-    counts = F.col("ok") & in_region("lat", "lon")
-    weight = F.when(F.size("notes") > 0, 0.6).otherwise(1.0)
-    vote = lambda axis: F.struct(F.col("pass_idx").cast("int").alias("idx"), F.col(axis).alias("v"), weight.alias("w"))
-    lists = readings.groupBy(*keys).agg(*[F.array_sort(F.collect_list(F.when(counts, vote(a)))).alias(a) for a in ("lat", "lon")], F.count(F.lit(1)).alias("total"), *beside)
-    more = [c for c in lists.columns if c not in (*keys, "lat", "lon", "total")]
-    out = lists.withColumns({a: ranked_groups(fold_votes(F.col(a))) for a in ("lat", "lon")})
-    return out.select(*keys, "total", *more, *[F.get(a, F.lit(i)).alias(f"{a}_{n}") for a in ("lat", "lon") for i, n in enumerate(("best", "second"))])
+def axis_votes(readings: DataFrame, keys: tuple[str, ...] = ("photo",)) -> DataFrame:
+    """lat_best, lat_second, lon_best, lon_second of each photo; ``total`` counts all readings."""
+    return _folded(readings, keys, []).drop("heard")
 
 
 def firm(best: Column, second: Column) -> Column:
@@ -73,36 +49,16 @@ def with_firm(votes: DataFrame) -> DataFrame:
     return votes.withColumns({"sure": both, "rival": rival})
 
 
-def leader_firm(groups: Column) -> Column:
-    """Whether the heaviest group is firm against its runner-up."""
-    return let(ranked_groups(groups), lambda order: firm(F.get(order, F.lit(0)), F.get(order, F.lit(1))))
-
-
 def read_loop(readings: DataFrame, limit: int = 11, keys: tuple[str, ...] = ("photo",)) -> DataFrame:
     """The readings that a reader would have made: up to the first whose votes are firm on both axes.
 
-    One fold a photo over its sorted readings: the state holds the vote groups of both axes and where
-    to stop, and nothing is voted on after that. One exchange; a photo's readings are at most ``limit``.
+    A photo's sorted readings are voted on until both axes are firm. One exchange; a photo's readings are
+    at most ``limit``.
     """
-    groups = f"array<{GROUP}>"
-    runs = F.array_sort(F.collect_list(F.struct("pass_idx", *[c for c in readings.columns if c not in (*keys, "pass_idx")])))
-    lists = readings.where(F.col("pass_idx") < limit).groupBy(*keys).agg(runs.alias("runs"))
-    # what votes: position and weight of a reading in the region
-    votes = F.transform("runs", lambda r: F.struct(r["pass_idx"].cast("int").alias("idx"), F.coalesce(r["ok"] & in_region(r["lat"], r["lon"]), F.lit(False)).alias("on"), F.when(F.size(r["notes"]) > 0, 0.6).otherwise(1.0).alias("w"), r["lat"].alias("lat"), r["lon"].alias("lon")))
-    start = F.struct(F.array().cast(groups).alias("lat"), F.array().cast(groups).alias("lon"), F.lit(None).cast("int").alias("stop"))
-
-    def voted(state: Column, r: Column) -> Column:
-        axis = lambda a: F.when(r["on"], let(cast_vote(r["idx"], r[a], r["w"]), lambda v: add_vote(state[a], v))).otherwise(state[a]).alias(a)
-        return F.struct(axis("lat"), axis("lon"), r["idx"].alias("idx"))
-
-    def step(state: Column, r: Column) -> Column:
-        # a list of one state, so that what was voted is computed once
-        done = lambda n: F.struct(n["lat"].alias("lat"), n["lon"].alias("lon"), F.when(leader_firm(n["lat"]) & leader_firm(n["lon"]), n["idx"]).alias("stop"))
-        return F.when(state["stop"].isNotNull(), state).otherwise(F.get(F.transform(F.array(voted(state, r)), done), F.lit(0)))
-
-    stopped = lists.withColumn("stop", F.aggregate(votes, start, step)["stop"])
-    kept = F.filter("runs", lambda r: F.col("stop").isNull() | (r["pass_idx"] <= F.col("stop")))
-    return stopped.select(*keys, F.explode(kept).alias("r")).select(*keys, "r.*").select(*readings.columns)
+    rows = _voting(readings.where(F.col("pass_idx") < limit))
+    order = ["pass_idx", *[c for c in readings.columns if c not in (*keys, "pass_idx")]]
+    out = StructType([rows.schema[c] for c in readings.columns])
+    return vote_fold.by_photo(rows, keys, order, vote_fold.kept, out)
 
 
 def settle(readings: DataFrame, keys: tuple[str, ...] = ("photo",)) -> DataFrame:
@@ -112,31 +68,18 @@ def settle(readings: DataFrame, keys: tuple[str, ...] = ("photo",)) -> DataFrame
 
     readings: keys, pass_idx, txt, ok, lat, lon, fmt, notes, alts (array of lat, lon), tess.
     """
-    item = F.struct("pass_idx", "txt", "ok", "lat", "lon", "fmt", "notes", "alts", "tess")
-    votes = with_firm(axis_votes(readings, keys, F.array_sort(F.collect_list(item)).alias("runs")))
-    both = F.array_intersect("lat_best.runs", "lon_best.runs")
-    out = votes.withColumns({"none": F.col("lat_best").isNull() | F.col("lon_best").isNull(), "both": both})
-    same = lambda x, axis: F.when(F.format_string("%.6f", x) == F.format_string("%.6f", F.col(f"{axis}_best.v")), 0).otherwise(10)
-    rank = lambda r: same(r["lat"], "lat") + same(r["lon"], "lon") + F.size(r["notes"])
-    ref = F.array_min(F.transform(F.filter("runs", lambda r: F.array_contains(F.col("both"), r["pass_idx"])), lambda r: F.struct(rank(r).alias("rank"), r["pass_idx"].alias("idx"), r.alias("r"))))["r"]
-    out = out.withColumn("ref", ref)
-    apart = F.col("ref").isNull() & ~F.col("none")
-    pair_text = F.format_string("%.6f, %.6f", F.col("lat_best.v"), F.col("lon_best.v"))
-    out = out.withColumn("again", N.parse_strict(F.when(apart, pair_text)))
-    made = lambda axis: F.when(apart, F.col(f"again.best.{axis}")).otherwise(F.col(f"ref.{axis}"))
-    out = out.withColumns({"lat": made("lat"), "lon": made("lon"), "fmt": made("fmt")})
-    ref_notes, ref_alts = F.coalesce(made("notes"), F.array().cast("array<string>")), F.when(apart, F.transform("again.alts", lambda a: F.struct(a["lat"].alias("lat"), a["lon"].alias("lon")))).otherwise(F.col("ref.alts"))
-    kept = F.when(F.col("sure"), F.filter(ref_notes, lambda x: ~x.contains("symbol"))).otherwise(F.concat(ref_notes, F.when(apart, F.array(F.lit("two_readings"))).otherwise(F.array().cast("array<string>")), F.array(F.lit("agreement"))))
+    out = with_firm(_folded(readings, keys, ["pass_idx", "txt", "ok", "lat", "lon", "fmt", "notes", "alts", "tess"]))
+    out = out.withColumn("none", F.col("lat_best").isNull() | F.col("lon_best").isNull())
+    out = out.withColumns({c: F.col(f"ref.{c}") for c in ("lat", "lon", "fmt")})
+    ref_notes, ref_alts = F.coalesce("ref.notes", F.array().cast("array<string>")), F.col("ref.alts")
+    kept = F.when(F.col("sure"), F.filter(ref_notes, lambda x: ~x.contains("symbol"))).otherwise(F.concat(ref_notes, F.when(F.col("apart"), F.array(F.lit("two_readings"))).otherwise(F.array().cast("array<string>")), F.array(F.lit("agreement"))))
     pair = F.struct(F.coalesce("lat_second.v", "lat_best.v").alias("lat"), F.coalesce("lon_second.v", "lon_best.v").alias("lon"))
     none = F.array().cast("array<struct<lat:double,lon:double>>")
     other = F.when((F.col("lat_second").isNotNull() | F.col("lon_second").isNotNull()) & (haversine_m(pair["lat"], pair["lon"], "lat", "lon") > 5), F.array(pair)).otherwise(none)
     alts = F.when(F.col("sure"), none).otherwise(F.slice(F.concat(other, F.coalesce(ref_alts, none)), 1, 3))
-    winners = F.array_union("lat_best.runs", "lon_best.runs")
-    heard = F.filter(F.transform(F.filter("runs", lambda r: F.array_contains(winners, r["pass_idx"])), lambda r: r["tess"]), lambda x: x.isNotNull())
-    mean = F.when(F.size(heard) > 0, F.aggregate(heard, F.lit(0.0), lambda a, x: a + x) / F.size(heard))
-    tess = js_round(F.when(F.col("ref").isNotNull(), F.col("ref.tess")).otherwise(mean))
+    tess = js_round(F.when(F.col("apart"), F.col("heard")).otherwise(F.col("ref.tess")))
     blank = lambda c: F.when(~F.col("none"), c)
-    text = F.when(F.col("none"), F.get("runs", F.lit(0))["txt"]).when(apart, pair_text).otherwise(F.col("ref.txt"))
+    text = F.when(F.col("none"), F.col("first")).otherwise(F.col("ref.txt"))
     return out.select(
         *keys, text.alias("text"), "none", (F.col("sure") & ~F.col("none")).alias("sure"), (F.col("rival") & ~F.col("none")).alias("rival"), blank(F.col("lat")).alias("lat"), blank(F.col("lon")).alias("lon"), blank(F.col("fmt")).alias("fmt"),
         F.when(F.col("none"), F.array().cast("array<string>")).otherwise(kept).alias("notes"), F.when(F.col("none"), none).otherwise(alts).alias("alts"), blank(F.least("lat_best.n", "lon_best.n")).alias("agree"), "total", blank(tess).cast("int").alias("tess"),

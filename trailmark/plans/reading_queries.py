@@ -114,7 +114,7 @@ def _(spark, sf):
 
 @query("read_loop")
 def _(spark, sf):
-    kept = O.read_loop(readings(spark, sf))
+    kept = O.read_loop(readings(spark, sf).drop("txt", "fmt", "alts", "tess"))
     return kept.groupBy("photo").agg(F.count(F.lit(1)).alias("passes"), F.max("pass_idx").alias("last"))
 
 
