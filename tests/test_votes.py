@@ -151,3 +151,15 @@ def test_folds_of_many_photos_equal_the_plain_rule(spark):
     for r in votes.collect():
         got = [(g.v, round(g.w, 9), g.n, list(g.runs)) for g in (r.lat_best, r.lat_second) if g]
         assert got == plain([x for x in rows if x[0] == r.photo]), r.photo
+
+
+def test_photos_stay_whole_above_a_join_on_their_keys(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    rows = spark.createDataFrame([(p, i, "t", True, 45.1, 6.0, "DD", [], [], 1.0) for p in range(50) for i in range(5)], SCHEMA).repartition(4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        votes = O.axis_votes(rows.join(rows.select("photo").distinct(), "photo", "left_semi"))
+        assert "hashpartitioning(xxhash64(photo" in votes._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.photo, r.total, r.lat_best.n) for r in votes.collect()) == [(p, 5, 5) for p in range(50)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

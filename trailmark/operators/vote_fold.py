@@ -12,7 +12,7 @@ from decimal import ROUND_HALF_UP, Decimal
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from trailmark import constants as C
@@ -252,4 +252,5 @@ def by_photo(rows: DataFrame, keys: tuple[str, ...], order: list[str], kernel: K
             table = pa.Table.from_batches(waiting)
             yield from kernel(table, _starts(table, keys)).combine_chunks().to_batches()
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    # by a hash of the keys: an exchange by the keys themselves is dropped above a join on them, whose own may be read in pieces once it turns into a broadcast
+    return rows.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
