@@ -78,3 +78,30 @@ def test_long_text_takes_under_two_seconds():
     text = "Une ligne de texte sans position, ou presque.\n" * 300 + "N 45\u00b016.277' E 005\u00b056.052'"
     start = time.perf_counter()
     assert parse(text)["ok"] and time.perf_counter() - start < 2
+
+
+def test_batches_give_what_single_texts_give():
+    import random
+    import re
+    import time
+
+    import pyarrow as pa
+
+    from tests.test_parse_columns import many
+    from trailmark.operators.parse import parse
+    from trailmark.operators.parse_batch import parse_array, parse_distinct
+
+    rng = random.Random(4)
+    texts = [t for t in many() if t is not None]
+    digits = lambda t: re.sub("[0-9]", lambda m: rng.choice("0012345" + m[0] * 6), t)
+    texts = [*dict.fromkeys([*texts, *(digits(t) for t in texts for _ in range(5))])]
+    for t, got in zip(texts, parse_array(pa.array(texts)).to_pylist()):
+        assert got == parse(t), t
+    assert parse_array(pa.array([None, "1 2", None])).to_pylist() == [parse(t) for t in (None, "1 2", None)]
+    one = [f"N 44°{i // 1000 % 60:02}.{i % 1000:03}' E 005°{i * 7 % 60:02}.{i * 13 % 1000:03}'" for i in range(20000)]
+    start = time.perf_counter()
+    parse_distinct(one)
+    side_by_side, start = time.perf_counter() - start, time.perf_counter()
+    for t in one[:2000]:
+        parse.__wrapped__(t)
+    assert side_by_side / 20000 < (time.perf_counter() - start) / 2000 / 4
