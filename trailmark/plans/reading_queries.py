@@ -172,7 +172,7 @@ def _(spark, sf):
 
 @query("zone_best_view", "SELECT DISTINCT event_id // 4 AS photo, '0' AS view, true AS clean, CASE WHEN event_id // 4 % 2 = 0 THEN 11.0::DOUBLE ELSE 5.0::DOUBLE END AS rank FROM events")
 def _(spark, sf):
-    p = parsed(spark, sf).select(F.floor(F.col("id") / 4).alias("photo"), (F.col("id") % 4).cast("int").alias("ord"), (F.col("id") % 4).cast("string").alias("view"), "p").where("p.ok")
+    p = P.parse_positions(V.texts(spark, sf)).select(F.floor(F.col("id") / 4).alias("photo"), (F.col("id") % 4).cast("int").alias("ord"), (F.col("id") % 4).cast("string").alias("view"), "p").where("p.ok")
     return O.best_view(p).select("photo", "view", "clean", "rank")
 
 
