@@ -13,6 +13,7 @@ asked again before each round, and such photos have no result.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -143,25 +144,27 @@ def read_box(requests: DataFrame, read_pass: Reader, limit: int = C.PASSES, gone
     requests: photo, box, ... ``read_pass`` gets them with pass_idx and returns photo, pass_idx, txt, words (array of
     text, confidence). The first passes that could be firm together are one round, each later one is its own.
     """
-    open_, kept, at = requests, None, 0
+    open_, rounds, at = requests, [], 0
     none = F.array().cast(WORDS)
     while at < limit:
         end = min(limit, max(at + 1, C.VOTE_NEED))
-        open_ = _left(open_, gone)
-        asked = cut(open_.withColumn("pass_idx", F.explode(F.sequence(F.lit(at), F.lit(end - 1)))))
-        if asked.isEmpty() and kept is not None:
+        open_ = cut(_left(open_, gone)) if gone else open_
+        if rounds and open_.isEmpty():
             break
+        asked = open_.withColumn("pass_idx", F.explode(F.sequence(F.lit(at), F.lit(end - 1))))
         texts = read_pass(asked).select("photo", "pass_idx", F.trim("txt").alias("txt"), F.col("words").cast(WORDS).alias("words"))
         got = asked.select("photo", "pass_idx").join(texts, ["photo", "pass_idx"], "left")
         got = got.select("photo", "pass_idx", F.coalesce("txt", F.lit("")).alias("txt"), heard(F.coalesce("words", none)).alias("tess")).withColumn("p", parse_position("txt"))
         alts = F.transform("p.alts", lambda a: F.struct(a["lat"].alias("lat"), a["lon"].alias("lon")))
-        got = got.select("photo", "pass_idx", "txt", "p.ok", "p.best.lat", "p.best.lon", "p.best.fmt", F.coalesce("p.best.notes", F.array().cast("array<string>")).alias("notes"), alts.alias("alts"), "tess")
-        kept = cut(got if kept is None else kept.unionByName(got))
-        votes = vote.with_firm(vote.axis_votes(kept.join(open_.select("photo"), "photo", "left_semi")))
-        # cut as well: the plan of a round would hold those of all rounds before it, twice each
-        open_ = cut(open_.join(votes.where("sure").select("photo"), "photo", "left_anti"))
+        # a round's readings are written once; the next votes read those before it
+        rounds.append(cut(got.select("photo", "pass_idx", "txt", "p.ok", "p.best.lat", "p.best.lon", "p.best.fmt", F.coalesce("p.best.notes", F.array().cast("array<string>")).alias("notes"), alts.alias("alts"), "tess")))
         at = end
-    return _left(kept, gone)
+        if at < limit:
+            made = reduce(DataFrame.unionByName, rounds).select("photo", "pass_idx", "ok", "lat", "lon", "notes")
+            votes = vote.with_firm(vote.axis_votes(made.join(open_.select("photo"), "photo", "left_semi")))
+            # cut as well: the plan of a round would hold those of all rounds before it, twice each
+            open_ = cut(open_.join(votes.where("sure").select("photo"), "photo", "left_anti"))
+    return _left(reduce(DataFrame.unionByName, rounds), gone)
 
 
 def read_found(framed: DataFrame, read_pass: Reader, gone: Callable[[], DataFrame] | None = None) -> DataFrame:
