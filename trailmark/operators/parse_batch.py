@@ -167,10 +167,8 @@ def _of_shape(shape: str, norms: list[str], windows: list) -> tuple[list, list]:
     return best, others
 
 
-def _struct(cols: dict, at: np.ndarray | None = None) -> pa.Array:
-    take = (lambda a: a) if at is None else (lambda a: a[at])
-    arrays = [pa.array(take(cols[f]), type=_FOUND.field(f).type) for f in FIELDS]
-    return arrays
+def _struct(cols: dict, at: np.ndarray | slice = slice(None)) -> list[pa.Array]:
+    return [pa.array(cols[f][at], type=_FOUND.field(f).type) for f in FIELDS]
 
 
 def _columns(n: int) -> dict:
