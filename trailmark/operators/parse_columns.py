@@ -228,8 +228,8 @@ def written(m: Column, lex: Column) -> Column:
     return F.struct(m["lat"].alias("lat"), m["lon"].alias("lon"), fmt.alias("fmt"), m["score"].alias("score"), notes.alias("notes"), m["hemi"].alias("hemi"), seg.alias("seg")).cast(CANDIDATE)
 
 
-def window_candidates(run: Column, i: Column, j: Column, spare: Column) -> Column:
-    """Candidates of the tokens i..j-1 of a run."""
+def window_candidates(run: Column, i: Column, j: Column, spare: Column, made: Callable = order_candidates) -> Column:
+    """Candidates of the tokens i..j-1 of a run, each way to read it by ``made``."""
     size = j - i
 
     def ways(w: Column, numbers: Column, hemis: Column) -> Column:
@@ -260,12 +260,12 @@ def window_candidates(run: Column, i: Column, j: Column, spare: Column) -> Colum
         hemis = F.filter(F.transform(w, lambda t, k: F.when(t["kind"] == "hemi", k)), lambda k: k.isNotNull())
         found = let(F.struct(numbers.alias("n"), hemis.alias("h")), lambda x: ways(w, x["n"], x["h"]))
         first, last = F.get(w, F.lit(0))["at"], F.get(w, size - 1)["end"]
-        return F.flatten(F.transform(F.coalesce(found, F.array()), lambda g: order_candidates(g, spare, first, last)))
+        return F.flatten(F.transform(F.coalesce(found, F.array()), lambda g: made(g, spare, first, last)))
 
     return let(F.slice(run, i + 1, size), of_window)
 
 
-def run_candidates(run: Column) -> Column:
+def run_candidates(run: Column, made: Callable = order_candidates) -> Column:
     """Candidates of all windows of two to ten tokens with two to six numbers and no or two hemispheres, by their first token."""
     n = F.size(run)
     # how many numbers are ahead of each token; the rest are hemispheres
@@ -276,7 +276,7 @@ def run_candidates(run: Column) -> Column:
             ends = F.when(n - i >= 2, F.sequence(i + 2, F.least(i + 10, n))).otherwise(_none("int"))
             inside = lambda j: F.get(c, j) - F.get(c, i)
             kept = F.filter(ends, lambda j: inside(j).between(2, 6) & (j - i - inside(j)).isin(0, 2))
-            return F.flatten(F.transform(kept, lambda j: window_candidates(run, i, j, F.get(c, n) - inside(j))))
+            return F.flatten(F.transform(kept, lambda j: window_candidates(run, i, j, F.get(c, n) - inside(j), made)))
 
         return F.flatten(F.transform(F.sequence(F.lit(0), n - 1), from_first))
 
@@ -308,38 +308,44 @@ def utm_candidates(norm: Column) -> Column:
 
 
 def candidates(norm: Column, lex: Column) -> Column:
-    made = F.concat(utm_candidates(norm), let(tokens(lex), lambda t: F.flatten(F.transform(runs(t), run_candidates))))
+    made = F.concat(utm_candidates(norm), let(tokens(lex), lambda t: F.flatten(F.transform(runs(t), lambda r: run_candidates(r)))))
     return F.filter(made, lambda m: (F.abs(m["lat"]) <= 90) & (F.abs(m["lon"]) <= 180) & ~((m["lat"] == 0) & (m["lon"] == 0)))
 
 
+def nothing(empty: bool, norm: Column) -> Column:
+    """The parse of a text without a position."""
+    return F.struct(F.lit(False).alias("ok"), F.lit(empty).alias("empty"), norm.alias("norm"), F.lit(None).alias("conf"), F.lit(None).alias("best"), F.array().alias("alts")).cast(RESULT)
+
+
+def chosen(norm: Column, made: Column, light: str, write: Callable[[Column], Column]) -> Column:
+    """The parse of a text by its candidates, which ``write`` writes out."""
+    top = F.array_max(F.transform(made, lambda m: m["score"]))
+    # the best, of equals the first made, then those that come close to it
+    close = let(top, lambda t: F.filter(F.transform(made, lambda m, i: F.struct((-m["score"]).alias("o"), i.alias("i"), m.alias("m"))), lambda x: -x["o"] >= t - C.ALT_GAP))
+    apart = lambda a, b: haversine_m(a["lat"], a["lon"], b["lat"], b["lon"]) > C.ALT_METRES
+    keep = lambda acc, x: F.when(F.forall(acc, lambda y: apart(x["m"], y)), F.concat(acc, F.array(x["m"]))).otherwise(acc)
+
+    def result(kept: Column) -> Column:
+        best = write(F.get(kept, F.lit(0)))
+        alts = F.transform(F.slice(kept, 2, 2), write)
+        return let(
+            best, lambda b: F.struct(F.lit(True).alias("ok"), F.lit(False).alias("empty"), norm.alias("norm"), F.when((F.size(b["notes"]) > 0) | (F.size(kept) > 1), "check").otherwise("ok").alias("conf"), b.alias("best"), alts.alias("alts")).cast(RESULT)
+        )
+
+    return let(F.aggregate(F.array_sort(close), _none(light), keep), result)
+
+
 def parse_plain(text: Column | str) -> Column:
     """``parse.parse`` of a plain text, as a struct of the same type; null for a text that is not plain."""
     text = F.col(text) if isinstance(text, str) else text
     empty = text.isNull() | text.rlike(f"^[{SPACES}]*$")
-    no = lambda is_empty, norm: F.struct(F.lit(False).alias("ok"), F.lit(is_empty).alias("empty"), norm.alias("norm"), F.lit(None).alias("conf"), F.lit(None).alias("best"), F.array().alias("alts")).cast(RESULT)
-
-    def chosen(norm: Column, lex: Column, made: Column) -> Column:
-        top = F.array_max(F.transform(made, lambda m: m["score"]))
-        # the best, of equals the first made, then those that come close to it
-        close = let(top, lambda t: F.filter(F.transform(made, lambda m, i: F.struct((-m["score"]).alias("o"), i.alias("i"), m.alias("m"))), lambda x: -x["o"] >= t - C.ALT_GAP))
-        apart = lambda a, b: haversine_m(a["lat"], a["lon"], b["lat"], b["lon"]) > C.ALT_METRES
-        keep = lambda acc, x: F.when(F.forall(acc, lambda y: apart(x["m"], y)), F.concat(acc, F.array(x["m"]))).otherwise(acc)
-
-        def result(kept: Column) -> Column:
-            best = written(F.get(kept, F.lit(0)), lex)
-            alts = F.transform(F.slice(kept, 2, 2), lambda m: written(m, lex))
-            return let(
-                best, lambda b: F.struct(F.lit(True).alias("ok"), F.lit(False).alias("empty"), norm.alias("norm"), F.when((F.size(b["notes"]) > 0) | (F.size(kept) > 1), "check").otherwise("ok").alias("conf"), b.alias("best"), alts.alias("alts")).cast(RESULT)
-            )
-
-        return let(F.aggregate(F.array_sort(close), _none(LIGHT), keep), result)
 
     def of_norm(norm: Column) -> Column:
-        return let(lexemes(norm), lambda lex: let(candidates(norm, lex), lambda made: F.when(F.size(made) == 0, no(False, norm)).otherwise(chosen(norm, lex, made))))
+        return let(lexemes(norm), lambda lex: let(candidates(norm, lex), lambda made: F.when(F.size(made) == 0, nothing(False, norm)).otherwise(chosen(norm, made, LIGHT, lambda m: written(m, lex)))))
 
     # without two numbers there is no position
-    found = let(normalise(text), lambda norm: F.when(norm.rlike(r"\d\D+\d"), of_norm(norm)).otherwise(no(False, norm)))
-    return F.when(empty, no(True, F.lit(None))).when(plain(text), found)
+    found = let(normalise(text), lambda norm: F.when(norm.rlike(r"\d\D+\d"), of_norm(norm)).otherwise(nothing(False, norm)))
+    return F.when(empty, nothing(True, F.lit(None))).when(plain(text), found)
 
 
 def parse_strict(text: Column | str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trailmark.operators import parse as P, parse_columns as N, spatial as S, trust as U, vote as O
+from trailmark.operators import parse as P, parse_columns as N, parse_shapes as H, spatial as S, trust as U, vote as O
 from trailmark.plans import views as V
 
 QUERIES: dict = {}
@@ -39,7 +39,7 @@ def _(spark, sf):
 def _(spark, sf):
     e = V.texts(spark, sf)
     two = e.select("id", F.concat("text", F.lit(" or "), F.lead("text", 1, "N 45°16.277' E 005°56.052'").over(__import__("pyspark").sql.Window.partitionBy(F.col("id") % 64).orderBy("id"))).alias("text"))
-    return P.all_positions(two, parser=N.parse_strict).select("id", "rank", "lat", "lon", "fmt", "score", "seg")
+    return H.all_positions(two).select("id", "rank", "lat", "lon", "fmt", "score", "seg")
 
 
 UTM_SQL = f"WITH {V.WORLD} SELECT id, true AS near, true AS same_zone FROM w"
